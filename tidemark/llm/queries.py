@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ngram_join, quality, urlfilter
+from tidemark.llm import bpe, ngram_join, quality, urlfilter, warc
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -21,10 +21,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.rules_table(spark, URL_RULES))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(_table(spark, sf_dir, "documents"), words=3, threshold=Fraction(9, 10))
 
@@ -35,7 +45,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op4_url_filters": op4_url_filters,
+    "op5_warc": op5_warc,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -56,6 +68,18 @@ fits AS (
          row_number() OVER (PARTITION BY page_id ORDER BY length(h || pre) DESC, length(h) DESC, action DESC) AS rn
   FROM p LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre))
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits WHERE rn = 1""",
+    "op5_warc": """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS low FROM d)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((('0x' || substr(hex, 5 * (i // 4)::INT + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = low THEN NULL ELSE low END AS refers_to
+FROM m""",
     "op9_ngram_jaccard_join": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
