@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, ngram_join, quality, urlfilter, warc
+from tidemark.llm import bpe, langid, ngram_join, quality, secret_scan, urlfilter, warc
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -35,6 +36,22 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def held_out() -> Column:
+    """Documents that language training must not read."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = langid.train(documents.where(~held_out()))
+    found = langid.predict(documents, model)
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.span_digests(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(_table(spark, sf_dir, "documents"), words=3, threshold=Fraction(9, 10))
 
@@ -48,6 +65,8 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_url_filters": op4_url_filters,
     "op5_warc": op5_warc,
+    "op6_language_id": op6_language_id,
+    "op7_secret_scans": op7_secret_scans,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
