@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, ngram_join, quality, secret_scan, urlfilter, warc
+from tidemark.llm import ann, bpe, langid, ngram_join, quality, secret_scan, urlfilter, warc
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -28,6 +28,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.rules_table(spark, URL_RULES))
 
@@ -63,6 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op4_url_filters": op4_url_filters,
     "op5_warc": op5_warc,
     "op6_language_id": op6_language_id,
