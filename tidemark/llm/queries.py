@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, ngram_join, quality, secret_scan, urlfilter, warc
+from tidemark.llm import ann, bpe, langid, ngram_join, packing, pii, quality, secret_scan, urlfilter, warc
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -32,6 +32,10 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), "a key kept outside the data")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.rules_table(spark, URL_RULES))
 
@@ -56,6 +60,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(_table(spark, sf_dir, "documents"), words=3, threshold=Fraction(9, 10))
 
@@ -68,10 +76,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_url_filters": op4_url_filters,
     "op5_warc": op5_warc,
     "op6_language_id": op6_language_id,
     "op7_secret_scans": op7_secret_scans,
+    "op8_packing": op8_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
