@@ -33,7 +33,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """``mapInArrow`` that hands ``fn`` small slices, bounded by rows and by characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,6 +44,16 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def filter_texts(df: DataFrame, text_col: str, keep: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of ``df``, all columns, whose text ``keep`` lets through."""
+    at = df.columns.index(text_col)
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    return map_texts(df, fn, df.schema)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     start, rows = 0, batch.num_rows
     sizes = np.full(rows, 8, np.int64)

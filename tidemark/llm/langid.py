@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts, slices
+from tidemark.llm.common import filter_texts, map_texts, slices
 
 BUCKETS = 1 << 15
 MAX_TRAIN = 20_000
 MAX_LANGUAGES = 256
 SWITCH = 6.0
+MIN_SCORE = 0.35
 CHUNK = 64
 SEGMENT_CHARS = 1 << 20
 _FAR = np.float32(-1e9)
@@ -224,6 +225,25 @@ def _labelled(texts: list, model: Model, switch: float):
     return [(w[0], w[1], labels) for w, labels in zip(words, out, strict=True)]
 
 
+def document_language(sizes: np.ndarray, labels: np.ndarray, model: Model) -> tuple[str, float]:
+    """The language with the most letters and its share."""
+    if not len(labels):
+        return "und", 0.0
+    letters = np.bincount(labels, sizes, minlength=len(model.languages))
+    return model.languages[int(letters.argmax())], float(letters.max() / letters.sum())
+
+
+def keep(documents: DataFrame, model: Model, *, text_col: str = "text", min_score: float = MIN_SCORE, switch: float = SWITCH) -> DataFrame:
+    """The documents with a language that has at least ``min_score`` of their letters, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def sure(texts: list) -> list[bool]:
+        found = [document_language(sizes, labels, shared.value) for _, sizes, labels in _labelled(texts, shared.value, switch)]
+        return [lang != "und" and score >= min_score for lang, score in found]
+
+    return filter_texts(documents, text_col, sure)
+
+
 def predict(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
     """doc_id, lang_pred, score and spans (start, end, lang; code points) of every row."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -232,14 +252,12 @@ def predict(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_
         m = shared.value
         preds, shares, spans = [], [], []
         for starts, sizes, labels in _labelled(batch.column(1).to_pylist(), m, switch):
+            lang, score = document_language(sizes, labels, m)
+            preds.append(lang)
+            shares.append(score)
             if not len(labels):
-                preds.append("und")
-                shares.append(0.0)
                 spans.append([])
                 continue
-            letters = np.bincount(labels, sizes, minlength=len(m.languages))
-            preds.append(m.languages[int(letters.argmax())])
-            shares.append(float(letters.max() / letters.sum()))
             run_at = np.flatnonzero(np.concatenate(([True], np.diff(labels) != 0)))
             last = np.append(run_at[1:], len(labels)) - 1
             spans.append(

@@ -401,3 +401,10 @@ def similar_documents(
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"),
     )
+
+
+def keep_one(documents: DataFrame, *, words: int = 5, threshold: float | Fraction = Fraction(4, 5)) -> DataFrame:
+    """The documents without those whose component has a smaller id; rows with a null id stay."""
+    found = similar_documents(documents, words=words, threshold=threshold)
+    copies = found.where("component_id < doc_id").select("doc_id").distinct()
+    return documents.join(copies, "doc_id", "left_anti").select(*documents.columns)

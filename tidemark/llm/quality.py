@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, hash_words, map_texts, mix, shingle_hashes, utf8
+from tidemark.llm.common import SPACE, filter_texts, hash_words, map_texts, mix, shingle_hashes, slices, utf8
 
 BUCKETS = 10_000
 MAX_TARGET = 4_000
@@ -55,8 +55,6 @@ def fit(documents: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, max_
 
     def count(batches):
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        from tidemark.llm.common import slices
-
         for batch in batches:
             for part in slices(batch):
                 words, at = hash_words(utf8(part.column(0).to_pylist()))
@@ -113,32 +111,43 @@ def text_counts(data: bytes, words: np.ndarray) -> tuple[int, int, int, int]:
     return chars, symbols, duplicates, repeated
 
 
+def verdicts(texts: list, ratio: np.ndarray, threshold: float) -> list[tuple]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score of each text."""
+    data = utf8(texts)
+    words, at = hash_words(data)
+    out = []
+    for i, text in enumerate(data):
+        own = words[at[i] : at[i + 1]]
+        n = len(own)
+        counts = text_counts(text, own)
+        failed = n < 10 or 100 * counts[3] > 20 * n
+        grams = _grams(own, len(ratio))
+        score = float(ratio[grams].sum() / len(grams)) if len(grams) else 0.0
+        out.append((n, *counts, failed, not failed and score >= threshold, score))
+    return out
+
+
 def judge(documents: DataFrame, ratio: np.ndarray, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document with its counts, score and verdict."""
     shared = documents.sparkSession.sparkContext.broadcast(ratio)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+    kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
     schema = (
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
         "n_repeat_words long, base_failed boolean, kept boolean, score double"
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = shared.value
-        texts = utf8(batch.column(1).to_pylist())
-        words, at = hash_words(texts)
-        cols: list[list] = [[] for _ in range(8)]
-        for i, data in enumerate(texts):
-            own = words[at[i] : at[i + 1]]
-            n = len(own)
-            counts = text_counts(data, own)
-            failed = n < 10 or 100 * counts[3] > 20 * n
-            grams = _grams(own, len(table))
-            score = float(table[grams].sum() / len(grams)) if len(grams) else 0.0
-            for col, value in zip(cols, (n, *counts, failed, not failed and score >= threshold, score), strict=True):
-                col.append(value)
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
+        cols = zip(*verdicts(batch.column(1).to_pylist(), shared.value, threshold), strict=True)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", *names]
         )
 
-    return map_texts(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_texts(rows, run, schema)
+
+
+def keep(documents: DataFrame, ratio: np.ndarray, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(ratio)
+    return filter_texts(documents, "text", lambda texts: [v[6] for v in verdicts(texts, shared.value, threshold)])
