@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,27 +46,31 @@ def json_path(c: Column, path: str) -> Column:
 
     ``[]`` iterates arrays and the values of objects; an index on an object falls back to the key of that name.
     """
-    stack: list[Column] = [F.when(c.isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))]
+    none = F.array().cast("array<string>")
+    stack: list[Column] = [F.when(c.isNotNull(), F.array(c)).otherwise(none)]
     for step in parse_path(path):
         if step == "^":
             stack.pop()
-            continue
-        at = stack[-1]
-        if step == "[]":
-            def items(x: Column) -> Column:
-                listed = F.from_json(x, "array<string>")
-                return F.when(F.ltrim(x).startswith("["), listed).otherwise(F.map_values(F.from_json(x, "map<string,string>")))
-
-            got = F.flatten(F.transform(at, lambda x: F.coalesce(items(x), F.array().cast("array<string>"))))
-        elif step.startswith("["):
-            i = int(step[1:-1])
-            got = F.transform(at, lambda x, i=i: F.coalesce(F.get_json_object(x, f"$[{i}]"), F.get_json_object(x, f"$['{i}']")))
+        elif step == "[]":
+            stack.append(F.flatten(F.transform(stack[-1], lambda x: F.coalesce(_items(x), none))))
         else:
-            got = F.transform(at, lambda x, s=step: F.get_json_object(x, f"$['{s}']"))
-        stack.append(F.filter(got, lambda x: x.isNotNull()))
+            stack.append(F.filter(F.transform(stack[-1], _child(step)), lambda x: x.isNotNull()))
     return stack[-1]
 
 
+def _items(x: Column) -> Column:
+    """Elements of an array or values of an object, null for a scalar."""
+    listed, mapped = F.from_json(x, "array<string>"), F.map_values(F.from_json(x, "map<string,string>"))
+    return F.when(F.ltrim(x).startswith("["), listed).otherwise(mapped)
+
+
+def _child(step: str) -> Callable[[Column], Column]:
+    if step.startswith("["):
+        i = int(step[1:-1])
+        return lambda x: F.coalesce(F.get_json_object(x, f"$[{i}]"), F.get_json_object(x, f"$['{i}']"))
+    return lambda x: F.get_json_object(x, f"$['{step}']")
+
+
 def json_select(c: Column, keys: list[str]) -> Column:
     """The object with the listed keys only."""
     return F.to_json(F.map_filter(F.from_json(c, "map<string,string>"), lambda k, _: k.isin(*keys)))

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BLOCK = 32
+
+
 class CutForest:
     """Small forests of random cuts over the last ``size`` points; a score is how alone a point would be.
 
-    Each tree keeps a reservoir in arrival order and is regrown from it in blocks, so a point is scored against the points before it.
+    Points are scored in blocks against trees grown from the points before the block, then learned.
     """
 
-    def __init__(self, trees: int, size: int, seed: int = 42, refresh: int = 32):
-        self.trees, self.size, self.refresh = trees, size, refresh
+    def __init__(self, trees: int, size: int, seed: int = 42):
+        self.trees, self.size = trees, size
         self.rng = np.random.default_rng(seed)
         self.points: list[np.ndarray] = []
         self.cuts: list[list] = []
-        self.since = 0
 
     def _grow(self, x: np.ndarray, depth: int = 0) -> list:
         span = x.max(axis=0) - x.min(axis=0)
@@ -33,36 +33,35 @@ class CutForest:
         low = x[:, f] <= at
         return [f, at, self._grow(x[low], depth + 1), self._grow(x[~low], depth + 1), len(x), x.min(axis=0), x.max(axis=0)]
 
-    def score(self, p: np.ndarray) -> float:
-        """Mean over trees of the largest ln(sibling + 1) / ln(own + 1) on the point's way down."""
-        if not self.cuts:
-            return 0.0
-        total = 0.0
+    def score(self, points: np.ndarray) -> np.ndarray:
+        """Mean over trees of the largest ln(sibling + 1) / ln(own + 2) on each point's way down, or of being outside a node."""
+        total = np.zeros(len(points))
         for tree in self.cuts:
-            node, best = tree, 0.0
-            while len(node) > 1:
-                out = np.maximum(node[5] - p, 0).sum() + np.maximum(p - node[6], 0).sum()
-                width = (node[6] - node[5]).sum()
-                if out > 0:  # a cut would part the point from all of the node
-                    best = max(best, math.log(node[4] + 1) * out / (out + width) / math.log(2))
-                left, right = (node[2], node[3]) if p[node[0]] <= node[1] else (node[3], node[2])
-                own = left[0] if len(left) == 1 else left[4]
-                other = right[0] if len(right) == 1 else right[4]
-                best = max(best, math.log(other + 1) / math.log(own + 2))
-                node = left
+            best = np.zeros(len(points))
+            stack = [(tree, np.arange(len(points)))]
+            while stack:
+                node, rows = stack.pop()
+                if len(node) == 1 or not len(rows):
+                    continue
+                p = points[rows]
+                out = np.maximum(node[5] - p, 0).sum(axis=1) + np.maximum(p - node[6], 0).sum(axis=1)
+                width = float((node[6] - node[5]).sum())
+                apart = np.log(node[4] + 1) * out / np.maximum(out + width, 1e-300) / np.log(2)
+                left = p[:, node[0]] <= node[1]
+                for child, other, at in ((node[2], node[3], left), (node[3], node[2], ~left)):
+                    own = child[0] if len(child) == 1 else child[4]
+                    alone = np.log((other[0] if len(other) == 1 else other[4]) + 1) / np.log(own + 2)
+                    best[rows[at]] = np.maximum(best[rows[at]], np.maximum(apart[at], alone))
+                    stack.append((child, rows[at]))
             total += best
-        return total / len(self.cuts)
+        return total / max(1, len(self.cuts))
 
-    def add(self, p: np.ndarray) -> None:
-        self.points.append(p)
-        if len(self.points) > self.size:
-            self.points.pop(0)
-        self.since += 1
-        if self.since >= self.refresh or len(self.points) <= 4:
-            x = np.array(self.points)
-            self.cuts = [self._grow(x[self.rng.random(len(x)) < 0.8]) if len(x) > 4 else self._grow(x) for _ in range(self.trees)]
-            self.cuts = [c for c in self.cuts if len(c) > 1]
-            self.since = 0
+    def add(self, points: np.ndarray) -> None:
+        """Learns a block of points and regrows the trees."""
+        self.points = [*self.points, *points][-self.size :]
+        x = np.array(self.points)
+        picks = [x[self.rng.random(len(x)) < 0.8] if len(x) > 4 else x for _ in range(self.trees)]
+        self.cuts = [c for c in (self._grow(y) for y in picks if len(y)) if len(c) > 1]
 
 
 def shingle(df: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -80,13 +79,19 @@ def rcf_scores(df: DataFrame, by: list[str], *, trees: int = 10, size: int = 256
     def run(batches):
         key, forest = None, None
         for pdf in batches:
-            out = np.zeros(len(pdf))
-            for i, (own, p) in enumerate(zip(zip(*[pdf[b] for b in by], strict=True), pdf["shingle"], strict=True)):
-                if own != key:
-                    key, forest = own, CutForest(trees, size, seed)
-                point = np.asarray(p, float)
-                out[i] = forest.score(point)
-                forest.add(point)
+            out, keys_ = np.zeros(len(pdf)), list(zip(*[pdf[b] for b in by], strict=True))
+            x = np.array(pdf["shingle"].tolist(), float)
+            at = 0
+            while at < len(pdf):
+                if keys_[at] != key:
+                    key, forest = keys_[at], CutForest(trees, size, seed)
+                stop = at + 1
+                block = 1 if len(forest.points) < 8 else BLOCK
+                while stop < min(len(pdf), at + block) and keys_[stop] == key:
+                    stop += 1
+                out[at:stop] = forest.score(x[at:stop])
+                forest.add(x[at:stop])
+                at = stop
             yield pdf[[*by, "ts", "seq"]].assign(score=out)
 
     return d.repartition(*by).sortWithinPartitions(*by, "ts", "seq").mapInPandas(run, f"{keys}, ts bigint, seq bigint, score double")
@@ -99,11 +104,10 @@ def rcf_score_transient(history: DataFrame, probes: DataFrame, by: list[str], *,
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in probes.select(*by).schema)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        forest = CutForest(trees, size, seed, refresh=1 << 30)
-        forest.points = [np.array([v]) for v in a.sort_values("i", ascending=False)["value"]]
-        if forest.points:
-            x = np.array(forest.points)
-            forest.cuts = [c for c in (forest._grow(x[forest.rng.random(len(x)) < 0.8] if len(x) > 4 else x) for _ in range(trees)) if len(c) > 1]
-        return b[by].assign(value=b["value"], score=[forest.score(np.array([v])) for v in b["value"]])
+        forest = CutForest(trees, size, seed)
+        past = a.sort_values("i", ascending=False)["value"].to_numpy(float)
+        if len(past):
+            forest.add(past[:, None])
+        return b[by].assign(value=b["value"], score=forest.score(b["value"].to_numpy(float)[:, None]))
 
     return last.groupBy(*by).cogroup(probes.select(*by, "value").groupBy(*by)).applyInPandas(run, f"{keys}, value double, score double")

@@ -43,7 +43,7 @@ def pattern_add(known: DataFrame, new: DataFrame) -> DataFrame:
     return known.select("pattern").unionByName(new.select("pattern")).where("pattern <> ''").distinct()
 
 
-def pattern_hits(df: DataFrame, patterns: DataFrame, id_col: str, text: str = "text", n: int = 4) -> DataFrame:
+def pattern_hits(df: DataFrame, patterns: DataFrame, id_col: str, text: str = "text", n: int = 8) -> DataFrame:
     """One row per (row, contained pattern).
 
     Patterns of at least ``n`` characters meet texts by an equi-join on their first n-gram; shorter ones (at
@@ -51,10 +51,10 @@ def pattern_hits(df: DataFrame, patterns: DataFrame, id_col: str, text: str = "t
     """
     p = patterns.select("pattern").where("pattern <> ''").distinct()
     long = p.where(F.length("pattern") >= n).withColumn("g", F.substring("pattern", 1, n))
-    size = F.length(text)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(n))))
+    grams = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))  # linear in the text
     rows = df.select(F.col(id_col), F.col(text)).where(F.col(text).isNotNull())
-    found = rows.withColumn("g", F.explode(grams)).join(long, "g").where(F.col(text).contains(F.col("pattern"))).select(id_col, "pattern")
+    maybe = rows.select(id_col, F.explode(grams).alias("g")).join(long, "g").select(id_col, "pattern").distinct()
+    found = rows.join(maybe, id_col).where(F.col(text).contains(F.col("pattern"))).select(id_col, "pattern")
     short = p.where(F.length("pattern") < n).limit(10_000)
     few = rows.join(F.broadcast(short), F.col(text).contains(F.col("pattern"))).select(id_col, "pattern")
     return found.unionByName(few).distinct()
@@ -83,7 +83,7 @@ def bloom_size(n: int, fpr: float) -> tuple[int, int]:
 
 
 def _spots(col: Column, bits: int, hashes: int) -> Column:
-    a, b = F.xxhash64(col), F.xxhash64(col, F.lit("second"))
+    a, b = F.pmod(F.xxhash64(col), F.lit(bits)), F.pmod(F.xxhash64(col, F.lit("second")), F.lit(bits))
     return F.array(*[F.pmod(a + b * i, F.lit(bits)) for i in range(hashes)])
 
 

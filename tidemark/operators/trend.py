@@ -22,12 +22,12 @@ def trend_fit(
     ends = d.groupBy(*by).agg(F.min("ts").alias("origin_ts"))
     d = d.join(ends, by).withColumn("x", (F.col("ts") - F.col("origin_ts")).cast("double"))
     g = d.groupBy(*by).agg(
-        F.count("*").alias("samples"), F.max("x").alias("span"), F.max("ts").alias("anchor_ts"),
+        F.count("*").alias("samples"), F.max("x").alias("span"), F.max("ts").alias("anchor_ts"), F.min("origin_ts").alias("origin_ts"),
         F.max_by("value", F.struct("ts", "seq")).alias("current"), F.avg("value").alias("mean"),
         F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("offset"), F.regr_sxx("value", "x").alias("sxx"),
     )
     g = g.where((F.col("samples") >= max(min_samples, 2)) & (F.col("span") > 0) & (F.col("sxx") > TINY))
-    r = d.join(g, by).withColumn("res", F.col("value") - (F.col("offset") + F.col("slope") * F.col("x")))
+    r = d.drop("origin_ts").join(g, by).withColumn("res", F.col("value") - (F.col("offset") + F.col("slope") * F.col("x")))
     spread = r.groupBy(*by).agg(
         F.sum(F.col("res") * F.col("res")).alias("sse"), F.sum((F.col("value") - F.col("mean")) ** 2).alias("sst"),
         F.percentile(F.abs("res"), amplitude_quantile).alias("amp"),

@@ -464,10 +464,10 @@ def verify_forecast(spark, sf_dir):
 # --- ledger -----------------------------------------------------------------------------------------------------
 
 
-@registered(f"""WITH {LEDGER} SELECT order_id, ts, status, dtype, size, round(entry, 3) AS entry, seq FROM led QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, seq DESC, size DESC, entry DESC) = 1""")
+@registered(f"""WITH {LEDGER} SELECT order_id, ts, status, dtype, size, seq FROM led QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, seq DESC, size DESC, entry DESC) = 1""")
 def dedup_orders(spark, sf_dir):
     d = ledger.dedup_orders(ledger_table(spark, sf_dir), ["seq", "size", "entry"])
-    return rounded(d, "entry", digits=3).select("order_id", "ts", "status", "dtype", "size", "entry", "seq")
+    return d.select("order_id", "ts", "status", "dtype", "size", "seq")
 
 
 _PNL = """count(pnl_pct) FILTER (status = 'closed') AS trades, count(*) FILTER (status = 'closed' AND pnl_pct > 0) AS wins,
@@ -494,9 +494,9 @@ def pnl_total(spark, sf_dir):
     return _pnl(ledger.pnl_total(ledger_table(spark, sf_dir)))
 
 
-@registered(f"WITH {LEDGER}, l AS (SELECT *, (ts // 2592000) * 2592000 AS bucket FROM led) SELECT bucket, {_PNL} FROM l GROUP BY ROLLUP (bucket)")
+@registered(f"WITH {LEDGER}, l AS (SELECT *, (ts // 2592000) * 2592000 AS bucket FROM led) SELECT coalesce(bucket, -1)::BIGINT AS bucket, {_PNL} FROM l GROUP BY ROLLUP (bucket)")
 def pnl_rollup(spark, sf_dir):
-    return _pnl(ledger.pnl_rollup(ledger_table(spark, sf_dir), 2_592_000), "bucket")
+    return _pnl(ledger.pnl_rollup(ledger_table(spark, sf_dir), 2_592_000).fillna(-1, ["bucket"]), "bucket")
 
 
 @registered(f"""WITH {LEDGER} SELECT dtype, round(sum(size * ((1500 - entry) / entry * CASE WHEN dtype = 'short' THEN -1 ELSE 1 END - 0.0004)), 4) AS unrealized, count(*) AS positions
