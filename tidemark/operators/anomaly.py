@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-BLOCK = 32
+BLOCK = 128
 
 
 class CutForest:

@@ -13,6 +13,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.components import connected_components
+
 SCALERS = {"standard": lambda: StandardScaler(withMean=True, withStd=True), "minmax": MinMaxScaler, "robust": lambda: RobustScaler(withCentering=True)}
 
 
@@ -185,7 +187,7 @@ def isolation_forest(df: DataFrame, features: list[str], key: list[str], *, cont
     return out.crossJoin(F.broadcast(bar)).withColumn("anomaly", F.col("score") > F.col("bar")).drop("bar")
 
 
-def dbscan(df: DataFrame, x: str, y: str, key: str, *, eps: float, min_samples: int, max_rounds: int = 50) -> DataFrame:
+def dbscan(df: DataFrame, x: str, y: str, key: str, *, eps: float, min_samples: int) -> DataFrame:
     """Clusters of a plane (-1: noise); points meet through eps-cells; cluster ids are the least core key.
 
     A cell of edge eps / sqrt(2) with at least ``min_samples`` points is all core and connected, so its points are joined
@@ -212,17 +214,9 @@ def dbscan(df: DataFrame, x: str, y: str, key: str, *, eps: float, min_samples:
         .join(other, (F.col("cx") + F.col("s.i") == F.col("nx")) & (F.col("cy") + F.col("s.j") == F.col("ny"))).where(close)
         .select("cx", "cy", "nx", "ny").distinct()
     )
-    both = links.unionByName(links.select(F.col("nx").alias("cx"), F.col("ny").alias("cy"), F.col("cx").alias("nx"), F.col("cy").alias("ny")))
-    both = both.persist()
-    state = cells
-    for _ in range(max_rounds):
-        got = both.join(state.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("root").alias("r")), ["nx", "ny"]).groupBy("cx", "cy").agg(F.min("r").alias("r"))
-        new = state.join(got, ["cx", "cy"], "left").select("cx", "cy", F.least("root", F.coalesce("r", "root")).alias("root"))
-        new = new.persist()
-        moved = new.join(state.withColumnRenamed("root", "old"), ["cx", "cy"]).where("root <> old").isEmpty()
-        state = new
-        if moved:
-            break
+    here, there = cells.withColumnRenamed("root", "src"), cells.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("root").alias("dst"))
+    found = connected_components(links.join(here, ["cx", "cy"]).join(there, ["nx", "ny"]).select("src", "dst"))
+    state = cells.join(found, F.col("root") == F.col("node"), "left").select("cx", "cy", F.coalesce("component", "root").alias("root"))
     labelled = core.join(state, ["cx", "cy"]).select("id", F.col("root").alias("cluster"), "x", "y", "cx", "cy")
     rest = p.join(core.select("id"), "id", "left_anti").withColumn("s", F.explode(steps))
     c = labelled.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), "cluster")
