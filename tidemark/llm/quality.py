@@ -26,6 +26,7 @@ from tidemark.llm.common import SPACE, filter_texts, hash_words, map_texts, mix,
 BUCKETS = 10_000
 MAX_TARGET = 4_000
 THRESHOLD = -0.065
+PRIOR = 10_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -48,7 +49,7 @@ def target_ids(labels: DataFrame, max_target: int = MAX_TARGET) -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, max_target: int = MAX_TARGET) -> np.ndarray:
-    """Log ratio of target to raw probability for each bucket, add-one smoothed."""
+    """Log ratio of target to raw probability for each bucket; ``PRIOR`` counts of the raw shares smooth the target."""
     flagged = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(target_ids(labels, max_target)), F.col("doc_id") == F.col("target_id"), "left"
     ).select("text", F.col("target_id").isNotNull().alias("trusted"))
@@ -74,13 +75,14 @@ def fit(documents: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, max_
         .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
         .collect()  # at most `buckets` rows
     )
-    raw, target = np.ones(buckets), np.ones(buckets)
+    raw, target = np.zeros(buckets), np.zeros(buckets)
     for row in counts:
-        raw[row.bucket] += row.raw
-        target[row.bucket] += row.target
-    if target.sum() == buckets:
+        raw[row.bucket] = row.raw
+        target[row.bucket] = row.target
+    if not target.sum():
         return np.zeros(buckets)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    share = np.maximum(raw, 1.0) / max(1.0, raw.sum())
+    return np.log((target + PRIOR * share) / (target.sum() + PRIOR)) - np.log(share)
 
 
 def text_counts(data: bytes, words: np.ndarray) -> tuple[int, int, int, int]:
