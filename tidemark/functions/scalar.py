@@ -29,7 +29,7 @@ def cast_value(c: Column, kind: str) -> Column:
         return number.try_cast("double" if kind == "f64" else "float")
     lo, hi = INT_RANGES[kind]
     whole = number.try_cast("decimal(38,0)")
-    exact = number.try_cast("decimal(38,9)") == whole
+    exact = number.rlike(r"^[+-]?\d+(\.0*)?$")
     return F.when(exact & whole.between(F.lit(lo).cast("decimal(38,0)"), F.lit(hi).cast("decimal(38,0)")), whole.cast("bigint"))
 
 

@@ -68,6 +68,11 @@ def fit_values(df: DataFrame, by: list[str], **options) -> DataFrame:
     return grid_fit(df.join(ends, by), by, **options)
 
 
+def _on_grid(df: DataFrame, by: list[str], grid: DataFrame) -> DataFrame:
+    """Rows with their key's grid; the grid's columns win over equal names."""
+    return df.drop(*[c for c in grid.columns if c not in by]).join(grid, by)
+
+
 def num_cells() -> Column:
     return F.greatest(F.lit(1), F.ceil((F.col("gmax") - F.col("offset")) / F.col("step")))
 
@@ -84,14 +89,14 @@ def cell_of(value: Column) -> Column:
 
 def crossings(df: DataFrame, by: list[str], grid: DataFrame) -> DataFrame:
     """Cells crossed between consecutive points."""
-    d = with_lag(df.join(grid, by).withColumn("cell", cell_of(F.col("value"))), by, {"before": "cell"})
+    d = with_lag(_on_grid(df, by, grid).withColumn("cell", cell_of(F.col("value"))), by, {"before": "cell"})
     return d.groupBy(*by).agg(F.coalesce(F.sum(F.abs(F.col("cell") - F.col("before"))), F.lit(0)).cast("long").alias("crossings"))
 
 
 def occupancy(df: DataFrame, by: list[str], grid: DataFrame, interval_secs: int) -> DataFrame:
     """Points per (time bucket from the key's first ts, cell)."""
     start = df.groupBy(*by).agg(F.min("ts").alias("t0"))
-    d = df.join(start, by).join(grid, by)
+    d = _on_grid(df.join(start, by), by, grid)
     bucket = F.floor((F.col("ts") - F.col("t0")) / interval_secs).cast("long")
     return d.groupBy(*by, bucket.alias("bucket"), cell_of(F.col("value")).alias("cell")).agg(F.count("*").alias("n"))
 
