@@ -320,17 +320,17 @@ def _trie_links(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[p
         yield done()
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A fixed-size bitmap of ids (a pre-filter only: the join afterwards decides)."""
+def _bit_rows(ids: DataFrame) -> DataFrame:
+    """The ids (column ``rep``) as a bitmap of fixed size, in rows (w, b) of 32 bits: BLOOM_BITS / 32 rows at most."""
     spot = f"pmod(rep, {BLOOM_BITS})"
-    words = (
-        ids.selectExpr(f"shiftright({spot}, 5) AS w", f"shiftleft(1L, cast({spot} & 31 AS int)) AS b")
-        .groupBy("w")
-        .agg(F.bit_or("b").alias("b"))
-        .collect()  # at most BLOOM_BITS / 32 rows
-    )
+    bits = ids.selectExpr(f"shiftright({spot}, 5) AS w", f"shiftleft(1L, cast({spot} & 31 AS int)) AS b")
+    return bits.groupBy("w").agg(F.bit_or("b").alias("b"))
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """The bitmap as an array (a pre-filter only: the join afterwards decides)."""
     out = np.zeros(BLOOM_BITS // 32, np.int64)
-    for r in words:
+    for r in _bit_rows(ids).collect():
         out[r.w] = r.b
     return out
 
@@ -406,5 +406,14 @@ def similar_documents(
 def keep_one(documents: DataFrame, *, words: int = 5, threshold: float | Fraction = Fraction(4, 5)) -> DataFrame:
     """The documents without those whose component has a smaller id; rows with a null id stay."""
     found = similar_documents(documents, words=words, threshold=threshold)
-    copies = found.where("component_id < doc_id").select("doc_id").distinct()
-    return documents.join(copies, "doc_id", "left_anti").select(*documents.columns)
+    copies = materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias("rep")).distinct(), "copies")
+    # Documents outside a bitmap of fixed size surely stay and aren't shuffled; the others meet the ids themselves.
+    spot = f"pmod(doc_id, {BLOOM_BITS})"
+    marked = documents.withColumn("__w", F.expr(f"shiftright({spot}, 5)")).join(
+        F.broadcast(_bit_rows(copies).withColumnsRenamed({"w": "__w", "b": "__b"})), "__w", "left"
+    )
+    maybe = F.expr(f"coalesce((shiftright(__b, cast({spot} & 31 AS int)) & 1) = 1, false)")
+    sure = marked.where(~maybe).select(*documents.columns)
+    rest = marked.where(maybe).select(*documents.columns)
+    gone = copies.withColumnRenamed("rep", "__gone")
+    return sure.unionByName(rest.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti"))
