@@ -86,6 +86,16 @@ def test_grid_values(spark):
     assert one(mass.agg(F.sum("mass"))).asDict().popitem()[1] == pytest.approx(1.0)
 
 
+def test_plan_from_grid(spark, sf_dir):
+    p = Q.QUERIES["plan_from_grid"](spark, sf_dir)
+    for r in p.groupBy("metric_id").agg(F.sum("weight").alias("w"), F.min("long_p").alias("lo"), F.max("short_p").alias("hi")).collect():
+        assert r.w == pytest.approx(1.0, abs=1e-4) and r.lo >= 0.25 and r.hi <= 0.75
+    a = Q.QUERIES["absorption_probability"](spark, sf_dir).collect()
+    assert a and all(0 <= r.top + r.bottom <= 2 for r in a)
+    x = spark.range(1).select(ledger.max_levels_for_profit(F.lit(100.0), F.lit(110.0), 0.01).alias("n"), ledger.min_profitable_step(F.lit(100.0), 0.01).alias("s")).first()
+    assert x.n == 5 and x.s == 2.0
+
+
 def test_capacity_order_of_arrival(spark):
     pts = [(900 * i, 50 + 0.4 * i * 0.25 + 3 * abs((i / 16) % 2 - 1)) for i in range(97)]
     r = one(trend.capacity_forecast(obs(spark, pts), BY, 200.0, interval_secs=3600))

@@ -167,6 +167,16 @@ def n_step(moves: DataFrame, by: list[str], start: DataFrame, n: int) -> DataFra
     return state
 
 
+def absorption(moves: DataFrame, by: list[str], start: DataFrame, ends: DataFrame, n: int) -> DataFrame:
+    """Chance of having reached the bottom or top cell of ``ends(by..., bottom, top)`` within ``n`` moves."""
+    inner = moves.join(ends, by).where("`from` <> bottom AND `from` <> top").select(*moves.columns)
+    state = n_step(inner, by, start, n).join(ends, by)
+    return state.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(F.col("cell") == F.col("top"), F.col("mass"))), F.lit(0.0)).alias("top"),
+        F.coalesce(F.sum(F.when(F.col("cell") == F.col("bottom"), F.col("mass"))), F.lit(0.0)).alias("bottom"),
+    )
+
+
 def efficiency_ratio(df: DataFrame, by: list[str]) -> DataFrame:
     """|net| / sum |change| and net / sum |change|; 0 below three points or without movement."""
     d = with_lag(df.where("value IS NOT NULL"), by, {"before": "value"})

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sliced import with_lag, with_running
+from tidemark.operators import grid as G
+from tidemark.operators.sliced import slice_of, with_lag, with_running
 from tidemark.operators.timeseries import bucket_align, gap_fill
 
 FEE_ROUNDTRIP = 0.0004
@@ -103,8 +104,6 @@ def trade_report(df: DataFrame, by: list[str]) -> DataFrame:
     loss = F.col("pnl_pct") <= 0
     d = with_running(d, by, {"equity": F.col("pnl_pct"), "won": (~loss).cast("long")}, secs=31 * 86_400)
     # the peak so far: a running maximum over slices
-    from tidemark.operators.sliced import slice_of
-
     d = d.withColumn("__slice", slice_of("ts", 31 * 86_400))
     inside = Window.partitionBy(*by, "__slice").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -231,6 +230,16 @@ def min_profitable_step(price: Column, fee: float) -> Column:
     return 2 * fee * price
 
 
+def is_step_profitable(step: Column, price: Column, fee: float) -> Column:
+    return step > min_profitable_step(price, fee)
+
+
+def max_levels_for_profit(lo: Column, hi: Column, fee: float) -> Column:
+    """Most levels (at least 2) on [lo, hi] whose spacing still pays the round trip at the upper price."""
+    step = min_profitable_step(hi, fee)
+    return F.greatest(F.lit(2), F.floor((hi - lo) / step) + 1).cast("long")
+
+
 def breakeven_win_p(risk: Column, reward: Column, fee: float) -> Column:
     return (risk + 2 * fee) / (reward + risk)
 
@@ -317,6 +326,38 @@ def time_split(df: DataFrame, by: list[str], train: float = 0.8) -> DataFrame:
     return df.join(ends, by).withColumn("part", F.when(F.col("ts") <= at, "train").otherwise("test")).drop("lo", "hi")
 
 
+def plan_from_grid(
+    df: DataFrame, by: list[str], fitted: DataFrame, interval_secs: int, *, risk: float, reward: float, fee: float, realised: DataFrame | None = None, min_trades: int = 10
+) -> DataFrame:
+    """One row per visited cell: price, win probabilities by side, weight and whether the spacing pays.
+
+    Probabilities follow the cell's drift, clamped to [0.25, max(0.75, breakeven)]; ``realised(by..., cell, wins, losses)``
+    replaces them after ``min_trades``.  Weights are inverse occupancy, normalised per key; the key's own slope ratio tilts both sides.
+    """
+    dominant = G.dominant_cells(df, by, fitted, interval_secs)
+    drift = G.move_probabilities(G.transitions(dominant, by), by, per_cell=True).select(*by, F.col("from").alias("cell"), (F.col("up") - F.col("down")).alias("drift"))
+    occ = G.occupancy(df, by, fitted, interval_secs).groupBy(*by, "cell").agg(F.sum("n").alias("n"))
+    tilt = G.efficiency_ratio(df, by).select(*by, F.col("slope_ratio").alias("tilt"))
+    d = occ.join(drift, [*by, "cell"], "left").join(tilt, by).join(fitted.select(*by, "step", "offset"), by)
+    even = float((risk + 2 * fee) / (reward + risk))
+    top = max(0.75, even)
+
+    def clamp(p: Column) -> Column:
+        return F.least(F.lit(top), F.greatest(F.lit(0.25), p))
+
+    lean = F.coalesce("drift", F.lit(0.0)) / 2 + F.col("tilt") / 4
+    d = d.withColumn("long_p", clamp(0.5 + lean)).withColumn("short_p", clamp(0.5 - lean))
+    if realised is not None:
+        d = d.join(realised.select(*by, "cell", "wins", "losses"), [*by, "cell"], "left")
+        known = F.coalesce(F.col("wins") + F.col("losses"), F.lit(0)) >= min_trades
+        d = d.withColumn("long_p", F.when(known, clamp(F.col("wins") / (F.col("wins") + F.col("losses")))).otherwise(F.col("long_p")))
+    total = occ.groupBy(*by).agg(F.sum(1 / F.col("n")).alias("inverse"))
+    price = F.col("offset") + (F.col("cell") + 0.5) * F.col("step")
+    return d.join(total, by).select(
+        *by, "cell", price.alias("price"), "long_p", "short_p", (1 / F.col("n") / F.col("inverse")).alias("weight"), is_step_profitable(F.col("step"), price, fee).alias("pays")
+    )
+
+
 def param_sweep(entries: DataFrame, candles: DataFrame, by: list[str], params: DataFrame, *, max_bars: int, fee: float = FEE_ROUNDTRIP) -> DataFrame:
     """Mean score of each (sl_pct, tp_pct) of the small table ``params`` over all entries, as one job."""
     d = entries.drop("sl", "tp").join(F.broadcast(params.select("param", "sl_pct", "tp_pct").limit(10_000)))

@@ -406,6 +406,20 @@ def n_step_probability(spark, sf_dir):
     return rounded(G.n_step(moves, BY, start, 3), "mass")
 
 
+@registered()
+def absorption_probability(spark, sf_dir):
+    moves = G.transitions(_dominant(spark, sf_dir), BY)
+    ends = moves.groupBy(*BY).agg(F.min("from").alias("bottom"), F.max("from").alias("top"))
+    start = moves.groupBy(*BY).agg(F.max_by("from", "n").alias("cell"))
+    return rounded(G.absorption(moves, BY, start, ends, 3), "top", "bottom")
+
+
+@registered()
+def plan_from_grid(spark, sf_dir):
+    d = ledger.plan_from_grid(observations(spark, sf_dir), BY, _grid(spark, sf_dir), DAY, risk=0.1, reward=0.2, fee=0.0004)
+    return rounded(d, "price", "long_p", "short_p", "weight")
+
+
 TREND = f"""{OBS}, o AS (SELECT metric_id, min(ts) AS t0, max(ts) AS t1 FROM obs GROUP BY 1),
 xy AS (SELECT obs.metric_id, ts, seq, t0, t1, (ts - t0)::DOUBLE AS x, value AS y FROM obs JOIN o USING (metric_id)),
 f AS (SELECT metric_id, count(*) AS samples, max(x) AS span, any_value(t0) AS t0, any_value(t1) AS t1, regr_slope(y, x) AS slope, regr_intercept(y, x) AS off,
