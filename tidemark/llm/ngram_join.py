@@ -6,7 +6,10 @@
    the threshold differ in at most H tokens.  The hash range is cut into more than H
    parts; (part, content of the set in it) is an *item*, at most H items of either set
    are missing from the other, so two such sets share one of their first H + 1 items in
-   any global order (most tokens first, then hash).  Sizes are handled in overlapping
+   any global order (rarest first, then most tokens, then hash).  Rarity is read from a table of fixed size
+   that counts the n-grams of all documents by hash; passages that many documents
+   share come last, so they hardly ever tie texts together that have little else in common.  The table only sets the order:
+   links are exact for any counts.  Sizes are handled in overlapping
    geometric classes, so partners use the same number of parts.  For small sets every
    token is an item of its own.  Classes that share an item join the same block.
 3. Blocks are merged to candidate clusters by connected components (no pairs).
@@ -36,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hash_words, map_texts, materialize, mix, shingle_hashes, utf8
+from tidemark.llm.common import hash_words, map_texts, materialize, mix, shingle_hashes, slices, utf8
 from tidemark.llm.components import connected_components
 
 CHUNK_BYTES = 16 << 20
 BLOOM_BITS = 1 << 22
+COUNTERS = 1 << 18
 SMALL_SET = 64
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -85,12 +89,39 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return first - (1 << 63), second - (1 << 63)
 
 
-def class_items(tokens: np.ndarray, k: int, limits: Limits) -> np.ndarray:
-    """All items of a set in size class ``k``, in global order: most tokens first, then by hash."""
+def token_counts(documents: DataFrame, *, text_col: str, words: int) -> np.ndarray:
+    """In how many rows the n-grams of each of COUNTERS hash groups occur, over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for piece in slices(batch):
+                spots = [(t % np.uint64(COUNTERS)).astype(np.int64) for t in token_sets(piece.column(0).to_pylist(), words)]
+                total += np.bincount(np.concatenate(spots), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["spot", "k"])
+
+    parts = documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "spot int, k long")
+    out = np.zeros(COUNTERS, np.int64)
+    for r in parts.groupBy("spot").agg(F.sum("k").alias("k")).collect():  # at most COUNTERS rows
+        out[r.spot] = r.k
+    return out
+
+
+def commonness(counts: np.ndarray) -> np.ndarray:
+    """A level for each hash group: 0 about the usual count, one more each time the excess over it doubles."""
+    usual = np.median(counts)
+    excess = np.maximum(counts - usual, 0) / (4 * np.sqrt(usual + 1))
+    return np.ceil(np.log2(1 + excess)).astype(np.uint8)
+
+
+def class_items(tokens: np.ndarray, k: int, limits: Limits, levels: np.ndarray | None = None) -> np.ndarray:
+    """All items of a set in size class ``k``, in global order: rarest first, then most tokens, then by hash."""
     salt = np.uint64((k + 1) * _GOLD % (1 << 64))
     spread = mix(tokens ^ salt)
+    level = np.zeros(len(tokens), np.uint8) if levels is None else levels[(tokens % np.uint64(len(levels))).astype(np.int64)]
     if k == 0:
-        return np.sort(spread).view(np.int64)
+        return spread[np.lexsort((spread, level))].view(np.int64)
     parts = limits.parts(k)
     part = ((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     order = np.argsort(part, kind="stable")
@@ -98,26 +129,28 @@ def class_items(tokens: np.ndarray, k: int, limits: Limits) -> np.ndarray:
     begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
     content = np.add.reduceat(mix(spread[order] + np.uint64(_GOLD)), begin)
     keys = mix(content ^ (part[begin] + np.uint64(1)) * salt)
-    return keys[np.lexsort((keys, -np.diff(np.append(begin, len(tokens)))))].view(np.int64)
+    rare = np.minimum.reduceat(level[order], begin)  # an item is at most as common as its rarest token
+    return keys[np.lexsort((keys, -np.diff(np.append(begin, len(tokens))), rare))].view(np.int64)
 
 
-def items(tokens: np.ndarray, limits: Limits) -> np.ndarray:
+def items(tokens: np.ndarray, limits: Limits, levels: np.ndarray | None = None) -> np.ndarray:
     """The block keys of a set: its first H + 1 items in each size class that a partner may use."""
     n = len(tokens)
     if n == 0:
         return np.zeros(0, np.int64)
     largest = n * limits.den // limits.num
     take = limits.apart(n, largest) + 1
-    return np.concatenate([class_items(tokens, k, limits)[:take] for k in {limits.size_class(n), limits.size_class(largest)}])
+    return np.concatenate([class_items(tokens, k, limits, levels)[:take] for k in {limits.size_class(n), limits.size_class(largest)}])
 
 
 def signatures(documents: DataFrame, *, id_col: str, text_col: str, words: int, limits: Limits) -> DataFrame:
     """doc_id, n, digest halves and block keys of every row."""
+    levels = documents.sparkSession.sparkContext.broadcast(commonness(token_counts(documents, text_col=text_col, words=words)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = token_sets(batch.column(1).to_pylist(), words)
         halves = [digest(s) for s in sets]
-        keys = [items(s, limits) for s in sets]
+        keys = [items(s, limits, levels.value) for s in sets]
         offsets = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays(
@@ -335,6 +368,16 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _split(rows: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows surely not among ``ids`` (column ``rep``) by their bitmap of fixed size, and those that may be."""
+    spot = f"pmod({id_col}, {BLOOM_BITS})"
+    marked = rows.withColumn("__w", F.expr(f"shiftright({spot}, 5)")).join(
+        F.broadcast(_bit_rows(ids).withColumnsRenamed({"w": "__w", "b": "__b"})), "__w", "left"
+    )
+    maybe = F.expr(f"coalesce((shiftright(__b, cast({spot} & 31 AS int)) & 1) = 1, false)")
+    return marked.where(~maybe).select(*rows.columns), marked.where(maybe).select(*rows.columns)
+
+
 def similar_documents(
     documents: DataFrame,
     *,
@@ -352,7 +395,11 @@ def similar_documents(
         sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes"
     )
     reps = classes.select(F.col("rep").alias("doc_id"), "s1", "s2")
-    blocks = sig.select("doc_id", "s1", "s2", "items").join(reps, ["doc_id", "s1", "s2"], "left_semi").select(
+    known = sig.where("n > 0").select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
+    copies = materialize(known.where("doc_id > rep").select(F.col("doc_id").alias("rep")).distinct(), "equal")
+    # Item lists move only for rows in the bitmap of the ids that equal sets make superfluous.
+    sure, maybe = _split(sig.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "s1", "s2", "items"), "doc_id", copies)
+    blocks = sure.unionByName(maybe.join(reps, ["doc_id", "s1", "s2"], "left_semi")).select(
         F.explode("items").alias("item"), F.col("doc_id").alias("rep")
     )
     lowest = F.min("rep").over(Window.partitionBy("item"))
@@ -407,13 +454,7 @@ def keep_one(documents: DataFrame, *, words: int = 5, threshold: float | Fractio
     """The documents without those whose component has a smaller id; rows with a null id stay."""
     found = similar_documents(documents, words=words, threshold=threshold)
     copies = materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias("rep")).distinct(), "copies")
-    # Documents outside a bitmap of fixed size surely stay and aren't shuffled; the others meet the ids themselves.
-    spot = f"pmod(doc_id, {BLOOM_BITS})"
-    marked = documents.withColumn("__w", F.expr(f"shiftright({spot}, 5)")).join(
-        F.broadcast(_bit_rows(copies).withColumnsRenamed({"w": "__w", "b": "__b"})), "__w", "left"
-    )
-    maybe = F.expr(f"coalesce((shiftright(__b, cast({spot} & 31 AS int)) & 1) = 1, false)")
-    sure = marked.where(~maybe).select(*documents.columns)
-    rest = marked.where(maybe).select(*documents.columns)
+    # Documents outside the bitmap of the removed ids surely stay and aren't shuffled; the others meet the ids themselves.
+    sure, rest = _split(documents, "doc_id", copies)
     gone = copies.withColumnRenamed("rep", "__gone")
     return sure.unionByName(rest.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti"))
