@@ -408,6 +408,9 @@ def similar_documents(
     clusters = materialize(clusters.join(classes, "rep"), "clusters")
 
     total = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / F.lit(chunk_bytes)).cast("int").alias("chunks"))
+    # Everything about a place is joined while rows are narrow: sets move once to their place and once to their units.
+    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    places = materialize(clusters.drop("n").join(total, "cluster").withColumn("chunk", own), "places")
     wanted = spark.sparkContext.broadcast(_bitmap(clusters))
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -427,10 +430,8 @@ def similar_documents(
         )
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = map_texts(rows, fetch, "rep long, s1 long, s2 long, tokens binary").join(clusters.drop("n"), ["rep", "s1", "s2"])
-    sized = sets.join(total, "cluster")
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    units = sized.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+    sets = map_texts(rows, fetch, "rep long, s1 long, s2 long, tokens binary").join(places, ["rep", "s1", "s2"])
+    units = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "cluster", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "rep", "tokens"
     )
     links = (
