@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import grid as G
 from tidemark.operators.sliced import slice_of, with_lag, with_running
 from tidemark.operators.timeseries import bucket_align, gap_fill
+from tidemark.sources.scratch import materialize
 
 FEE_ROUNDTRIP = 0.0004
 
@@ -189,19 +190,52 @@ def level_touch(candles: DataFrame, levels: DataFrame, by: list[str], band: floa
 def barrier_exit(entries: DataFrame, candles: DataFrame, by: list[str], *, max_bars: int, fee: float = FEE_ROUNDTRIP) -> DataFrame:
     """The first bar from ``unlock_seq`` on that touches stop or target; the stop wins when both are touched.
 
-    A bar that opens beyond a barrier fills at its open.  Entries meet the bars of blocks of ``max_bars`` numbers,
-    so each entry is compared with at most two blocks.
+    A bar that opens beyond a barrier fills at its open; entries that no bar touches have no row.  Bars are the leaves of a
+    tree with ``max_bars`` children a node; a node holds the least low and greatest high below it.  An entry meets the later
+    siblings on its path up, then the children of the first node that can hit: a few blocks, however late the exit is.
     """
-    block = F.floor(F.col("unlock_seq") / max_bars)
-    e = entries.withColumn("blk", F.explode(F.array(block, block + 1)))
-    c = candles.withColumn("blk", F.floor(F.col("bar") / max_bars))
+    width = max(2, max_bars)
+    bars = materialize(candles.select(*by, "bar", "o", "h", "l"), "bars")
+    ends = bars.agg(F.min("bar").alias("lo"), F.max("bar").alias("hi")).first()
+    lo, span = (ends["lo"], ends["hi"] - ends["lo"]) if ends["lo"] is not None else (0, 0)
+    levels = 1
+    while width**levels <= span:
+        levels += 1
+    tree = bars.select(*by, F.lit(0).alias("level"), (F.col("bar") - lo).cast("long").alias("node"), "o", "h", "l")
+    if levels > 1:
+        above = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.floor((F.col("bar") - lo) / width**i).alias("node")) for i in range(1, levels)]))
+        nodes = bars.select(*by, above.alias("at"), "h", "l").groupBy(*by, "at").agg(F.max("h").alias("h"), F.min("l").alias("l"))
+        tree = materialize(tree.unionByName(nodes.select(*by, "at.*", "h", "l"), allowMissingColumns=True), "bar-tree")
+    tree = tree.withColumn("parent", F.floor(F.col("node") / width))
     long = F.col("dtype") == "long"
-    d = e.join(c, [*by, "blk"]).where("bar >= unlock_seq AND bar < unlock_seq + " + str(max_bars))
     stop = F.when(long, F.col("l") <= F.col("sl")).otherwise(F.col("h") >= F.col("sl"))
     target = F.when(long, F.col("h") >= F.col("tp")).otherwise(F.col("l") <= F.col("tp"))
+    entry = [*by, "order_id", "dtype", "entry", "sl", "tp", "unlock_seq"]
+
+    def first_hit(d: DataFrame) -> DataFrame:
+        x = F.min(F.struct("level", "node", "o", "h", "l"))  # lower levels hold earlier bars
+        return d.where(stop | target).groupBy(*entry).agg(x.alias("x")).select(*entry, "x.*")
+
+    # Nodes above the bars are few and met by many entries: each is there once a salt.
+    salt = F.pmod(F.xxhash64("order_id"), F.lit(width)).cast("int")
+    start, path = F.greatest(F.col("unlock_seq") - lo, F.lit(0)).cast("long"), []
+    for i in range(levels):
+        path.append(F.struct(F.lit(i).alias("level"), start.alias("start"), F.floor(start / width).alias("parent"), (salt if i else F.lit(0)).alias("salt")))
+        start = F.floor(start / width) + 1
+    e = entries.where("unlock_seq IS NOT NULL").select(*entry, F.explode(F.array(*path)).alias("at")).select(*entry, "at.*")
+    salts = F.when(F.col("level") > 0, F.sequence(F.lit(0), F.lit(width - 1))).otherwise(F.array(F.lit(0)))
+    d = first_hit(e.join(tree.withColumn("salt", F.explode(salts)), [*by, "level", "parent", "salt"]).where("node >= start"))
+    if levels > 1:
+        found, down = materialize(d, "first-nodes"), None
+        for i in range(levels - 1, 0, -1):
+            at = found.where(F.col("level") == i)
+            at = (at if down is None else at.unionByName(down)).select(*entry, F.col("node").alias("parent"))
+            down = first_hit(at.join(tree.where(F.col("level") == i - 1), [*by, "parent"]))
+        d = found.where("level = 0").unionByName(down)
     worse = F.when(long, F.least("o", "sl")).otherwise(F.greatest("o", "sl"))
     better = F.when(long, F.greatest("o", "tp")).otherwise(F.least("o", "tp"))
-    d = d.where(stop | target).withColumn("fill", F.when(stop, worse).otherwise(better)).withColumn("reason", F.when(stop, "sl").otherwise("tp"))
+    d = d.withColumn("fill", F.when(stop, worse).otherwise(better)).withColumn("reason", F.when(stop, "sl").otherwise("tp"))
+    d = d.withColumn("bar", (F.col("node") + lo).cast(bars.schema["bar"].dataType))
     first = d.groupBy(*by, "order_id", "dtype", "entry").agg(F.min_by(F.struct("bar", "fill", "reason"), "bar").alias("x")).select(*by, "order_id", "dtype", "entry", "x.*")
     move = (F.col("fill") - F.col("entry")) / F.col("entry") * F.when(F.col("dtype") == "long", 1.0).otherwise(-1.0)
     return first.withColumn("pnl_pct", move - fee)
@@ -359,8 +393,8 @@ def plan_from_grid(
 
 
 def param_sweep(entries: DataFrame, candles: DataFrame, by: list[str], params: DataFrame, *, max_bars: int, fee: float = FEE_ROUNDTRIP) -> DataFrame:
-    """Mean score of each (sl_pct, tp_pct) of the small table ``params`` over all entries, as one job."""
-    d = entries.drop("sl", "tp").join(F.broadcast(params.select("param", "sl_pct", "tp_pct").limit(10_000)))
+    """Mean score of each (sl_pct, tp_pct) of ``params`` over all entries, as one job."""
+    d = entries.drop("sl", "tp").crossJoin(params.select("param", "sl_pct", "tp_pct"))
     sign = F.when(F.col("dtype") == "long", 1.0).otherwise(-1.0)
     d = d.withColumn("sl", F.col("entry") * (1 - sign * F.col("sl_pct"))).withColumn("tp", F.col("entry") * (1 + sign * F.col("tp_pct")))
     d = d.withColumn("order_id", F.concat_ws("/", "param", "order_id"))
