@@ -7,8 +7,10 @@ cells to probe is calibrated on the sample: queries of the sample probe ever mor
 
 Rows are grouped by (cell, salt); a cell's rows are spread over as many salts as its count
 asks for, so a hot cell never is one task.  Each query visits its probed cells.  In a group, distance
-tables give asymmetric distances to all codes; the best ``rerank`` of each query, ties to
-smaller ids, are measured exactly (double precision, original vectors) and the best k go on.
+tables give asymmetric distances to all codes; the best ``rerank`` of each query are measured exactly (double
+precision, original vectors).  A row's asymmetric distance less its own quantisation error bounds its distance from
+below: all further rows whose bound does not exceed the k-th exact distance are measured too, so the best k that
+go on are exact for the group, whatever the codes can tell apart.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another
 length than most of the sample take no part, nor do rows with a null id; repeated ids are separate
@@ -31,6 +33,8 @@ GROUP_ROWS = 4_096
 QUERY_BLOCK = 64
 TARGET_RECALL = 0.97
 CODES = 256
+# Fixed value: relative room for rounding, far above that of double precision.
+SLACK = 1e-9
 
 
 @dataclass
@@ -127,25 +131,41 @@ def _search_group(index: Index, k: int, rerank: int):
         exact = _matrix(rows.column("vec").chunk(0), index.dim)[order]
         codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
         queries, who = _matrix(asks.column("vec").chunk(0), index.dim), asks.column("query_id").to_numpy()
-        centre = index.centroids[int(asks.column("cell")[0].as_py())]
+        centre = index.centroids[int(asks.column("cell")[0].as_py())].astype(np.float64)
+        books = [book.astype(np.float64) for book in index.books]
+        coded = np.concatenate([book[codes[:, p]] for p, book in enumerate(books)], axis=1)
+        error = np.sqrt(((exact - centre - coded) ** 2).sum(axis=1))
+        norms = (exact * exact).sum(axis=1)
         out: list[list[np.ndarray]] = [[], [], []]
         for lo in range(0, len(who), QUERY_BLOCK):
             block = queries[lo : lo + QUERY_BLOCK]
-            rest = block.astype(np.float32) - centre
-            approx = np.zeros((len(block), len(ids)), np.float32)
-            for p, book in enumerate(index.books):
-                table = _distances(rest[:, index.bounds[p] : index.bounds[p + 1]], book).astype(np.float32)
-                approx += table[:, codes[:, p]]
+            rest = block - centre
+            approx = np.zeros((len(block), len(ids)))
+            for p, book in enumerate(books):
+                part = rest[:, index.bounds[p] : index.bounds[p + 1]]
+                approx += ((part[:, None, :] - book[None]) ** 2).sum(axis=2)[:, codes[:, p]]
+            squares = None
             for q in range(len(block)):
                 near = approx[q]
                 own = ids == who[lo + q]
                 if own.any():
                     near = np.where(own, np.inf, near)
                 m = min(rerank, len(ids))
-                bar = np.partition(near, m - 1)[m - 1]
-                best = np.concatenate((np.flatnonzero(near < bar), np.flatnonzero(near == bar)))[:m]  # ties: smaller ids
+                best = np.argpartition(near, m - 1)[:m]
                 best = best[near[best] < np.inf]
                 score = np.sqrt(((exact[best] - block[q]) ** 2).sum(axis=1))
+                if m < len(ids):
+                    kth = np.partition(score, k - 1)[k - 1] if len(score) >= k else np.inf
+                    far = np.sqrt(near)
+                    open_ = (far - error <= kth + SLACK * (far + error)) & (near < np.inf)
+                    open_[best] = False
+                    if open_.any():
+                        if squares is None:  # one product for the block rules out most open rows
+                            squares = norms - 2.0 * (block @ exact.T)
+                        own_norm = (block[q] ** 2).sum()
+                        more = np.flatnonzero(open_ & (squares[q] + own_norm <= kth**2 + SLACK * (norms + own_norm)))
+                        best = np.concatenate((best, more))
+                        score = np.concatenate((score, np.sqrt(((exact[more] - block[q]) ** 2).sum(axis=1))))
                 top = np.lexsort((ids[best], score))[:k]
                 out[0].append(np.full(len(top), who[lo + q], np.int64))
                 out[1].append(ids[best][top])
