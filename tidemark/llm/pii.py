@@ -7,9 +7,10 @@ Everything is DataFrame functions.  One pattern finds entities; the text between
   Feistel permutation of the same format: distinct stays distinct, equal stays equal, in all documents.  Cards
   keep their issuer digit and the distance of the last digit to a valid check digit.
 * E-mail addresses get keyed letters; a domain keeps one surrogate in all addresses.
-* Names after a title keep title, gender (ending), script (Latin or Cyrillic) and number of words.
+* Names after titles keep titles, gender (ending), script (Latin or Cyrillic), particles and number of words; words
+  are replaced one by one, and all other mentions of a found name's words (two letters or more) in its text with them.
 
-The mapping of e-mails and names is checked: originals that meet in one surrogate are found over
+The mapping of e-mails and name words is checked: originals that meet in one surrogate are found over
 all documents, and all but the least are given another keyed surrogate until none meet.
 
 Defined cases: null texts stay null with no entity; null ids and repeated rows keep their rows; texts
@@ -25,20 +26,32 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialize
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"(?<![0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+PHONE = (
+    r"(?<![0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9+(])\+[1-9](?:[ .-]?(?:\([0-9]{1,4}\) ?)?[0-9]){8,14}(?![0-9])"
+)
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-# Titles that tell a gender.
-MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"]
-TITLE = "|".join(sorted(MALE + FEMALE, key=lambda t: (-len(t), t)))
-NAME = rf"(?<!\p{{L}})(?:{TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+# Titles that tell a gender, titles that don't, and particles within names.
+MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "Sir", "Lord"]
+FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Lady"]
+NEUTRAL = ["Dr", "Prof", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "Doctora", "Profesor", "Profesora", "доктор", "профессор"]
+TITLE = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=lambda t: (-len(t), t)))
+TITLES = rf"(?:{TITLE})\.?(?: (?:{TITLE})\.?(?= ))*"
+RUN = r"[\p{L}\p{M}]+"
+_WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+"
+_LINK = r"(?:(?:von|van|vom|zu|de|der|den|del|della|da|di|du|dos|la|le|bin|ibn|al|el|\p{Lu}\.) )*+"
+NAME = rf"(?<!\p{{L}}){TITLES} {_LINK}{_WORD}(?: {_LINK}{_WORD})*+"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, CARD, PHONE, IPV4, SSN, NAME))
 # Letters of the syllables of surrogate names.
 CONSONANTS = {"latin": "bdfghklmnprstvz", "cyrillic": "бвгдзклмнпрстфх"}
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
-ENDINGS = {("latin", "m"): "on", ("latin", "f"): "ina", ("cyrillic", "m"): "ов", ("cyrillic", "f"): "ова"}
+ENDINGS = {
+    ("latin", "m"): "on", ("latin", "f"): "ina", ("latin", "n"): "er", ("cyrillic", "m"): "ов", ("cyrillic", "f"): "ова", ("cyrillic", "n"): "ко"
+}
+# Titles that stand for a gender where single words are checked.
+SHORT = {"m": "Mr", "f": "Mrs", "n": "Dr"}
 ROUNDS = 4
 
 
@@ -129,13 +142,23 @@ def _email(e: Column, key: str, attempt: Column) -> Column:
     return F.concat(_letters(_hash(key, "email", low, attempt), 16), F.lit("@"), domain, F.lit(".example.com"))
 
 
-def _name(e: Column, key: str, attempt: Column) -> Column:
-    title = F.regexp_extract(e, rf"^(?:{TITLE})\.?", 0)
-    name = F.substr(e, F.length(title) + 2)
-    gender = F.when(F.regexp_replace(title, r"\.$", "").isin(*MALE), "m").otherwise("f")
+def _gender(e: Column) -> Column:
+    """Of a name: that of its first title that tells one."""
+    titles = F.transform(F.split(F.regexp_extract(e, f"^{TITLES}", 0), " "), lambda t: F.regexp_replace(t, r"\.$", ""))
+    told = F.filter(titles, lambda t: t.isin(*MALE, *FEMALE))
+    return F.when(F.size(told) == 0, "n").when(F.get(told, F.lit(0)).isin(*MALE), "m").otherwise("f")
 
-    def word(w: Column, script: str) -> Column:
-        h = _hash(key, "name", w, gender, attempt)
+
+def _each_run(text: Column, change) -> Column:
+    """The text with every run of letters changed."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), change)
+    return F.array_join(F.zip_with(F.split(text, RUN, -1), runs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def _word(w: Column, gender: Column, key: str, attempt: Column) -> Column:
+    h = _hash(key, "name", w, gender, attempt)
+
+    def spell(script: str) -> Column:
         syllables = [
             F.concat(
                 F.substr(F.lit(CONSONANTS[script]), (_number(h, 1 + 6 * i, 3) % 15 + 1).cast("int"), F.lit(1)),
@@ -143,11 +166,40 @@ def _name(e: Column, key: str, attempt: Column) -> Column:
             )
             for i in range(5)
         ]
-        ending = F.when(gender == "m", ENDINGS[script, "m"]).otherwise(ENDINGS[script, "f"])
+        ending = F.when(gender == "m", ENDINGS[script, "m"]).when(gender == "f", ENDINGS[script, "f"]).otherwise(ENDINGS[script, "n"])
         return F.initcap(F.concat(*syllables, F.lit(CONSONANTS[script][6]), ending))
 
-    words = F.transform(F.split(name, " "), lambda w: F.when(w.rlike(r"\p{IsCyrillic}"), word(w, "cyrillic")).otherwise(word(w, "latin")))
-    return F.concat(title, F.lit(" "), F.array_join(words, " "))
+    return F.when(w.rlike(r"\p{IsCyrillic}"), spell("cyrillic")).otherwise(spell("latin"))
+
+
+def _single(w: Column, gender: Column) -> Column:
+    """A name of this one word."""
+    return F.concat(F.when(gender == "m", SHORT["m"]).when(gender == "f", SHORT["f"]).otherwise(SHORT["n"]), F.lit(" "), w)
+
+
+def _name(e: Column, key: str, attempt: Column, second: Column | None = None) -> Column:
+    """``second`` maps single names whose word has another surrogate."""
+    titles = F.regexp_extract(e, f"^{TITLES}", 0)
+    gender = _gender(e)
+
+    def change(w: Column) -> Column:
+        new = _word(w, gender, key, attempt)
+        if second is not None:
+            new = F.coalesce(F.substring_index(second[_single(w, gender)], " ", -1), new)
+        return F.when(w.rlike(r"^\p{Lu}"), new).otherwise(w)
+
+    return F.concat(titles, _each_run(F.substr(e, F.length(titles) + 1), change))
+
+
+def name_words(found: Column) -> Column:
+    """Single names of the words of all names among the entities, in order."""
+    names = F.filter(found, lambda e: kind_of(e) == "name")
+
+    def split(e: Column) -> Column:
+        words = F.regexp_extract_all(F.regexp_replace(e, f"^{TITLES}", ""), F.lit(RUN), F.lit(0))
+        return F.transform(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")), lambda w: _single(w, _gender(e)))
+
+    return F.array_distinct(F.flatten(F.transform(names, split)))
 
 
 def kind_of(e: Column) -> Column:
@@ -158,7 +210,7 @@ def kind_of(e: Column) -> Column:
     return out.otherwise("name")
 
 
-def surrogate(e: Column, key: str, attempt: Column | None = None) -> Column:
+def surrogate(e: Column, key: str, attempt: Column | None = None, second: Column | None = None) -> Column:
     """The replacement of one entity; ``attempt`` (text) gives others to e-mails and names."""
     attempt = F.lit("0") if attempt is None else attempt
     kind = kind_of(e)
@@ -168,12 +220,12 @@ def surrogate(e: Column, key: str, attempt: Column | None = None) -> Column:
         .when(kind == "ipv4", _ipv4(e, key))
         .when(kind == "ssn", _ssn(e, key))
         .when(kind == "phone", _phone(e, key))
-        .otherwise(_name(e, key, attempt))
+        .otherwise(_name(e, key, attempt, second))
     )
 
 
 def _may_have(text: Column) -> Column:
-    return text.rlike(rf"[@0-9]|(?:{TITLE})\.? \p{{Lu}}")
+    return text.rlike(rf"[@0-9]|(?:{TITLE})\.? \p{{L}}")
 
 
 def entities(text: Column) -> Column:
@@ -210,28 +262,34 @@ def second_surrogates(found: DataFrame, key: str, max_attempts: int = 8) -> Data
 def pseudonymise(documents: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with surrogates and n_entities of every row."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    loose = rows.select(F.explode(F.array_distinct(entities(F.col("text")))).alias("original")).where(
-        kind_of(F.col("original")).isin("email", "name")
-    )
-    original = F.when(F.col("original").contains("@"), F.lower("original")).otherwise(F.col("original"))
-    again = second_surrogates(loose.select(original.alias("original")).distinct(), key)
-    rows = rows.withColumn("found", entities(F.col("text")))
-
-    def first(e: Column) -> Column:
-        return surrogate(e, key)
-
-    if again is None:
-        rows = rows.withColumn("new", F.transform("found", first))
-    else:
+    rows = rows.withColumn("found", entities(F.col("text"))).withColumn("words", name_words(F.col("found")))
+    mails = F.transform(F.filter("found", lambda e: e.contains("@")), F.lower)
+    loose = rows.select(F.explode(F.array_distinct(F.concat(mails, "words"))).alias("original"))
+    again = second_surrogates(loose.distinct(), key)
+    second = None
+    if again is not None:
         rows = rows.withColumn("mark", F.xxhash64("text"))
-        asked = rows.select("mark", F.explode(F.array_distinct("found")).alias("e")).distinct()
-        asked = asked.withColumn("original", F.when(F.col("e").contains("@"), F.lower("e")).otherwise(F.col("e")))
+        asked = rows.select("mark", F.explode(F.array_distinct(F.concat(mails, "words"))).alias("original")).distinct()
         maps = asked.join(again, "original").groupBy("mark").agg(
-            F.map_from_entries(F.collect_set(F.struct("e", "surrogate"))).alias("second")
+            F.map_from_entries(F.collect_set(F.struct("original", "surrogate"))).alias("second")
         )
         rows = rows.join(maps, "mark", "left")
-        rows = rows.withColumn("new", F.transform("found", lambda e: F.coalesce(F.col("second")[e], first(e))))
+        second = F.col("second")
+
+    def new(e: Column) -> Column:
+        first = surrogate(e, key, second=second)
+        return first if second is None else F.when(e.contains("@"), F.coalesce(second[F.lower(e)], first)).otherwise(first)
+
+    rows = rows.withColumn("new", F.transform("found", new)).withColumn("new_words", F.transform("words", new))
     between = F.split("text", ANY, -1)
-    pairs = F.zip_with(between, F.col("new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    low = F.transform("words", lambda w: F.lower(F.substring_index(w, " ", -1)))
+
+    def mention(w: Column) -> Column:
+        at = F.when((F.length(w) > 1) & w.rlike(r"^\p{Lu}"), F.array_position("low", F.lower(w))).otherwise(0)
+        return F.when(at > 0, F.substring_index(F.get("new_words", (at - 1).cast("int")), " ", -1)).otherwise(w)
+
+    rows = rows.withColumn("low", low).withColumn("between", between)
+    kept = F.when(F.size("words") > 0, F.transform("between", lambda a: _each_run(a, mention))).otherwise(F.col("between"))
+    pairs = F.zip_with(kept, F.col("new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     text = F.when(F.size("new") > 0, F.array_join(pairs, "")).otherwise(F.col("text"))
     return rows.select("doc_id", text.alias("text"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities"))
