@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from tidemark.operators import ledger
+from tidemark.operators import ledger, text
 from tidemark.plans import queries as Q
 
 BY = ["metric_id"]
@@ -65,3 +65,11 @@ def test_sweep_takes_all_parameters(spark):
     e = spark.createDataFrame([("m", "1", "long", 100.0, 2, 0.0, 0.0)], ENTRY)
     params = spark.range(10_500).selectExpr("cast(id AS string) AS param", "0.5D AS sl_pct", "0.01D AS tp_pct")
     assert ledger.param_sweep(e, bars, BY, params, max_bars=64).count() == 10_500
+
+
+def test_short_patterns_are_all_tested(spark):
+    words = [f"{i:05d}" for i in range(10_050)] + ["x", "\U0001f600"]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "a 00007 b"), (3, None)], "doc_id long, text string")
+    patterns = spark.createDataFrame([(w,) for w in words], "pattern string")
+    got = text.pattern_hits(docs, patterns, "doc_id").groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == {1: 10_052, 2: 1}

@@ -46,8 +46,8 @@ def pattern_add(known: DataFrame, new: DataFrame) -> DataFrame:
 def pattern_hits(df: DataFrame, patterns: DataFrame, id_col: str, text: str = "text", n: int = 8) -> DataFrame:
     """One row per (row, contained pattern).
 
-    Patterns of at least ``n`` characters meet texts by an equi-join on their first n-gram; shorter ones (at
-    most 10 000 of them) are tested one by one.
+    Patterns of at least ``n`` characters meet texts by an equi-join on their first n-gram; shorter ones by the same
+    join on the n-grams of their own length.
     """
     p = patterns.select("pattern").where("pattern <> ''").distinct()
     long = p.where(F.length("pattern") >= n).withColumn("g", F.substring("pattern", 1, n))
@@ -55,8 +55,12 @@ def pattern_hits(df: DataFrame, patterns: DataFrame, id_col: str, text: str = "t
     rows = df.select(F.col(id_col), F.col(text)).where(F.col(text).isNotNull())
     maybe = rows.select(id_col, F.explode(grams).alias("g")).join(long, "g").select(id_col, "pattern").distinct()
     found = rows.join(maybe, id_col).where(F.col(text).contains(F.col("pattern"))).select(id_col, "pattern")
-    short = p.where(F.length("pattern") < n).limit(10_000)
-    few = rows.join(F.broadcast(short), F.col(text).contains(F.col("pattern"))).select(id_col, "pattern")
+    short = p.where(F.length("pattern") < n)
+    lengths = [r[0] for r in short.select(F.length("pattern")).distinct().collect()]  # below n
+    if not lengths:
+        return found.distinct()
+    parts = [F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{i}}}))"), F.lit(1))) for i in lengths]
+    few = rows.select(id_col, F.explode(F.concat(*parts)).alias("pattern")).join(short, "pattern").select(id_col, "pattern")
     return found.unionByName(few).distinct()
 
 
