@@ -60,19 +60,19 @@ def components(docs, k, t):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("k", "t", "chunk"), [(3, Fraction(9, 10), 1 << 24), (5, Fraction(4, 5), 2_000)])
-def test_join_equals_brute_force(spark, k, t, chunk):
+@pytest.mark.parametrize(("k", "t", "chunk", "heavy"), [(3, Fraction(9, 10), 1 << 24, 512), (5, Fraction(4, 5), 2_000, 512), (5, Fraction(4, 5), 4_000, 3), (3, Fraction(3, 5), 1 << 24, 2)])
+def test_join_equals_brute_force(spark, k, t, chunk, heavy):
     rng = random.Random(k)
     docs, n = {}, 0
     for base in range(12):
         words = prose(base, rng.choice([2, 4, 9, 30, 70, 200, 600])).split()
-        for _ in range(rng.choice([1, 2, 6])):
+        for _ in range(rng.choice([1, 2, 6, 14])):
             copy = list(words)
-            for _ in range(rng.randrange(0, 1 + len(words) // 25)):
+            for _ in range(rng.randrange(0, 1 + len(words) // 15)):
                 copy[rng.randrange(len(copy))] = f"new{rng.randrange(99)}"
             docs[n] = " ".join(copy).upper() if rng.random() < 0.2 else " ".join(copy)
             n += 1
-    got = ngram_join.similar_documents(frame(spark, docs.items()), words=k, threshold=t, chunk_bytes=chunk).collect()
+    got = ngram_join.similar_documents(frame(spark, docs.items()), words=k, threshold=t, chunk_bytes=chunk, heavy_rows=heavy).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(docs, k, t)
 
 
@@ -85,6 +85,30 @@ def test_join_edge_cases(spark):
     assert sorted(x.doc_id or 0 for x in kept.collect()) == [0, 1, 2, 3, 5, 5, 6, 7, 8]
 
 
+def test_keep_one_returns_columns_of_any_name(spark):
+    text = prose(1, 40)
+    df = spark.createDataFrame([(1, text, 7, "a", 5, 6), (2, text, 8, "b", 5, 6), (3, prose(2, 40), 9, "c", 5, 6)], ["doc_id", "text", "word_", "bits_", "gone_", "a.b"])
+    assert sorted(tuple(r) for r in ngram_join.keep_one(df).collect()) == [(1, text, 7, "a", 5, 6), (3, prose(2, 40), 9, "c", 5, 6)]
+
+
+def test_star_rows_link_all_documents_of_an_item():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    lists = [rng.integers(0, 20, 3).tolist() for _ in range(30)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 10)), pa.array(lists[i : i + 10], pa.list_(pa.int64()))], names=["d", "i"]) for i in (0, 10, 20)]
+    rows = pa.Table.from_batches(ngram_join._star_rows(iter(batches))).to_pylist()
+    least, links = {}, set()
+    for r in rows:
+        if r["low"] is None:
+            assert r["rep"] == min(i for i, x in enumerate(lists) if r["item"] in x)
+            least[r["item"]] = r["rep"]
+        else:
+            links.add((r["rep"], r["low"]))
+    assert set(least) == {x for ls in lists for x in ls}
+    assert links == {(i, least[x]) for i, ls in enumerate(lists) for x in ls if least[x] != i}
+
+
 def test_trie_bounds_match_exact_overlap():
     limits = ngram_join.Limits(Fraction(4, 5))
     rng = np.random.default_rng(3)

@@ -12,27 +12,33 @@
    links are exact for any counts.  Sizes are handled in overlapping
    geometric classes, so partners use the same number of parts.  For small sets every
    token is an item of its own.  Classes that share an item join the same block.
+   Tasks reduce equal items to their least id before anything moves, so an item that a
+   large part of all documents shares reaches its one partition as a row per block of rows.
 3. Blocks are merged to candidate clusters by connected components (no pairs).
-4. Per cluster, pairs that share too few items are told apart first; what remains, as sets in
-   global hash order, is stored in a compressed trie.  Each set
+4. Clusters of more than HEAVY_ROWS classes are peeled: all members are compared with one
+   pivot.  Members linked to it are connected, so pairs among them need no look any more.
+   Jaccard distance obeys the triangle inequality: members whose distances to the pivot
+   differ by more than the allowed distance cannot link, so a cluster falls into rings
+   where only neighbouring rings meet.  A cluster that gains nothing stays as it is.
+5. What remains is cut into chunks, and every pair of chunks that can hold a link not yet
+   known is one bounded unit of work.  There, pairs that share too few items are told apart
+   first; the rest, as sets in global hash order, is stored in a compressed trie.  Each set
    walks the trie once: branches share partial overlaps, a subtree is left as soon
    as the remaining lengths cannot reach the overlap that the threshold asks for, or when
-   everything below it is known to be connected to the set already.  A large cluster is
-   cut into chunks, and every pair of chunks is one bounded unit of work.
-5. Components of the links found give the least id reachable.
+   everything below it is known to be connected to the set already.
+6. Components of the links found give the least id reachable.
 
 Defined cases: null or blank texts have an empty set, link with nothing and are their own
 component; rows with a null id come back with a null component; repeated rows come back
 repeated, with the same component; other columns are ignored; an empty table gives an
 empty result.  64-bit token hashes and 128-bit set digests are taken as identities.
+``keep_one`` returns all columns of its rows, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +49,12 @@ from tidemark.llm.common import hash_words, map_texts, materialize, mix, shingle
 from tidemark.llm.components import connected_components
 
 CHUNK_BYTES = 16 << 20
-BLOOM_BITS = 1 << 22
+CHUNK_ROWS = 4_096
+HEAVY_ROWS = 512
+PIVOTS = 3
+BITS_PER_ID = 8
+MAX_BITS = 1 << 24
+STAR_ITEMS = 1 << 20
 COUNTERS = 1 << 18
 SMALL_SET = 64
 _GOLD = 0x9E3779B97F4A7C15
@@ -260,14 +271,19 @@ class Trie:
             node, at = child, at + same
 
 
-def _tight_groups(sets: list[np.ndarray], limits: Limits) -> list[list[int]]:
+def _tight_groups(sets: list[np.ndarray], colors: list[int | None], limits: Limits) -> list[list[int]]:
     """Groups of sets (ascending size) outside which no pair can reach the threshold.
 
-    Sets that reach it share all but H of their items, so a pair is let through only if
-    it shares max(q, q') - H of them.  An item's list is left out once all its sets are in
-    the prober's group already, so a group of n near copies costs about n look-ups per item.
+    Sets that reach it share all but H of their items, so one of the first H + 1 items of each is common to
+    both in any order; with the unit's rarest items first, what many sets share brings hardly any sets together.
+    Pairs that meet are let through only if they share max(q, q') - H items.  Sets of one color are known to be
+    connected; an item's list is left out once all its sets are in the prober's group already.
     """
     group = list(range(len(sets)))
+    first: dict[int, int] = {}
+    for i, color in enumerate(colors):
+        if color is not None:
+            group[i] = first.setdefault(color, i)
 
     def find(i: int) -> int:
         while group[i] != i:
@@ -275,52 +291,69 @@ def _tight_groups(sets: list[np.ndarray], limits: Limits) -> list[list[int]]:
             i = group[i]
         return i
 
+    homes = [limits.size_class(len(t)) for t in sets]
+    uppers = [len(t) * limits.den // limits.num for t in sets]
+    kinds = [{k: np.sort(class_items(t, k, limits)) for k in {h, limits.size_class(u)}} for t, h, u in zip(sets, homes, uppers, strict=True)]
+    every, times = np.unique(np.concatenate([v for ks in kinds for v in ks.values()]), return_counts=True)
+
+    def rarest(me: int, k: int) -> list[int]:
+        own = kinds[me][k]
+        order = np.lexsort((own, times[np.searchsorted(every, own)]))
+        return own[order[: limits.apart(len(sets[me]), uppers[me]) + 1]].tolist()
+
     lists: dict[int, list[int]] = {}
     same: dict[int, bool] = {}  # all sets of the list are in one group
-    kinds = []
     for me, tokens in enumerate(sets):
-        n = len(tokens)
-        home, upper = limits.size_class(n), limits.size_class(n * limits.den // limits.num)
-        keys = {k: class_items(tokens, k, limits).tolist() for k in {home, upper}}
-        kinds.append({k: len(v) for k, v in keys.items()})
-
-        def least(other: int) -> int:
-            return max(1, max(len(keys[home]), kinds[other].get(home, 0)) - limits.apart(n, len(sets[other])))
-
-        def join(counts: dict[int, int]) -> None:
-            for other, count in counts.items():
-                if count >= least(other):
+        home = homes[me]
+        own = kinds[me][home]
+        tried: set[int] = set()
+
+        def look(others: Iterable[int]) -> None:
+            for other in others:
+                if other in tried or find(other) == find(me):
+                    continue
+                tried.add(other)
+                theirs = kinds[other].get(home)
+                if theirs is None:
+                    continue
+                at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                least = max(1, max(len(own), len(theirs)) - limits.apart(len(tokens), len(sets[other])))
+                if np.count_nonzero(own[at] == theirs) >= least:
                     group[max(find(me), find(other))] = min(find(me), find(other))
 
-        met = [k for k in keys[home] if k in lists]
-        join(Counter(lists[k][-1] for k in met))
-        mine = find(me)
-        join(Counter(chain.from_iterable(lists[k] for k in met if not (same[k] and find(lists[k][0]) == mine))))
-        for k in (x for v in keys.values() for x in v):
-            own = lists.setdefault(k, [])
-            same[k] = same.get(k, True) and (not own or find(own[0]) == find(me))
-            own.append(me)
+        prefix = {k: rarest(me, k) for k in kinds[me]}
+        met = [k for k in prefix[home] if k in lists]
+        look(lists[k][-1] for k in met)
+        for k in met:
+            if not (same[k] and find(lists[k][0]) == find(me)):
+                look(lists[k])
+        for k in (x for v in prefix.values() for x in v):
+            held = lists.setdefault(k, [])
+            same[k] = same.get(k, True) and (not held or find(held[0]) == find(me))
+            held.append(me)
     out: dict[int, list[int]] = {}
     for i in range(len(sets)):
         out.setdefault(find(i), []).append(i)
     return [g for g in out.values() if len(g) > 1]
 
 
-def _unit(rows: list[tuple[int, int, np.ndarray]], cross: bool, limits: Limits) -> Iterator[tuple[int, int]]:
-    """(id, least id linked within this unit); rows: (chunk, id, tokens). cross: only links between two chunks matter."""
-    rows.sort(key=lambda r: (len(r[2]), r[1]))
+def _unit(rows: list[tuple[int, int, int | None, np.ndarray]], cross: bool, limits: Limits) -> Iterator[tuple[int, int]]:
+    """(id, least id linked within this unit); rows: (chunk, id, color, tokens). cross: only links between two chunks matter."""
+    rows.sort(key=lambda r: (len(r[3]), r[1]))
     groups = [list(range(len(rows)))]
     if len(rows) > 2:
-        groups = _tight_groups([r[2] for r in rows], limits)
+        groups = _tight_groups([r[3] for r in rows], [r[2] for r in rows], limits)
     for group in groups:
         if cross and len({rows[i][0] for i in group}) < 2:
             continue
-        trie, ids = Trie(limits), []
+        trie, ids, first = Trie(limits), [], {}
         for i in group:
             me = trie.member()
             ids.append(rows[i][1])
-            trie.probe(rows[i][2], me)
-            trie.store(rows[i][2], me)
+            if rows[i][2] is not None:
+                trie.union(first.setdefault(rows[i][2], me), me)
+            trie.probe(rows[i][3], me)
+            trie.store(rows[i][3], me)
         least: dict[int, int] = {}
         for i, doc in enumerate(ids):
             root = trie.find(i)
@@ -330,8 +363,12 @@ def _unit(rows: list[tuple[int, int, np.ndarray]], cross: bool, limits: Limits)
                 yield doc, least[trie.find(i)]
 
 
+def _tokens(col: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in col]
+
+
 def _trie_links(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, ci, cj, chunk, rep, tokens) come sorted by unit; one unit is held at a time."""
+    """Rows (grp, ci, cj, chunk, rep, color, tokens) come sorted by unit; one unit is held at a time."""
     key, rows = None, []
 
     def done() -> pa.RecordBatch:
@@ -342,40 +379,188 @@ def _trie_links(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[p
 
     for batch in batches:
         units = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-        chunks, reps, tokens = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
-        for i, unit in enumerate(units):
+        own = zip(*(batch.column(i).to_pylist() for i in range(3, 6)), _tokens(batch.column(6)), strict=True)
+        for unit, row in zip(units, own, strict=True):
             if unit != key:
                 if rows:
                     yield done()
                 key, rows = unit, []
-            rows.append((chunks[i], reps[i], np.frombuffer(tokens[i].as_buffer(), np.uint64).copy()))
+            rows.append((*row[:3], row[3].copy()))
     if rows:
         yield done()
 
 
-def _bit_rows(ids: DataFrame) -> DataFrame:
-    """The ids (column ``rep``) as a bitmap of fixed size, in rows (w, b) of 32 bits: BLOOM_BITS / 32 rows at most."""
-    spot = f"pmod(rep, {BLOOM_BITS})"
-    bits = ids.selectExpr(f"shiftright({spot}, 5) AS w", f"shiftleft(1L, cast({spot} & 31 AS int)) AS b")
-    return bits.groupBy("w").agg(F.bit_or("b").alias("b"))
+def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, items) as (item, rep, low): the least id of each item, and links of the others to it (low is set)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        found, reps = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((reps, found))
+        found, reps = found[order], reps[order]
+        first = np.concatenate((np.ones(min(1, len(found)), bool), found[1:] != found[:-1]))
+        low = reps[first][np.cumsum(first) - 1] if len(found) else reps
+        src, dst = reps[~first], low[~first]
+        order = np.lexsort((dst, src))
+        src, dst = src[order], dst[order]
+        new = (src != dst) & np.concatenate((np.ones(min(1, len(src)), bool), (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])))
+        src, dst = src[new], dst[new]
+        keys = np.concatenate((found[first], mix(src.astype(np.uint64)).view(np.int64)))
+        lows = pa.array(np.concatenate((reps[first], dst)), mask=np.arange(len(keys)) < first.sum())
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate((reps[first], src))), lows], names=["item", "rep", "low"])
+
+    size = 0
+    for batch in batches:
+        lists = batch.column(1)
+        counts = np.diff(lists.offsets.to_numpy()) if batch.num_rows else np.zeros(0, np.int64)
+        held.append((lists.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column(0).to_numpy(), counts)))
+        size += len(held[-1][0])
+        if size >= STAR_ITEMS:
+            yield flush()
+            size = 0
+    if held:
+        yield flush()
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """The bitmap as an array (a pre-filter only: the join afterwards decides)."""
-    out = np.zeros(BLOOM_BITS // 32, np.int64)
-    for r in _bit_rows(ids).collect():
-        out[r.w] = r.b
-    return out
+def _bits(ids: int) -> int | None:
+    """Size of a bitmap for so many ids; None where it would exceed MAX_BITS."""
+    bits = 1 << max(17, (BITS_PER_ID * ids - 1).bit_length())
+    return bits if bits <= MAX_BITS else None
+
+
+def _bit_rows(ids: DataFrame, bits: int, names: tuple[str, str]) -> DataFrame:
+    """The ids (column ``rep``) as a bitmap, in rows of 32 bits."""
+    spot = f"pmod(rep, {bits})"
+    rows = ids.selectExpr(f"shiftright({spot}, 5) AS {names[0]}", f"shiftleft(1L, cast({spot} & 31 AS int)) AS {names[1]}")
+    return rows.groupBy(names[0]).agg(F.bit_or(names[1]).alias(names[1]))
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table lacks."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _columns(df: DataFrame) -> list:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def _split(rows: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows surely not among ``ids`` (column ``rep``) by their bitmap of fixed size, and those that may be."""
-    spot = f"pmod({id_col}, {BLOOM_BITS})"
-    marked = rows.withColumn("__w", F.expr(f"shiftright({spot}, 5)")).join(
-        F.broadcast(_bit_rows(ids).withColumnsRenamed({"w": "__w", "b": "__b"})), "__w", "left"
-    )
-    maybe = F.expr(f"coalesce((shiftright(__b, cast({spot} & 31 AS int)) & 1) = 1, false)")
-    return marked.where(~maybe).select(*rows.columns), marked.where(maybe).select(*rows.columns)
+    """Rows surely not among ``ids`` (column ``rep``), and those that may be: by a bitmap, all of them where it would grow too large."""
+    bits = _bits(ids.count())
+    if bits is None:
+        return rows.limit(0), rows
+    spot, (w, b) = f"pmod({id_col}, {bits})", (_fresh(rows, "word_"), _fresh(rows, "bits_"))
+    marked = rows.withColumn(w, F.expr(f"shiftright({spot}, 5)")).join(F.broadcast(_bit_rows(ids, bits, (w, b))), w, "left")
+    maybe = F.expr(f"coalesce((shiftright({b}, cast({spot} & 31 AS int)) & 1) = 1, false)")
+    return marked.where(~maybe).select(*_columns(rows)), marked.where(maybe).select(*_columns(rows))
+
+
+def _sets_of(rows: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """rep, digest halves and tokens of the rows (doc_id, text) whose id may be among ``ids`` (rep); others are few or none."""
+    _, maybe = _split(rows, "doc_id", ids)
+    if _bits(ids.count()) is None:  # too many ids for a bitmap: texts meet the ids themselves
+        maybe = rows.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+    def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = token_sets(batch.column(1).to_pylist(), words)
+        halves = [digest(s) for s in sets]
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array([h[0] for h in halves], pa.int64()),
+                pa.array([h[1] for h in halves], pa.int64()),
+                pa.array([s.tobytes() for s in sets], pa.binary()),
+            ],
+            names=["rep", "s1", "s2", "tokens"],
+        )
+
+    return map_texts(maybe.where("doc_id IS NOT NULL"), fetch, "rep long, s1 long, s2 long, tokens binary")
+
+
+_UNIT = ["grp", "ci", "cj", "chunk", "rep", "color", "tokens"]
+_STATE = "rep long, n long, grp long, color long, upper boolean"
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (state, pivot, tokens, its tokens) as (state, pivot, pn, overlap)."""
+    for batch in batches:
+        pns, both = [], []
+        for own, theirs in zip(_tokens(batch.column(6)), _tokens(batch.column(7)), strict=True):
+            at = np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)
+            pns.append(len(theirs))
+            both.append(int(np.count_nonzero(theirs[at] == own)))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:6], pa.array(pns, pa.int64()), pa.array(both, pa.int64())],
+            names=["rep", "n", "grp", "color", "upper", "pivot", "pn", "overlap"],
+        )
+
+
+def _peel(state: DataFrame, sets: DataFrame, limits: Limits, heavy_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the members of heavy groups to pivots, and the rows whose pairs are still open.
+
+    ``color``: a pivot that the row is linked to.  ``upper``: pairs of two such rows are looked at in another group.
+    """
+    num, den = limits.num, limits.den
+    links, done = None, None
+    for turn in range(PIVOTS):
+        sizes = state.groupBy("grp").agg(F.count_if(F.col("color").isNull()).alias("open"))
+        rest = state.join(sizes.where(F.col("open") <= heavy_rows).select("grp"), "grp").select(*state.columns)
+        done = rest if done is None else done.unionByName(rest)
+        state = state.join(sizes.where(F.col("open") > heavy_rows).select("grp"), "grp").select(*state.columns)
+        if state.isEmpty():
+            return links, done
+        pivots = state.where("color IS NULL").groupBy("grp").agg(F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("pivot"))
+        theirs = pivots.join(sets, F.col("pivot") == F.col("rep")).groupBy("grp", "pivot").agg(F.first("tokens").alias("p_tokens"))
+        measured = (
+            state.join(sets, "rep").join(theirs, "grp").select(*state.columns, "pivot", "tokens", "p_tokens")
+            .mapInArrow(_overlaps, f"{_STATE}, pivot long, pn long, overlap long")
+        )
+        union = F.expr("n + pn - overlap")
+        measured = measured.withColumn("linked", F.lit(num) * union <= F.lit(den) * F.col("overlap")).withColumn(
+            "ring", F.expr(f"((n + pn - 2 * overlap) * {den}L) DIV ((n + pn - overlap) * {den - num}L)") if den > num else F.when(F.col("linked"), 0).otherwise(2).cast("long")
+        )
+        measured = materialize(measured.drop("pn", "overlap"), "rings")
+        new = measured.where("linked AND rep <> pivot").select(F.col("rep").alias("src"), F.col("pivot").alias("dst"))
+        links = new if links is None else links.unionByName(new)
+        near = F.filter(F.array(F.col("ring") - 1, F.col("ring")), lambda g: g >= 0)
+        parts = measured.select("grp", F.explode(near).alias("g")).groupBy("grp", "g").count()
+        gain = measured.groupBy("grp").agg(F.count("*").alias("all"), F.count_if("linked").alias("got")).join(
+            parts.groupBy("grp").agg(F.max("count").alias("most")), "grp"
+        )
+        d = measured.join(gain, "grp").withColumn("color", F.coalesce("color", F.when(F.col("linked"), F.col("pivot"))))
+        split = F.col("most") * 2 <= F.col("all")
+        cut = d.where(split).withColumn("g", F.explode(near)).select(
+            "rep", "n", F.xxhash64("grp", "g", F.lit(turn)).alias("grp"), "color", (F.col("ring") > F.col("g")).alias("upper")
+        )
+        whole = d.where(~split)
+        again = F.col("got") * 4 >= F.col("all")
+        done = done.unionByName(whole.where(~again).select(*state.columns))
+        state = materialize(cut.unionByName(whole.where(again).select(*state.columns)), "peeled")
+    return links, done.unionByName(state)
+
+
+def _units(state: DataFrame, chunk_bytes: int) -> DataFrame:
+    """rep, color and the units (grp, ci, cj, chunk) of the rows with open pairs, each unit a pair of bounded chunks."""
+    kind = F.xxhash64("color", "upper")
+    many = F.greatest(F.ceil(F.count("*") / F.lit(CHUNK_ROWS)), F.ceil(F.sum("n") * 8 / F.lit(chunk_bytes)))
+    parts = state.groupBy("grp", kind.alias("kind")).agg(F.first("color").alias("color"), F.first("upper").alias("upper"), many.cast("long").alias("chunks"))
+    # at most two parts for each pivot of a group and two without
+    plan = parts.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("kind", F.col("color").alias("c"), F.col("upper").alias("u"), "chunks"))).alias("plan"))
+    d = state.withColumn("kind", kind).join(plan, "grp")
+    d = d.withColumn("at", F.array_position(F.transform("plan", lambda x: x["kind"]), F.col("kind")).cast("int"))
+    wide = F.lit(1 << 32)
+    own = F.col("at") * wide + F.pmod(F.xxhash64("rep"), F.element_at("plan", F.col("at"))["chunks"])
+
+    def chunks(x, i):
+        known = (x["u"] & F.col("upper")) | F.coalesce(x["c"] == F.col("color"), F.lit(False))
+        return F.when(known, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), x["chunks"] - 1), lambda s: (i + 1) * wide + s))
+
+    d = d.withColumn("chunk", own).withColumn("other", F.explode(F.flatten(F.transform("plan", chunks))))
+    return d.select("rep", "color", "grp", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk")
 
 
 def similar_documents(
@@ -386,10 +571,10 @@ def similar_documents(
     words: int = 5,
     threshold: float | Fraction = Fraction(4, 5),
     chunk_bytes: int = CHUNK_BYTES,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id reachable by links)."""
     limits = Limits(threshold)
-    spark = documents.sparkSession
     sig = materialize(signatures(documents, id_col=id_col, text_col=text_col, words=words, limits=limits), "sig")
     classes = materialize(
         sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes"
@@ -399,46 +584,33 @@ def similar_documents(
     copies = materialize(known.where("doc_id > rep").select(F.col("doc_id").alias("rep")).distinct(), "equal")
     # Item lists move only for rows in the bitmap of the ids that equal sets make superfluous.
     sure, maybe = _split(sig.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "s1", "s2", "items"), "doc_id", copies)
-    blocks = sure.unionByName(maybe.join(reps, ["doc_id", "s1", "s2"], "left_semi")).select(
-        F.explode("items").alias("item"), F.col("doc_id").alias("rep")
+    stars = sure.unionByName(maybe.join(reps, ["doc_id", "s1", "s2"], "left_semi")).select("doc_id", "items").mapInArrow(
+        _star_rows, "item long, rep long, low long"
     )
-    lowest = F.min("rep").over(Window.partitionBy("item"))
-    near = blocks.withColumn("low", lowest).where("low < rep").select(F.col("rep").alias("src"), F.col("low").alias("dst"))
-    clusters = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    lowest = F.coalesce("low", F.min("rep").over(Window.partitionBy("item")))
+    near = stars.select(F.col("rep").alias("src"), lowest.alias("dst")).where("dst < src")
+    clusters = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     clusters = materialize(clusters.join(classes, "rep"), "clusters")
 
-    total = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / F.lit(chunk_bytes)).cast("int").alias("chunks"))
-    # Everything about a place is joined while rows are narrow: sets move once to their place and once to their units.
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    places = materialize(clusters.drop("n").join(total, "cluster").withColumn("chunk", own), "places")
-    wanted = spark.sparkContext.broadcast(_bitmap(clusters))
-
-    def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spot = np.asarray(batch.column(0).fill_null(0)).astype(np.int64) % BLOOM_BITS
-        known = (wanted.value[spot >> 5] >> (spot & 31)) & 1 == 1
-        part = batch.filter(pa.array(known & np.asarray(batch.column(0).is_valid())))
-        sets = token_sets(part.column(1).to_pylist(), words) if part.num_rows else []
-        halves = [digest(s) for s in sets]
-        return pa.RecordBatch.from_arrays(
-            [
-                part.column(0),
-                pa.array([h[0] for h in halves], pa.int64()),
-                pa.array([h[1] for h in halves], pa.int64()),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
-            ],
-            names=["rep", "s1", "s2", "tokens"],
-        )
-
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = map_texts(rows, fetch, "rep long, s1 long, s2 long, tokens binary").join(places, ["rep", "s1", "s2"])
-    units = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "cluster", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "rep", "tokens"
-    )
+    sizes = clusters.groupBy("grp").agg(((F.count("*") > heavy_rows) | (F.sum("n") * 8 > chunk_bytes)).alias("heavy"))
+    marked = materialize(clusters.join(sizes, "grp"), "marked")
+    light, heavy = marked.where("NOT heavy"), marked.where("heavy")
+    units = light.select("rep", "s1", "s2", F.lit(None).cast("long").alias("color"), "grp", *[F.lit(0).cast("long").alias(c) for c in ("ci", "cj", "chunk")])
+    sets = _sets_of(rows, light, words).join(units, ["rep", "s1", "s2"]).select(*_UNIT)
+    known = None
+    if not heavy.isEmpty():
+        large = materialize(_sets_of(rows, heavy, words).join(heavy.select("rep", "s1", "s2"), ["rep", "s1", "s2"]).select("rep", "tokens"), "sets")
+        state = heavy.select("rep", "n", "grp", F.lit(None).cast("long").alias("color"), F.lit(False).alias("upper"))
+        known, state = _peel(state, large, limits, heavy_rows)
+        sets = sets.unionByName(_units(state, chunk_bytes).join(large, "rep").select(*_UNIT))
     links = (
-        units.repartition("cluster", "ci", "cj")
-        .sortWithinPartitions("cluster", "ci", "cj")
+        sets.repartition("grp", "ci", "cj")
+        .sortWithinPartitions("grp", "ci", "cj")
         .mapInArrow(lambda b: _trie_links(b, limits), "src long, dst long")
     )
+    if known is not None:
+        links = links.unionByName(known)
     found = connected_components(links).select(F.col("node").alias("rep"), "component")
     named = classes.select("s1", "s2", "rep").join(found, "rep", "left").select(
         "s1", "s2", F.coalesce("component", "rep").alias("component")
@@ -457,5 +629,6 @@ def keep_one(documents: DataFrame, *, words: int = 5, threshold: float | Fractio
     copies = materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias("rep")).distinct(), "copies")
     # Documents outside the bitmap of the removed ids surely stay and aren't shuffled; the others meet the ids themselves.
     sure, rest = _split(documents, "doc_id", copies)
-    gone = copies.withColumnRenamed("rep", "__gone")
-    return sure.unionByName(rest.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti"))
+    gone = _fresh(documents, "gone_")
+    left = rest.join(copies.withColumnRenamed("rep", gone), F.col("doc_id") == F.col(gone), "left_anti")
+    return sure.unionByName(left)
