@@ -53,3 +53,32 @@ def with_halo(df: DataFrame, back: int, *, ts: str = "ts", secs: int | None = No
     first, last = slice_of(ts, secs), slice_of(F.col(ts) + back, secs)
     d = df.withColumn("slice", F.explode(F.sequence(first, last)))
     return d.withColumn("own", F.col("slice") == first)
+
+
+def with_index(df: DataFrame, by: list[str], name: str = "idx", *, ts: str = "ts", seq: str = "seq", secs: int = SLICE_SECS) -> DataFrame:
+    """Adds the row's place in its key by (ts, seq), from 0."""
+    d = with_running(df, by, {name: F.lit(1).cast("bigint")}, ts=ts, seq=seq, secs=secs)
+    return d.withColumn(name, (F.col(name) - 1).cast("bigint"))
+
+
+def with_row_halo(
+    df: DataFrame, by: list[str], back: int, fore: int = 0, *, ts: str = "ts", seq: str = "seq", secs: int = SLICE_SECS, rows: int = 16_384
+) -> DataFrame:
+    """Adds ``idx``, ``slice`` and ``own``: slices of rows of equal size, each with copies of ``back`` rows before it and ``fore`` rows after it.
+
+    Windows of rows over (by..., slice) ordered by ``idx`` are exact for the rows that a slice owns.
+    """
+    size = max(rows, 8 * (back + fore))
+    d = df if "idx" in df.columns else with_index(df, by, ts=ts, seq=seq, secs=secs)
+    first, last = F.floor((F.col("idx") - fore) / size), F.floor((F.col("idx") + back) / size)
+    d = d.withColumn("slice", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    return d.withColumn("own", F.col("slice") == F.floor(F.col("idx") / size))
+
+
+def lags(df: DataFrame, by: list[str], columns: dict[str, tuple[str | Column, int]], *, ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """Adds {name: (column, k)}: the value k rows before (after, if k is negative) in the key by (ts, seq)."""
+    ks = [k for _, k in columns.values()] or [0]
+    d = with_row_halo(df, by, max(0, *ks) if len(ks) > 1 else max(0, ks[0]), max(0, -min(ks)), ts=ts, seq=seq)
+    w = Window.partitionBy(*by, "slice").orderBy("idx")
+    d = d.withColumns({n: F.lag(c, k).over(w) for n, (c, k) in columns.items()})
+    return d.where("own").select(*df.columns, *columns)
