@@ -6,10 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, urlfilter, warc
-from tidemark.llm.components import connected_components
+from tidemark.operators.components import connected_components
 from tidemark.llm.queries import URL_RULES
 
 
@@ -91,6 +92,46 @@ def test_warc_false_magic_inside_a_member(spark, tmp_path):
     assert got == list(range(1, 8))
 
 
+def test_warc_archives_named_gz_and_foreign_records(spark, tmp_path):
+    path = tmp_path / "gz"
+    path.mkdir()
+    other = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\ninfo\r\n\r\n"
+    foreign = b"WARC/1.0\r\nwarc-type: response\r\nWARC-Record-ID: <urn:uuid:5>\r\nContent-Length: 21\r\n\r\nHTTP/1.0 200 OK\r\n\r\nab\r\n\r\n"
+    for n in (1, 2):
+        records = [other, *[warc._record(10 * n + i, "u", b"page %d" % i, None) for i in range(5)], foreign]
+        (path / f"a{n}.warc.gz").write_bytes(b"".join(map(warc._member, records)))
+    got = warc.read_archives(spark, str(path)).collect()
+    assert sorted(r.page_id for r in got if r.page_id) == [*range(10, 15), *range(20, 25)]
+    assert [(r.record_id, r.payload, r.payload_bytes, r.payload_digest) for r in got if not r.page_id] == [("<urn:uuid:5>", bytearray(b"ab"), 2, None)] * 2
+
+
+def test_warc_magic_in_the_first_bytes_of_a_member(spark, tmp_path):
+    """A member whose header's extra field holds the magic is found after the one before it."""
+    def member(data):
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = packer.compress(data) + packer.flush()
+        extra = b"AB\x03\x00" + warc.MAGIC
+        return warc.MAGIC + b"\x04" + bytes(6) + len(extra).to_bytes(2, "little") + extra + body + zlib.crc32(data).to_bytes(4, "little") + len(data).to_bytes(4, "little")
+
+    path = tmp_path / "m"
+    path.mkdir()
+    kinds = [warc._member, member, member, warc._member, member]
+    (path / "x.warc").write_bytes(b"".join(k(warc._record(i, "u", b"body %d" % i, None)) for i, k in enumerate(kinds)))
+    assert sorted(r.page_id for r in warc.read_archives(spark, str(path)).collect()) == list(range(5))
+
+
+def test_warc_broken_members_are_reported(spark, tmp_path):
+    whole = [warc._member(warc._record(i, "u", b"body %d" % i, None)) for i in range(4)]
+    for name, data in (("cut", whole[0] + whole[1][:-20] + whole[2]), ("end", whole[0] + whole[2] + whole[1][:-9]), ("plain", warc._record(1, "u", b"x", None) + whole[0] + whole[2])):
+        path = tmp_path / name
+        path.mkdir()
+        (path / "x.warc").write_bytes(data)
+        with pytest.raises(Exception, match="no complete gzip member"):
+            warc.read_archives(spark, str(path)).collect()
+        got = warc.read_archives(spark, str(path), on_broken="keep").collect()
+        assert sorted(r.page_id for r in got if r.warc_type != "broken") == [0, 2] and sum(r.warc_type == "broken" for r in got) == 1, name
+
+
 def vectors(n, dim, seed):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((10, dim))

@@ -14,6 +14,8 @@ def test_all_mentions_of_a_person_are_replaced(spark, monkeypatch):
         (3, "Call +44 20 7946 0958 or +49 30 123456-78 or (415) 555-2485 now."),
         (4, "Mr Smith wrote."),
         (5, "John Smith has no title here."),
+        (6, "Dr. Maria Keller and Keller's aide wrote to Ken Ashford."),
+        (7, "Joe.Doe+x1@Mail.Acme.org, joe.doe+x1@mail.acme.org and ab@acme.org"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     by = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
@@ -22,7 +24,32 @@ def test_all_mentions_of_a_person_are_replaced(spark, monkeypatch):
     assert f"Later {smith} said that {john} was" in by[1].text and by[4].text == f"Mr {smith} wrote."
     assert not re.search("Donald|Jean|Luc|Picard|John|Paul|Jones|Neumann", by[2].text) and "Herr Prof. von " in by[2].text
     assert "7946" not in by[3].text and "123456" not in by[3].text and "555-2485" not in by[3].text and by[3].n_entities == 3
-    assert by[5].text == rows[4][1]
+    assert re.fullmatch(r"\w+on \w+on has no title here\.", by[5].text) and by[5].text.startswith(f"{john} {smith} ")
+    assert re.fullmatch(r"Dr\. \w+ina (\w+ina) and \1's aide wrote to Ken Ashford\.", by[6].text)
+    first, second, third = re.split(r", | and ", by[7].text)
+    assert first.lower() == second and re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}\+[a-z][0-9]@[a-z]{10}\.example\.org", first) and len(third.split("@")[0]) == 8
+
+
+def test_surrogates_avoid_originals(spark):
+    """A number whose permuted form is somebody's real one gets another surrogate; two writings of it stay one."""
+    one = "988-555-2485"
+    taken = spark.range(1).select(pii.surrogate(F.lit(one), "k").alias("s")).first().s
+    df = spark.createDataFrame([(1, f"call {one} or (988) 555-2485"), (2, f"call {taken}")], "doc_id long, text string")
+    by = {r.doc_id: r.text for r in pii.pseudonymise(df, "k").collect()}
+    a, b = re.match(r"call (\S+) or \((\d{3})\) ", by[1])[1], re.sub(r"\D", "", by[1].split(" or ")[1])
+    assert a not in (one, taken) and re.sub(r"\D", "", a) == b and by[2] != f"call {a}"
+
+
+def test_mentions_of_one_word_stay_one(spark):
+    rows = [(1, "Mr John Smith came."), (4, "Mr Smith wrote.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {r.doc_id: r.text for r in pii.pseudonymise(df, "k").collect()}
+    assert by[1].split()[2] == by[4].split()[1]
+
+
+def test_a_second_surrogate_is_used_everywhere(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Mr John Smith came. Later Smith said that John was late."), (4, "Mr Smith wrote.")], "doc_id long, text string")
+    john = pii.pseudonymise(df, "k").where("doc_id = 1").first().text.split()[1]
     again = spark.createDataFrame([("Mr Smith", "Mr Other")], "original string, surrogate string")
     monkeypatch.setattr(pii, "second_surrogates", lambda found, key: again)
     by = {r.doc_id: r.text for r in pii.pseudonymise(df.where(F.col("doc_id").isin(1, 4)), "k").collect()}

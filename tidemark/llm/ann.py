@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
 Coarse centroids and residual codebooks are fitted on a bounded, deterministic sample
-(``max_sample`` rows of the smallest id hashes); every valid row is indexed.  The number of
+(``max_sample`` rows of the smallest id hashes); every valid row is indexed.  The number of cells grows with the
+square root of the table: beyond what the sample can fit one by one, cells are sums of a coarse centroid and
+a centroid of the residuals.  The number of
 cells to probe is calibrated on the sample: queries of the sample probe ever more cells until
-``target_recall`` of their true neighbours lie in them.
+``target_recall`` of their true neighbours lie in them; a query whose cells hold too few rows probes on.
 
 Rows are grouped by (cell, salt); a cell's rows are spread over as many salts as its count
 asks for, so a hot cell never is one task.  Each query visits its probed cells.  In a group, distance
@@ -29,10 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_SAMPLE = 20_000
-GROUP_ROWS = 4_096
+GROUP_ROWS = 16_384
+MAX_FINE = 256
 QUERY_BLOCK = 64
 TARGET_RECALL = 0.97
 CODES = 256
+BLOCK_FLOATS = 1 << 22
 # Fixed value: relative room for rounding, far above that of double precision.
 SLACK = 1e-9
 
@@ -51,7 +55,18 @@ class Index:
         return self.centroids.shape[1]
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return _distances(x, self.centroids).argmin(axis=1)
+        step = max(1, BLOCK_FLOATS // len(self.centroids))
+        return np.concatenate([_distances(x[i : i + step], self.centroids).argmin(axis=1) for i in range(0, len(x), step)])
+
+    def visits(self, x: np.ndarray, sizes: np.ndarray, k: int) -> list[np.ndarray]:
+        """The cells that each vector looks at: ``probes`` of them, and further ones until they hold more than k rows."""
+        out = []
+        step = max(1, BLOCK_FLOATS // len(self.centroids))
+        for i in range(0, len(x), step):
+            order = np.argsort(_distances(x[i : i + step], self.centroids), axis=1, kind="stable")
+            enough = (np.cumsum(sizes[order], axis=1) <= k).sum(axis=1) + 1
+            out += [o[: max(self.probes, n)] for o, n in zip(order, enough.tolist(), strict=True)]
+        return out
 
     def codes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         rest = x - self.centroids[cell]
@@ -97,8 +112,13 @@ def fit(vectors: DataFrame, *, cells: int | None = None, parts: int = 16, k: int
         return None
     dim = min(Counter(map(len, rows)).items(), key=lambda x: (-x[1], x[0]))[0]
     x = np.array([r for r in rows if len(r) == dim], np.float32)
-    cells = cells or int(np.clip(round(np.sqrt(n) / 2), 1, max(1, len(x) // 40)))
-    centroids = _kmeans(x, cells, 1)
+    wanted = cells or max(1, round(np.sqrt(n) / 2))
+    coarse = min(wanted, max(1, len(x) // 40))
+    centroids = _kmeans(x, coarse, 1)
+    fine = min(MAX_FINE, -(-wanted // coarse))
+    if fine > 1:
+        near = _distances(x, centroids).argmin(axis=1)
+        centroids = (centroids[:, None] + _kmeans(x - centroids[near], fine, 3)[None]).reshape(-1, dim)
     near = _distances(x, centroids).argmin(axis=1)
     rest = x - centroids[near]
     bounds = np.linspace(0, dim, min(parts, dim) + 1).astype(int)
@@ -210,14 +230,18 @@ def search(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1), shared.value.dim).astype(np.float32)
-            order = np.argsort(_distances(x, shared.value.centroids), axis=1, kind="stable")[:, : shared.value.probes]
-            rows = np.repeat(np.arange(len(x)), order.shape[1])
-            taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(order.ravel(), pa.int64())], names=["query_id", "vec", "cell"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = shared.value.visits(_matrix(part.column(1), shared.value.dim).astype(np.float32), held.value, k)
+                taken = part.take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(found), pa.int64())], names=["query_id", "vec", "cell"])
 
     indexed = valid.mapInArrow(assign, "vec_id long, vec array<double>, cell long, codes binary")
     sizes = indexed.groupBy("cell").count().collect()  # one row per cell
+    filled = np.zeros(len(index.centroids), np.int64)
+    for r in sizes:
+        filled[r["cell"]] = r["count"]
+    held = spark.sparkContext.broadcast(filled)
     salts = spark.createDataFrame(
         [(r["cell"], -(-r["count"] // GROUP_ROWS)) for r in sizes] or [(0, 1)], "cell long, salts long"
     )

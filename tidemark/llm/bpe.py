@@ -40,6 +40,7 @@ CHUNK_CHARS = 1 << 20
 MANY_LETTERS = 64
 _NONE = np.int64(1 << 40)
 _SPACES = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+_WHITE = re.compile(r"[\t\n\x0b\x0c\r ]")
 _BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
 _loaded: dict[str, WordBpe] = {}
 
@@ -69,11 +70,38 @@ def _word_pattern(letter: str, digit: str) -> regex.Pattern:
     return regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|[^{_SPACES}{letter}{digit}]+", regex.V1)
 
 
+# The parts of a tokenizer file that the code below carries out; files with others are refused.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+PLAIN_SPECIAL = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+
+
+def check_supported(spec: dict) -> None:
+    """Raises for a tokenizer file that asks for anything else than what this module does."""
+    wanted = {"normalizer": NORMALIZER, "pre_tokenizer": PRE_TOKENIZER, "decoder": None}
+    wrong = [k for k, v in wanted.items() if spec.get(k) != v]
+    wrong += [f"model.{k}" for k, v in PLAIN_MODEL.items() if spec["model"].get(k, v) != v]
+    wrong += [f"added token {t['content']!r}" for t in spec["added_tokens"] if any(t.get(k) != v for k, v in PLAIN_SPECIAL.items())]
+    if wrong:
+        raise ValueError(f"tokenizer file asks for what isn't carried out here: {', '.join(wrong)}")
+
+
 class WordBpe:
     """A word-level byte BPE with an end-of-word suffix, from a tokenizer file's JSON text."""
 
     def __init__(self, source: str):
         spec = json.loads(source)
+        check_supported(spec)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -207,8 +235,8 @@ class WordBpe:
         while at < len(text):
             stop = len(text)
             if stop - at > CHUNK_CHARS:
-                cut = text.find(" ", at + CHUNK_CHARS)
-                stop = cut + 1 if cut >= 0 else stop
+                cut = _WHITE.search(text, at + CHUNK_CHARS)
+                stop = cut.end() if cut else stop
             part = text[at:stop]
             at = stop
             split = self._specials.split(part) if self._specials and any(s in part for s in self.special) else [part]

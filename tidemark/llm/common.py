@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: scratch tables, Arrow batches, word hashes.
+"""Helpers shared by the operators: Arrow batches, word hashes.
 
 Word hashes are computed with numpy over whole byte buffers, so no Python object
 exists per word.  A hash is a random-table polynomial modulo 2**64 followed by a
@@ -7,32 +7,17 @@ bit mixer; equal words always get equal hashes in every task.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 SEGMENT_BYTES = 1 << 20
 SUB_BATCH_ROWS = 256
 SUB_BATCH_CHARS = 4 << 20
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir`` (a temporary one where that is unset)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/tidemark-scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """``mapInArrow`` that hands ``fn`` small slices, bounded by rows and by characters."""
 

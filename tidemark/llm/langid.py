@@ -10,7 +10,11 @@ compute the best score from every first to every last language at once, chunks a
 and then all chunks are traced back at once.
 
 Training counts trigrams of labelled rows; ``max_train`` bounds the sample (rows of the
-smallest hashes of the id), tables have ``BUCKETS`` rows whatever the corpus.
+smallest hashes of the id): each language has its share of it, rare ones at least the
+``RARE``-th part of an equal share, and all their rows where they have fewer.  Tables have ``BUCKETS`` rows whatever the corpus.
+
+Scores are held for about ``BLOCK_FLOATS`` words x languages at a time; longer texts
+are passed segment by segment, forwards for the best scores and backwards for the labels.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0; ties go to the language
 with more training letters, then by name; null ids and repeated rows keep their rows; without any
@@ -19,6 +23,8 @@ labelled row all is ``und``; very long texts are read whole in segments; other c
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +40,9 @@ MAX_LANGUAGES = 256
 SWITCH = 6.0
 MIN_SCORE = 0.35
 CHUNK = 64
+RARE = 4
+HASHES = 1 << 40
+BLOCK_FLOATS = 1 << 24
 SEGMENT_CHARS = 1 << 20
 _FAR = np.float32(-1e9)
 
@@ -50,6 +59,7 @@ _STARTS = np.array([s for s, _ in SCRIPTS])
 _NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT_OF = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 _letters: list[np.ndarray] = []
+_NO_LETTER = re.compile(r"[\W\d_]")
 
 
 def _is_letter() -> np.ndarray:
@@ -76,8 +86,8 @@ def _segments(text: str):
     while at < len(text):
         stop = len(text)
         if stop - at > SEGMENT_CHARS:
-            cut = text.find(" ", at + SEGMENT_CHARS)
-            stop = cut + 1 if cut >= 0 else stop
+            cut = _NO_LETTER.search(text, at + SEGMENT_CHARS)
+            stop = cut.end() if cut else stop
         yield at, text[at:stop]
         at = stop
 
@@ -106,8 +116,10 @@ def train(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = [r["lang"] for r in sizes]
-    share = min(1.0, max_train / max(1, sum(r["count"] for r in sizes)))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    everything, least = sum(r["count"] for r in sizes), max_train / (RARE * max(1, len(sizes)))
+    bars = [math.ceil(min(1.0, max(max_train * r["count"] / everything, least) / r["count"]) * HASHES) for r in sizes]
+    bar = F.element_at(F.create_map(*[F.lit(x) for pair in zip(languages, bars, strict=True) for x in pair]), F.col("lang")) if sizes else F.lit(0)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < bar)
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches):
@@ -152,7 +164,9 @@ def word_scores(text: str, model: Model) -> tuple[np.ndarray, np.ndarray, np.nda
         if not len(at):
             continue
         first = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
-        own = np.add.reduceat(model.weight[bucket], first, axis=0)
+        step = max(1, BLOCK_FLOATS // (8 * max(1, len(model.languages))))  # words at a time
+        ends = np.append(first[1:], len(bucket))
+        own = np.concatenate([np.add.reduceat(model.weight[bucket[first[i] : ends[min(len(first), i + step) - 1]]], first[i : i + step] - first[i], axis=0) for i in range(0, len(first), step)])
         fits = model.allowed[_scripts(codes[at[first]])]
         own = np.where(fits, own, np.where(fits.any(axis=1, keepdims=True), np.float32(-60), np.float32(0)))
         starts.append(at[first] + offset)
@@ -163,11 +177,17 @@ def word_scores(text: str, model: Model) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate(starts), np.concatenate(sizes), np.concatenate(scores)
 
 
-def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
-    """Best label of each word of each text: sum of scores less ``switch`` for each change of label."""
+def viterbi(
+    scores: list[np.ndarray], switch: float = SWITCH, starts: list[np.ndarray] | None = None, ends: list[int] | None = None
+) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Best label of each word of each text: sum of scores less ``switch`` for each change of label.
+
+    ``starts``: scores of the languages before the first word; ``ends``: labels of the last word.  Also returned:
+    the best score for each language of the last word, and the language before the first one.
+    """
     lengths = np.array([len(s) for s in scores])
     if not lengths.sum():
-        return [np.zeros(0, np.int64) for _ in scores]
+        return [np.zeros(0, np.int64) for _ in scores], np.zeros((len(scores), 0), np.float32), np.zeros(len(scores), np.int64)
     n_lang = scores[0].shape[1]
     chunks = -(-lengths // CHUNK)
     first = np.concatenate(([0], np.cumsum(chunks)))
@@ -175,6 +195,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     flat = padded.reshape(-1, n_lang)
     for i, s in enumerate(scores):
         flat[first[i] * CHUNK : first[i] * CHUNK + len(s)] = s
+    total = np.zeros((len(scores), n_lang), np.float32) if starts is None else np.array(starts, np.float32)
     # 1. best score from each language before the chunk to each one after it
     best = np.full((first[-1], n_lang, n_lang), _FAR, np.float32)
     best[:, np.arange(n_lang), np.arange(n_lang)] = 0
@@ -183,13 +204,12 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     # 2. chain the chunks of each text, all texts at once
     entry = np.zeros(first[-1], np.int64)
     came = np.zeros((first[-1], n_lang), np.int64)
-    total = np.zeros((len(scores), n_lang), np.float32)
     for k in range(int(chunks.max())):
         live = np.flatnonzero(chunks > k)
         step = total[live][:, :, None] + best[first[live] + k]
         came[first[live] + k] = step.argmax(axis=1)
         total[live] = step.max(axis=1)
-    state = total.argmax(axis=1)
+    state = total.argmax(axis=1) if ends is None else np.array(ends, np.int64)
     leave = np.zeros(first[-1], np.int64)
     for k in range(int(chunks.max()) - 1, -1, -1):
         live = np.flatnonzero(chunks > k)
@@ -214,15 +234,80 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
         labels[:, t] = now
         now = back[t][rows, now].astype(np.int64)
     flat_labels = labels.reshape(-1)
-    return [flat_labels[first[i] * CHUNK : first[i] * CHUNK + n] for i, n in enumerate(lengths.tolist())]
+    return [flat_labels[first[i] * CHUNK : first[i] * CHUNK + n] for i, n in enumerate(lengths.tolist())], total, state
+
+
+def _block_words(languages: int) -> int:
+    """Words whose tables of words x languages, and chunks x languages x languages, stay bounded."""
+    return max(CHUNK, BLOCK_FLOATS // (languages * max(1, -(-languages // CHUNK))))
+
+
+def _long_labels(scores: np.ndarray, switch: float, block: int, start: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """``viterbi`` of one text in blocks of words: forwards for the scores at the cuts, then backwards for the labels."""
+    cuts = list(range(0, len(scores), block))
+    before = [start]
+    for at in cuts:
+        before.append(viterbi([scores[at : at + block]], switch, [before[-1]])[1][0])
+    state = int(before[-1].argmax()) if end is None else end
+    labels = []
+    for at, first in zip(cuts[::-1], before[-2::-1], strict=True):
+        got, _, entry = viterbi([scores[at : at + block]], switch, [first], [state])
+        labels.append(got[0])
+        state = int(entry[0])
+    return np.concatenate(labels[::-1]), before[-1], state
+
+
+def _whole_text(text: str, model: Model, switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, sizes and labels of a text of many segments; scores are made twice and held for one segment."""
+    block = _block_words(len(model.languages))
+    parts, before = [], [np.zeros(len(model.languages), np.float32)]
+    for offset, piece in _segments(text):
+        starts, sizes, scores = word_scores(piece, model)
+        if not len(scores):
+            continue
+        parts.append((piece, starts + offset, sizes))
+        for at in range(0, len(scores), block):
+            last = viterbi([scores[at : at + block]], switch, [last if at else before[-1]])[1][0]
+        before.append(last)
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    state, labels = int(before[-1].argmax()), []
+    for (piece, _, _), first in zip(parts[::-1], before[-2::-1], strict=True):
+        got, _, state = _long_labels(word_scores(piece, model)[2], switch, block, first, state)
+        labels.append(got)
+    return np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), np.concatenate(labels[::-1])
 
 
 def _labelled(texts: list, model: Model, switch: float):
-    words = [word_scores(t or "", model) for t in texts]
     if not model.languages:
+        words = [word_scores(t or "", model) for t in texts]
         return [(s, n, np.zeros(0, np.int64)) for s, n, _ in words]
-    out = viterbi([w[2] for w in words], switch)
-    return [(w[0], w[1], labels) for w, labels in zip(words, out, strict=True)]
+    block = _block_words(len(model.languages))
+    out: list = [None] * len(texts)
+    waiting: list[tuple[int, tuple]] = []
+
+    def flush() -> None:
+        for (i, w), labels in zip(waiting, viterbi([w[2] for _, w in waiting], switch)[0], strict=True):
+            out[i] = (w[0], w[1], labels)
+        waiting.clear()
+
+    held = 0
+    for i, text in enumerate(texts):
+        if text and len(text) > SEGMENT_CHARS:
+            out[i] = _whole_text(text, model, switch)
+            continue
+        w = word_scores(text or "", model)
+        if len(w[2]) > block:
+            out[i] = (w[0], w[1], _long_labels(w[2], switch, block, np.zeros(len(model.languages), np.float32), None)[0])
+            continue
+        waiting.append((i, w))
+        held += len(w[2]) + CHUNK
+        if held > block:
+            flush()
+            held = 0
+    if waiting:
+        flush()
+    return out
 
 
 def document_language(sizes: np.ndarray, labels: np.ndarray, model: Model) -> tuple[str, float]:

@@ -45,8 +45,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hash_words, map_texts, materialize, mix, shingle_hashes, slices, utf8
-from tidemark.llm.components import connected_components
+from tidemark.llm.common import hash_words, map_texts, mix, shingle_hashes, slices, utf8
+from tidemark.sources.scratch import materialize
+from tidemark.operators.components import connected_components
 
 CHUNK_BYTES = 16 << 20
 CHUNK_ROWS = 4_096

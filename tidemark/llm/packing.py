@@ -6,7 +6,10 @@ boundaries with the least padding.  Inside each bucket, rows are dealt to shards
 bounded size (their number follows the bucket's count), and batches of ``budget // boundary``
 rows are numbered within each shard: no bucket is ever ranked by one task.
 
-Defined cases: null texts and texts without tokens are one piece of length 0; null ids and
+Lengths are words, or the numbers of ``length_col`` where the caller has token counts (those of an encoder's ids, say);
+every row names the range of its text's tokens that it holds.
+
+Defined cases: null lengths count as 0, negative ones too; null texts and texts without tokens are one piece of length 0; null ids and
 repeated rows are packed like others; ties in a shard are broken by id and piece; other columns
 are ignored; an empty table gives an empty result.
 """
@@ -17,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.sources.scratch import materialize
 
 MAX_LEN = 2048
 BUCKETS = 8
@@ -55,9 +58,10 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list
     return bounds[::-1]
 
 
-def pieces(documents: DataFrame, *, id_col: str, text_col: str, max_len: int) -> DataFrame:
-    """doc_id, piece, n_tokens: words of each text, cut every ``max_len``."""
-    n = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+def pieces(documents: DataFrame, *, id_col: str, text_col: str, max_len: int, length_col: str | None = None) -> DataFrame:
+    """doc_id, piece, n_tokens: tokens of each text, cut every ``max_len``."""
+    counted = F.col(length_col) if length_col else F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))
+    n = F.greatest(F.coalesce(counted.cast("long"), F.lit(0)), F.lit(0)).cast("long")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n"))
     last = F.greatest(F.ceil(F.col("n") / max_len), F.lit(1)) - 1
     return rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
@@ -73,12 +77,13 @@ def pack(
     max_len: int = MAX_LEN,
     buckets: int = BUCKETS,
     budget: int = BUDGET,
+    length_col: str | None = None,
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, n_tokens, bucket (from 0), bucket_len, batch_id."""
+    """One row per piece: doc_id, piece, n_tokens, bucket (from 0), bucket_len, batch_id, token_start, token_end (exclusive)."""
     if budget < max_len:
         raise ValueError("the budget must hold the longest piece")
     spark = documents.sparkSession
-    rows = materialize(pieces(documents, id_col=id_col, text_col=text_col, max_len=max_len), "pieces")
+    rows = materialize(pieces(documents, id_col=id_col, text_col=text_col, max_len=max_len, length_col=length_col), "pieces")
     hist = rows.groupBy("n_tokens").count().collect()  # at most max_len + 1 rows
     lengths = np.array([r["n_tokens"] for r in hist], np.int64)
     counts = np.array([r["count"] for r in hist], np.int64)
@@ -98,5 +103,6 @@ def pack(
     order = Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece")
     place_in = F.floor((F.row_number().over(order) - 1) / F.col("per"))
     return dealt.select(
-        "doc_id", "piece", "n_tokens", "bucket", "bucket_len", F.concat_ws("-", "bucket", "shard", place_in).alias("batch_id")
+        "doc_id", "piece", "n_tokens", "bucket", "bucket_len", F.concat_ws("-", "bucket", "shard", place_in).alias("batch_id"),
+        (F.col("piece") * max_len).alias("token_start"), (F.col("piece") * max_len + F.col("n_tokens")).alias("token_end"),
     )

@@ -6,12 +6,15 @@ Everything is DataFrame functions.  One pattern finds entities; the text between
 * Digits (phones, cards, social security numbers) and IPv4 addresses go through a keyed
   Feistel permutation of the same format: distinct stays distinct, equal stays equal, in all documents.  Cards
   keep their issuer digit and the distance of the last digit to a valid check digit.
-* E-mail addresses get keyed letters; a domain keeps one surrogate in all addresses.
-* Names after titles keep titles, gender (ending), script (Latin or Cyrillic), particles and number of words; words
-  are replaced one by one, and all other mentions of a found name's words (two letters or more) in its text with them.
+* E-mail addresses keep dots, plus parts, digits' places and case; letters and digits are keyed ones, local parts
+  of fewer than 8 characters grow to that length.  A domain keeps one surrogate in all addresses, below ``example.*``.
+* Names after titles, or with a common given name, keep titles, gender (ending), script (Latin or Cyrillic), particles
+  and number of words; words are replaced one by one, each by one surrogate in all of its text, and all other
+  mentions of a found name's words (two letters or more) in its text with them.
 
-The mapping of e-mails and name words is checked: originals that meet in one surrogate are found over
-all documents, and all but the least are given another keyed surrogate until none meet.
+The mapping is checked over all documents: an original whose surrogate another original has too, or whose
+surrogate is itself an original somewhere, is given another keyed surrogate until none is left (what still
+equals an original after ``max_attempts`` stays; two originals that still meet are an error).
 
 Defined cases: null texts stay null with no entity; null ids and repeated rows keep their rows; texts
 without entities are returned unchanged; very long texts are handled whole; other columns are ignored;
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.sources.scratch import materialize
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = (
@@ -37,12 +40,22 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "Sir", "Lord"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Lady"]
 NEUTRAL = ["Dr", "Prof", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "Doctora", "Profesor", "Profesora", "доктор", "профессор"]
+# Common given names by gender, which make a name of the capitalised words after them.
+GIVEN_MALE = (
+    "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Paul Steven Andrew Kenneth George Kevin Brian Edward Peter "
+    "Hans Klaus Jürgen Pierre Jean Michel François José Juan Carlos Miguel Luis Antonio Giovanni Иван Сергей Алексей Дмитрий Андрей Михаил Николай Владимир"
+).split()
+GIVEN_FEMALE = (
+    "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Anna Maria Laura Julia Sophie Marie "
+    "Claire Isabelle Ursula Ingrid Carmen Lucía Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана"
+).split()
+GIVEN = "|".join(sorted(GIVEN_MALE + GIVEN_FEMALE, key=lambda t: (-len(t), t)))
 TITLE = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=lambda t: (-len(t), t)))
 TITLES = rf"(?:{TITLE})\.?(?: (?:{TITLE})\.?(?= ))*"
 RUN = r"[\p{L}\p{M}]+"
 _WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+"
 _LINK = r"(?:(?:von|van|vom|zu|de|der|den|del|della|da|di|du|dos|la|le|bin|ibn|al|el|\p{Lu}\.) )*+"
-NAME = rf"(?<!\p{{L}}){TITLES} {_LINK}{_WORD}(?: {_LINK}{_WORD})*+"
+NAME = rf"(?<!\p{{L}})(?:{TITLES} {_LINK}{_WORD}(?: {_LINK}{_WORD})*+|(?:{GIVEN})(?: {_LINK}{_WORD})++)"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, CARD, PHONE, IPV4, SSN, NAME))
 # Letters of the syllables of surrogate names.
 CONSONANTS = {"latin": "bdfghklmnprstvz", "cyrillic": "бвгдзклмнпрстфх"}
@@ -107,28 +120,32 @@ def _luhn_rest(body: Column) -> Column:
     return (F.lit(10) - total % 10) % 10
 
 
-def _card(e: Column, key: str) -> Column:
+def _kind(name: str, attempt: str) -> str:
+    return name if attempt == "0" else f"{name} {attempt}"
+
+
+def _card(e: Column, key: str, attempt: str) -> Column:
     d = _digits(e)
-    body = F.concat(F.substring(d, 1, 1), _permute_digits(F.substring(d, 2, 14), 14, key, "card"))
+    body = F.concat(F.substring(d, 1, 1), _permute_digits(F.substring(d, 2, 14), 14, key, _kind("card", attempt)))
     gap = (F.substring(d, 16, 1).cast("int") - _luhn_rest(F.substring(d, 1, 15)) + 10) % 10
     return _pour(e, F.concat(body, ((_luhn_rest(body) + gap) % 10).cast("string")))
 
 
-def _phone(e: Column, key: str) -> Column:
+def _phone(e: Column, key: str, attempt: str) -> Column:
     """Country code and the first two digits of the number stay."""
     d = _digits(e)
     keep = F.length(d) - 8
-    return _pour(e, F.concat(F.substr(d, F.lit(1), keep), _permute_digits(F.substr(d, keep + 1, F.lit(8)), 8, key, "phone")))
+    return _pour(e, F.concat(F.substr(d, F.lit(1), keep), _permute_digits(F.substr(d, keep + 1, F.lit(8)), 8, key, _kind("phone", attempt))))
 
 
-def _ssn(e: Column, key: str) -> Column:
+def _ssn(e: Column, key: str, attempt: str) -> Column:
     d = _digits(e)
-    return _pour(e, F.concat(F.substring(d, 1, 1), _permute_digits(F.substring(d, 2, 8), 8, key, "ssn")))
+    return _pour(e, F.concat(F.substring(d, 1, 1), _permute_digits(F.substring(d, 2, 8), 8, key, _kind("ssn", attempt))))
 
 
-def _ipv4(e: Column, key: str) -> Column:
+def _ipv4(e: Column, key: str, attempt: str) -> Column:
     o = F.transform(F.split(e, r"\."), lambda x: x.cast("int"))
-    out = _permute(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, key, "ipv4")
+    out = _permute(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, key, _kind("ipv4", attempt))
     return F.concat_ws(".", F.floor(out["a"] / 256), out["a"] % 256, F.floor(out["b"] / 256), out["b"] % 256)
 
 
@@ -136,17 +153,32 @@ def _letters(h: Column, n: int) -> Column:
     return F.concat(*[F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), (_number(h, 1 + 3 * i, 3) % 26 + 1).cast("int"), F.lit(1)) for i in range(n)])
 
 
-def _email(e: Column, key: str, attempt: Column) -> Column:
-    low = F.lower(e)
-    domain = _letters(_hash(key, "domain", F.substring_index(low, "@", -1)), 10)
-    return F.concat(_letters(_hash(key, "email", low, attempt), 16), F.lit("@"), domain, F.lit(".example.com"))
+def _email(e: Column, key: str, attempt: str) -> Column:
+    low, local = F.lower(e), F.substring_index(e, "@", 1)
+    domain = F.substring_index(low, "@", -1)
+    h = F.concat(_hash(key, "email", low, attempt), _hash(key, "more", low, attempt))
+    tld = F.substring_index(domain, ".", -1)
+
+    def change(c: Column, i: Column) -> Column:
+        n = F.conv(F.substr(h, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        letter = F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), n % 26 + 1, F.lit(1))
+        return (
+            F.when(c.rlike("^[a-z]$"), letter).when(c.rlike("^[A-Z]$"), F.upper(letter)).when(c.rlike("^[0-9]$"), (n % 10).cast("string")).otherwise(c)
+        )
+
+    own = F.array_join(F.transform(F.split(local, ""), change), "")
+    more = F.substr(_letters(_hash(key, "tail", low, attempt), 8), F.lit(1), F.greatest(8 - F.length(local), F.lit(0)))
+    where = F.concat(_letters(_hash(key, "domain", domain), 10), F.lit(".example."), F.when(tld.isin("org", "net"), tld).otherwise("com"))
+    return F.concat(own, more, F.lit("@"), where)
 
 
 def _gender(e: Column) -> Column:
-    """Of a name: that of its first title that tells one."""
+    """Of a name: that of its first title that tells one, else of its given name."""
     titles = F.transform(F.split(F.regexp_extract(e, f"^{TITLES}", 0), " "), lambda t: F.regexp_replace(t, r"\.$", ""))
     told = F.filter(titles, lambda t: t.isin(*MALE, *FEMALE))
-    return F.when(F.size(told) == 0, "n").when(F.get(told, F.lit(0)).isin(*MALE), "m").otherwise("f")
+    given = F.regexp_extract(e, rf"(?:^|^{TITLES} )({GIVEN})(?!\p{{L}})", 1)
+    by_name = F.when(given.isin(*GIVEN_MALE), "m").when(given.isin(*GIVEN_FEMALE), "f").otherwise("n")
+    return F.when(F.size(told) == 0, by_name).when(F.get(told, F.lit(0)).isin(*MALE), "m").otherwise("f")
 
 
 def _each_run(text: Column, change) -> Column:
@@ -155,7 +187,7 @@ def _each_run(text: Column, change) -> Column:
     return F.array_join(F.zip_with(F.split(text, RUN, -1), runs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def _word(w: Column, gender: Column, key: str, attempt: Column) -> Column:
+def _word(w: Column, gender: Column, key: str, attempt: str) -> Column:
     h = _hash(key, "name", w, gender, attempt)
 
     def spell(script: str) -> Column:
@@ -177,7 +209,7 @@ def _single(w: Column, gender: Column) -> Column:
     return F.concat(F.when(gender == "m", SHORT["m"]).when(gender == "f", SHORT["f"]).otherwise(SHORT["n"]), F.lit(" "), w)
 
 
-def _name(e: Column, key: str, attempt: Column, second: Column | None = None) -> Column:
+def _name(e: Column, key: str, attempt: str, second: Column | None = None) -> Column:
     """``second`` maps single names whose word has another surrogate."""
     titles = F.regexp_extract(e, f"^{TITLES}", 0)
     gender = _gender(e)
@@ -210,22 +242,26 @@ def kind_of(e: Column) -> Column:
     return out.otherwise("name")
 
 
-def surrogate(e: Column, key: str, attempt: Column | None = None, second: Column | None = None) -> Column:
-    """The replacement of one entity; ``attempt`` (text) gives others to e-mails and names."""
-    attempt = F.lit("0") if attempt is None else attempt
+def surrogate(e: Column, key: str, attempt: str = "0", second: Column | None = None) -> Column:
+    """The replacement of one entity; each ``attempt`` gives another one."""
     kind = kind_of(e)
     return (
         F.when(kind == "email", _email(e, key, attempt))
-        .when(kind == "card", _card(e, key))
-        .when(kind == "ipv4", _ipv4(e, key))
-        .when(kind == "ssn", _ssn(e, key))
-        .when(kind == "phone", _phone(e, key))
+        .when(kind == "card", _card(e, key, attempt))
+        .when(kind == "ipv4", _ipv4(e, key, attempt))
+        .when(kind == "ssn", _ssn(e, key, attempt))
+        .when(kind == "phone", _phone(e, key, attempt))
         .otherwise(_name(e, key, attempt, second))
     )
 
 
+def _mark(kind: Column, e: Column) -> Column:
+    """What makes two writings the same: digits of numbers, lower case of the rest."""
+    return F.concat_ws(":", kind, F.when(kind.isin("card", "ssn", "phone"), _digits(e)).otherwise(F.lower(e)))
+
+
 def _may_have(text: Column) -> Column:
-    return text.rlike(rf"[@0-9]|(?:{TITLE})\.? \p{{L}}")
+    return text.rlike(rf"[@0-9]|(?:{TITLE})\.? \p{{L}}|(?:{GIVEN}) \p{{L}}")
 
 
 def entities(text: Column) -> Column:
@@ -235,41 +271,57 @@ def entities(text: Column) -> Column:
 
 
 def collisions(checked: DataFrame) -> DataFrame:
-    """Of ``checked(original, surrogate)``, the originals that share a surrogate with a smaller one."""
-    least = checked.groupBy("surrogate").agg(F.min("original").alias("low"), F.max("original").alias("high")).where("low < high")
-    return checked.join(least, "surrogate").where("original > low").select("original")
+    """Of ``checked(original, mark, surrogate, new_mark)``: the originals whose surrogate a smaller one has (``meets``) or that is an original."""
+    least = checked.groupBy("new_mark").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("new_mark", "low")
+    taken = checked.select(F.col("mark").alias("new_mark")).distinct().withColumn("taken", F.lit(True))
+    d = checked.join(least, "new_mark", "left").join(taken, "new_mark", "left")
+    meets = F.coalesce(F.col("mark") > F.col("low"), F.lit(False))
+    return d.withColumn("meets", meets).where("meets OR taken").select("original", "meets")
 
 
 def second_surrogates(found: DataFrame, key: str, max_attempts: int = 8) -> DataFrame | None:
-    """original, surrogate of e-mails and names whose first surrogate is taken; None if there are none.
+    """original, surrogate of those whose first surrogate is taken; None if there are none.
 
-    ``found(original)``: distinct lower-cased e-mails and names.
+    ``found(original)``: distinct entities, e-mails in lower case, names word by word.
     """
-    named = materialize(found.withColumn("surrogate", surrogate(F.col("original"), key)), "surrogates")
+
+    def named_by(rows: DataFrame, attempt: int) -> DataFrame:
+        e = F.col("original")
+        rows = rows.select("original", surrogate(e, key, str(attempt)).alias("surrogate")).withColumn("kind", kind_of(e))
+        return rows.select("original", _mark(F.col("kind"), e).alias("mark"), "surrogate", _mark(F.col("kind"), F.col("surrogate")).alias("new_mark"))
+
+    named = materialize(named_by(found, 0), "surrogates")
     again, out = collisions(named), None
     for attempt in range(1, max_attempts + 1):
         again = materialize(again, "collisions")
         if again.isEmpty():
             return out
-        fresh = again.withColumn("surrogate", surrogate(F.col("original"), key, F.lit(str(attempt))))
+        fresh = named_by(again, attempt)
         kept = named.join(again, "original", "left_anti")
         named = materialize(kept.unionByName(fresh), "surrogates")
+        fresh = fresh.select("original", "surrogate")
         out = fresh if out is None else out.join(again, "original", "left_anti").unionByName(fresh)
         again = collisions(named)
-    raise RuntimeError("surrogates keep colliding")
+    if not again.where("meets").isEmpty():
+        raise RuntimeError("surrogates keep colliding")
+    return out
 
 
 def pseudonymise(documents: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with surrogates and n_entities of every row."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("found", entities(F.col("text"))).withColumn("words", name_words(F.col("found")))
-    mails = F.transform(F.filter("found", lambda e: e.contains("@")), F.lower)
-    loose = rows.select(F.explode(F.array_distinct(F.concat(mails, "words"))).alias("original"))
+
+    def plain(e: Column) -> Column:
+        return F.when(e.contains("@"), F.lower(e)).otherwise(e)
+
+    others = F.transform(F.filter("found", lambda e: kind_of(e) != "name"), plain)
+    loose = rows.select(F.explode(F.array_distinct(F.concat(others, "words"))).alias("original"))
     again = second_surrogates(loose.distinct(), key)
     second = None
     if again is not None:
         rows = rows.withColumn("mark", F.xxhash64("text"))
-        asked = rows.select("mark", F.explode(F.array_distinct(F.concat(mails, "words"))).alias("original")).distinct()
+        asked = rows.select("mark", F.explode(F.array_distinct(F.concat(others, "words"))).alias("original")).distinct()
         maps = asked.join(again, "original").groupBy("mark").agg(
             F.map_from_entries(F.collect_set(F.struct("original", "surrogate"))).alias("second")
         )
@@ -278,18 +330,22 @@ def pseudonymise(documents: DataFrame, key: str, *, id_col: str = "doc_id", text
 
     def new(e: Column) -> Column:
         first = surrogate(e, key, second=second)
-        return first if second is None else F.when(e.contains("@"), F.coalesce(second[F.lower(e)], first)).otherwise(first)
+        return first if second is None else F.coalesce(second[plain(e)], first)
 
-    rows = rows.withColumn("new", F.transform("found", new)).withColumn("new_words", F.transform("words", new))
-    between = F.split("text", ANY, -1)
     low = F.transform("words", lambda w: F.lower(F.substring_index(w, " ", -1)))
+    rows = rows.withColumn("low", low).withColumn("new_words", F.transform("words", new)).withColumn("between", F.split("text", ANY, -1))
 
-    def mention(w: Column) -> Column:
-        at = F.when((F.length(w) > 1) & w.rlike(r"^\p{Lu}"), F.array_position("low", F.lower(w))).otherwise(0)
+    def mention(w: Column, least: int) -> Column:
+        at = F.when((F.length(w) >= least) & w.rlike(r"^\p{Lu}"), F.array_position("low", F.lower(w))).otherwise(0)
         return F.when(at > 0, F.substring_index(F.get("new_words", (at - 1).cast("int")), " ", -1)).otherwise(w)
 
-    rows = rows.withColumn("low", low).withColumn("between", between)
-    kept = F.when(F.size("words") > 0, F.transform("between", lambda a: _each_run(a, mention))).otherwise(F.col("between"))
+    def entity(e: Column) -> Column:
+        titles = F.regexp_extract(e, f"^{TITLES}", 0)
+        whole = F.concat(titles, _each_run(F.substr(e, F.length(titles) + 1), lambda w: mention(w, 1)))
+        return F.when(kind_of(e) == "name", whole).otherwise(new(e))
+
+    rows = rows.withColumn("new", F.transform("found", entity))
+    kept = F.when(F.size("words") > 0, F.transform("between", lambda a: _each_run(a, lambda w: mention(w, 2)))).otherwise(F.col("between"))
     pairs = F.zip_with(kept, F.col("new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     text = F.when(F.size("new") > 0, F.array_join(pairs, "")).otherwise(F.col("text"))
     return rows.select("doc_id", text.alias("text"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities"))

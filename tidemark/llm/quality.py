@@ -48,9 +48,11 @@ def target_ids(labels: DataFrame, max_target: int = MAX_TARGET) -> DataFrame:
     )
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, max_target: int = MAX_TARGET) -> np.ndarray:
+def fit(
+    documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_target: int = MAX_TARGET
+) -> np.ndarray:
     """Log ratio of target to raw probability for each bucket; ``PRIOR`` counts of the raw shares smooth the target."""
-    flagged = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+    flagged = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(
         F.broadcast(target_ids(labels, max_target)), F.col("doc_id") == F.col("target_id"), "left"
     ).select("text", F.col("target_id").isNotNull().alias("trusted"))
 
@@ -81,6 +83,11 @@ def fit(documents: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, max_
         target[row.bucket] = row.target
     if not target.sum():
         return np.zeros(buckets)
+    return log_ratio(raw, target)
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of the smoothed target share over the raw share of each bucket."""
     share = np.maximum(raw, 1.0) / max(1.0, raw.sum())
     return np.log((target + PRIOR * share) / (target.sum() + PRIOR)) - np.log(share)
 

@@ -1,10 +1,11 @@
 """URL filter rules by hashed host-suffix / path-prefix expressions.
 
-Each distinct URL is expanded into the expressions "k last host labels + first n
+Each URL is expanded into the expressions "k last host labels + first n
 path characters" for the (k, n) shapes that occur in the rules, so the expansion is
 exact and bounded by the rule shapes, not by the URL.  Expressions meet rules by an
 equi-join on a short SHA-256 prefix; the full digest is compared afterwards and the
-longest fitting rule wins (longer text first, then longer host, then block).
+longest fitting rule wins (longer text first, then longer host, then block).  A row keeps
+a number of its own from the scan on, so all that is shuffled is one row per URL and fitting rule.
 
 Everything is DataFrame functions.  Rules are joined without a hint: Spark
 broadcasts them only when their size is below its threshold.
@@ -68,8 +69,7 @@ def judge(
     if len(shapes) > MAX_SHAPES:
         raise ValueError(f"more than {MAX_SHAPES} rule shapes (host labels x path length)")
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
-    rows = rows.groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("copies"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
     labels = F.split("host", r"\.")
     expressions = [
@@ -82,12 +82,12 @@ def judge(
         for s in shapes
     ] or [F.lit(None).cast("string")]
     expanded = rows.select(
-        "page_id", "url", "copies", "host", "path",
+        "page_id", "row", "host", "path",
         F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_compact(F.array(*expressions)))).alias("e"),
     ).withColumn("digest", F.sha2("e", 256))
     joined = expanded.join(compiled, F.substring("digest", 1, PREFIX_HEX) == F.col("r_prefix"), "left")
     fits = F.col("digest") == F.col("r_digest")
-    best = joined.groupBy("page_id", "url", "copies", "host", "path").agg(
+    best = joined.groupBy("row", "page_id", "host", "path").agg(
         F.max(
             F.when(
                 fits,
@@ -104,5 +104,4 @@ def judge(
         "page_id", "host", "path",
         F.col("best.rule").alias("rule"),
         F.coalesce("best.action", F.lit(default)).alias("verdict"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
-    ).drop("copy")
+    )

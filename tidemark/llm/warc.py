@@ -12,18 +12,24 @@ magic; a range owns the candidates that start inside.  Candidates are validated
 inflating their start and looking for a WARC header; pieces that belong to the member
 before (the magic occurred inside compressed data) are joined to it again.  A member
 that does not end within its range is completed from the next ranges' leading pieces,
-grouped by file; those rows are few.  Files must not be named ``*.gz``, which
-Spark would inflate from the start instead of splitting.
+grouped by file; those rows are few.  What follows a member's end is parsed as the next one, so a member
+whose own start was not taken for one (the magic within its first bytes cuts it too short) is found there.
+Files named ``*.gz`` are read raw too (Hadoop's pass-through codec keeps Spark from inflating
+them), but one task a file: Spark splits no file that a codec claims.  Other names are split.
 
 Defined cases: a null html is an empty payload; null ids and repeated rows are written
 each, rows equal in id and payload share the record type; payloads shorter than
 ``min_payload`` are all responses; an empty table gives no record; other columns are ignored.
+Bytes that form no complete record (damaged, truncated or uncompressed ones) raise an error that names
+the file, or, with ``on_broken="keep"``, come back as rows of warc_type ``broken``.  Records of other
+kinds than response and revisit are passed over; ids, sizes and digests that a foreign record lacks or writes otherwise are null.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,15 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, scratch_path, slices
+from tidemark.llm.common import slices
+from tidemark.sources.scratch import materialize, scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK_BYTES = 1 << 20
+BROKEN = -1
 DATE = "2024-01-01T00:00:00Z"
 RECORDS = (
     "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
-    "warc_type string, url string, payload binary"
+    "warc_type string, url string, record_id string, payload binary"
 )
+NAMES = [x.split()[0] for x in RECORDS.split(", ")]
 
 
 def _sha1(data: bytes) -> str:
@@ -143,54 +152,79 @@ def _starts_record(data: bytes) -> bool:
     return head.startswith(b"WARC/1.") or (head == b"" and inflate.eof)
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """The member's contents, None if it doesn't end here."""
-    try:
-        inflate = zlib.decompressobj(31)
-        out = inflate.decompress(data)
-    except zlib.error:
-        return None
-    return out if inflate.eof else None
-
-
-def parse_record(data: bytes) -> tuple | None:
-    """A row of RECORDS; None for other records and empty members."""
-    head, gap, rest = data.partition(b"\r\n\r\n")
-    if not gap or not head.startswith(b"WARC/1."):
-        return None
-    fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:] if b": " in line)
-    kind = fields.get(b"WARC-Type", b"").decode()
+def _members(data: bytes) -> tuple[list[bytes], bytes]:
+    """Contents of the gzip members that ``data`` holds one after the other, and the bytes that end none."""
+    out = []
+    while data.startswith(MAGIC):
+        try:
+            inflate = zlib.decompressobj(31)
+            contents = inflate.decompress(data)
+        except zlib.error:
+            break
+        if not inflate.eof:
+            break
+        out.append(contents)
+        data = inflate.unused_data.lstrip(b"\x00")
+    return out, data
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    pairs = (line.split(b":", 1) for line in head.split(b"\r\n")[1:] if b":" in line)
+    return {k.decode("latin-1").strip().lower(): v.decode("utf-8", "replace").strip() for k, v in pairs}
+
+
+def parse_records(data: bytes) -> tuple[list[tuple], bytes]:
+    """Rows of RECORDS of one member's contents, and what is no record."""
+    rows = []
+    while data:
+        head, gap, rest = data.partition(b"\r\n\r\n")
+        fields = _fields(head)
+        size = fields.get("content-length", "")
+        if not gap or not head.startswith(b"WARC/1.") or not size.isdigit() or len(rest) < int(size):
+            return rows, data
+        body, data = rest[: int(size)], rest[int(size) :].removeprefix(b"\r\n\r\n")
+        if row := _row(fields, body):
+            rows.append(row)
+    return rows, b""
+
+
+def _row(fields: dict[str, str], body: bytes) -> tuple | None:
+    kind = fields.get("warc-type")
     if kind not in ("response", "revisit"):
         return None
-    body = rest[: int(fields[b"Content-Length"])]
     http, _, payload = body.partition(b"\r\n\r\n")
-    digest = fields.get(b"WARC-Payload-Digest", b"").decode().removeprefix("sha1:")
+    kept = fields.get("warc-payload-digest", "")
+    digest = kept.removeprefix("sha1:") if kept.startswith("sha1:") and len(kept) == 37 else None
 
-    def page(name: bytes) -> int | None:
-        text = fields.get(name, b"").decode().removeprefix("<urn:page:").removesuffix(">")
-        return int(text) if text else None
+    def page(name: str) -> int | None:
+        found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", fields.get(name, ""))
+        return int(found[1]) if found else None
 
     if kind == "response":
         size = len(payload)
-        if _sha1(payload) != digest:
-            raise ValueError(f"payload digest of {fields.get(b'WARC-Record-ID')} differs")
+        if digest and _sha1(payload) != digest:
+            raise ValueError(f"payload digest of {fields.get('warc-record-id')} differs")
     else:
-        size = int(next(x for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
-    url = fields.get(b"WARC-Target-URI", b"").decode("utf-8", "replace")
-    return (page(b"WARC-Record-ID"), size, digest, kind, page(b"WARC-Refers-To"), kind, url, payload)
+        length = _fields(http).get("content-length", "")
+        size = int(length) if length.isdigit() else None
+    return (page("warc-record-id"), size, digest, kind, page("warc-refers-to"), kind, fields.get("warc-target-uri", ""), fields.get("warc-record-id"), payload)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-    names = [x.split()[0] for x in RECORDS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
     cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=NAMES)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, *, on_broken: str = "raise") -> DataFrame:
     """The response and revisit records of all archives in ``path``, with payloads."""
+    if on_broken not in ("raise", "keep"):
+        raise ValueError(f"on_broken: {on_broken!r}")
     pieces = (
-        spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+        spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1")
+        .option("io.compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec")
+        .options(**{f"{at}io.compress.passthrough.extension": ".gz" for at in ("", "org.apache.hadoop.shaded.")})  # Spark's Hadoop client is shaded
+        .text(path)
         .select(
             F.col("value").cast("binary").alias("piece"),
             F.col("_metadata.file_path").alias("file"),
@@ -207,11 +241,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         def close() -> None:
             nonlocal open_
             if open_:
-                data = _inflate(open_)
-                if data is None:
-                    frags.append((*at, 1 << 30, open_))
-                elif row := parse_record(data):
-                    rows.append(row)
+                members, rest = _members(open_)
+                for data in members:
+                    found, bad = parse_records(data)
+                    rows.extend(found)
+                    if bad:
+                        frags.append((*at, BROKEN, bad))
+                if rest:
+                    frags.append((*at, place - 1, rest))
             open_ = b""
 
         def flush() -> pa.RecordBatch:
@@ -230,6 +267,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     at, place = (file, block), 0
                     if block == 0:  # what stands before the first magic of a file
                         place = 1
+                        if piece:
+                            frags.append((*at, BROKEN, piece))
                         continue
                 candidate = MAGIC + piece
                 if _starts_record(candidate):
@@ -252,23 +291,33 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def complete(key: tuple, rows: pa.Table) -> pa.Table:
         """Members of one file that cross ranges: each head is followed by the next ranges' leading pieces."""
         rows = rows.sort_by([("block", "ascending"), ("place", "ascending")])
-        out, open_ = [], b""
-        for data in [*rows.column("bytes").to_pylist(), None]:
+        out, bad, open_ = [], [], b""
+        for place, data in [*zip(rows.column("place").to_pylist(), rows.column("bytes").to_pylist(), strict=True), (0, None)]:
+            if place == BROKEN:
+                bad.append(data)
+                continue
             if open_ and (data is None or _starts_record(data)):
-                if (contents := _inflate(open_)) and (row := parse_record(contents)):
-                    out.append(row)
+                members, rest = _members(open_)
+                parsed = [parse_records(m) for m in members]
+                out += [r for p in parsed for r in p[0]]
+                bad += [x for x in [*(p[1] for p in parsed), rest] if x]
                 open_ = b""
             if data is not None:
-                open_ = data if _starts_record(data) else open_ + data if open_ else b""
+                if open_ or _starts_record(data):
+                    open_ += data
+                else:
+                    bad.append(data)
+        if bad and on_broken == "raise":
+            raise ValueError(f"{sum(map(len, bad))} bytes of {key[0]} are no complete gzip member with WARC records")
+        out += [(None, len(x), None, None, None, "broken", None, None, x) for x in bad]
         return pa.Table.from_batches([_table(out)])
 
-    names = [x.split()[0] for x in RECORDS.split(", ")]
     crossing = found.where("bytes IS NOT NULL").groupBy("file").applyInArrow(complete, RECORDS)
-    return found.where("bytes IS NULL").select(*names).unionByName(crossing)
+    return found.where("bytes IS NULL").select(*NAMES).unionByName(crossing)
 
 
 def round_trip(pages: DataFrame, *, min_payload: int = 0, path: str | None = None) -> DataFrame:
     """Write ``pages`` and read the archives back: one row per page."""
     path = path or scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path, min_payload=min_payload)
-    return read_archives(pages.sparkSession, path).drop("warc_type", "url", "payload")
+    return read_archives(pages.sparkSession, path).drop("warc_type", "url", "record_id", "payload")
