@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage works on all documents that the stage before it kept."""
+"""The corpus pipeline: each stage works on all documents that the stage before it kept.
+
+Defined cases, for all stages: an empty table gives an empty result; repeated rows are judged each; very long texts are
+handled whole; further columns are returned untouched whatever their names (packing returns its own columns);
+null ids take part by their text, except that near copies of them are never looked for.
+"""
 
 from __future__ import annotations
 
@@ -6,31 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, ngram_join, packing, quality, secret_scan
-from tidemark.llm.common import materialize
+from tidemark.sources.scratch import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without a main language."""
+    """Drops documents without a letter (null and empty texts too) or without a main language; ties go to the more frequent language."""
     return langid.keep(docs, langid.train(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the repetition rules or lie too far from trusted text."""
+    """Drops documents that fail the repetition rules (null and empty texts do) or lie too far from trusted text.
+
+    Without labels, or without one that is kept, only the rules decide; a score at the threshold is kept.
+    """
     return quality.keep(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near copies (five words, similarity 0.8)."""
+    """Keeps the document of the smallest id of each group of near copies (five words, similarity 0.8).
+
+    Null and blank texts are nobody's copy; rows of one id and text all stay or all go.
+    """
     return ngram_join.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts; n_chars follows."""
+    """Replaces secrets in the texts; n_chars follows (null with a null text)."""
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and batches of all that is left."""
+    """Length buckets and batches of all that is left; a text without words is one piece of length 0."""
     return packing.pack(docs)
 
 
