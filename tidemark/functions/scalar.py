@@ -9,14 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-INT_RANGES = {"u32": (0, 2**32 - 1), "i32": (-(2**31), 2**31 - 1), "u64": (0, 2**63 - 1), "i64": (-(2**63), 2**63 - 1)}
+INT_RANGES = {"u32": (0, 2**32 - 1), "i32": (-(2**31), 2**31 - 1), "u64": (0, 2**64 - 1), "i64": (-(2**63), 2**63 - 1)}
 
 
 def cast_value(c: Column, kind: str) -> Column:
     """A JSON scalar (as text; null for JSON null) as u64, u32, i64, i32, f64, f32, string or bool.
 
     Text is trimmed; booleans count as 1 and 0 for numbers; numbers out of range and bad text are null. Null becomes
-    the text ``null`` and the boolean false.
+    the text ``null`` and the boolean false.  u64 is a decimal(20,0), other integers are bigint.
     """
     t = F.trim(c)
     low = F.lower(t)
@@ -30,7 +30,8 @@ def cast_value(c: Column, kind: str) -> Column:
     lo, hi = INT_RANGES[kind]
     whole = number.try_cast("decimal(38,0)")
     exact = number.rlike(r"^[+-]?\d+(\.0*)?$")
-    return F.when(exact & whole.between(F.lit(lo).cast("decimal(38,0)"), F.lit(hi).cast("decimal(38,0)")), whole.cast("bigint"))
+    inside = exact & whole.between(F.lit(str(lo)).cast("decimal(38,0)"), F.lit(str(hi)).cast("decimal(38,0)"))
+    return F.when(inside, whole.cast("decimal(20,0)" if kind == "u64" else "bigint"))
 
 
 def parse_path(path: str) -> list[str]:
@@ -82,6 +83,7 @@ def json_bindings(bindings: dict[str, Column]) -> Column:
 
 
 BINDING_FUNCTIONS = {
+    "now": lambda: F.unix_seconds(F.current_timestamp()), "ts": lambda: F.col("ts"), "interval": lambda secs: F.lit(secs), "attr": lambda labels, key: labels[key],
     "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": F.try_divide,
     "add_secs": lambda ts, s: ts + s, "sub_secs": lambda ts, s: ts - s,
     "int": lambda a: a.try_cast("bigint"), "float": lambda a: a.try_cast("double"), "str": lambda a: a.cast("string"),
@@ -144,6 +146,12 @@ def label_int(labels: Column, key: str) -> Column:
     return F.coalesce(labels[key].try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def json_pointer_value(c: Column, pointer: str) -> Column:
+    """The JSON text at a pointer (``/a/0/b``), null if there is none."""
+    steps = [p.replace("~1", "/").replace("~0", "~") for p in pointer.split("/")[1:]]
+    return F.get_json_object(c, "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in steps))
+
+
 def config_edits(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(key, field, old, new) rows where two snapshots (key, config map) differ."""
     a = old.select(key, F.explode("config").alias("field", "old"))
@@ -172,6 +180,37 @@ def duration_secs(c: Column) -> Column:
     return F.when(ok, total.cast("bigint"))
 
 
+def time_secs(c: Column, now: Column) -> Column:
+    """The column form of ``parse_time``; null where the text is no time."""
+    t = F.trim(c)
+    shift = duration_secs(F.trim(F.regexp_extract(t, r"^now\s*[+-]\s*(.+)$", 1)))
+    ago = duration_secs(F.regexp_extract(t, r"^((?:\d+[wdhms])+)(?:\s+ago)?$", 1))
+    return (
+        F.when(t == "now", now).when(t.rlike(r"^now\s*\+"), now + shift).when(t.rlike(r"^now\s*-"), now - shift)
+        .when(t.rlike(r"^\d+(\.\d+)?$"), F.floor(t.try_cast("double"))).when(t.rlike(r"^(\d+[wdhms])+(\s+ago)?$"), now - ago)
+        .otherwise(F.unix_seconds(F.try_to_timestamp(t))).cast("bigint")
+    )
+
+
+def range_start(preset: str, now: Column) -> tuple[Column, Column]:
+    """The column form of ``time_range`` (UTC sessions): start and end of a preset at each row's ``now``."""
+    stamp = F.timestamp_seconds(now)
+
+    def begin(unit: str, back: int = 0) -> Column:
+        start = F.date_trunc(unit, stamp)
+        if back:
+            start = F.date_trunc(unit, start - F.expr("INTERVAL 1 HOUR"))
+        return F.unix_seconds(start)
+
+    table = {
+        "today": (begin("day"), now), "yesterday": (begin("day", 1), begin("day")), "this_week": (begin("week"), now), "last_week": (begin("week", 1), begin("week")),
+        "this_month": (begin("month"), now), "last_month": (begin("month", 1), begin("month")),
+    }
+    if preset in table:
+        return table[preset]
+    return now - parse_duration(preset.removesuffix("_ago")), now
+
+
 def parse_time(text: str, now: int) -> int:
     """Unix seconds of ``now``, ``now-1d``, ``now+2h``, ``2h`` (ago), ``1h ago``, a number or ISO-8601 (UTC)."""
     t = text.strip()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sliced import with_row_halo
 from tidemark.operators.timeseries import bucket_align
 
 FIELDS = ("o", "h", "l", "c", "v")
@@ -104,10 +105,18 @@ def trading_sessions(df: DataFrame, by: list[str], kind: str, step: int) -> Data
 
 def ohlcv_window(df: DataFrame, by: list[str], window: int) -> DataFrame:
     """The last ``window`` closes, highs, lows and previous closes at each bar, padded with the first value."""
-    order = Window.partitionBy(*by).orderBy("t")
+    d = with_row_halo(df.withColumn("__zero", F.lit(0)), by, window, ts="t", seq="__zero", secs=31 * 86_400)
+    order = Window.partitionBy(*by, "slice").orderBy("idx")
     frame = order.rowsBetween(-(window - 1), 0)
-    d = df.withColumn("pc", F.coalesce(F.lag("c").over(order), F.col("c")))
+    d = d.withColumn("pc", F.coalesce(F.lag("c").over(order), F.col("c")))
     for name, source in (("closes", "c"), ("highs", "h"), ("lows", "l"), ("prev_closes", "pc")):
         got = F.collect_list(source).over(frame)
         d = d.withColumn(name, F.concat(F.array_repeat(F.element_at(got, 1), F.lit(window) - F.size(got)), got))
-    return d.drop("pc")
+    return d.where("own").drop("pc", "idx", "slice", "own", "__zero")
+
+
+def station_candles(df: DataFrame, lo: int, hi: int, by: list[str], resolution: str | None = None, *, block_secs: int | None = None) -> DataFrame:
+    """Candles of a station's observations in [lo, hi]; negative bounds count as 0."""
+    from tidemark.operators.query import query_recent
+
+    return candles_from_observations(query_recent(df, max(0, lo), max(0, hi), block_secs=block_secs), by, resolution)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import quantiles
 from tidemark.operators.sliced import with_lag, with_running
 from tidemark.operators.stats import rolling
 
@@ -68,42 +69,51 @@ def growth_rate(df: DataFrame, by: list[str], model: str = "linear", *, x: str =
     return s.select(*by, "n", slope.alias("slope"), (c0 - c1 * mx / sx + c2 * mx * mx / (sx * sx)).alias("intercept"), q.alias("quadratic"), "last_x", (slope * 86_400).alias("per_day"))
 
 
-def _at(model: str, x: Column) -> Column:
-    line = F.col("intercept") + F.col("slope") * x
-    return F.exp(line) if model == "exponential" else line + F.col("quadratic") * x * x
+def _current(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.where("value IS NOT NULL").groupBy(*by).agg(F.max_by("value", F.struct("ts", "seq")).alias("current"))
 
 
 def time_to_exhaustion(df: DataFrame, by: list[str], capacity: float, model: str = "linear") -> DataFrame:
-    """ALREADY_EXCEEDED, NOT_GROWING or PROJECTED with the steps that are left."""
-    g = growth_rate(df, by, model)
-    now = df.groupBy(*by).agg(F.max_by("value", F.struct("ts", "seq")).alias("current"))
+    """ALREADY_EXCEEDED, NOT_GROWING or PROJECTED with the steps that are left, from the current value at the fitted rate.
+
+    Linear: what remains by the slope; exponential: log(capacity / current) by log(1 + rate), rate = exp(slope) - 1.
+    """
+    if model not in ("linear", "exponential"):
+        raise ValueError(f"unknown model {model!r}")
+    d = growth_rate(df, by, model).join(_current(df, by), by)
     goal = F.lit(float(capacity))
-    line = (F.log(goal + 1e-10) if model == "exponential" else goal) - F.col("intercept")
-    a, b = F.col("quadratic"), F.col("slope")
-    root = F.when(F.abs(a) < 1e-15, line / b).otherwise((-b + F.sqrt(F.greatest(b * b + 4 * a * line, F.lit(0.0)))) / (2 * a))
-    grows = (b + 2 * a * F.col("last_x")) > 0
-    status = F.when(F.col("current") >= capacity, "ALREADY_EXCEEDED").when(~grows, "NOT_GROWING").otherwise("PROJECTED")
-    d = g.join(now, by).withColumn("status", status)
-    return d.select(*by, "status", "current", F.when(F.col("status") == "PROJECTED", F.greatest(F.lit(0.0), root - F.col("last_x"))).alias("steps_left"))
+    left = (goal - F.col("current")) / F.col("slope") if model == "linear" else F.log(goal / F.col("current")) / F.col("slope")
+    status = F.when(F.col("current") >= goal, "ALREADY_EXCEEDED").when(F.col("slope") <= 0, "NOT_GROWING").otherwise("PROJECTED")
+    steps = F.when(F.col("status") == "PROJECTED", left).when(F.col("status") == "ALREADY_EXCEEDED", 0.0)
+    return d.withColumn("status", status).select(*by, "status", "current", steps.alias("steps_left"))
+
 
+def projection(df: DataFrame, by: list[str], days: list[float], model: str = "linear") -> DataFrame:
+    """Value after ``days`` of 86 400 steps (rows): linear and exponential from the current value, quadratic (or polynomial) on the fitted curve.
 
-def projection(df: DataFrame, by: list[str], steps: list[int], model: str = "linear") -> DataFrame:
-    """Model value ``steps`` rows after the last; ``quadratic`` and ``polynomial`` are the same."""
-    g = growth_rate(df, by, model).withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps])))
-    return g.select(*by, "step", _at(model, F.col("last_x") + F.col("step")).alias("value"))
+    The exponential rate a day is 86 400 times the rate a step, compounded by day.
+    """
+    d = growth_rate(df, by, model).join(_current(df, by), by).withColumn("days", F.explode(F.array(*[F.lit(float(x)) for x in days])))
+    x = F.col("last_x") + F.col("days") * 86_400
+    value = {
+        "linear": F.col("current") + F.col("slope") * 86_400 * F.col("days"),
+        "exponential": F.col("current") * F.pow(1 + F.expm1("slope") * 86_400, F.col("days")),
+    }.get(model, F.col("intercept") + F.col("slope") * x + F.col("quadratic") * x * x)
+    return d.select(*by, "days", value.alias("value"))
 
 
 def latency_percentiles(df: DataFrame, by: list[str], *, approx: bool = False) -> DataFrame:
-    ps = F.array(*[F.lit(p) for p in LATENCY])
-    q = F.approx_percentile("value", ps, 10_000) if approx else F.percentile("value", ps)
-    g = df.groupBy(*by).agg(q.alias("q"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("count"))
-    names = [F.col("q")[i].alias("p" + f"{p * 100:g}".replace(".", "_")) for i, p in enumerate(LATENCY)]
-    return g.select(*by, *names, "mean", "std", "min", "max", "count")
+    names = {"p" + f"{p * 100:g}".replace(".", "_"): p for p in LATENCY}
+    moments = [F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("count")]
+    if approx:
+        g = df.groupBy(*by).agg(F.approx_percentile("value", F.array(*[F.lit(p) for p in LATENCY]), 10_000).alias("q"), *moments)
+        return g.select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(names)], "mean", "std", "min", "max", "count")
+    return quantiles(df, by, names).join(df.groupBy(*by).agg(*moments), by)
 
 
 def latency_tail(df: DataFrame, by: list[str], q: float = 0.99) -> DataFrame:
     """Threshold, count, share, mean and max of the tail; a Pareto exponent if it has more than 10 rows."""
-    at = df.groupBy(*by).agg(F.percentile("value", q).alias("threshold"), F.count("value").alias("n"))
+    at = quantiles(df, by, {"threshold": q}).join(df.groupBy(*by).agg(F.count("value").alias("n")), by)
     t = df.join(at, by).where("value > threshold")
     g = t.groupBy(*by, "threshold", "n").agg(F.count("*").alias("tail"), F.avg("value").alias("tail_mean"), F.max("value").alias("tail_max"), F.min("value").alias("low"), F.sum(F.log("value")).alias("logs"))
     alpha = F.col("tail") / (F.col("logs") - F.col("tail") * F.log("low"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import escape_label_value, sanitize_metric_name, series_key
@@ -27,15 +27,16 @@ def dropped_series(series: DataFrame, limit: int) -> DataFrame:
 
 
 def render(series: DataFrame, prefix: str = "app_") -> DataFrame:
-    """HELP, TYPE and value lines of each metric name."""
+    """Lines (name, part, text) of each metric name: HELP (part 0), TYPE (1) and values (2); ordered by name, part and text they are the exposition."""
     name = sanitize_metric_name(F.col("metric_id"), prefix)
     pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), escape_label_value(F.coalesce(e["value"], F.lit(""))), F.lit('"')))
     labels = F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
-    d = series.select(name.alias("name"), F.concat(name, labels, F.lit(" "), F.col("value").cast("string")).alias("line"))
-    order = Window.partitionBy("name").orderBy("line")
-    first = F.row_number().over(order) == 1
-    head = F.concat(F.lit("# HELP "), F.col("name"), F.lit(" latest value\n# TYPE "), F.col("name"), F.lit(" gauge\n"))
-    return d.withColumn("text", F.when(first, F.concat(head, F.col("line"))).otherwise(F.col("line"))).select("name", "text")
+    d = series.select(name.alias("name"), F.lit(2).alias("part"), F.concat(name, labels, F.lit(" "), F.col("value").cast("string")).alias("text"))
+    heads = d.select("name").distinct().select("name", F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), F.concat(F.lit("# HELP "), F.col("name"), F.lit(" latest value")).alias("text")),
+        F.struct(F.lit(1).alias("part"), F.concat(F.lit("# TYPE "), F.col("name"), F.lit(" gauge")).alias("text")),
+    )).alias("x")).select("name", "x.*")
+    return d.unionByName(heads)
 
 
 def node_metrics(status: DataFrame) -> DataFrame:

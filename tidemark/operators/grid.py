@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.sliced import with_lag, with_running
@@ -22,9 +22,10 @@ def grid_fit(
     """The finest grid of 2**level cells on [lo, hi] before crossings grow too fast.
 
     Values are quantised once to 2**max_bit cells and coarsened by shifts, so all levels come from
-    one pass.  Level 2 and above stop where the growth of crossings exceeds the last growth times
-    ``delta_multiplier``, the growth is at least ``min_abs_delta`` and the last growth is positive; any level
-    stops where the step falls below ``min_step_frac`` of the range's middle.
+    one pass.  Level 2 and above stop where the growth of crossings a segment (pair of consecutive points) exceeds the last growth times
+    ``delta_multiplier``, is at least ``min_abs_delta`` and the last growth is positive; any level
+    stops where the step falls below ``min_step_frac`` of the range's middle.  ``level`` is the level kept,
+    ``max_bit`` the finest one that was allowed.
     """
     top = (1 << max_bit) - 1
     width = F.col(hi) - F.col(lo)
@@ -35,13 +36,13 @@ def grid_fit(
         F.coalesce(F.sum(F.abs(F.shiftright("cell", max_bit - i) - F.shiftright("before", max_bit - i))), F.lit(0)).cast("double").alias(f"x{i}")
         for i in levels
     ]
-    g = d.groupBy(*by).agg(F.min(lo).alias("gmin"), F.max(hi).alias("gmax"), *crossings)
+    g = d.groupBy(*by).agg(F.min(lo).alias("gmin"), F.max(hi).alias("gmax"), F.greatest(F.count("*") - 1, F.lit(1)).alias("segments"), *crossings)
     span = F.col("gmax") - F.col("gmin")
     start = F.struct(F.lit(0).alias("level"), F.lit(0.0).alias("growth"), F.lit(False).alias("stop"), F.lit(0.0).alias("last"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("x")) for i in levels])
 
     def fold(acc: Column, s: Column) -> Column:
-        growth = s["x"] - acc["last"]
+        growth = (s["x"] - acc["last"]) / F.col("segments")
         sharp = (s["i"] >= 2) & (growth > acc["growth"] * delta_multiplier) & (growth >= min_abs_delta) & (acc["growth"] > 0)
         fine = F.lit(False)
         if min_step_frac is not None:
@@ -57,7 +58,7 @@ def grid_fit(
     level = F.aggregate(steps, start, fold)["level"]
     g = g.withColumn("level", level)
     step = F.when(span > 0, span / F.pow(F.lit(2.0), F.col("level"))).otherwise(1.0)
-    return g.select(*by, step.alias("step"), F.col("gmin").alias("offset"), "gmin", "gmax", F.col("level").cast("int").alias("max_bit")).withColumn(
+    return g.select(*by, step.alias("step"), F.col("gmin").alias("offset"), "gmin", "gmax", F.col("level").cast("int").alias("level"), F.lit(max_bit).alias("max_bit")).withColumn(
         "num_cells", num_cells().cast("int")
     )
 
@@ -122,9 +123,8 @@ def dominant_cells(df: DataFrame, by: list[str], grid: DataFrame, interval_secs:
 
 def transitions(dominant: DataFrame, by: list[str]) -> DataFrame:
     """Counts of moves between the dominant cells of consecutive buckets."""
-    w = Window.partitionBy(*by).orderBy("bucket")
-    d = dominant.withColumn("to", F.lead("cell").over(w)).where("to IS NOT NULL")
-    return d.groupBy(*by, F.col("cell").alias("from"), "to").agg(F.count("*").alias("n"))
+    d = with_lag(dominant.withColumnRenamed("bucket", "ts").withColumn("seq", F.lit(0)), by, {"from": "cell"}, secs=4096)
+    return d.where("`from` IS NOT NULL").groupBy(*by, "from", F.col("cell").alias("to")).agg(F.count("*").alias("n"))
 
 
 def move_probabilities(moves: DataFrame, by: list[str], *, per_cell: bool = False) -> DataFrame:
@@ -187,3 +187,16 @@ def efficiency_ratio(df: DataFrame, by: list[str]) -> DataFrame:
         *by, F.when(ok, F.abs("net") / F.col("path")).otherwise(0.0).alias("efficiency"),
         F.when(ok, F.col("net") / F.col("path")).otherwise(0.0).alias("slope_ratio"),
     )
+
+
+def state_metrics(df: DataFrame, by: list[str], fitted: DataFrame, interval_secs: int) -> DataFrame:
+    """Scalar metrics of a grid and its moves, one row each: (by..., metric, value)."""
+    moves = move_probabilities(transitions(dominant_cells(df, by, fitted, interval_secs), by), by)
+    last = df.groupBy(*by).agg(F.max_by("value", F.struct("ts", "seq")).alias("value"))
+    d = last.join(fitted, by).join(moves, by, "left")
+    metrics = {
+        "grid_cells": F.col("num_cells"), "grid_step_price": F.col("step"), "grid_cell_now": cell_of(F.col("value")), "grid_lo": F.col("gmin"), "grid_hi": F.col("gmax"),
+        "grid_up_prob": F.coalesce("up", F.lit(0.0)), "grid_down_prob": F.coalesce("down", F.lit(0.0)), "grid_stay_prob": F.coalesce("stay", F.lit(0.0)),
+    }
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in metrics.items()])
+    return d.select(*by, F.explode(pairs).alias("x")).select(*by, F.col("x.metric").alias("metric"), F.col("x.value").alias("value"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.operators.sliced import with_row_halo
+
 
 def order(by: list[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy("t")
@@ -74,9 +76,14 @@ def head(features: list[str], matrix: list[list[float]], bias: list[float] | Non
 def feature_graph(df: DataFrame, by: list[str], nodes: dict[str, tuple]) -> DataFrame:
     """Adds the nodes of a graph {name: (operator, inputs or parameters...)} as columns, in order of dependence.
 
-    Operators: roc, ma, ema, rsi, atr, donchian_high, donchian_low, last, and the binary and unary ones; inputs are raw
-    columns or other nodes.
+    Operators: roc, ma, ema, rsi, atr, donchian_high, donchian_low, last, concat (an array of its inputs), and the binary and unary
+    ones; inputs are raw columns or other nodes.  Keys are cut into slices of rows with a halo as long as all
+    look-backs together, so no key is one window.
     """
+    back = sum(max((x for x in spec[1:] if isinstance(x, int)), default=0) + 1 for spec in nodes.values())
+    names, keys = df.columns, by
+    df = with_row_halo(df.withColumn("__zero", F.lit(0)), by, back, ts="t", seq="__zero", secs=31 * 86_400)
+    by = [*by, "slice"]
     left = dict(nodes)
     while left:
         ready = [n for n, spec in left.items() if not any(x in left for x in spec[1:] if isinstance(x, str))]
@@ -100,9 +107,17 @@ def feature_graph(df: DataFrame, by: list[str], nodes: dict[str, tuple]) -> Data
                 df = df.withColumn(name, (roc if op == "roc" else ma)(F.col(args[0]), by, args[1]))
             elif op == "last":
                 df = df.withColumn(name, F.col(args[0]))
+            elif op == "concat":
+                df = df.withColumn(name, F.array(*[F.col(a) for a in args]))
             else:
                 raise ValueError(f"unknown operator {op!r}")
-    return df
+    return df.where("own").select(*names, *[n for n in nodes if n not in names and n not in keys])
+
+
+def sliced_nodes(df: DataFrame, by: list[str], back: int, add) -> DataFrame:
+    """``add(rows, keys)`` applied to slices of rows with ``back`` rows of halo: the other functions here on keys of any length."""
+    d = add(with_row_halo(df.withColumn("__zero", F.lit(0)), by, back, ts="t", seq="__zero", secs=31 * 86_400), [*by, "slice"])
+    return d.where("own").drop("idx", "slice", "own", "__zero")
 
 
 def plan_from_predictions(df: DataFrame, by: list[str], *, n_levels: int, width_atr: float, bias: str, win_p: str, realised: DataFrame | None = None) -> DataFrame:

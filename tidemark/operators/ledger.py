@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import grid as G
+from tidemark.operators.query import MAX_WINDOW, check_query_bounds, order_and_limit, query_recent, window_fits_cap
 from tidemark.operators.sliced import slice_of, with_lag, with_running
-from tidemark.operators.timeseries import bucket_align, gap_fill
+from tidemark.operators.timeseries import bucket_align, gap_fill, parse_resolution
 from tidemark.sources.scratch import materialize
 
 FEE_ROUNDTRIP = 0.0004
 
 
-def ledger_from_observations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Typed order rows of observations with signal ``order``, and the rows that lack a side or a price."""
+def ledger_fields() -> list[Column]:
+    """The typed columns of an order row of observations."""
     def num(k: str, kind: str = "double") -> Column:
-        return F.expr(f"try_cast(labels['{k}'] AS {kind})")
+        return F.expr(f"try_cast(labels['{k}'] AS {kind})").alias(k)
 
     lab = F.col("labels")
-    d = df.where(F.col("signal") == "order").select(
-        "ts", lab["order_id"].alias("order_id"), lab["status"].alias("status"), lab["dtype"].alias("dtype"),
-        num("grid", "int").alias("grid"), num("level", "int").alias("level"), num("size").alias("size"), F.col("value").alias("entry"),
-        num("sl").alias("sl"), num("tp").alias("tp"), num("unlock_seq", "bigint").alias("unlock_seq"),
-        num("pnl_pct").alias("pnl_pct"), num("exit_price").alias("exit_price"), "seq",
-    )
+    return [
+        F.col("ts"), *[lab[k].alias(k) for k in ("order_id", "status", "dtype")], num("grid", "int"), num("level", "int"), num("size"), F.col("value").alias("entry"),
+        num("sl"), num("tp"), num("unlock_seq", "bigint"), num("pnl_pct"), num("exit_price"), F.col("seq"),
+    ]
+
+
+def ledger_from_observations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Typed order rows of observations with signal ``order``, and the rows that lack a side or a price."""
+    d = df.where(F.col("signal") == "order").select(*ledger_fields())
     good = F.coalesce(F.col("dtype").isin("long", "short") & (F.col("entry") > 0), F.lit(False))
     return d.where(good), d.where(~good)
 
@@ -36,24 +42,28 @@ def dedup_orders(df: DataFrame, ties: list[str]) -> DataFrame:
     return latest.unionByName(df.where("order_id IS NULL"))
 
 
-def _aggregates(fee: float) -> list[Column]:
-    closed = F.col("status") == "closed"
-    pnl = F.when(closed, F.col("pnl_pct"))
-    money = F.when(closed, F.col("size") * F.col("pnl_pct"))
+def _settled(df: DataFrame) -> DataFrame:
+    """Closed and open rows; a missing size or result counts as 0."""
+    d = df.where(F.col("status").isin("closed", "open"))
+    return d.withColumns({"size": F.coalesce("size", F.lit(0.0)), "pnl_pct": F.coalesce("pnl_pct", F.lit(0.0))})
+
+
+def _aggregates() -> list[Column]:
+    """Results in percent are per trade, money is size times percent; losing trades have results of at most 0, so gross loss isn't positive."""
+    closed, held = F.col("status") == "closed", (F.col("status") == "open") & (F.col("size") > 0)
+    won, lost = closed & (F.col("pnl_pct") > 0), closed & (F.col("pnl_pct") <= 0)
+    money = F.col("size") * F.col("pnl_pct")
+
+    def total(cond: Column, x: Column | str) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col(x) if isinstance(x, str) else x)), F.lit(0.0))
+
     return [
-        F.count(pnl).alias("trades"),
-        F.count(F.when(pnl > 0, 1)).alias("wins"),
-        F.count(F.when(pnl <= 0, 1)).alias("losses"),
-        F.count(F.when(closed & (F.col("dtype") == "long"), 1)).alias("longs"),
-        F.count(F.when(closed & (F.col("dtype") == "short"), 1)).alias("shorts"),
-        F.coalesce(F.sum(money), F.lit(0.0)).alias("net_pnl_abs"),
-        F.coalesce(F.sum(F.when(money > 0, money)), F.lit(0.0)).alias("gross_profit"),
-        F.coalesce(-F.sum(F.when(money < 0, money)), F.lit(0.0)).alias("gross_loss"),
-        F.coalesce(F.sum(F.when(closed, F.col("size"))), F.lit(0.0)).alias("notional"),
-        F.coalesce(F.sum(pnl), F.lit(0.0)).alias("sum_pnl_pct"),
-        F.count(F.when((F.col("status") == "open") & (F.col("size") > 0), 1)).alias("open_count"),
-        F.coalesce(F.sum(F.when((F.col("status") == "open") & (F.col("size") > 0), F.col("size"))), F.lit(0.0)).alias("open_notional"),
-        F.count(F.when(F.col("size") == 0, 1)).alias("zero_size_rows"),
+        F.count_if(closed).alias("trades"), F.count_if(won).alias("wins"), F.count_if(lost).alias("losses"),
+        F.count_if(closed & (F.col("dtype") == "long")).alias("longs"), F.count_if(closed & (F.col("dtype") == "short")).alias("shorts"),
+        total(closed, money).alias("net_pnl_abs"), total(won, money).alias("gross_profit"), total(lost, money).alias("gross_loss"),
+        total(closed, "size").alias("notional"), total(closed, "pnl_pct").alias("pnl_pct_sum"), total(won, "pnl_pct").alias("win_pct_sum"),
+        total(lost, "pnl_pct").alias("loss_pct_sum"), F.count_if(held).alias("open_count"), total(held, "size").alias("open_notional"),
+        F.count_if(closed & (F.col("size") == 0)).alias("zero_size_rows"),
     ]
 
 
@@ -61,39 +71,71 @@ def _ratios(d: DataFrame) -> DataFrame:
     def ratio(a: str, b: str) -> Column:
         return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
 
-    return d.withColumns(
-        {
-            "win_rate": ratio("wins", "trades"), "net_pnl_pct": ratio("sum_pnl_pct", "trades"),
-            "avg_win": ratio("gross_profit", "wins"), "avg_loss": ratio("gross_loss", "losses"),
-        }
-    ).drop("sum_pnl_pct")
+    ratios = {
+        "win_rate": ratio("wins", "trades"), "net_pnl_pct": ratio("pnl_pct_sum", "trades"), "avg_win_pct": ratio("win_pct_sum", "wins"), "avg_loss_pct": ratio("loss_pct_sum", "losses")
+    }
+    return d.withColumns(ratios).drop("pnl_pct_sum", "win_pct_sum", "loss_pct_sum")
 
 
-def pnl_buckets(df: DataFrame, bucket_secs: int, *, fill: bool = True, fee: float = FEE_ROUNDTRIP) -> DataFrame:
+def pnl_buckets(df: DataFrame, bucket_secs: int, *, fill: bool = True) -> DataFrame:
     """Trades, wins, profit and open positions per time bucket; missing buckets are zero rows."""
-    d = df.groupBy(bucket_align(F.col("ts"), bucket_secs).alias("bucket")).agg(*_aggregates(fee))
+    d = _settled(df).groupBy(bucket_align(F.col("ts"), bucket_secs).alias("bucket")).agg(*_aggregates())
     if fill and bucket_secs:
         d = gap_fill(d, [], "bucket", bucket_secs, [c for c in d.columns if c != "bucket"])
     return _ratios(d)
 
 
-def pnl_total(df: DataFrame, *, fee: float = FEE_ROUNDTRIP) -> DataFrame:
+def pnl_total(df: DataFrame) -> DataFrame:
     """Totals from raw sums (not means of means)."""
-    return _ratios(df.agg(*_aggregates(fee)))
+    return _ratios(_settled(df).agg(*_aggregates()))
 
 
 def pnl_rollup(df: DataFrame, bucket_secs: int) -> DataFrame:
     """Buckets and the grand total (null bucket) in one pass."""
-    d = df.withColumn("bucket", bucket_align(F.col("ts"), bucket_secs))
-    return _ratios(d.rollup("bucket").agg(*_aggregates(FEE_ROUNDTRIP)))
+    d = _settled(df).withColumn("bucket", bucket_align(F.col("ts"), bucket_secs))
+    return _ratios(d.rollup("bucket").agg(*_aggregates()))
 
 
 def unrealized_pnl(df: DataFrame, mark: float | Column, *, fee: float = FEE_ROUNDTRIP, by: list[str] | None = None) -> DataFrame:
-    """Open rows valued at a mark price, by side; rows of size or entry 0 are skipped."""
+    """Open rows valued at a mark price, by side, less the fee; rows of size or entry 0 are skipped, rows of neither side are worth 0."""
     mark = F.lit(mark) if isinstance(mark, float | int) else mark
     open_ = (F.col("status") == "open") & (F.col("size") != 0) & (F.col("entry") != 0)
-    move = (mark - F.col("entry")) / F.col("entry") * F.when(F.col("dtype") == "short", -1.0).otherwise(1.0)
-    return df.where(open_).groupBy(*(by or []), "dtype").agg(F.sum(F.col("size") * (move - fee)).alias("unrealized"), F.count("*").alias("positions"))
+    move = (mark - F.col("entry")) / F.col("entry")
+    worth = F.when(F.col("dtype") == "long", move - fee).when(F.col("dtype") == "short", -move - fee).otherwise(0.0)
+    return df.where(open_).groupBy(*(by or []), "dtype").agg(F.sum(F.col("size") * worth).alias("unrealized"), F.count("*").alias("positions"))
+
+
+def orders(
+    df: DataFrame, *, now: int, lo: int | None = None, hi: int | None = None, status: str | None = None, limit: int = 1000, order: str = "desc",
+    interval: str | None = None, mark: float | None = None, block_secs: int = 5,
+) -> dict[str, DataFrame]:
+    """Orders and step cursors of a station of observations: ``rows``, ``meta`` (scanned, truncated, order, complete) and, with an interval, ``pnl`` and ``unrealized``.
+
+    Each order id is there once, with its latest row; the status filter comes after that and spares cursors.  ``pnl``
+    covers the whole window, ``limit`` cuts ``rows`` only; ``complete`` is false where the window has more blocks than the cap.
+    """
+    hi = now if hi is None else hi
+    lo = hi - MAX_WINDOW if lo is None else lo
+    check_query_bounds(lo, hi, limit)
+    cursor = F.coalesce(F.col("labels")["kind"] == "trading_step", F.lit(False))
+    window = query_recent(df, lo, hi, block_secs=block_secs)
+    kept = window.where(cursor | (F.col("signal") == "order")).withColumn("order_id", F.col("labels")["order_id"])
+    row = F.struct(*kept.columns)
+    latest = kept.where("order_id IS NOT NULL").groupBy("order_id").agg(F.max_by(row, F.struct("ts", "seq")).alias("x")).select("x.*")
+    d = latest.unionByName(kept.where("order_id IS NULL"))
+    if status is not None:
+        d = d.where(cursor | (F.col("labels")["status"] == status))
+    sizes = d.agg(F.count("*").alias("n"))
+    meta = window.agg(F.count("*").alias("scanned")).crossJoin(F.broadcast(sizes)).select(
+        "scanned", (F.col("n") > limit).alias("truncated"), F.lit(order).alias("order"), F.lit(window_fits_cap(lo, hi, block_secs)).alias("complete")
+    )
+    out = {"rows": order_and_limit(d, limit, order).drop("order_id"), "meta": meta}
+    if interval is not None:
+        typed = ledger_from_observations(d)[0]
+        out["pnl"] = pnl_buckets(typed, parse_resolution(interval))
+        if mark is not None:
+            out["unrealized"] = unrealized_pnl(typed, mark)
+    return out
 
 
 def trade_report(df: DataFrame, by: list[str]) -> DataFrame:
@@ -159,6 +201,11 @@ def centred_levels(mid: Column, step: float, n_each: int) -> Column:
     return F.transform(F.sequence(F.lit(-n_each), F.lit(n_each)), lambda i: mid + i * step)
 
 
+def explicit_levels(prices: list[float]) -> Column:
+    """The given prices, sorted, each once."""
+    return F.array(*[F.lit(float(p)) for p in sorted(set(prices))])
+
+
 def weights(n: int, kind: str = "uniform", *, sharpness: float = 1.0, ascending: bool = True, direction: float = 1.0, strength: float = 0.5) -> Column:
     """Normalised weights of ``n`` levels: uniform, normal, linear or trend."""
     i = F.sequence(F.lit(0), F.lit(n - 1))
@@ -180,17 +227,25 @@ def weights(n: int, kind: str = "uniform", *, sharpness: float = 1.0, ascending:
     return F.transform(values, lambda v: v / total)
 
 
-def level_touch(candles: DataFrame, levels: DataFrame, by: list[str], band: float) -> DataFrame:
-    """Bars and the levels within their low and high: an equi-join on price bands of width ``band``, then the exact test."""
-    bars = candles.withColumn("band", F.explode(F.sequence(F.floor(F.col("l") / band), F.floor(F.col("h") / band))))
-    marks = levels.withColumn("band", F.floor(F.col("price") / band))
-    return bars.join(marks, [*by, "band"]).where("price BETWEEN l AND h").drop("band")
+def level_touch(candles: DataFrame, levels: DataFrame, by: list[str], band: float | None = None) -> DataFrame:
+    """Bars and the levels within their low and high: an equi-join on price bands, then the exact test.
+
+    Bands are as wide as a key's bars on average (or ``band``), so bars meet two bands in the mean, whatever their range.
+    """
+    if band is None:
+        wide = candles.groupBy(*by).agg(F.greatest(F.avg(F.col("h") - F.col("l")), F.max(F.abs("h")) * 1e-9, F.lit(1e-12)).alias("__wide"))
+    else:
+        wide = candles.select(*by).distinct().withColumn("__wide", F.lit(float(band)))
+    at = lambda c: F.floor(F.col(c) / F.col("__wide"))
+    bars = candles.join(wide, by).withColumn("__band", F.explode(F.sequence(at("l"), at("h")))).drop("__wide")
+    marks = levels.join(wide, by).withColumn("__band", at("price")).drop("__wide")
+    return bars.join(marks, [*by, "__band"]).where("price BETWEEN l AND h").drop("__band")
 
 
 def barrier_exit(entries: DataFrame, candles: DataFrame, by: list[str], *, max_bars: int, fee: float = FEE_ROUNDTRIP) -> DataFrame:
     """The first bar from ``unlock_seq`` on that touches stop or target; the stop wins when both are touched.
 
-    A bar that opens beyond a barrier fills at its open; entries that no bar touches have no row.  Bars are the leaves of a
+    A bar that opens beyond a barrier fills at its open; entries that no bar touches stay ``open`` (no bar, fill or result).  Bars are the leaves of a
     tree with ``max_bars`` children a node; a node holds the least low and greatest high below it.  An entry meets the later
     siblings on its path up, then the children of the first node that can hit: a few blocks, however late the exit is.
     """
@@ -238,7 +293,31 @@ def barrier_exit(entries: DataFrame, candles: DataFrame, by: list[str], *, max_b
     d = d.withColumn("bar", (F.col("node") + lo).cast(bars.schema["bar"].dataType))
     first = d.groupBy(*by, "order_id", "dtype", "entry").agg(F.min_by(F.struct("bar", "fill", "reason"), "bar").alias("x")).select(*by, "order_id", "dtype", "entry", "x.*")
     move = (F.col("fill") - F.col("entry")) / F.col("entry") * F.when(F.col("dtype") == "long", 1.0).otherwise(-1.0)
-    return first.withColumn("pnl_pct", move - fee)
+    closed = first.withColumn("pnl_pct", move - fee)
+    hit = closed.drop("dtype", "entry")
+    d = entries.select(*by, "order_id", "dtype", "entry").join(hit, [*by, "order_id"], "left")
+    return d.withColumn("reason", F.coalesce("reason", F.lit("open"))).select(*by, "order_id", "dtype", "entry", "bar", "fill", "reason", "pnl_pct")
+
+
+def one_open_per_level(entries: DataFrame, exits: DataFrame, by: list[str], level: str = "level") -> DataFrame:
+    """The exits of entries that find their level free: a level is taken from an accepted entry's ``unlock_seq`` to its exit bar.
+
+    Sequential within a level by nature; each level's narrow rows (three columns) are one group.
+    """
+    d = entries.select(*by, level, "order_id", "unlock_seq").join(exits.select(*by, "order_id", "bar"), [*by, "order_id"])
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.select(*by, "order_id").schema)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["unlock_seq", "order_id"])
+        free, keep = -np.inf, []
+        for unlock, bar in zip(pdf["unlock_seq"].to_numpy(), pdf["bar"].to_numpy(float), strict=True):
+            ok = unlock > free
+            keep.append(ok)
+            if ok:
+                free = np.inf if np.isnan(bar) else bar
+        return pdf.loc[keep, [*by, "order_id"]]
+
+    return exits.join(d.groupBy(*by, level).applyInPandas(walk, keys), [*by, "order_id"], "left_semi")
 
 
 def kelly_size(win_p: Column, sl_pct: Column, fraction: float, capital: float) -> Column:
@@ -260,6 +339,22 @@ def derivative_fee(contract_value: Column, rate: float, minimum: float, clearing
     return 2 * one / contract_value
 
 
+# brokers' fees of derivatives: commission rate, least commission, clearing fee, tax rate, contract multiplier.
+BROKERS = {
+    "vps_standard": (0.0005, 10_000.0, 3_300.0, 0.001, 100_000.0),
+    "vps_internal": (0.0003, 10_000.0, 3_300.0, 0.001, 100_000.0),
+    "mbs_standard": (0.00045, 0.0, 3_300.0, 0.001, 100_000.0),
+    "mbs_prepaid": (0.0003, 0.0, 3_300.0, 0.001, 100_000.0),
+    "ssi_standard": (0.0005, 8_000.0, 3_300.0, 0.001, 100_000.0),
+}
+
+
+def broker_fee(price: Column, broker: str) -> Column:
+    """Round trip of a broker's fees at a price, as a share of the contract's value."""
+    rate, least, clearing, tax, multiplier = BROKERS[broker]
+    return derivative_fee(price * multiplier, rate, least, clearing, tax)
+
+
 def min_profitable_step(price: Column, fee: float) -> Column:
     return 2 * fee * price
 
@@ -308,45 +403,106 @@ def carry_plan_stats(new: DataFrame, old: DataFrame, by: list[str]) -> DataFrame
     Counters start at 0 where nothing overlaps or the number of levels differs.
     """
     o = old.select(*by, *[F.col(c).alias(f"old_{c}") for c in ("lo", "hi", "levels", "wins", "losses")])
-    pairs = new.join(o, by).where("old_lo <= hi AND old_hi >= lo")
+    pairs = new.join(o, by).where("old_lo <= hi AND old_hi >= lo")  # plans of a key are few: one for each of its grids
     overlap = F.least("hi", "old_hi") - F.greatest("lo", "old_lo")
     dist = F.abs((F.col("lo") + F.col("hi")) / 2 - (F.col("old_lo") + F.col("old_hi")) / 2)
-    best = pairs.groupBy(*by, "plan").agg(F.max_by(F.struct("old_levels", "old_wins", "old_losses"), F.struct(overlap, -dist)).alias("x")).select(*by, "plan", "x.*")
+    rest = F.struct("old_levels", "old_wins", "old_losses")
+    best = pairs.groupBy(*by, "plan").agg(F.max_by(rest, F.struct(overlap, -dist, rest)).alias("x")).select(*by, "plan", "x.*")
     d = new.join(best, [*by, "plan"], "left")
     same = F.col("old_levels") == F.col("levels")
     return d.select(*new.columns, *[F.when(same, F.col(f"old_{c}")).otherwise(0).alias(c) for c in ("wins", "losses")])
 
 
-def risk_governor(df: DataFrame, by: list[str], *, last: int, max_streak: int, newest_first: bool = True) -> DataFrame:
-    """Losing streak and failure rate of the last trades, and the size scale and pause they ask for."""
-    d = df.where("status = 'closed' AND pnl_pct IS NOT NULL")
-    order = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("seq"))
-    d = d.withColumn("i", F.row_number().over(order)).where(F.col("i") <= last)
-    good = F.col("pnl_pct") > 0
-    g = d.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min(F.when(good, F.col("i"))).alias("first_win"), F.max(F.when(good, F.col("i"))).alias("last_win"),
-        F.avg((~good).cast("double")).alias("fail_rate"),
+def _outcomes(df: DataFrame) -> DataFrame:
+    """Closed orders with ``lost``: a negative result; an order without a result isn't a loss."""
+    return df.where("status = 'closed'").withColumn("lost", F.coalesce(F.col("pnl_pct") < 0, F.lit(False)))
+
+
+def risk_governor(
+    df: DataFrame, by: list[str], *, now: int, last: int = 20, size_step: float = 0.1, size_floor: float = 0.2, rate_ref: float = 0.5, rate_penalty: float = 0.5,
+    soft_streak: int = 3, skip_cap: int = 5, hard_streak: int = 6, pause_secs: int = 3600, model_win: float = 0.5, sl_widen_max: float = 1.5, newest_first: bool = False,
+) -> DataFrame:
+    """Losing streak and failure rate of the first ``last`` closed orders in the order given (or the newest), and what they ask for.
+
+    risk_scale shrinks the size by streak and by the rate above its reference; apply_skip thins out steps beyond the soft
+    streak; paused holds from the hard streak on until the pause after the last loss is over; sl_widen widens stops by how
+    far the share of wins of all closed orders lies below the model's.
+    """
+    d = _outcomes(df)
+    up = [F.desc("ts"), F.desc("seq")] if newest_first else [F.asc("ts"), F.asc("seq")]
+    few = d.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(*up))).where(F.col("i") <= last)
+    streak = F.coalesce(F.min(F.when(~F.col("lost"), F.col("i"))) - 1, F.count("*")).cast("long")
+    g = few.groupBy(*by).agg(streak.alias("streak"), F.avg(F.col("lost").cast("double")).alias("fail_rate"))
+    whole = d.groupBy(*by).agg(F.avg((~F.col("lost")).cast("double")).alias("real_win"), F.coalesce(F.max(F.when(F.col("lost"), F.col("ts"))), F.lit(0)).alias("last_fail_ts"))
+    k, rate = F.col("streak"), F.col("fail_rate")
+    scale = F.when(k > 0, 1 - size_step * k).otherwise(1.0) * F.when(rate > rate_ref, 1 - rate_penalty * (rate - rate_ref)).otherwise(1.0)
+    skip = F.when(k > soft_streak, F.least(1 + k - soft_streak, F.lit(skip_cap))).otherwise(1)
+    deficit = F.greatest(F.lit(0.0), (model_win - F.col("real_win")) / model_win) if model_win > 0 else F.lit(0.0)
+    return g.join(whole, by).select(
+        *by, "streak", "fail_rate", F.greatest(scale, F.lit(size_floor)).alias("risk_scale"), skip.cast("long").alias("apply_skip"),
+        ((k >= hard_streak) & (F.lit(now) - F.col("last_fail_ts") < pause_secs)).alias("paused"),
+        F.least(1 + deficit * (sl_widen_max - 1), F.lit(sl_widen_max)).alias("sl_widen"), "last_fail_ts",
     )
-    streak = F.coalesce(F.col("first_win") - 1, F.col("n")) if newest_first else F.coalesce(F.col("n") - F.col("last_win"), F.col("n"))
-    g = g.withColumn("streak", streak.cast("long"))
-    return g.select(*by, "n", "streak", "fail_rate", F.pow(F.lit(0.5), F.least("streak", F.lit(4))).alias("size_scale"), (F.col("streak") >= max_streak).alias("paused"))
 
 
 def perf_metrics(df: DataFrame, by: list[str]) -> DataFrame:
-    closed = (F.col("status") == "closed") & F.col("pnl_pct").isNotNull()
-    open_ = F.col("status") == "open"
+    """Share of wins (closed orders that aren't losses), counts and notional of open orders by side, and the last result."""
+    closed, open_ = F.col("status") == "closed", F.col("status") == "open"
+    lost = F.coalesce(F.col("pnl_pct") < 0, F.lit(False))
+
+    def held(side: str) -> list[Column]:
+        mine = open_ & (F.col("dtype") == side) & F.col("size").isNotNull()
+        return [F.coalesce(F.sum(F.when(mine, F.col("size"))), F.lit(0.0)).alias(f"open_{side}"), F.count_if(mine).alias(f"{side}_count")]
+
     return df.groupBy(*by).agg(
-        F.coalesce(F.avg(F.when(closed, (F.col("pnl_pct") > 0).cast("double"))), F.lit(0.0)).alias("win_rate"),
-        F.count_if(closed).alias("closed"), F.count_if(open_).alias("open"),
-        F.coalesce(F.sum(F.when(open_ & (F.col("dtype") == "long"), F.col("size"))), F.lit(0.0)).alias("open_long"),
-        F.coalesce(F.sum(F.when(open_ & (F.col("dtype") == "short"), F.col("size"))), F.lit(0.0)).alias("open_short"),
+        F.coalesce(F.avg(F.when(closed, (~lost).cast("double"))), F.lit(0.0)).alias("win_rate"), F.count_if(closed).alias("closed"), F.count_if(open_).alias("open"),
+        F.coalesce(F.sum(F.when(open_, F.col("size"))), F.lit(0.0)).alias("open_notional"), *held("long"), *held("short"),
+        F.coalesce(F.max_by(F.when(closed, F.col("pnl_pct")), F.when(closed & F.col("pnl_pct").isNotNull(), F.struct("ts", "seq"))), F.lit(0.0)).alias("pnl_last"),
     )
 
 
 def replay_state(df: DataFrame) -> DataFrame:
-    """Orders that were opened and never closed."""
+    """Open orders: the newest opening of each (grid, level), unless its id was ever closed."""
     closed = df.where("status = 'closed' AND order_id IS NOT NULL").select("order_id").distinct()
-    return df.where("status = 'open'").join(closed, "order_id", "left_anti")
+    row = F.struct(*df.columns)
+    newest = df.where("status = 'open'").groupBy("grid", "level").agg(F.max_by(row, F.struct("ts", "seq", "order_id")).alias("x")).select("x.*")
+    return newest.join(closed, "order_id", "left_anti").select(*df.columns)
+
+
+def replay(df: DataFrame, by: list[str]) -> dict[str, DataFrame]:
+    """A session rebuilt from its log of observations, all keyed: ``open`` orders, closed ``history``, ``faults``, ``cursor`` maxima and newest ``plan``.
+
+    Plans are rows of kind ``plan`` with a JSON array in the label ``grids``; one that can't be read clears
+    older plans and the time of the next review.
+    """
+    kind = F.col("labels")["kind"]
+
+    def num(k: str) -> Column:
+        return F.coalesce(F.expr(f"try_cast(labels['{k}'] AS bigint)"), F.lit(0))
+
+    steps = df.where(kind == "trading_step").select(*by, "ts", "seq", *[num(k).alias(k) for k in ("candle_seq", "next_review", "candle_id")])
+    plans = df.where((F.col("signal") == "summary") & (kind == "plan")).select(*by, "ts", "seq", F.col("labels")["grids"].alias("grids"))
+    good = F.coalesce(F.size(F.from_json("grids", "array<string>")) >= 0, F.lit(False))
+    broken = plans.where(~good).groupBy(*by).agg(F.max("seq").alias("bad"))
+    valid = plans.where(good).join(broken, by, "left").where("bad IS NULL OR seq > bad")
+    review = F.max(F.when(F.col("bad").isNull() | (F.col("seq") > F.col("bad")), F.col("next_review")))
+    cursor = steps.join(broken, by, "left").groupBy(*by).agg(
+        F.max("candle_seq").alias("candle_seq"), F.max("ts").alias("candle_ts"), F.coalesce(review, F.lit(0)).alias("next_review"), F.max("candle_id").alias("candle_id")
+    )
+    keyed = df.where("signal = 'order'").select(*by, F.struct(*df.columns).alias("o"))
+    keep = [c for c in by if c not in ("ts", "seq", "value", "labels", "signal")]
+    typed = keyed.select(*[F.col(c) for c in keep], "o.ts", "o.value", "o.labels", "o.signal", "o.seq")
+    fields = ledger_fields()
+    good_order = F.coalesce(F.col("dtype").isin("long", "short") & (F.col("entry") > 0), F.lit(False))
+    d = typed.select(*keep, *fields)
+    rows, faults = d.where(good_order), d.where(~good_order)
+    closed = rows.where("status = 'closed'")
+    row = F.struct(*rows.columns)
+    newest = rows.where("status IS NULL OR status <> 'closed'").groupBy(*keep, "grid", "level").agg(F.max_by(row, F.struct("ts", "seq")).alias("x")).select("x.*")
+    return {
+        "open": newest.join(closed.select(*keep, "order_id").distinct(), [*keep, "order_id"], "left_anti").select(*rows.columns), "history": closed, "faults": faults,
+        "cursor": cursor, "plan": valid.groupBy(*by).agg(F.max_by("grids", F.struct("ts", "seq")).alias("grids"), F.max("ts").alias("ts")),
+    }
 
 
 def already_processed(markers: DataFrame, ts: int) -> DataFrame:
@@ -365,8 +521,8 @@ def plan_from_grid(
 ) -> DataFrame:
     """One row per visited cell: price, win probabilities by side, weight and whether the spacing pays.
 
-    Probabilities follow the cell's drift, clamped to [0.25, max(0.75, breakeven)]; ``realised(by..., cell, wins, losses)``
-    replaces them after ``min_trades``.  Weights are inverse occupancy, normalised per key; the key's own slope ratio tilts both sides.
+    Probabilities follow the cell's drift, clamped to [0.25, max(0.75, breakeven)]; ``realised(by..., cell, dtype, wins, losses)``
+    replaces that of its side (long or short) after ``min_trades``.  Weights are inverse occupancy, normalised per key; the key's own slope ratio tilts both sides.
     """
     dominant = G.dominant_cells(df, by, fitted, interval_secs)
     drift = G.move_probabilities(G.transitions(dominant, by), by, per_cell=True).select(*by, F.col("from").alias("cell"), (F.col("up") - F.col("down")).alias("drift"))
@@ -382,9 +538,10 @@ def plan_from_grid(
     lean = F.coalesce("drift", F.lit(0.0)) / 2 + F.col("tilt") / 4
     d = d.withColumn("long_p", clamp(0.5 + lean)).withColumn("short_p", clamp(0.5 - lean))
     if realised is not None:
-        d = d.join(realised.select(*by, "cell", "wins", "losses"), [*by, "cell"], "left")
-        known = F.coalesce(F.col("wins") + F.col("losses"), F.lit(0)) >= min_trades
-        d = d.withColumn("long_p", F.when(known, clamp(F.col("wins") / (F.col("wins") + F.col("losses")))).otherwise(F.col("long_p")))
+        for side in ("long", "short"):
+            real = realised.where(F.col("dtype") == side).select(*by, "cell", (F.col("wins") / (F.col("wins") + F.col("losses"))).alias("real"), (F.col("wins") + F.col("losses")).alias("trades"))
+            d = d.join(real, [*by, "cell"], "left")
+            d = d.withColumn(f"{side}_p", F.when(F.col("trades") >= min_trades, clamp(F.col("real"))).otherwise(F.col(f"{side}_p"))).drop("real", "trades")
     total = occ.groupBy(*by).agg(F.sum(1 / F.col("n")).alias("inverse"))
     price = F.col("offset") + (F.col("cell") + 0.5) * F.col("step")
     return d.join(total, by).select(
@@ -392,14 +549,28 @@ def plan_from_grid(
     )
 
 
-def param_sweep(entries: DataFrame, candles: DataFrame, by: list[str], params: DataFrame, *, max_bars: int, fee: float = FEE_ROUNDTRIP) -> DataFrame:
-    """Mean score of each (sl_pct, tp_pct) of ``params`` over all entries, as one job."""
-    d = entries.drop("sl", "tp").crossJoin(params.select("param", "sl_pct", "tp_pct"))
+def param_sweep(
+    entries: DataFrame, candles: DataFrame, by: list[str], params: DataFrame, *, max_bars: int, fee: float = FEE_ROUNDTRIP, windows: dict[str, tuple[int, int]] | None = None
+) -> DataFrame:
+    """Trades and mean result of each (sl_pct, tp_pct) of ``params`` in each window of bars, as one job; ``best`` marks the set of greatest mean score.
+
+    ``windows`` {name: (from, to)} holds entries by ``unlock_seq`` (to is exclusive), for instance train and test by time;
+    none: all bars.  ``mean_score`` is the mean over windows, a window without closed trades counts as 0.
+    """
+    windows = windows or {"all": (-(1 << 62), 1 << 62)}
+    spans = F.array(*[F.struct(F.lit(n).alias("window"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for n, (a, b) in windows.items()])
+    placed = entries.drop("sl", "tp").withColumn("w", F.explode(F.filter(spans, lambda w: (F.col("unlock_seq") >= w["a"]) & (F.col("unlock_seq") < w["b"]))))
+    sets = params.select(F.array_sort(F.collect_list(F.struct("param", "sl_pct", "tp_pct"))).alias("sets"))  # a caller's list of parameter sets
+    d = placed.crossJoin(F.broadcast(sets)).withColumn("p", F.explode("sets"))
     sign = F.when(F.col("dtype") == "long", 1.0).otherwise(-1.0)
-    d = d.withColumn("sl", F.col("entry") * (1 - sign * F.col("sl_pct"))).withColumn("tp", F.col("entry") * (1 + sign * F.col("tp_pct")))
-    d = d.withColumn("order_id", F.concat_ws("/", "param", "order_id"))
-    x = barrier_exit(d, candles, by, max_bars=max_bars, fee=fee).withColumn("param", F.substring_index("order_id", "/", 1))
-    return x.groupBy("param").agg(F.count("*").alias("trades"), F.avg("pnl_pct").alias("score"))
+    d = d.withColumn("sl", F.col("entry") * (1 - sign * F.col("p.sl_pct"))).withColumn("tp", F.col("entry") * (1 + sign * F.col("p.tp_pct")))
+    d = d.withColumn("order_id", F.to_json(F.struct(F.col("p.param").alias("p"), F.col("w.window").alias("w"), F.col("order_id").alias("o"))))
+    x = barrier_exit(d.drop("w", "p", "sets"), candles, by, max_bars=max_bars, fee=fee)
+    x = x.withColumn("param", F.get_json_object("order_id", "$.p")).withColumn("window", F.get_json_object("order_id", "$.w"))
+    g = x.groupBy("param", "window").agg(F.count("pnl_pct").alias("trades"), F.count_if(F.col("reason") == "open").alias("open"), F.coalesce(F.avg("pnl_pct"), F.lit(0.0)).alias("score"))
+    means = g.groupBy("param").agg((F.sum("score") / len(windows)).alias("mean_score"))
+    top = means.agg(F.max_by("param", F.struct("mean_score", "param")).alias("top"))
+    return g.join(means, "param").crossJoin(F.broadcast(top)).withColumn("best", F.col("param") == F.col("top")).drop("top")
 
 
 def loss_runs(df: DataFrame, by: list[str]) -> DataFrame:

@@ -9,13 +9,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import quantiles
+
 
 def ecdf(df: DataFrame, by: list[str]) -> DataFrame:
     """Share of rows at or below each distinct value."""
     counted = df.where("value IS NOT NULL").groupBy(*by, "value").agg(F.count("*").alias("n"))
-    up = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    share = F.sum("n").over(up) / F.sum("n").over(Window.partitionBy(*by))
-    return counted.select(*by, "value", share.alias("ecdf"))
+    return with_share(counted, by).select(*by, "value", "ecdf")
+
+
+def with_share(counted: DataFrame, by: list[str], ranges: int = 256) -> DataFrame:
+    """Adds ``upto`` and ``ecdf`` to the distinct values (by..., value, n) of each key: running counts inside ranges of values, plus the counts of lower ranges."""
+    cuts = counted.groupBy(*by).agg(F.percentile_approx("value", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000).alias("__cuts"), F.sum("n").alias("__all"))
+    d = counted.join(cuts, by) if by else counted.crossJoin(F.broadcast(cuts))
+    d = d.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("value")))).drop("__cuts")
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy(*by, "__range").agg(F.sum("n").alias("__s")).withColumn("__before", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
+    inside = Window.partitionBy(*by, "__range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__in", F.sum("n").over(inside)).join(sums, [*by, "__range"])
+    return d.withColumn("upto", F.col("__in") + F.col("__before")).withColumn("ecdf", F.col("upto") / F.col("__all")).drop("__in", "__before", "__range", "__all")
 
 
 def exceedance(df: DataFrame, by: list[str], threshold: float) -> DataFrame:
@@ -43,12 +55,16 @@ def _t_quantile(z: float, nu: Column) -> Column:
     return F.lit(z) + g[0] / nu + g[1] / nu**2 + g[2] / nu**3
 
 
-def confidence_interval(df: DataFrame, by: list[str], level: float = 0.95, method: str = "t", *, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """Interval of the mean: t, normal, percentile (of the data) or bootstrap (Poisson weights, no resampling shuffle)."""
+def confidence_interval(df: DataFrame, by: list[str], level: float = 0.95, method: str = "t", *, resamples: int = 1000, seed: int = 42, row_key: list[str] | None = None) -> DataFrame:
+    """Interval of the mean: t, normal, percentile (of the data) or bootstrap (Poisson weights, no resampling shuffle).
+
+    ``row_key`` names the columns that tell rows apart for the bootstrap (all but maps); rows equal in them share their weights.
+    """
+    row_key = row_key or [f.name for f in df.schema if f.dataType.typeName() != "map"]
     d = df.where("value IS NOT NULL")
     tail = (1 - level) / 2
     if method == "percentile":
-        return d.groupBy(*by).agg(F.percentile("value", tail).alias("low"), F.percentile("value", 1 - tail).alias("high"), F.avg("value").alias("mean"))
+        return quantiles(d, by, {"low": tail, "high": 1 - tail}).join(d.groupBy(*by).agg(F.avg("value").alias("mean")), by)
     if method in ("t", "normal"):
         g = d.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n"))
         q = F.lit(Z[level]) if method == "normal" else _t_quantile(Z[level], F.col("n") - 1)
@@ -59,29 +75,45 @@ def confidence_interval(df: DataFrame, by: list[str], level: float = 0.95, metho
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.select(*by).schema)
 
     def weigh(batches):
-        sums: dict[tuple, list] = {}
+        """Poisson weights come from a hash of (row, resample, seed), so they don't depend on how rows are laid out."""
+        sums: dict[tuple, np.ndarray] = {}
+        salts = _mixed(np.arange(resamples, dtype=np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 1) % (1 << 64)))
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(len(by))]
-            hashes, values = batch.column(len(by)).to_numpy(), batch.column(len(by) + 1).to_numpy()
-            rng = np.random.default_rng([seed, int(hashes[0]) & 0xFFFFFFFF, batch.num_rows])
-            codes = list(zip(*cols, strict=True)) if cols else [()] * batch.num_rows
-            for key in dict.fromkeys(codes):
-                mine = values[[c == key for c in codes]]
-                own = sums.setdefault(key, [np.zeros(resamples), np.zeros(resamples)])
-                for lo in range(0, len(mine), 1024):
-                    x = mine[lo : lo + 1024]
-                    w = rng.poisson(1.0, (resamples, len(x))).astype(np.float64)
-                    own[0] += w @ x
-                    own[1] += w.sum(axis=1)
+            names = list(zip(*cols, strict=True)) if cols else [()] * batch.num_rows
+            place = {k: i for i, k in enumerate(dict.fromkeys(names))}
+            codes = np.array([place[k] for k in names])
+            hashes = batch.column(len(by)).to_numpy().astype(np.int64).view(np.uint64)
+            values = batch.column(len(by) + 1).to_numpy()
+            for lo in range(0, len(codes), 512):
+                part = slice(lo, lo + 512)
+                u = (_mixed(hashes[part, None] ^ salts[None]) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+                w = np.searchsorted(_POISSON, u, "right").astype(np.float64)
+                member = (codes[part, None] == np.arange(len(place))[None]).astype(np.float64)
+                tops, counts = (member * values[part, None]).T @ w, member.T @ w
+                for key, i in place.items():
+                    own = sums.setdefault(key, np.zeros((2, resamples)))
+                    own += (tops[i], counts[i])
         for key, (s, n) in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array([k] * resamples) for k in key], pa.array(range(resamples), pa.int32()), pa.array(s), pa.array(n)],
                 names=[*by, "b", "s", "n"],
             )
 
-    parts = d.select(*by, F.xxhash64("value"), "value").mapInArrow(weigh, f"{keys + ', ' if keys else ''}b int, s double, n double")
+    parts = d.select(*by, F.xxhash64(*row_key), "value").mapInArrow(weigh, f"{keys + ', ' if keys else ''}b int, s double, n double")
     means = parts.groupBy(*by, "b").agg((F.sum("s") / F.sum("n")).alias("m"))
-    return means.groupBy(*by).agg(F.avg("m").alias("mean"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
+    return means.groupBy(*by).agg(F.avg("m").alias("mean"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))  # ``resamples`` rows a key
+
+
+#: Distribution function of a Poisson variable of mean 1.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def conditional_probability(df: DataFrame, by: list[str], condition: Column, event: Column) -> DataFrame:
@@ -92,13 +124,13 @@ def conditional_probability(df: DataFrame, by: list[str], condition: Column, eve
 
 
 def tail_probability(df: DataFrame, by: list[str], q: float) -> DataFrame:
-    at = df.groupBy(*by).agg(F.percentile("value", q).alias("threshold"))
+    at = quantiles(df, by, {"threshold": q})
     above = F.col("value") > F.col("threshold")
     return df.where("value IS NOT NULL").join(at, by).groupBy(*by, "threshold").agg(F.avg(above.cast("double")).alias("share"), F.avg(F.when(above, F.col("value"))).alias("mean_above"))
 
 
 def value_at_risk(df: DataFrame, by: list[str], confidence: float = 0.95) -> DataFrame:
-    return df.groupBy(*by).agg(F.percentile("value", 1 - confidence).alias("var"))
+    return quantiles(df, by, {"var": 1 - confidence})
 
 
 def expected_shortfall(df: DataFrame, by: list[str], confidence: float = 0.95) -> DataFrame:

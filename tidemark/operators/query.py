@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,10 @@ MAX_WINDOW = 30 * 86_400
 def _blocks(df: DataFrame, lo: int, hi: int, block_secs: int | None) -> DataFrame:
     """Prunes partitions by block where the table has them; Catalyst can't derive ``blk`` from ``ts``."""
     if block_secs and "blk" in df.columns:
-        first = max(lo // block_secs, hi // block_secs - BLOCK_CAP + 1)
+        first = lo // block_secs
+        if not window_fits_cap(lo, hi, block_secs):
+            first = hi // block_secs - BLOCK_CAP + 1
+            warnings.warn(f"the window has more than {BLOCK_CAP} blocks: only the newest are read", stacklevel=3)
         return df.where(F.col("blk").between(first, hi // block_secs))
     return df
 
@@ -30,7 +35,7 @@ def matches(signal: str | None = None, label_kind: str | None = None, status: st
 
 
 def query_recent(df: DataFrame, lo: int, hi: int, *, block_secs: int | None = None) -> DataFrame:
-    """Rows with lo <= ts <= hi; holes don't matter; of a partitioned table only the newest blocks up to the cap."""
+    """Rows with lo <= ts <= hi; holes don't matter; of a partitioned table only the newest blocks up to the cap, with a warning (see ``window_fits_cap``)."""
     return _blocks(df, lo, hi, block_secs).where(F.col("ts").between(lo, hi))
 
 
@@ -70,14 +75,15 @@ def order_and_limit(df: DataFrame, limit: int, order: str = "desc") -> DataFrame
 
 def query_timeseries(
     df: DataFrame, *, now: int, lo: int | None = None, hi: int | None = None, limit: int = 1000, order: str = "desc",
-    signal: str | None = None, label_kind: str | None = None, status: str | None = None,
+    signal: str | None = None, label_kind: str | None = None, status: str | None = None, block_secs: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The rows, and one row (scanned, truncated, order) about them."""
+    """The rows, and one row (scanned, truncated, order, complete) about them; complete is false where blocks beyond the cap were left out."""
     hi = now if hi is None else hi
     lo = hi - MAX_WINDOW if lo is None else lo
     check_query_bounds(lo, hi, limit)
-    kept = query_recent(df, lo, hi).where(matches(signal, label_kind, status))
-    meta = kept.agg(F.count("*").alias("scanned")).select("scanned", (F.col("scanned") > limit).alias("truncated"), F.lit(order).alias("order"))
+    kept = query_recent(df, lo, hi, block_secs=block_secs).where(matches(signal, label_kind, status))
+    fits = F.lit(block_secs is None or window_fits_cap(lo, hi, block_secs))
+    meta = kept.agg(F.count("*").alias("scanned")).select("scanned", (F.col("scanned") > limit).alias("truncated"), F.lit(order).alias("order"), fits.alias("complete"))
     return order_and_limit(kept, limit, order), meta
 
 
@@ -117,3 +123,21 @@ def describe_station(df: DataFrame, by: list[str], block_secs: int) -> DataFrame
 
 def invalidate_from(df: DataFrame, ts: int) -> DataFrame:
     return df.where(F.col("ts") < ts)
+
+
+def station_query(stations: DataFrame, name: str, lo: int, hi: int, *, signal: str | None = None, label_kind: str | None = None, block_secs: int | None = None) -> DataFrame | None:
+    """Rows of one station of a table partitioned by ``station`` in [lo, hi]; None for a station that isn't there."""
+    own = stations.where(F.col("station") == name)
+    if own.limit(1).isEmpty():
+        return None
+    return query_recent(own, lo, hi, block_secs=block_secs).where(matches(signal, label_kind))
+
+
+def list_stations(stations: DataFrame) -> DataFrame:
+    """Station names and the kinds of their rows."""
+    return stations.groupBy("station").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+
+
+def station_status(stations: DataFrame) -> DataFrame:
+    """Rows, blocks and newest ts of each station."""
+    return stations.groupBy("station").agg(F.count("*").alias("rows"), F.countDistinct("blk").alias("blocks"), F.max("ts").alias("last_ts"))

@@ -6,35 +6,46 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sliced import with_halo
+from tidemark.operators.probability import with_share
+from tidemark.operators.ranks import quantiles
+from tidemark.operators.sliced import lags, slice_of, with_halo, with_row_halo
 
 PERCENTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
 
+def _corrected_skew(n: Column, g1: Column) -> Column:
+    return F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
+
+
+def _corrected_kurtosis(n: Column, g2: Column) -> Column:
+    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
+
+
 def describe(df: DataFrame, by: list[str], column: str = "value") -> DataFrame:
     """Moments (bias-corrected skewness and excess kurtosis), linear percentiles, median absolute deviation, cv."""
     x = F.col(column)
     d = df.where(x.isNotNull()).select(*by, x.cast("double").alias("x"))
     g = d.groupBy(*by).agg(
         F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.percentile("x", F.array(*[F.lit(p) for p in PERCENTILES])).alias("q"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"),
+        F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"),
     )
-    mad = d.join(g.select(*by, F.col("q")[4].alias("median")), by).groupBy(*by).agg(F.percentile(F.abs(F.col("x") - F.col("median")), 0.5).alias("mad"))
+    names = {f"p{round(p * 100):02d}": p for p in PERCENTILES}
+    q = quantiles(d, by, names, "x")
+    mad = quantiles(d.join(q.select(*by, "p50"), by), by, {"mad": 0.5}, F.abs(F.col("x") - F.col("p50")))
+    g = g.join(q, by)
     n = F.col("count").cast("double")
-    skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
-    kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
-    names = [F.col("q")[i].alias(f"p{round(p * 100):02d}") for i, p in enumerate(PERCENTILES)]
+    skew, kurt = _corrected_skew(n, F.col("g1")), _corrected_kurtosis(n, F.col("g2"))
     return g.join(mad, by).select(
         *by, "count", "mean", "std", "min", "max", *names, skew.alias("skew"), kurt.alias("kurtosis"), "mad",
         F.when(F.col("mean") != 0, F.col("std") / F.col("mean")).alias("cv"),
     )
 
 
-def rolling(df: DataFrame, by: list[str], window_secs: int, fns: list[str], *, center: bool = False) -> DataFrame:
-    """Duration windows (ts - w, ts], or centred ones; mean, std, min, max, median, skew, kurt, count."""
+def rolling(df: DataFrame, by: list[str], window_secs: int, fns: list[str], *, center: bool = False, q: float = 0.5) -> DataFrame:
+    """Duration windows (ts - w, ts], or centred ones; mean, std, min, max, median, quantile (``q``), skew and kurt (bias-corrected), count."""
     back = window_secs // 2 if center else window_secs - 1
     fore = window_secs // 2 if center else 0
     if center:
@@ -44,28 +55,31 @@ def rolling(df: DataFrame, by: list[str], window_secs: int, fns: list[str], *, c
     else:
         d = with_halo(df, window_secs)
     w = Window.partitionBy(*by, "slice").orderBy("ts").rangeBetween(-back, fore)
+    n = F.count("value").over(w).cast("double")
     table = {
-        "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count, "skew": F.skewness, "kurt": F.kurtosis,
-        "median": lambda c: F.percentile(c, 0.5),
+        "mean": lambda: F.avg("value").over(w), "std": lambda: F.stddev_samp("value").over(w), "min": lambda: F.min("value").over(w), "max": lambda: F.max("value").over(w),
+        "count": lambda: F.count("value").over(w), "skew": lambda: _corrected_skew(n, F.skewness("value").over(w)), "kurt": lambda: _corrected_kurtosis(n, F.kurtosis("value").over(w)),
+        "median": lambda: F.percentile("value", 0.5).over(w), "quantile": lambda: F.percentile("value", q).over(w),
     }
-    return d.withColumns({f"rolling_{f}": table[f]("value").over(w) for f in fns}).where("own").select(*df.columns, *[f"rolling_{f}" for f in fns])
+    return d.withColumns({f"rolling_{f}": table[f]() for f in fns}).where("own").select(*df.columns, *[f"rolling_{f}" for f in fns])
 
 
 def quantile(df: DataFrame, by: list[str], q: list[float]) -> DataFrame:
-    d = df.groupBy(*by).agg(F.percentile("value", F.array(*[F.lit(x) for x in q])).alias("v"))
-    return d.select(*by, F.posexplode("v").alias("i", "quantile")).select(*by, F.element_at(F.array(*[F.lit(x) for x in q]), F.col("i") + 1).alias("q"), "quantile")
+    wide = quantiles(df, by, {f"q{i}": x for i, x in enumerate(q)})
+    pairs = F.array(*[F.struct(F.lit(float(x)).alias("q"), F.col(f"q{i}").alias("quantile")) for i, x in enumerate(q)])
+    return wide.select(*by, F.explode(pairs).alias("x")).select(*by, "x.*")
 
 
 def acf(df: DataFrame, by: list[str], nlags: int = 40, z: float = 1.959963984540054) -> DataFrame:
     """Autocorrelation at lags 0..min(nlags, n - 1) with Bartlett half-widths."""
-    w = Window.partitionBy(*by).orderBy("ts", "seq")
+    df = df.where("value IS NOT NULL")
     stats = df.groupBy(*by).agg(F.avg("value").alias("m"), F.count("value").alias("n"))
-    d = df.join(stats, by).withColumn("x", F.col("value") - F.col("m"))
-    d = d.withColumns({f"l{k}": F.lag("x", k).over(w) for k in range(1, nlags + 1)})
+    d = df.select(*by, "ts", "seq", "value").join(stats, by).withColumn("x", F.col("value") - F.col("m"))
+    d = lags(d, by, {f"l{k}": ("x", k) for k in range(1, nlags + 1)})
     sums = d.groupBy(*by).agg(F.max("n").alias("n"), F.sum(F.col("x") ** 2).alias("s0"), *[F.sum(F.col("x") * F.col(f"l{k}")).alias(f"s{k}") for k in range(1, nlags + 1)])
     r = F.array(F.lit(1.0), *[F.coalesce(F.col(f"s{k}") / F.col("s0"), F.lit(0.0)) for k in range(1, nlags + 1)])
     e = sums.select(*by, "n", F.posexplode(r).alias("lag", "acf")).where("lag < n")
-    before = Window.partitionBy(*by).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)  # nlags + 1 rows
     cum = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("acf") ** 2)).over(before), F.lit(0.0))
     return e.withColumn("band", F.when(F.col("lag") == 0, 0.0).otherwise(z * F.sqrt((1 + 2 * cum) / F.col("n")))).drop("n")
 
@@ -115,24 +129,58 @@ def _solve(g: list[float], k: int) -> tuple[np.ndarray, float, np.ndarray]:
 ADF_CRITICAL = {"1%": (-3.43035, -6.5393, -16.786, -79.433), "5%": (-2.86154, -2.8903, -4.234, -40.040), "10%": (-2.56677, -1.5384, -2.809, 0.0)}
 
 
-def adf_test(df: DataFrame, by: list[str], max_lag: int = 4) -> DataFrame:
-    """Augmented Dickey-Fuller statistic with a constant; the lag order of least AIC; keys below 10 points are left out."""
-    w = Window.partitionBy(*by).orderBy("ts", "seq")
-    d = df.withColumn("y1", F.lag("value").over(w)).withColumn("d", F.col("value") - F.col("y1"))
-    d = d.withColumns({f"d{k}": F.lag("d", k).over(w) for k in range(1, max_lag + 1)}).where(f"d{max_lag} IS NOT NULL" if max_lag else "d IS NOT NULL")
-    sums = _gram(d, by, "d", ["y1", *[f"d{k}" for k in range(1, max_lag + 1)]])
-    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in sums.select(*by).schema], "statistic double, lags int, n long, critical_1 double, critical_5 double, critical_10 double, stationary boolean"])
+# Published approximation of the statistic's distribution with a constant: ends of its range, and
+# polynomials whose normal probability is the p-value, up to the middle and above it.
+ADF_RANGE = (-18.83, -1.61, 2.74)
+ADF_LOW = (2.1659, 1.4412, 0.038269)
+ADF_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def _adf_p(tau: float) -> float:
+    low, middle, high = ADF_RANGE
+    if tau <= low or tau >= high:
+        return float(tau >= high)
+    z = sum(c * tau**i for i, c in enumerate(ADF_LOW if tau <= middle else ADF_HIGH))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def adf_test(df: DataFrame, by: list[str], max_lag: int | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller statistic with a constant, its p-value and the lag order of least AIC; keys below 10 points are left out.
+
+    ``max_lag`` None: 12 (n / 100)^(1/4) of the longest key, at most half of its points; shorter keys stop at their own bound.
+    """
+    df = df.where("value IS NOT NULL").select(*by, "ts", "seq", "value")
+
+    def bound(n: int) -> int:
+        own = math.ceil(12 * (n / 100) ** 0.25)
+        return max(0, min(own, n // 2 - 2))
+
+    if max_lag is None:
+        longest = df.groupBy(*by).count().agg(F.max("count").alias("n")).first()["n"] or 0
+        max_lag = bound(longest)
+    d = lags(df, by, {f"y{k}": ("value", k) for k in range(1, max_lag + 2)})
+    d = d.withColumn("d", F.col("value") - F.col("y1")).withColumns({f"d{k}": F.col(f"y{k}") - F.col(f"y{k + 1}") for k in range(1, max_lag + 1)})
+    # Keys too short for the longest lag use the rows and lags that they have.
+    sizes = df.groupBy(*by).agg(F.count("*").alias("rows"))
+    own = F.least(F.lit(max_lag), F.greatest(F.lit(0), F.least(F.ceil(12 * F.pow(F.col("rows") / 100, F.lit(0.25))), F.floor(F.col("rows") / 2) - 2))).cast("int")
+    d = d.join(sizes.where("rows >= 10").withColumn("top", own), by)
+    d = d.withColumns({f"d{k}": F.when(F.col("top") >= k, F.col(f"d{k}")).otherwise(0.0) for k in range(1, max_lag + 1)})
+    have = F.lit(True)
+    for k in range(1, max_lag + 1):
+        have = have & F.col(f"d{k}").isNotNull()
+    sums = _gram(d.where(F.col("d").isNotNull() & have), [*by, "top"], "d", ["y1", *[f"d{k}" for k in range(1, max_lag + 1)]])
+    schema = ", ".join(
+        [*[f"{f.name} {f.dataType.simpleString()}" for f in sums.select(*by).schema], "statistic double, p_value double, lags int, n long, critical_1 double, critical_5 double, critical_10 double, stationary boolean"]
+    )
 
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
                 n, full = int(r.n), np.zeros((max_lag + 3, max_lag + 3))
-                if n + max_lag + 1 < 10:
-                    continue
                 full[np.triu_indices(max_lag + 3)] = r.g
                 best = None
-                for p in range(max_lag + 1):
+                for p in range(r.top + 1):
                     keep = [*range(2 + p), max_lag + 2]
                     sub = full[np.ix_(keep, keep)]
                     beta, rss, inv = _solve(list(sub[np.triu_indices(len(keep))]), 2 + p)
@@ -141,62 +189,132 @@ def adf_test(df: DataFrame, by: list[str], max_lag: int = 4) -> DataFrame:
                     if best is None or aic < best[0]:
                         best = (aic, beta[1] / se, p)
                 crit = [sum(c / n**i for i, c in enumerate(cs)) for cs in ADF_CRITICAL.values()]
-                rows.append((*[getattr(r, b) for b in by], best[1], best[2], n, *crit, best[1] < crit[1]))
-            yield pd.DataFrame(rows, columns=[*by, "statistic", "lags", "n", "critical_1", "critical_5", "critical_10", "stationary"])
+                pv = _adf_p(best[1])
+                rows.append((*[getattr(r, b) for b in by], best[1], pv, best[2], n, *crit, pv < 0.05))
+            yield pd.DataFrame(rows, columns=[*by, "statistic", "p_value", "lags", "n", "critical_1", "critical_5", "critical_10", "stationary"])
 
     return sums.mapInPandas(run, schema)
 
 
 def _normal_cdf(z: np.ndarray) -> np.ndarray:
-    return np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
+    return 0.5 * np.vectorize(math.erfc, otypes=[float])(-z / math.sqrt(2))
 
 
 def _gamma_cdf(x: np.ndarray, shape: float) -> np.ndarray:
-    """Regularised lower incomplete gamma: series below shape + 1, continued fraction above."""
+    """Regularised lower incomplete gamma, all values at once: series below shape + 1, continued fraction above."""
+    x = np.asarray(x, float)
     out = np.zeros(len(x))
-    for i, v in enumerate(x):
-        if v <= 0:
-            continue
-        if v < shape + 1:
-            term = total = 1 / shape
-            k = shape
-            while abs(term) > abs(total) * 1e-14:
-                k += 1
-                term *= v / k
-                total += term
-            out[i] = total * math.exp(-v + shape * math.log(v) - math.lgamma(shape))
-        else:
-            b, c = v + 1 - shape, 1e300
-            d = 1 / b
-            h = d
-            for n in range(1, 500):
-                an = -n * (n - shape)
-                b += 2
-                d = 1 / (an * d + b or 1e-300)
-                c = b + an / c or 1e-300
-                h *= d * c
-                if abs(d * c - 1) < 1e-14:
-                    break
-            out[i] = 1 - h * math.exp(-v + shape * math.log(v) - math.lgamma(shape))
+    scale = lambda v: np.exp(-v + shape * np.log(v) - math.lgamma(shape))
+    low = (x > 0) & (x < shape + 1)
+    if low.any():
+        v = x[low]
+        term = total = np.full(len(v), 1 / shape)
+        for k in range(1, 2000):
+            term = term * v / (shape + k)
+            total = total + term
+            if (np.abs(term) <= np.abs(total) * 1e-14).all():
+                break
+        out[low] = total * scale(v)
+    high = x >= shape + 1
+    if high.any():
+        v = x[high]
+        b = v + 1 - shape
+        c, d = np.full(len(v), 1e300), 1 / b
+        h = d
+        for n in range(1, 2000):
+            an, b = -n * (n - shape), b + 2
+            d = 1 / (an * d + b)
+            c = b + an / c
+            h = h * d * c
+            if (np.abs(d * c - 1) < 1e-14).all():
+                break
+        out[high] = 1 - h * scale(v)
     return out
 
 
-def _fit(dist: str, n: float, mean: float, var: float, lmean: float, lvar: float, low: float) -> tuple[float, float]:
-    """Two parameters by moments or likelihood from a key's sums."""
-    if dist == "norm":
-        return mean, math.sqrt(max(var, 1e-300))
-    if dist == "expon":
-        return low, max(mean - low, 1e-300)
-    if dist == "lognorm":
-        return lmean, math.sqrt(max(lvar, 1e-300))
-    if dist == "gamma":
-        s = max(math.log(mean) - lmean, 1e-12)
-        a = (3 - s + math.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s)
-        return a, mean / a
-    if dist == "weibull":
-        k = max((math.sqrt(max(var, 1e-300)) / mean) ** -1.086, 1e-3)
-        return k, mean / math.gamma(1 + 1 / k)
-    raise ValueError(f"unknown distribution {dist!r}")
+def _beta_cdf(x: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Regularised incomplete beta by its continued fraction, on the side where it converges fast."""
+    x = np.clip(np.asarray(x, float), 0.0, 1.0)
+    swap = x > (a + 1) / (a + b + 2)
+    y, p, q = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
+    front = np.zeros(len(x))
+    inner = (y > 0) & (y < 1)
+    log_beta = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    front[inner] = np.exp(p[inner] * np.log(y[inner]) + q[inner] * np.log1p(-y[inner]) - log_beta) / p[inner]
+    tiny = 1e-300
+    c, d = np.ones(len(x)), 1 - (p + q) * y / (p + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h = d
+    for m in range(1, 500):
+        for num in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 + num * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + num / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+        if (np.abs(d * c - 1) < 1e-14).all():
+            break
+    part = front * h
+    return np.where(swap, 1 - part, np.where(x >= 1, 1.0, part))
+
+
+def _digamma(x: float) -> float:
+    shift = 0.0
+    while x < 8:
+        shift -= 1 / x
+        x += 1
+    f = 1 / (x * x)
+    return shift + math.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
+
+
+def _trigamma(x: float) -> float:
+    shift = 0.0
+    while x < 8:
+        shift += 1 / (x * x)
+        x += 1
+    f = 1 / (x * x)
+    return shift + 1 / x + f / 2 + f / x * (1 / 6 - f * (1 / 30 - f * (1 / 42 - f / 30)))
+
+
+def _fit_gamma(mean: float, lmean: float) -> tuple[float, float]:
+    """Likelihood fit: log(shape) - digamma(shape) = log(mean) - mean of logs, by Newton's steps."""
+    s = max(math.log(mean) - lmean, 1e-12)
+    a = (3 - s + math.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s)
+    for _ in range(20):
+        a = max(a - (math.log(a) - _digamma(a) - s) / (1 / a - _trigamma(a)), 1e-6)
+    return a, mean / a
+
+
+def _fit_beta(mean: float, var: float, lmean: float, l1mean: float) -> tuple[float, float]:
+    """Likelihood fit on (0, 1) from the means of log x and log (1 - x), by Newton's steps from the moments."""
+    t = max(mean * (1 - mean) / max(var, 1e-12) - 1, 1e-2)
+    a, b = max(mean * t, 1e-2), max((1 - mean) * t, 1e-2)
+    for _ in range(50):
+        whole = _digamma(a + b)
+        g = np.array([_digamma(a) - whole - lmean, _digamma(b) - whole - l1mean])
+        w = _trigamma(a + b)
+        step = np.linalg.solve(np.array([[_trigamma(a) - w, -w], [-w, _trigamma(b) - w]]), g)
+        a, b = max(a - step[0], a / 4), max(b - step[1], b / 4)
+        if np.abs(step).max() < 1e-10:
+            break
+    return a, b
+
+
+def _fit_weibull(logs: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
+    """Likelihood fit from counts of logarithms, by Newton's steps on the shape."""
+    n, mean = counts.sum(), (logs * counts).sum() / counts.sum()
+    var = (counts * (logs - mean) ** 2).sum() / n
+    k = max(math.pi / math.sqrt(6 * max(var, 1e-12)), 1e-3)
+    top = logs.max()
+    for _ in range(60):
+        w = counts * np.exp(k * (logs - top))
+        s0, s1, s2 = w.sum(), (w * logs).sum(), (w * logs * logs).sum()
+        g = s1 / s0 - 1 / k - mean
+        step = g / (s2 / s0 - (s1 / s0) ** 2 + 1 / (k * k))
+        k = max(k - step, k / 4)
+        if abs(step) < 1e-12 * k:
+            break
+    return k, math.exp(top + math.log((counts * np.exp(k * (logs - top))).sum() / n) / k)
 
 
 def _cdf(dist: str, x: np.ndarray, a: float, b: float) -> np.ndarray:
@@ -208,35 +326,74 @@ def _cdf(dist: str, x: np.ndarray, a: float, b: float) -> np.ndarray:
         return _normal_cdf((np.log(np.maximum(x, 1e-300)) - a) / b)
     if dist == "gamma":
         return _gamma_cdf(x / b, a)
+    if dist == "beta":
+        return _beta_cdf(x, a, b)
     return 1 - np.exp(-((np.maximum(x, 0) / b) ** a))
 
 
-def fit_distribution(df: DataFrame, by: list[str], dist: str = "norm") -> DataFrame:
-    """Parameters, Kolmogorov-Smirnov distance, p-value and whether the fit is accepted at 5 %."""
-    d = df.where("value IS NOT NULL" + ("" if dist in ("norm", "expon") else " AND value > 0"))
+DISTRIBUTIONS = ("norm", "expon", "gamma", "beta", "weibull", "lognorm")
+LOG_BINS = 4_096
+
+
+def _parameters(d: DataFrame, by: list[str], dist: str) -> DataFrame:
+    """by..., n, a, b: likelihood fits from a key's sums; for Weibull from its logarithms in LOG_BINS ranges with their means."""
+    low, lx, l1 = F.col("value"), F.log(F.greatest("value", F.lit(1e-300))), F.log(F.greatest(1 - F.col("value"), F.lit(1e-300)))
     sums = d.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"), F.min("value").alias("low"),
-        F.avg(F.log(F.greatest("value", F.lit(1e-300)))).alias("lmean"), F.var_pop(F.log(F.greatest("value", F.lit(1e-300)))).alias("lvar"),
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"), F.min(low).alias("low"),
+        F.avg(lx).alias("lmean"), F.var_pop(lx).alias("lvar"), F.avg(l1).alias("l1mean"), F.min(lx).alias("l0"), F.max(lx).alias("l9"),
     )
+    if dist == "weibull":
+        at = F.least(F.lit(LOG_BINS - 1), F.floor((lx - F.col("l0")) / F.greatest(F.col("l9") - F.col("l0"), F.lit(1e-12)) * LOG_BINS))
+        bins = d.join(sums.select(*by, "l0", "l9"), by).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("c"), F.avg(lx).alias("l"))
+        sums = sums.join(bins.groupBy(*by).agg(F.collect_list(F.struct("l", "c")).alias("logs")), by)
+    else:
+        sums = sums.withColumn("logs", F.lit(None).cast("array<struct<l:double,c:bigint>>"))
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.select(*by).schema)
 
-    @F.pandas_udf("a double, b double")
-    def fit(n: pd.Series, mean: pd.Series, var: pd.Series, lmean: pd.Series, lvar: pd.Series, low: pd.Series) -> pd.DataFrame:
-        rows = [_fit(dist, *r) for r in zip(n, mean, var, lmean, lvar, low, strict=True)]
-        return pd.DataFrame(rows, columns=["a", "b"])
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                if dist == "norm":
+                    ab = r.mean, math.sqrt(max(r.var, 1e-300))
+                elif dist == "expon":
+                    ab = r.low, max(r.mean - r.low, 1e-300)
+                elif dist == "lognorm":
+                    ab = r.lmean, math.sqrt(max(r.lvar, 1e-300))
+                elif dist == "gamma":
+                    ab = _fit_gamma(r.mean, r.lmean)
+                elif dist == "beta":
+                    ab = _fit_beta(r.mean, r.var, r.lmean, r.l1mean)
+                else:
+                    ab = _fit_weibull(np.array([x["l"] for x in r.logs]), np.array([x["c"] for x in r.logs], float))
+                rows.append((*[getattr(r, b) for b in by], r.n, *map(float, ab)))
+            yield pd.DataFrame(rows, columns=[*by, "n", "a", "b"])
+
+    return sums.mapInPandas(run, f"{keys + ', ' if keys else ''}n long, a double, b double")
+
+
+def fit_distribution(df: DataFrame, by: list[str], dist: str = "norm") -> DataFrame:
+    """Parameters, Kolmogorov-Smirnov distance, p-value and whether the fit is accepted at 5 %.
+
+    norm (mean, sd), expon (origin, scale), gamma (shape, scale), beta (two shapes; values inside (0, 1) only),
+    weibull (shape, scale), lognorm (mean and sd of logarithms); those after expon use positive values only.  Keys
+    below three values have no row.
+    """
+    if dist not in DISTRIBUTIONS:
+        raise ValueError(f"unknown distribution {dist!r}")
+    cond = {"norm": "", "expon": "", "beta": " AND value > 0 AND value < 1"}.get(dist, " AND value > 0")
+    d = df.where("value IS NOT NULL" + cond).select(*by, F.col("value").cast("double").alias("value"))
 
     @F.pandas_udf("double")
     def cdf(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         out = np.zeros(len(x))
-        keys = list(zip(a, b, strict=True))
-        for pair in set(keys):
-            at = np.array([k == pair for k in keys])
-            out[at] = _cdf(dist, x.to_numpy()[at], *pair)
+        for (p, q), at in pd.DataFrame({"a": a, "b": b}).groupby(["a", "b"]).indices.items():
+            out[at] = _cdf(dist, x.to_numpy()[at], p, q)
         return pd.Series(out)
 
-    fitted = sums.withColumn("p", fit("n", "mean", "var", "lmean", "lvar", "low")).select(*by, "n", "p.a", "p.b")
-    counted = d.groupBy(*by, "value").agg(F.count("*").alias("c")).join(fitted, by)
-    up = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    e = counted.withColumn("upto", F.sum("c").over(up)).withColumn("f", cdf("value", "a", "b"))
+    fitted = _parameters(d, by, dist).where("n >= 3")
+    counted = d.groupBy(*by, "value").agg(F.count("*").alias("n"))
+    e = with_share(counted, by).withColumnRenamed("n", "c").join(fitted, by).withColumn("f", cdf("value", "a", "b"))
     gap = F.greatest(F.abs(F.col("upto") / F.col("n") - F.col("f")), F.abs((F.col("upto") - F.col("c")) / F.col("n") - F.col("f")))
     g = e.groupBy(*by, "a", "b", "n").agg(F.max(gap).alias("ks"))
     lam = (F.sqrt("n") + 0.12 + 0.11 / F.sqrt("n")) * F.col("ks")
@@ -247,18 +404,18 @@ def fit_distribution(df: DataFrame, by: list[str], dist: str = "norm") -> DataFr
 
 def seasonal_decompose(df: DataFrame, by: list[str], period: int, model: str = "additive") -> DataFrame:
     """Centred moving-average trend, seasonal means and residuals; keys shorter than two periods are left out."""
-    w = Window.partitionBy(*by).orderBy("ts", "seq")
-    d = df.withColumn("i", F.row_number().over(w) - 1)
-    sizes = d.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= 2 * period)
-    d = d.join(sizes, by)
     half = period // 2
-    whole = F.sum("value").over(w.rowsBetween(-half, half))
+    d = with_row_halo(df.select(*by, "ts", "seq", "value"), by, half, half)
+    w = Window.partitionBy(*by, "slice").orderBy("idx")
     if period % 2:
-        trend = whole / period
+        trend = F.sum("value").over(w.rowsBetween(-half, half)) / period
     else:
         ends = (F.lag("value", half).over(w) + F.lead("value", half).over(w)) / 2
         trend = (F.sum("value").over(w.rowsBetween(-half + 1, half - 1)) + ends) / period
-    d = d.withColumn("trend", F.when((F.col("i") >= half) & (F.col("i") < F.col("n") - half), trend))
+    d = d.withColumn("trend", trend).where("own").withColumnRenamed("idx", "i").drop("slice", "own")
+    sizes = d.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= 2 * period)
+    d = d.join(sizes, by)
+    d = d.withColumn("trend", F.when((F.col("i") >= half) & (F.col("i") < F.col("n") - half), F.col("trend")))
     mul = model == "multiplicative"
     free = F.col("value") / F.col("trend") if mul else F.col("value") - F.col("trend")
     place = (F.col("i") % period).alias("place")
@@ -317,24 +474,23 @@ def holt_winters(df: DataFrame, by: list[str], steps: int, *, period: int = 1, g
     return fitted.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct("sse", "alpha", "beta", "gamma")).alias("x")).select(*by, "x.*")
 
 
-def _difference(df: DataFrame, by: list[str], d: int) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy("ts", "seq")
-    for _ in range(d):
-        df = df.withColumn("value", F.col("value") - F.lag("value").over(w)).where("value IS NOT NULL")
-    return df
+def _differences(name: str, d: int, back: int) -> list[Column]:
+    """The d-th difference at 0..back rows before, from columns name0 (own value), name1 (one row before), ..."""
+    return [sum((F.lit(float((-1) ** i * math.comb(d, i))) * F.col(f"{name}{k + i}") for i in range(d + 1)), F.lit(0.0)) for k in range(back + 1)]
 
 
 def arima(df: DataFrame, by: list[str], order: tuple[int, int, int], *, long_ar: int = 8) -> DataFrame:
     """ARIMA coefficients by two-stage lagged least squares (not exact likelihood), with residual variance and AIC.
 
-    A long autoregression gives residuals; the second regression uses p lags of the series and q lags of them.
+    A long autoregression (``long_beta``) gives residuals; the second regression uses p lags of the series and q lags of them.
     All sums are aggregates; only tiny systems are solved in Python.
     """
     p, d, q = order
-    w = Window.partitionBy(*by).orderBy("ts", "seq")
-    x = _difference(df.select(*by, "ts", "seq", "value"), by, d)
-    x = x.withColumns({f"y{k}": F.lag("value", k).over(w) for k in range(1, max(long_ar, p) + 1)})
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
+    back = long_ar + q if q else p
+    raw = df.where("value IS NOT NULL").select(*by, "ts", "seq", "value")
+    x = lags(raw, by, {f"v{k}": ("value", k) for k in range(1, back + d + 1)}).withColumn("v0", F.col("value"))
+    x = x.select(*by, *[c.alias(f"y{k}") for k, c in enumerate(_differences("v", d, back))]).where(f"y{back} IS NOT NULL")
 
     def solver(k: int):
         def run(batches):
@@ -352,53 +508,84 @@ def arima(df: DataFrame, by: list[str], order: tuple[int, int, int], *, long_ar:
 
     schema = f"{keys}, beta array<double>, sigma2 double, aic double, n long"
     regressors = [f"y{k}" for k in range(1, p + 1)]
-    if q:
-        lags = [f"y{k}" for k in range(1, long_ar + 1)]
-        full = x.where(f"y{long_ar} IS NOT NULL")
-        first = _gram(full, by, "value", lags).mapInPandas(solver(long_ar + 1), schema).select(*by, F.col("beta").alias("__b"))
-        fit = sum((F.col("__b")[i + 1] * F.col(c) for i, c in enumerate(lags)), F.col("__b")[0])
-        x = full.join(first, by).withColumn("e", F.col("value") - fit)
-        x = x.withColumns({f"e{k}": F.lag("e", k).over(w) for k in range(1, q + 1)}).where(f"e{q} IS NOT NULL")
-        regressors += [f"e{k}" for k in range(1, q + 1)]
-    elif p:
-        x = x.where(f"y{p} IS NOT NULL")
-    return _gram(x, by, "value", regressors).mapInPandas(solver(1 + p + q), schema)
-
-
-def arima_forecast(df: DataFrame, by: list[str], order: tuple[int, int, int], steps: int) -> DataFrame:
-    """Forecast and 95 % band of each key: recursion on the last p differences, future shocks 0."""
+    if not q:
+        return _gram(x, by, "y0", regressors).mapInPandas(solver(1 + p), schema).withColumn("long_beta", F.array().cast("array<double>"))
+    own = [f"y{k}" for k in range(1, long_ar + 1)]
+    first = _gram(x, by, "y0", own).mapInPandas(solver(long_ar + 1), schema).select(*by, F.col("beta").alias("long_beta"))
+    b = F.col("long_beta")
+    x = x.join(first, by).withColumns(
+        {f"e{j}": F.col(f"y{j}") - sum((b[i] * F.col(f"y{j + i}") for i in range(1, long_ar + 1)), b[0]) for j in range(1, q + 1)}
+    )
+    regressors += [f"e{k}" for k in range(1, q + 1)]
+    return _gram(x, by, "y0", regressors).mapInPandas(solver(1 + p + q), schema).join(first, by)
+
+
+def _arima_path(values: np.ndarray, order: tuple[int, int, int], beta: np.ndarray, long_beta: np.ndarray, sigma2: float, steps: int) -> list[tuple[float, float]]:
+    """Forecast and its standard deviation for each step; ``values``: the newest raw values, oldest first.
+
+    Past shocks are the residuals of the long autoregression, future ones 0; the deviation sums squared psi weights.
+    """
+    p, d, q = order
+    tails = [np.asarray(values, float)]
+    for _ in range(d):
+        tails.append(np.diff(tails[-1]))
+    hist, ends = list(tails[-1]), [t[-1] for t in tails[:-1]]
+    long_ar = len(long_beta) - 1
+    shocks = [hist[-j] - long_beta[0] - sum(long_beta[i] * hist[-j - i] for i in range(1, long_ar + 1)) for j in range(q, 0, -1)] if q else []
+    ar, ma = beta[1 : 1 + p], beta[1 + p : 1 + p + q]
+    whole = np.array([1.0])  # (1 - ar) (1 - B)^d as polynomial
+    for factor in [np.concatenate(([1.0], -np.asarray(ar, float)))] + [np.array([1.0, -1.0])] * d:
+        whole = np.convolve(whole, factor)
+    psi, out = [], []
+    for h in range(steps):
+        nxt = beta[0] + sum(ar[k] * hist[-1 - k] for k in range(p)) + sum(ma[k] * shocks[-1 - k] for k in range(q))
+        hist.append(nxt)
+        shocks.append(0.0)
+        value = nxt
+        for level in range(d - 1, -1, -1):
+            ends[level] += value
+            value = ends[level]
+        psi.append((1.0 if h == 0 else ma[h - 1] if h <= q else 0.0) - sum(whole[i] * psi[h - i] for i in range(1, min(h, len(whole) - 1) + 1)))
+        out.append((value, math.sqrt(sigma2 * sum(w * w for w in psi))))
+    return out
+
+
+def arima_forecast(df: DataFrame, by: list[str], order: tuple[int, int, int], steps: int, *, long_ar: int = 8) -> DataFrame:
+    """Forecast and 95 % band of each key from its newest values; keys too short for the model have no row."""
     p, d, q = order
-    model = arima(df, by, order)
-    w = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("seq"))
-    need = max(p, 1) + d
-    last = df.withColumn("i", F.row_number().over(w)).where(F.col("i") <= need).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("i"), F.col("value")))).alias("t"))
-    x = model.join(last, by).select(*by, "beta", "sigma2", F.transform("t", lambda s: s["value"]).alias("newest"))
+    model = arima(df, by, order, long_ar=long_ar)
+    need = max(p, long_ar + q if q else 1) + d
+    newest = _newest(df.where("value IS NOT NULL"), by, need)
+    x = model.join(newest, by).select(*by, "beta", "long_beta", "sigma2", "newest")
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
 
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                y = np.array(r.newest, float)[::-1]
-                tails = [y]
-                for _ in range(d):
-                    tails.append(np.diff(tails[-1]))
-                hist, beta = list(tails[-1]), np.array(r.beta)
-                ends = [t[-1] for t in tails[:-1]]
-                for h in range(steps):
-                    nxt = beta[0] + sum(beta[1 + k] * hist[-1 - k] for k in range(min(p, len(hist))))
-                    hist.append(nxt)
-                    value = nxt
-                    for level in range(d - 1, -1, -1):
-                        ends[level] += value
-                        value = ends[level]
-                    half = 1.959963984540054 * math.sqrt(r.sigma2 * (h + 1))
+                if len(r.newest) < need:
+                    continue
+                path = _arima_path(np.array(r.newest, float), order, np.array(r.beta), np.array(r.long_beta), r.sigma2, steps)
+                for h, (value, sd) in enumerate(path):
+                    half = 1.959963984540054 * sd
                     rows.append((*[getattr(r, b) for b in by], h + 1, value, value - half, value + half))
             yield pd.DataFrame(rows, columns=[*by, "step", "forecast", "low", "high"])
 
     return x.mapInPandas(run, f"{keys}, step int, forecast double, low double, high double")
 
 
+def _newest(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The last ``n`` values of each key, oldest first: the newest of each time slice, then the newest of those."""
+    at = F.struct(F.col("ts"), F.col("seq"), F.col("value"))
+    d = df.withColumn("slice", slice_of("ts"))
+    place = F.row_number().over(Window.partitionBy(*by, "slice").orderBy(F.desc("ts"), F.desc("seq")))
+    d = d.withColumn("i", place).where(F.col("i") <= n)
+    w = Window.partitionBy(*by).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy(*by, "slice").agg(F.count("*").alias("c")).withColumn("newer", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    d = d.join(sizes, [*by, "slice"]).where(F.col("i") + F.col("newer") <= n)
+    return d.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(at)), lambda s: s["value"]).alias("newest"))
+
+
 def auto_arima(df: DataFrame, by: list[str], max_p: int = 2, max_d: int = 1, max_q: int = 1) -> DataFrame:
     """The order of least AIC per observation of each key."""
     tried = None
@@ -410,11 +597,24 @@ def auto_arima(df: DataFrame, by: list[str], max_p: int = 2, max_d: int = 1, max
     return tried.groupBy(*by).agg(F.min_by("order", F.struct("aic", "order")).alias("order"), F.min("aic").alias("aic_per_row"))
 
 
-def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of all pairs of columns, long form, in one aggregate."""
+def corr_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
+    """Correlation of all pairs of columns, long form: pearson or spearman (mean ranks).
+
+    Rows that lack one of the columns don't count.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    stacked = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])
+    d = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna()
+    place = {c: f"c{i}" for i, c in enumerate(columns)}
+    if method == "spearman":
+        for c in place.values():
+            counted = d.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
+            ranks = with_share(counted, []).select(F.col("value").alias(c), (F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{c}"))
+            d = d.join(ranks, c)
+        d = d.select(*[F.col(f"r{c}").alias(c) for c in place.values()])
+    elif method != "pearson":
+        raise ValueError(f"unknown method {method!r}")
+    row = d.agg(*[F.corr(place[a], place[b]).alias(f"{place[a]}_{place[b]}") for a, b in pairs])
+    stacked = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{place[a]}_{place[b]}").alias("corr")) for a, b in pairs])
     return row.select(F.explode(stacked).alias("s")).select("s.*")
 
 
@@ -432,8 +632,7 @@ def histogram(df: DataFrame, by: list[str], bins: int = 50) -> DataFrame:
 
 def box_data(df: DataFrame, by: list[str]) -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges and the count beyond them."""
-    g = df.groupBy(*by).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    g = g.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    g = quantiles(df, by, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     d = df.join(g, by)
     inside = F.col("value").between(low, high)

@@ -3,35 +3,26 @@
 from __future__ import annotations
 
 import math
-import re
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FEW_PATTERNS = 200
+from tidemark.sources.scratch import materialize
 
+#: Patterns of one regular expression; all of them are tested, in as many expressions as it takes.
+ALTERNATIVES = 256
 
-def pattern_match(df: DataFrame, patterns: list[str], text: str = "text", matched: str = "matched") -> DataFrame:
-    """Adds whether the text contains any pattern; a null text is not matched.
 
-    A few patterns are tested by ``contains`` in the JVM, many by one compiled alternation per batch.
-    """
-    patterns = [p for p in patterns if p]
+def pattern_match(df: DataFrame, patterns: list[str], text: str = "text", matched: str = "matched") -> DataFrame:
+    """Adds whether the text contains any pattern; a null text is not matched.  All patterns are tested in the JVM."""
+    patterns = sorted({p for p in patterns if p})
     if not patterns:
         return df.withColumn(matched, F.lit(False))
-    if len(patterns) <= FEW_PATTERNS:
-        hit = F.lit(False)
-        for p in patterns:
-            hit = hit | F.col(text).contains(p)
-        return df.withColumn(matched, F.coalesce(hit, F.lit(False)))
-    source = "|".join(re.escape(p) for p in sorted(set(patterns), key=lambda p: (len(p), p)))
-
-    @F.pandas_udf("boolean")
-    def any_of(col: pd.Series) -> pd.Series:
-        return col.fillna("").str.contains(source, regex=True)
-
-    return df.withColumn(matched, any_of(F.col(text)))
+    hits = [F.col(text).rlike("|".join("\\Q" + p.replace("\\E", "\\E\\\\E\\Q") + "\\E" for p in patterns[i : i + ALTERNATIVES])) for i in range(0, len(patterns), ALTERNATIVES)]
+    hit = hits[0]
+    for h in hits[1:]:
+        hit = hit | h
+    return df.withColumn(matched, F.coalesce(hit, F.lit(False)))
 
 
 def pattern_stats(df: DataFrame, patterns: list[str], text: str = "text") -> DataFrame:
@@ -43,6 +34,15 @@ def pattern_add(known: DataFrame, new: DataFrame) -> DataFrame:
     return known.select("pattern").unionByName(new.select("pattern")).where("pattern <> ''").distinct()
 
 
+def pattern_persist(known: DataFrame, path: str) -> None:
+    """The patterns as a table to start from next time; ``read_patterns`` returns them."""
+    materialize(known.select("pattern"), "patterns").write.mode("overwrite").parquet(path)
+
+
+def read_patterns(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("pattern string").parquet(path)
+
+
 def pattern_hits(df: DataFrame, patterns: DataFrame, id_col: str, text: str = "text", n: int = 8) -> DataFrame:
     """One row per (row, contained pattern).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import floored, linear, order_statistics, upper_median
 from tidemark.operators.sliced import with_halo, with_lag
 
 AGGREGATES = {"avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
@@ -51,15 +52,7 @@ def resample(df: DataFrame, by: list[str], bucket_secs: int, agg: str = "avg", a
 def quantile(df: DataFrame, by: list[str], q: float) -> DataFrame:
     """q = 0.5 interpolates; any other q (clamped to 0..1) is the sorted value at floor(q (n - 1))."""
     q = min(1.0, max(0.0, q))
-    rows = df.where("value IS NOT NULL")
-    if q == 0.5:
-        return rows.groupBy(*by).agg(F.percentile("value", 0.5).alias("quantile"))
-    distinct = rows.groupBy(*by, "value").agg(F.count("*").alias("n"))  # equal values pre-aggregated
-    up = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    ranked = distinct.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(whole))
-    place = F.floor(F.lit(q) * (F.col("all") - 1)) + 1
-    return ranked.where((F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)).select(*by, F.col("value").alias("quantile"))
+    return order_statistics(df, by, {"quantile": (q, linear(q) if q == 0.5 else floored(q))})
 
 
 def p95(df: DataFrame, by: list[str]) -> DataFrame:
@@ -139,11 +132,7 @@ def sampling_interval(df: DataFrame, by: list[str]) -> DataFrame:
 def median_gap(df: DataFrame, by: list[str], default: int = 60) -> DataFrame:
     """Upper median of the gaps between points (sorted gaps at n div 2); ``default`` without a gap."""
     gaps = with_lag(df, by, {"before": "ts"}).where("before IS NOT NULL").select(*by, (F.col("ts") - F.col("before")).alias("gap"))
-    counted = gaps.groupBy(*by, "gap").agg(F.count("*").alias("n"))
-    up = Window.partitionBy(*by).orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
-    place = F.floor(F.col("all") / 2) + 1
-    found = ranked.where((F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)).select(*by, "gap")
+    found = order_statistics(gaps, by, {"gap": (0.5, upper_median)}, "gap")
     return df.select(*by).distinct().join(found, by, "left").select(*by, F.coalesce("gap", F.lit(default)).cast("bigint").alias("median_gap"))
 
 

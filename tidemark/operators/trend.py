@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import grid as G
+from tidemark.operators.ranks import quantiles
 
 TINY = 1e-12
 
@@ -24,15 +25,14 @@ def trend_fit(
     g = d.groupBy(*by).agg(
         F.count("*").alias("samples"), F.max("x").alias("span"), F.max("ts").alias("anchor_ts"), F.min("origin_ts").alias("origin_ts"),
         F.max_by("value", F.struct("ts", "seq")).alias("current"), F.avg("value").alias("mean"),
-        F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("offset"), F.regr_sxx("value", "x").alias("sxx"),
+        F.min("value").alias("low"), F.max("value").alias("high"), F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("offset"), F.regr_sxx("value", "x").alias("sxx"),
     )
     g = g.where((F.col("samples") >= max(min_samples, 2)) & (F.col("span") > 0) & (F.col("sxx") > TINY))
     r = d.drop("origin_ts").join(g, by).withColumn("res", F.col("value") - (F.col("offset") + F.col("slope") * F.col("x")))
     spread = r.groupBy(*by).agg(
-        F.sum(F.col("res") * F.col("res")).alias("sse"), F.sum((F.col("value") - F.col("mean")) ** 2).alias("sst"),
-        F.percentile(F.abs("res"), amplitude_quantile).alias("amp"),
+        F.sum(F.col("res") * F.col("res")).alias("sse"), F.sum((F.col("value") - F.col("mean")) ** 2).alias("sst")
     )
-    g = g.join(spread, by)
+    g = g.join(spread, by).join(quantiles(r, by, {"amp": amplitude_quantile}, F.abs("res")), by)
     amplitude = F.greatest(F.col("amp"), F.lit(float(min_amplitude)))
     move = F.col("slope") * F.col("span")
     direction = F.when(F.abs(move) <= significance * amplitude, "flat").when(F.col("slope") > 0, "rising").otherwise("falling")
@@ -41,7 +41,7 @@ def trend_fit(
         (F.col("slope") * 86_400).alias("slope_day"), "offset",
         F.when(F.col("sst") > TINY, 1 - F.col("sse") / F.col("sst")).otherwise(0.0).alias("r2"),
         F.sqrt(F.col("sse") / F.greatest(F.col("samples") - 2, F.lit(1))).alias("residual_std"),
-        amplitude.alias("amplitude"), direction.alias("direction"),
+        amplitude.alias("amplitude"), (amplitude / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))).alias("amplitude_rel"), direction.alias("direction"),
     )
 
 
@@ -66,16 +66,21 @@ def hours_to(target: Column, upper: bool = False) -> Column:
 
 
 def capacity_forecast(
-    df: DataFrame, by: list[str], capacity: float, *, interval_secs: int = 86_400, max_bit: int = 12, min_samples: int = 8
+    df: DataFrame, by: list[str], capacity: float, *, interval_secs: int = 0, max_bit: int = 12, min_samples: int = 8
 ) -> DataFrame:
     """Grid on [0, capacity], trend and moves of each key: headroom, drift and hours to full.
 
+    Moves are between intervals of ``interval_secs``; 0: a 64th of the key's time span, at least a second.
+
     hours_to_top_cell <= hours_to_full <= hours_to_trend_full wherever they exist.
     """
     d = df.withColumn("gmin", F.lit(0.0)).withColumn("gmax", F.lit(float(capacity)))
     fitted = G.grid_fit(d, by, max_bit=max(1, min(16, max_bit)))
     trend = trend_fit(df, by, min_samples=min_samples)
-    moves = G.move_probabilities(G.transitions(G.dominant_cells(df, by, fitted, interval_secs), by), by)
+    secs = F.greatest(F.lit(1), F.floor((F.max("ts") - F.min("ts")) / 64)) if interval_secs <= 0 else F.lit(interval_secs)
+    spaced = df.join(df.groupBy(*by).agg(F.min("ts").alias("__t0"), secs.cast("bigint").alias("__secs")), by)
+    spaced = spaced.withColumn("ts", F.floor((F.col("ts") - F.col("__t0")) / F.col("__secs")).cast("bigint"))
+    moves = G.move_probabilities(G.transitions(G.dominant_cells(spaced.select(*by, "ts", "seq", "value"), by, fitted, 1), by), by)
     x = trend.join(fitted.drop("offset"), by).withColumn("goffset", F.col("gmin")).join(moves, by, "left")
     top_edge = F.lit(float(capacity)) - F.col("step")
     return x.select(
@@ -109,14 +114,25 @@ def grid_band_report(df: DataFrame, by: list[str], label: str, secs: int) -> Dat
     return d.select(*by, "label", "value", "cell", low.alias("low"), (low + F.col("step")).alias("high"), "num_cells")
 
 
-def next_step_forecast(df: DataFrame, by: list[str], interval_secs: int, *, max_bit: int = 12) -> DataFrame:
-    """Last value plus (P(up) - P(down)) cells; ``steady`` without moves."""
+def next_step_forecast(df: DataFrame, by: list[str], interval_secs: int, *, max_bit: int = 8, now: int | None = None) -> DataFrame:
+    """Last value plus (P(up) - P(down)) cells and how it came about.
+
+    ``steady``: fewer than two points or no span; ``grid-window``: no interval to look at moves (``interval_secs`` is 0);
+    else ``grid-transition``.  With ``now``, only points at least a minute old and of metrics that aren't live samples
+    (``_live_`` in the id) count.
+    """
+    if now is not None:
+        df = df.where((F.col("ts") <= now - 60) & ~F.col("metric_id").contains("_live_"))
     fitted = G.fit_values(df, by, max_bit=max_bit)
+    last = df.where("value IS NOT NULL").groupBy(*by).agg(F.max_by("value", F.struct("ts", "seq")).alias("last"), F.max("ts").alias("ts"), F.count("*").alias("points"))
+    d = last.join(fitted.select(*by, "step", (F.col("gmax") > F.col("gmin")).alias("span")), by)
+    moving = (F.col("points") >= 2) & F.col("span")
+    if interval_secs <= 0:
+        return d.select(*by, "ts", F.col("last").alias("forecast"), F.when(moving, "grid-window").otherwise("steady").alias("method"))
     moves = G.move_probabilities(G.transitions(G.dominant_cells(df, by, fitted, interval_secs), by), by)
-    last = df.groupBy(*by).agg(F.max_by("value", F.struct("ts", "seq")).alias("last"), F.max("ts").alias("ts"))
-    d = last.join(fitted.select(*by, "step"), by).join(moves, by, "left")
-    drift = F.coalesce(F.col("up") - F.col("down"), F.lit(0.0))
-    return d.select(*by, "ts", (F.col("last") + drift * F.col("step")).alias("forecast"), F.when(F.col("moves") > 0, "grid-transition").otherwise("steady").alias("method"))
+    drift = F.when(moving, F.coalesce(F.col("up") - F.col("down"), F.lit(0.0))).otherwise(0.0)
+    d = d.join(moves, by, "left")
+    return d.select(*by, "ts", (F.col("last") + drift * F.col("step")).alias("forecast"), F.when(moving, "grid-transition").otherwise("steady").alias("method"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], *, values: list[str], ts: str = "ts", allow_equal: bool = True) -> DataFrame:

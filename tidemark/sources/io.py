@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.timeseries import dedup_exact
 from tidemark.schema import OBS_SCHEMA
+from tidemark.sources.scratch import materialize
 
 _OBS = "struct<ts bigint, metric_id string, kind string, signal string, value double, labels map<string,string>, severity string>"
 FIELDS = ("o", "h", "l", "c", "v")
+ENVELOPE_DEPTH = 3
 
 
 def _ohlcv_rows(df: DataFrame, symbol: str, resolution: str) -> DataFrame:
@@ -35,15 +37,17 @@ def read_ohlcv_csv(spark: SparkSession, path: str, *, columns: tuple[int, ...] =
 
 
 def parse_observation_envelope(c: Column) -> Column:
-    """Observations of a message: an array, one object, or either below ``data`` or ``observations``; else none."""
+    """Observations of a message: an array, one object, or either below ``data`` or ``observations``, up to ENVELOPE_DEPTH of them nested; else none."""
     def direct(x: Column) -> Column:
         return F.when(F.ltrim(x).startswith("["), F.from_json(x, f"array<{_OBS}>")).when(
             F.get_json_object(x, "$.metric_id").isNotNull(), F.array(F.from_json(x, _OBS))
         )
 
-    got = direct(c)
-    for level in ("$.data", "$.observations", "$.data.data", "$.data.observations", "$.observations.data"):
-        got = F.coalesce(got, direct(F.get_json_object(c, level)))
+    got, levels = direct(c), ["$"]
+    for _ in range(ENVELOPE_DEPTH):
+        levels = [f"{at}.{name}" for at in levels for name in ("data", "observations")]
+        for level in levels:
+            got = F.coalesce(got, direct(F.get_json_object(c, level)))
     return F.coalesce(got, F.array().cast(f"array<{_OBS}>"))
 
 
@@ -67,14 +71,18 @@ def parse_candle_json(df: DataFrame, column: str, mapping: dict[str, str], *, un
 _PROM = "struct<status string, data struct<resultType string, result array<struct<metric map<string,string>, value array<string>, values array<array<string>>>>>>"
 
 
-def parse_prometheus(df: DataFrame, column: str) -> DataFrame:
-    """Samples of API responses (vector or matrix); ``__name__`` is the metric; other statuses give no row."""
-    d = df.select(F.from_json(column, _PROM).alias("r")).where("r.status = 'success'").select(F.explode("r.data.result").alias("s"))
+def parse_prometheus(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Samples of API responses (vector or matrix; ``__name__`` is the metric), and the responses that aren't a success."""
+    r = df.select(F.col(column).alias("body"), F.from_json(column, _PROM).alias("r"))
+    good = F.coalesce(F.col("r.status") == "success", F.lit(False))
+    errors = r.where(~good).select(F.coalesce("r.status", F.lit("unreadable")).alias("status"), "body")
+    d = r.where(good).select(F.explode("r.data.result").alias("s"))
     d = d.select("s.metric", F.explode(F.coalesce("s.values", F.array("s.value"))).alias("p"))
-    return d.select(
+    samples = d.select(
         F.floor(F.col("p")[0].try_cast("double")).cast("bigint").alias("ts"), F.coalesce(F.col("metric")["__name__"], F.lit("unknown")).alias("metric_id"),
         F.col("p")[1].try_cast("double").alias("value"), F.map_filter("metric", lambda k, _: k != "__name__").alias("labels"),
     ).where("ts IS NOT NULL AND value IS NOT NULL")
+    return samples, errors
 
 
 def read_block_lake(spark: SparkSession, path: str, block_secs: int, lo: int, hi: int, metric: str | None = None) -> DataFrame:
@@ -95,12 +103,34 @@ def with_blocks(df: DataFrame, station: str, block_secs: int) -> DataFrame:
     return df.withColumn("station", F.lit(station)).withColumn("blk", F.floor(F.col("ts") / block_secs).cast("bigint"))
 
 
+def _key() -> Column:
+    """What makes two observations the same row."""
+    return F.to_json(F.struct("ts", "metric_id", "kind", "signal", "value", F.array_sort(F.map_entries("labels")).alias("labels"), "severity"))
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, at = _folder(spark, path)
+    return files.exists(at)
+
+
 def write_station(df: DataFrame, path: str, station: str, block_secs: int, *, allowed: set[str] | None = None, mode: str = "append") -> None:
-    """Exact copies removed, partitioned by station and block; with mode ``overwrite`` only the touched blocks are replaced."""
+    """Rows partitioned by station and block, exact copies removed: those of the batch and, when appending, those already stored in the touched blocks.
+
+    Mode ``overwrite`` replaces the touched blocks only.  Blocks are written by as many tasks as their size asks for.
+    """
     if allowed is not None and station not in allowed:
         raise ValueError(f"station {station!r} may not be written")
-    d = with_blocks(dedup_exact(df), station, block_secs).repartition("blk")
-    d.write.partitionBy("station", "blk").option("partitionOverwriteMode", "dynamic").mode(mode).parquet(path)
+    spark, d = df.sparkSession, with_blocks(dedup_exact(df), station, block_secs)
+    if mode == "append" and _exists(spark, f"{path}/station={station}"):
+        stored = read_station(spark, path, station).join(d.select("blk").distinct(), "blk", "left_semi")
+        d = d.withColumn("__key", _key()).join(stored.select(_key().alias("__key"), "blk"), ["__key", "blk"], "left_anti").drop("__key")
+        d = materialize(d, "new-rows")
+    d.hint("rebalance", "blk").write.partitionBy("station", "blk").option("partitionOverwriteMode", "dynamic").mode(mode).parquet(path)
 
 
 def read_station(spark: SparkSession, path: str, station: str) -> DataFrame:
@@ -112,6 +142,46 @@ def retained(df: DataFrame, keep_after_ts: int, block_secs: int) -> DataFrame:
     return df.where(F.col("blk") >= keep_after_ts // block_secs)
 
 
+def _drop_blocks(spark: SparkSession, path: str, gone) -> list[tuple[str, int]]:
+    """Deletes the block folders (station, blk) that ``gone`` names; only folder names are listed, not rows."""
+    files, at = _folder(spark, path)
+    out = []
+    for found in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(at, "station=*/blk=*")) or []:
+        folder = found.getPath()
+        station, blk = folder.getParent().getName().removeprefix("station="), int(folder.getName().removeprefix("blk="))
+        if gone(station, blk):
+            files.delete(folder, True)
+            out.append((station, blk))
+    return sorted(out)
+
+
+def retain(spark: SparkSession, path: str, keep_after_ts: int, block_secs: int) -> list[tuple[str, int]]:
+    """Deletes stored blocks before the cutoff's block; the boundary block stays whole.  Returns what went."""
+    return _drop_blocks(spark, path, lambda _, blk: blk < keep_after_ts // block_secs)
+
+
+def invalidate_station(spark: SparkSession, path: str, station: str, from_ts: int, block_secs: int) -> None:
+    """Deletes a station's stored rows from ``from_ts`` on: later blocks whole, of the boundary block its later rows."""
+    first = from_ts // block_secs
+    edge = read_station(spark, path, station).where((F.col("blk") == first) & (F.col("ts") < from_ts))
+    kept = materialize(edge, "boundary-block")
+    _drop_blocks(spark, path, lambda s, blk: s == station and blk >= first)
+    if not kept.isEmpty():
+        kept.write.partitionBy("station", "blk").mode("append").parquet(path)
+
+
+def clear_station(spark: SparkSession, path: str, station: str) -> str:
+    """Deletes a station's rows; its folder (the registry) stays.  Returns the kinds that it held."""
+    kinds = read_station(spark, path, station).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("k")).first()["k"]
+    _drop_blocks(spark, path, lambda s, _: s == station)
+    return kinds
+
+
+def clear_all_stations(spark: SparkSession, path: str) -> list[str]:
+    """Deletes the rows of all stations and returns their names."""
+    return sorted({s for s, _ in _drop_blocks(spark, path, lambda *_: True)})
+
+
 def merge_hot_cold(hot: DataFrame, cold: DataFrame) -> DataFrame:
     """Both tiers with exact copies removed."""
     return dedup_exact(hot.unionByName(cold, allowMissingColumns=True))
@@ -126,6 +196,22 @@ def null_sink(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def print_sink(df: DataFrame) -> None:
+    """Rows on the console; a stream until all that is available is there."""
+    if df.isStreaming:
+        df.writeStream.format("console").trigger(availableNow=True).start().awaitTermination()
+    else:
+        df.show(truncate=False)
+
+
+def capture_sink(df: DataFrame, name: str, max_messages: int = 1000) -> DataFrame:
+    """The first messages of a stream, kept in memory as table ``name``: a look at a stream, bounded by ``max_messages``."""
+    if max_messages < 1:
+        raise ValueError("the capacity must be at least 1")
+    df.limit(max_messages).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.table(name)
+
+
 def alert_payloads(df: DataFrame, limit: int = 4096) -> DataFrame:
     """Event JSON for a notifier; payloads above ``limit`` UTF-16 units are rejected, never cut."""
     d = df.withColumn("payload", F.to_json(F.struct("*")))
@@ -135,3 +221,15 @@ def alert_payloads(df: DataFrame, limit: int = 4096) -> DataFrame:
 
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
+
+
+def export_arrow(df: DataFrame, path: str, *, max_rows: int = 1_000_000) -> int:
+    """A result as one Arrow file on the driver; larger ones are refused (write Parquet instead).  Returns the rows written."""
+    import pyarrow as pa
+
+    found = df.limit(max_rows + 1).toArrow()
+    if found.num_rows > max_rows:
+        raise ValueError(f"more than {max_rows} rows: export as Parquet")
+    with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, found.schema) as out:
+        out.write_table(found)
+    return found.num_rows

@@ -51,19 +51,19 @@ def volume_candles(df: DataFrame, by: list[str], step_secs: int) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         bar = list(state.get) if state.exists else None
-        out = []
-        for pdf in frames:
-            for r in pdf.sort_values(["ts", "seq"]).itertuples(index=False):
-                t = r.ts // step_secs * step_secs
-                if bar is None or t > bar[0]:
-                    if bar is not None:
-                        out.append((*key, *bar))
-                    bar = [t, r.value, r.value, r.value, r.value, r.quantity]
-                else:
-                    bar[2], bar[3], bar[4], bar[5] = max(bar[2], r.value), min(bar[3], r.value), r.value, bar[5] + r.quantity
+        pdf = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")  # a key's rows of one trigger, in any number of frames
+        # Bars never go back: a tick older than the open bar counts for it.
+        t = (pdf["ts"] // step_secs * step_secs).clip(lower=bar[0] if bar else None)
+        g = pdf.assign(t=t).groupby("t", sort=True).agg(o=("value", "first"), h=("value", "max"), l=("value", "min"), c=("value", "last"), v=("quantity", "sum")).reset_index()
+        bars = g[["t", "o", "h", "l", "c", "v"]].to_numpy(float).tolist()
+        if bar and bars and bars[0][0] == bar[0]:
+            first = bars.pop(0)
+            bar = [bar[0], bar[1], max(bar[2], first[2]), min(bar[3], first[3]), first[4], bar[5] + first[5]]
+        done = ([bar] if bar and bars else []) + bars[:-1]
+        bar = bars[-1] if bars else bar
         if bar is not None:
-            state.update(tuple(bar))
-        yield pd.DataFrame(out, columns=[*by, "t", "o", "h", "l", "c", "v"])
+            state.update((int(bar[0]), *map(float, bar[1:])))
+        yield pd.DataFrame([(*key, int(b[0]), *b[1:]) for b in done], columns=[*by, "t", "o", "h", "l", "c", "v"])
 
     shape = "t bigint, o double, h double, l double, c double, v double"
     return df.groupBy(*by).applyInPandasWithState(step, f"{keys}, {shape}", shape, "append", GroupStateTimeout.NoTimeout)
@@ -75,11 +75,18 @@ def staleness(df: DataFrame, by: list[str], now: int, stale_secs: int = 180) ->
 
 
 def late_rows(df: DataFrame, by: list[str], step_secs: int) -> DataFrame:
-    """Batch count of rows that arrive (by ``seq``) after their bucket was closed by a later event."""
+    """Batch count of rows that arrive (by ``seq``) after their bucket was closed by a later event.
+
+    The greatest ts so far is a running maximum inside slices of ``seq``, with the maxima of earlier slices added.
+    """
     from pyspark.sql import Window
 
-    seen = F.max("ts").over(Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    d = df.withColumn("seen", seen).where((F.floor(F.col("ts") / step_secs) + 1) * step_secs <= F.col("seen"))
+    d = df.withColumn("__slice", F.floor(F.col("seq") / 65_536))
+    inside = F.max("ts").over(Window.partitionBy(*by, "__slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("m").over(Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
+    edges = d.groupBy(*by, "__slice").agg(F.max("ts").alias("m")).withColumn("__before", before).drop("m")
+    d = d.withColumn("__in", inside).join(edges, [*by, "__slice"])
+    d = d.withColumn("seen", F.greatest("__in", "__before")).where((F.floor(F.col("ts") / step_secs) + 1) * step_secs <= F.col("seen"))
     return d.groupBy(*by).agg(F.count("*").alias("late"))
 
 
@@ -148,3 +155,29 @@ def clock(spark: SparkSession, interval_secs: int) -> DataFrame:
     """A tick every ``interval_secs`` seconds."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return ticks.where(F.col("value") % interval_secs == 0).select(F.lit("tick").alias("event"), F.unix_seconds("timestamp").alias("ts"))
+
+
+def transformed(df: DataFrame, name: str, params: dict | None = None, *, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Runs a registered transform on each micro-batch of a stream of observations and hands its rows to ``sink``."""
+    from tidemark.plans import registry
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        sink(registry.apply(name, batch, params), batch_id)
+
+    df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def cursor(df: DataFrame, by: list[str]) -> DataFrame:
+    """A stream's newest ts and row count of each key, kept as state and emitted whenever they move."""
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, n = state.get if state.exists else (None, 0)
+        for pdf in frames:
+            top = int(pdf["ts"].max())
+            last, n = top if last is None else max(last, top), n + len(pdf)
+        state.update((last, n))
+        yield pd.DataFrame([(*key, last, n)], columns=[*by, "last_ts", "n"])
+
+    shape = "last_ts bigint, n bigint"
+    return df.groupBy(*by).applyInPandasWithState(step, f"{keys}, {shape}", shape, "update", GroupStateTimeout.NoTimeout)
