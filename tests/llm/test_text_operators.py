@@ -98,15 +98,12 @@ def test_star_rows_link_all_documents_of_an_item():
     lists = [rng.integers(0, 20, 3).tolist() for _ in range(30)]
     batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 10)), pa.array(lists[i : i + 10], pa.list_(pa.int64()))], names=["d", "i"]) for i in (0, 10, 20)]
     rows = pa.Table.from_batches(ngram_join._star_rows(iter(batches))).to_pylist()
-    least, links = {}, set()
+    met: dict = {}
     for r in rows:
-        if r["low"] is None:
-            assert r["rep"] == min(i for i, x in enumerate(lists) if r["item"] in x)
-            least[r["item"]] = r["rep"]
-        else:
-            links.add((r["rep"], r["low"]))
-    assert set(least) == {x for ls in lists for x in ls}
-    assert links == {(i, least[x]) for i, ls in enumerate(lists) for x in ls if least[x] != i}
+        met.setdefault(r["item"], set()).add(r["rep"])
+    least = {x: min(i for i, ls in enumerate(lists) if x in ls) for ls in lists for x in ls}
+    assert all(met[x] == {i} for x, i in least.items())
+    assert {(max(v), min(v)) for x, v in met.items() if x not in least} == {(i, least[x]) for i, ls in enumerate(lists) for x in ls if least[x] != i}
 
 
 def test_trie_bounds_match_exact_overlap():

@@ -37,6 +37,7 @@ empty result.  64-bit token hashes and 128-bit set digests are taken as identiti
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
@@ -51,12 +52,13 @@ from tidemark.operators.components import connected_components
 
 CHUNK_BYTES = 16 << 20
 CHUNK_ROWS = 4_096
-HEAVY_ROWS = 512
+HEAVY_ROWS = 4_096
 PIVOTS = 3
 BITS_PER_ID = 8
 MAX_BITS = 1 << 24
 STAR_ITEMS = 1 << 20
 COUNTERS = 1 << 18
+COUNT_BLOCK = 1 << 12
 SMALL_SET = 64
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -110,14 +112,25 @@ def token_counts(documents: DataFrame, *, text_col: str, words: int) -> np.ndarr
             for piece in slices(batch):
                 spots = [(t % np.uint64(COUNTERS)).astype(np.int64) for t in token_sets(piece.column(0).to_pylist(), words)]
                 total += np.bincount(np.concatenate(spots), minlength=COUNTERS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["spot", "k"])
+        yield from packed(total.reshape(-1, COUNT_BLOCK))
 
-    parts = documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "spot int, k long")
-    out = np.zeros(COUNTERS, np.int64)
-    for r in parts.groupBy("spot").agg(F.sum("k").alias("k")).collect():  # at most COUNTERS rows
-        out[r.spot] = r.k
-    return out
+    def packed(blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([zlib.compress(blocks[b].tobytes(), 1) for b in used], pa.binary())], names=["block", "counts"])
+
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+        total = np.zeros(COUNT_BLOCK, np.int64)
+        for data in rows.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(data), np.int64)
+        return pa.table([pa.array([rows.column("block")[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["block", "counts"])
+
+    parts = documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "block int, counts binary")
+    # Sums of a block's rows in two steps, so no group grows with the number of tasks.
+    some = parts.withColumn("salt", F.spark_partition_id() % 256).groupBy("block", "salt").applyInArrow(merge, "block int, counts binary")
+    out = np.zeros((COUNTERS // COUNT_BLOCK, COUNT_BLOCK), np.int64)
+    for r in some.groupBy("block").applyInArrow(merge, "block int, counts binary").collect():  # COUNTERS / COUNT_BLOCK rows
+        out[r.block] = np.frombuffer(zlib.decompress(r.counts), np.int64)
+    return out.ravel()
 
 
 def commonness(counts: np.ndarray) -> np.ndarray:
@@ -392,7 +405,7 @@ def _trie_links(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[p
 
 
 def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, items) as (item, rep, low): the least id of each item, and links of the others to it (low is set)."""
+    """Rows (doc_id, items) as (item, rep): the least id of each item; each other id meets it under a key of their own."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
@@ -407,9 +420,9 @@ def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst = src[order], dst[order]
         new = (src != dst) & np.concatenate((np.ones(min(1, len(src)), bool), (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])))
         src, dst = src[new], dst[new]
-        keys = np.concatenate((found[first], mix(src.astype(np.uint64)).view(np.int64)))
-        lows = pa.array(np.concatenate((reps[first], dst)), mask=np.arange(len(keys)) < first.sum())
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate((reps[first], src))), lows], names=["item", "rep", "low"])
+        own = mix(src.astype(np.uint64) ^ mix(dst.astype(np.uint64) + np.uint64(_GOLD))).view(np.int64)
+        keys, ids = np.concatenate((found[first], own, own)), np.concatenate((reps[first], src, dst))
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["item", "rep"])
 
     size = 0
     for batch in batches:
@@ -586,9 +599,9 @@ def similar_documents(
     # Item lists move only for rows in the bitmap of the ids that equal sets make superfluous.
     sure, maybe = _split(sig.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "s1", "s2", "items"), "doc_id", copies)
     stars = sure.unionByName(maybe.join(reps, ["doc_id", "s1", "s2"], "left_semi")).select("doc_id", "items").mapInArrow(
-        _star_rows, "item long, rep long, low long"
+        _star_rows, "item long, rep long"
     )
-    lowest = F.coalesce("low", F.min("rep").over(Window.partitionBy("item")))
+    lowest = F.min("rep").over(Window.partitionBy("item"))
     near = stars.select(F.col("rep").alias("src"), lowest.alias("dst")).where("dst < src")
     clusters = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     clusters = materialize(clusters.join(classes, "rep"), "clusters")
