@@ -55,7 +55,9 @@ TITLES = rf"(?:{TITLE})\.?(?: (?:{TITLE})\.?(?= ))*"
 RUN = r"[\p{L}\p{M}]+"
 _WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+"
 _LINK = r"(?:(?:von|van|vom|zu|de|der|den|del|della|da|di|du|dos|la|le|bin|ibn|al|el|\p{Lu}\.) )*+"
-NAME = rf"(?<!\p{{L}})(?:{TITLES} {_LINK}{_WORD}(?: {_LINK}{_WORD})*+|(?:{GIVEN})(?: {_LINK}{_WORD})++)"
+#: What titles and given names begin with: most places of a text are left after one look.
+_HEAD = r"(?<!\p{L})(?=[\p{Lu}гдп])"
+NAME = rf"{_HEAD}(?:{TITLES} {_LINK}{_WORD}(?: {_LINK}{_WORD})*+|(?:{GIVEN})(?: {_LINK}{_WORD})++)"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, CARD, PHONE, IPV4, SSN, NAME))
 # Letters of the syllables of surrogate names.
 CONSONANTS = {"latin": "bdfghklmnprstvz", "cyrillic": "бвгдзклмнпрстфх"}
@@ -261,7 +263,7 @@ def _mark(kind: Column, e: Column) -> Column:
 
 
 def _may_have(text: Column) -> Column:
-    return text.rlike(rf"[@0-9]|(?:{TITLE})\.? \p{{L}}|(?:{GIVEN}) \p{{L}}")
+    return text.rlike(rf"[@0-9]|{_HEAD}(?:(?:{TITLE})\.? \p{{L}}|(?:{GIVEN}) \p{{L}})")
 
 
 def entities(text: Column) -> Column:
@@ -333,19 +335,31 @@ def pseudonymise(documents: DataFrame, key: str, *, id_col: str = "doc_id", text
         return first if second is None else F.coalesce(second[plain(e)], first)
 
     low = F.transform("words", lambda w: F.lower(F.substring_index(w, " ", -1)))
-    rows = rows.withColumn("low", low).withColumn("new_words", F.transform("words", new)).withColumn("between", F.split("text", ANY, -1))
+    rows = rows.withColumn("low", low).withColumn("new_words", F.transform("words", new)).withColumn("between", F.when(F.size("found") > 0, F.split("text", ANY, -1)))
 
-    def mention(w: Column, least: int) -> Column:
-        at = F.when((F.length(w) >= least) & w.rlike(r"^\p{Lu}"), F.array_position("low", F.lower(w))).otherwise(0)
+    def own(w: Column) -> Column:
+        """The surrogate of a name's word."""
+        at = F.when(w.rlike(r"^\p{Lu}"), F.array_position("low", F.lower(w))).otherwise(0)
         return F.when(at > 0, F.substring_index(F.get("new_words", (at - 1).cast("int")), " ", -1)).otherwise(w)
 
     def entity(e: Column) -> Column:
         titles = F.regexp_extract(e, f"^{TITLES}", 0)
-        whole = F.concat(titles, _each_run(F.substr(e, F.length(titles) + 1), lambda w: mention(w, 1)))
+        whole = F.concat(titles, _each_run(F.substr(e, F.length(titles) + 1), own))
         return F.when(kind_of(e) == "name", whole).otherwise(new(e))
 
-    rows = rows.withColumn("new", F.transform("found", entity))
-    kept = F.when(F.size("words") > 0, F.transform("between", lambda a: _each_run(a, lambda w: mention(w, 2)))).otherwise(F.col("between"))
+    # Other mentions: one pass over the text for each word of the names found in it.
+    swaps = F.filter(
+        F.zip_with("low", F.transform("new_words", lambda w: F.substring_index(w, " ", -1)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: F.length(x["a"]) > 1
+    )
+
+    def mentions(part: Column) -> Column:
+        def swap(acc: Column, x: Column) -> Column:
+            return F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{M}])(?=\p{Lu})(?iu:"), x["a"], F.lit(r")(?![\p{L}\p{M}])")), x["b"])
+
+        return F.aggregate("swaps", part, swap)
+
+    rows = rows.withColumn("new", F.transform("found", entity)).withColumn("swaps", swaps)
+    kept = F.when(F.size("swaps") > 0, F.transform("between", mentions)).otherwise(F.col("between"))
     pairs = F.zip_with(kept, F.col("new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     text = F.when(F.size("new") > 0, F.array_join(pairs, "")).otherwise(F.col("text"))
     return rows.select("doc_id", text.alias("text"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities"))
