@@ -211,27 +211,20 @@ def _single(w: Column, gender: Column) -> Column:
     return F.concat(F.when(gender == "m", SHORT["m"]).when(gender == "f", SHORT["f"]).otherwise(SHORT["n"]), F.lit(" "), w)
 
 
-def _name(e: Column, key: str, attempt: str, second: Column | None = None) -> Column:
-    """``second`` maps single names whose word has another surrogate."""
-    titles = F.regexp_extract(e, f"^{TITLES}", 0)
-    gender = _gender(e)
+def _name(e: Column, key: str, attempt: str) -> Column:
+    """The surrogate of a name of one word."""
+    title = F.substring_index(e, " ", 1)
+    gender = F.when(title == SHORT["m"], "m").when(title == SHORT["f"], "f").otherwise("n")
+    return F.concat(title, F.lit(" "), _word(F.substring_index(e, " ", -1), gender, key, attempt))
 
-    def change(w: Column) -> Column:
-        new = _word(w, gender, key, attempt)
-        if second is not None:
-            new = F.coalesce(F.substring_index(second[_single(w, gender)], " ", -1), new)
-        return F.when(w.rlike(r"^\p{Lu}"), new).otherwise(w)
 
-    return F.concat(titles, _each_run(F.substr(e, F.length(titles) + 1), change))
+def name_words(typed: Column) -> Column:
+    """Words w and genders g of all names among the entities (kind, e), in order, each once."""
+    names = F.transform(F.filter(typed, lambda x: x["kind"] == "name"), lambda x: F.struct(x["e"].alias("e"), _gender(x["e"]).alias("g")))
 
-
-def name_words(found: Column) -> Column:
-    """Single names of the words of all names among the entities, in order."""
-    names = F.filter(found, lambda e: kind_of(e) == "name")
-
-    def split(e: Column) -> Column:
-        words = F.regexp_extract_all(F.regexp_replace(e, f"^{TITLES}", ""), F.lit(RUN), F.lit(0))
-        return F.transform(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")), lambda w: _single(w, _gender(e)))
+    def split(x: Column) -> Column:
+        words = F.regexp_extract_all(F.regexp_replace(x["e"], f"^{TITLES}", ""), F.lit(RUN), F.lit(0))
+        return F.transform(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")), lambda w: F.struct(w.alias("w"), x["g"].alias("g")))
 
     return F.array_distinct(F.flatten(F.transform(names, split)))
 
@@ -244,16 +237,16 @@ def kind_of(e: Column) -> Column:
     return out.otherwise("name")
 
 
-def surrogate(e: Column, key: str, attempt: str = "0", second: Column | None = None) -> Column:
-    """The replacement of one entity; each ``attempt`` gives another one."""
-    kind = kind_of(e)
+def surrogate(e: Column, key: str, attempt: str = "0", kind: Column | None = None) -> Column:
+    """The replacement of one entity (names: of one word after a title); each ``attempt`` gives another one."""
+    kind = kind_of(e) if kind is None else kind
     return (
         F.when(kind == "email", _email(e, key, attempt))
         .when(kind == "card", _card(e, key, attempt))
         .when(kind == "ipv4", _ipv4(e, key, attempt))
         .when(kind == "ssn", _ssn(e, key, attempt))
         .when(kind == "phone", _phone(e, key, attempt))
-        .otherwise(_name(e, key, attempt, second))
+        .otherwise(_name(e, key, attempt))
     )
 
 
@@ -288,9 +281,10 @@ def second_surrogates(found: DataFrame, key: str, max_attempts: int = 8) -> Data
     """
 
     def named_by(rows: DataFrame, attempt: int) -> DataFrame:
-        e = F.col("original")
-        rows = rows.select("original", surrogate(e, key, str(attempt)).alias("surrogate")).withColumn("kind", kind_of(e))
-        return rows.select("original", _mark(F.col("kind"), e).alias("mark"), "surrogate", _mark(F.col("kind"), F.col("surrogate")).alias("new_mark"))
+        e, kind = F.col("original"), F.col("kind")
+        rows = rows.select("original").withColumn("kind", kind_of(e))
+        rows = rows.select("original", "kind", surrogate(e, key, str(attempt), kind).alias("surrogate"))
+        return rows.select("original", _mark(kind, e).alias("mark"), "surrogate", _mark(kind, F.col("surrogate")).alias("new_mark"))
 
     named = materialize(named_by(found, 0), "surrogates")
     again, out = collisions(named), None
@@ -312,45 +306,42 @@ def second_surrogates(found: DataFrame, key: str, max_attempts: int = 8) -> Data
 def pseudonymise(documents: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with surrogates and n_entities of every row."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("found", entities(F.col("text"))).withColumn("words", name_words(F.col("found")))
+    rows = rows.withColumn("typed", F.transform(entities(F.col("text")), lambda e: F.struct(kind_of(e).alias("kind"), e.alias("e"))))
+    rows = rows.withColumn("words", name_words(F.col("typed")))
 
-    def plain(e: Column) -> Column:
-        return F.when(e.contains("@"), F.lower(e)).otherwise(e)
+    def plain(x: Column) -> Column:
+        return F.when(x["kind"] == "email", F.lower(x["e"])).otherwise(x["e"])
 
-    others = F.transform(F.filter("found", lambda e: kind_of(e) != "name"), plain)
-    loose = rows.select(F.explode(F.array_distinct(F.concat(others, "words"))).alias("original"))
-    again = second_surrogates(loose.distinct(), key)
+    singles = F.transform("words", lambda x: _single(x["w"], x["g"]))
+    others = F.transform(F.filter("typed", lambda x: x["kind"] != "name"), plain)
+    asked = rows.select(F.xxhash64("text").alias("mark"), F.explode(F.array_distinct(F.concat(others, singles))).alias("original"))
+    again = second_surrogates(asked.select("original").distinct(), key)
     second = None
     if again is not None:
-        rows = rows.withColumn("mark", F.xxhash64("text"))
-        asked = rows.select("mark", F.explode(F.array_distinct(F.concat(others, "words"))).alias("original")).distinct()
-        maps = asked.join(again, "original").groupBy("mark").agg(
-            F.map_from_entries(F.collect_set(F.struct("original", "surrogate"))).alias("second")
-        )
-        rows = rows.join(maps, "mark", "left")
+        maps = asked.distinct().join(again, "original").groupBy("mark").agg(F.map_from_entries(F.collect_set(F.struct("original", "surrogate"))).alias("second"))
+        rows = rows.withColumn("mark", F.xxhash64("text")).join(maps, "mark", "left")
         second = F.col("second")
 
-    def new(e: Column) -> Column:
-        first = surrogate(e, key, second=second)
-        return first if second is None else F.coalesce(second[plain(e)], first)
+    def fresh(first: Column, original: Column) -> Column:
+        return first if second is None else F.coalesce(second[original], first)
 
-    low = F.transform("words", lambda w: F.lower(F.substring_index(w, " ", -1)))
-    rows = rows.withColumn("low", low).withColumn("new_words", F.transform("words", new)).withColumn("between", F.when(F.size("found") > 0, F.split("text", ANY, -1)))
+    names = F.transform("words", lambda x: F.struct(
+        F.lower(x["w"]).alias("a"), (_word(x["w"], x["g"], key, "0") if second is None else F.coalesce(F.substring_index(second[_single(x["w"], x["g"])], " ", -1), _word(x["w"], x["g"], key, "0"))).alias("b")
+    ))
+    rows = rows.withColumn("names", names).withColumn("between", F.when(F.size("typed") > 0, F.split("text", ANY, -1)))
 
     def own(w: Column) -> Column:
-        """The surrogate of a name's word."""
-        at = F.when(w.rlike(r"^\p{Lu}"), F.array_position("low", F.lower(w))).otherwise(0)
-        return F.when(at > 0, F.substring_index(F.get("new_words", (at - 1).cast("int")), " ", -1)).otherwise(w)
+        """The surrogate of a name's word: that of its first mention's gender."""
+        found = F.get(F.filter("names", lambda x: x["a"] == F.lower(w)), F.lit(0))["b"]
+        return F.when(w.rlike(r"^\p{Lu}"), F.coalesce(found, w)).otherwise(w)
 
-    def entity(e: Column) -> Column:
-        titles = F.regexp_extract(e, f"^{TITLES}", 0)
-        whole = F.concat(titles, _each_run(F.substr(e, F.length(titles) + 1), own))
-        return F.when(kind_of(e) == "name", whole).otherwise(new(e))
+    def entity(x: Column) -> Column:
+        titles = F.regexp_extract(x["e"], f"^{TITLES}", 0)
+        whole = F.concat(titles, _each_run(F.substr(x["e"], F.length(titles) + 1), own))
+        return F.when(x["kind"] == "name", whole).otherwise(fresh(surrogate(x["e"], key, kind=x["kind"]), plain(x)))
 
     # Other mentions: one pass over the text for each word of the names found in it.
-    swaps = F.filter(
-        F.zip_with("low", F.transform("new_words", lambda w: F.substring_index(w, " ", -1)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: F.length(x["a"]) > 1
-    )
+    swaps = F.filter("names", lambda x: F.length(x["a"]) > 1)
 
     def mentions(part: Column) -> Column:
         def swap(acc: Column, x: Column) -> Column:
@@ -358,8 +349,8 @@ def pseudonymise(documents: DataFrame, key: str, *, id_col: str = "doc_id", text
 
         return F.aggregate("swaps", part, swap)
 
-    rows = rows.withColumn("new", F.transform("found", entity)).withColumn("swaps", swaps)
+    rows = rows.withColumn("new", F.transform("typed", entity)).withColumn("swaps", swaps)
     kept = F.when(F.size("swaps") > 0, F.transform("between", mentions)).otherwise(F.col("between"))
     pairs = F.zip_with(kept, F.col("new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     text = F.when(F.size("new") > 0, F.array_join(pairs, "")).otherwise(F.col("text"))
-    return rows.select("doc_id", text.alias("text"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities"))
+    return rows.select("doc_id", text.alias("text"), F.coalesce(F.size("typed"), F.lit(0)).cast("long").alias("n_entities"))
