@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar as S
 from tidemark.operators import anomaly, candles, capacity, grid, indicators, ledger, ml, probability, query, sliced, stats, text, timeseries, trend
 from tidemark.plans import queries as Q
-from tidemark.plans import registry
+from tidemark.plans import registry, source_queries  # noqa: F401  (registers its queries)
 from tidemark.schema import OBS_SCHEMA
 from tidemark.sources import io
 from tidemark.streaming import jobs
@@ -128,7 +128,7 @@ def test_barriers(spark):
     bars = spark.createDataFrame([("m", i, float(o), float(h), float(lo), 0.0) for i, (o, h, lo) in enumerate([(100, 101, 99), (100, 112, 88), (130, 131, 129)], 1)], "metric_id string, bar long, o double, h double, l double, close double")
     e = spark.createDataFrame([("m", "both", "long", 100.0, 1, 90.0, 110.0), ("m", "gap", "long", 100.0, 3, 90.0, 110.0), ("m", "short", "short", 100.0, 2, 111.0, 50.0), ("m", "none", "long", 100.0, 1, 1.0, 999.0)], "metric_id string, order_id string, dtype string, entry double, unlock_seq long, sl double, tp double")
     got = {r.order_id: (r.bar, r.reason, r.fill) for r in ledger.barrier_exit(e, bars, BY, max_bars=2).collect()}
-    assert got == {"both": (2, "sl", 90.0), "gap": (3, "tp", 130.0), "short": (2, "sl", 111.0)}
+    assert got == {"both": (2, "sl", 90.0), "gap": (3, "tp", 130.0), "short": (2, "sl", 111.0), "none": (None, "open", None)}
 
 
 def test_probability_and_stats(spark, ten):
@@ -215,7 +215,9 @@ def test_sources(spark, tmp_path, ten):
     paths = {n: f"[][{i}]" for i, n in enumerate(("t", "o", "h", "l", "c", "v"))}
     assert io.parse_candle_json(k, "j", paths, unit_ms=1).count() == 5
     prom = '{"status":"success","data":{"resultType":"matrix","result":[{"metric":{"__name__":"up","job":"j"},"values":[[1,"1"],[2,"0"]]}]}}'
-    p = io.parse_prometheus(spark.createDataFrame([(prom,)], "j string"), "j").collect()
+    good, failed = io.parse_prometheus(spark.createDataFrame([(prom,), ('{"status":"error"}',), ("no json",)], "j string"), "j")
+    p = good.collect()
+    assert sorted(r.status for r in failed.collect()) == ["error", "unreadable"]
     assert [(r.ts, r.metric_id, r.value, r.labels) for r in p] == [(1, "up", 1.0, {"job": "j"}), (2, "up", 0.0, {"job": "j"})]
     path = str(tmp_path / "lake")
     io.write_station(ten.unionByName(ten), path, "s1", 120)
@@ -299,14 +301,17 @@ def test_stream_sinks(spark, tmp_path, ten):
     assert jobs.current_faults(spark.read.parquet(faults)).first().code == "RuntimeError"
 
 
-SQL_CHECKED = ["flagship_hourly_summary", "ts_moving_avg", "ts_p95", "tick_to_candle", "grid_transitions", "trend_fit", "verify_forecast", "barrier_exit", "pnl_buckets", "peaks", "stream_candles"]
+SQL_CHECKED = [
+    "flagship_hourly_summary", "ts_moving_avg", "ts_p95", "tick_to_candle", "grid_fit", "grid_transitions", "trend_fit", "verify_forecast", "barrier_exit", "pnl_buckets", "peaks", "stream_candles",
+    "unrealized_pnl", "time_to_exhaustion", "projection", "capacity_forecast", "risk_governor", "param_sweep", "describe", "rank_correlation", "stream_volume_candles", "write_station", "orders",
+]
 
 
 @pytest.mark.parametrize("name", SQL_CHECKED)
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
-    for t in ("events", "lineitem", "documents", "part"):
+    for t in ("events", "lineitem", "documents", "part", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = Q.QUERIES[name](spark, sf_dir)
     want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in got.columns)} FROM ({Q.ORACLES[name]})").fetchall()

@@ -49,11 +49,12 @@ def test_exits_at_any_distance(spark):
     entries.append(("a", "early", "long", 100.0, -50, 97.0, 104.0))
     want = {}
     for m, name, side, _, unlock, sl, tp in entries:
+        want[name] = (None, "open")
         for b, i, _, h, low in bars:
             if b == m and i >= unlock and (low <= sl or h >= tp if side == "long" else h >= sl or low <= tp):
                 want[name] = (i, "sl" if (low <= sl if side == "long" else h >= sl) else "tp")
                 break
-    assert any(bar > 80 + int(name[1:]) for name, (bar, _) in want.items() if name != "early")
+    assert any(bar > 80 + int(name[1:]) for name, (bar, _) in want.items() if bar and name != "early")
     e, c = spark.createDataFrame(entries, ENTRY), spark.createDataFrame(bars, BAR)
     for block in (5, 64):
         got = {r.order_id: (r.bar, r.reason) for r in ledger.barrier_exit(e, c, BY, max_bars=block).collect()}

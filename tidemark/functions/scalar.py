@@ -73,8 +73,9 @@ def _child(step: str) -> Callable[[Column], Column]:
 
 
 def json_select(c: Column, keys: list[str]) -> Column:
-    """The object with the listed keys only."""
-    return F.to_json(F.map_filter(F.from_json(c, "map<string,string>"), lambda k, _: k.isin(*keys)))
+    """The object with the listed keys only, values as they are; a key that is missing or null is left out."""
+    whole = F.try_parse_json(c)
+    return F.to_json(F.struct(*[F.try_variant_get(whole, f"$['{k}']", "variant").alias(k) for k in keys]))
 
 
 def json_bindings(bindings: dict[str, Column]) -> Column:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sliced import with_row_halo
 
 BLOCK = 128
 
@@ -66,9 +67,9 @@ class CutForest:
 
 def shingle(df: DataFrame, by: list[str], k: int) -> DataFrame:
     """Arrays of k consecutive values; null until there are k."""
-    w = Window.partitionBy(*by).orderBy("ts", "seq").rowsBetween(-(k - 1), 0)
-    got = F.collect_list("value").over(w)
-    return df.withColumn("shingle", F.when(F.size(got) == k, got))
+    d = with_row_halo(df, by, k)
+    got = F.collect_list("value").over(Window.partitionBy(*by, "slice").orderBy("idx").rowsBetween(-(k - 1), 0))
+    return d.withColumn("shingle", F.when(F.size(got) == k, got)).where("own").select(*df.columns, "shingle")
 
 
 def rcf_scores(df: DataFrame, by: list[str], *, trees: int = 10, size: int = 256, shingle_size: int = 1, seed: int = 42) -> DataFrame:
@@ -110,4 +111,4 @@ def rcf_score_transient(history: DataFrame, probes: DataFrame, by: list[str], *,
             forest.add(past[:, None])
         return b[by].assign(value=b["value"], score=forest.score(b["value"].to_numpy(float)[:, None]))
 
-    return last.groupBy(*by).cogroup(probes.select(*by, "value").groupBy(*by)).applyInPandas(run, f"{keys}, value double, score double")
+    return last.groupBy(*by).cogroup(probes.select(*[F.col(c).alias(c) for c in (*by, "value")]).groupBy(*by)).applyInPandas(run, f"{keys}, value double, score double")
