@@ -162,6 +162,39 @@ def test_viterbi_equals_brute_force():
         assert abs(value - (v.max() if len(s) else 0.0)) < 1e-2
 
 
+def test_language_model_equals_plain_python(spark):
+    """Bucket weights and scripts of a trained model, and word scores, by loops over characters."""
+    rows = [(1, "The cat", "en"), (2, "le chat", "fr"), (3, "кот", "ru"), (4, None, "en"), (5, "untold", None)]
+    model = langid.train(frame(spark, rows))
+
+    def buckets(text):
+        low = (text or "").lower()
+        code = [ord(c) if c.isalpha() else 0 for c in low]
+        for i, c in enumerate(code):
+            if c:
+                a, b = code[i - 1] if i else 0, code[i + 1] if i + 1 < len(code) else 0
+                key = a * 0x9E3779B97F4A7C15 % 2**64 ^ c * 0xC2B2AE3D27D4EB4F % 2**64 ^ b * 0x165667B19E3779F9 % 2**64
+                yield key * 0xD6E8FEB86659FD93 % 2**64 >> 49
+
+    grams = {lang: np.full(langid.BUCKETS, 0.5) for lang in ("en", "fr", "ru")}
+    for _, text, lang in rows:
+        if lang:
+            for b in buckets(text):
+                grams[lang][b] += 1
+    assert model.languages == ["en", "fr", "ru"]  # most rows first, then by name
+    logs = np.array([np.log(grams[x] / grams[x].sum()) for x in model.languages])
+    want = np.maximum(logs - logs.max(axis=0), -8.0)
+    assert np.allclose(model.weight.T, want, atol=1e-5)
+    latin, cyrillic = langid._NAMES.index("latin"), langid._NAMES.index("cyrillic")
+    assert model.allowed[latin].tolist() == [True, True, False] and model.allowed[cyrillic].tolist() == [False, False, True]
+    _, sizes, scores = langid.word_scores("chat cat", model)
+    parts = ["chat", "cat"]
+    assert sizes.tolist() == [4, 3]
+    for i, word in enumerate(parts):
+        raw = sum(want[:, b] for b in buckets(word))
+        assert np.allclose(scores[i][:2], raw[:2], atol=1e-4) and scores[i][2] == -60
+
+
 def test_long_texts_are_labelled_like_short_ones(spark, monkeypatch):
     docs = frame(spark, language_rows())
     model = langid.train(docs)

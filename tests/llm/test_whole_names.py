@@ -1,5 +1,6 @@
 """Mentions of persons and phones beyond the plainest form."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -54,3 +55,35 @@ def test_a_second_surrogate_is_used_everywhere(spark, monkeypatch):
     monkeypatch.setattr(pii, "second_surrogates", lambda found, key: again)
     by = {r.doc_id: r.text for r in pii.pseudonymise(df.where(F.col("doc_id").isin(1, 4)), "k").collect()}
     assert by[4] == "Mr Other wrote." and by[1].startswith(f"Mr {john} Other came. Later Other said that {john}")
+
+
+def test_surrogates_are_one_to_one_over_all_documents(spark):
+    """Every entity of shuffled documents gets one surrogate of its kind, distinct entities distinct ones, other text stays."""
+    rng = random.Random(5)
+
+    def digits(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    kinds = {
+        r"\+1 \(\d{3}\) \d{3}-\d{4}": lambda: f"+1 ({rng.randrange(200, 999)}) {digits(3)}-{digits(4)}",
+        r"\d{1,3}(\.\d{1,3}){3}": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        r"[a-z]{3}\.[a-z]{4}@[a-z]{10}\.example\.(com|org|net)": lambda: "".join(rng.choices("abcdefgh", k=3)) + "." + "".join(rng.choices("abcdefgh", k=4)) + "@" + rng.choice(["x.org", "yy.com", "z.net", "w.de"]),
+        r"\d{3}-\d{2}-\d{4}": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        r"4\d{3} \d{4} \d{4} \d{4}": lambda: f"4{digits(3)} {digits(4)} {digits(4)} {digits(4)}",
+        r"Mrs [A-Z][a-z]+ina": lambda: "Mrs " + rng.choice("BCDFG") + "".join(rng.choices("aeiorstl", k=6)),
+    }
+    pool = [(k, make()) for k, make in kinds.items() for _ in range(12)]
+    docs = []
+    for i in range(80):
+        docs.append((i, rng.sample(pool, 4)))
+    rows = [(i, " # ".join(e for _, e in picked) + " # end") for i, picked in docs]
+    rng.shuffle(rows)
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "k").collect()}
+    found = {}
+    for i, picked in docs:
+        *new, end = got[i].text.split(" # ")
+        assert end == "end" and got[i].n_entities == len(picked) == len(new)
+        for (kind, old), surrogate in zip(picked, new, strict=True):
+            assert re.fullmatch(kind, surrogate) and surrogate != old
+            assert found.setdefault((kind, old), surrogate) == surrogate
+    assert len(set(found.values())) == len(found) and not set(found.values()) & {e for _, e in pool}

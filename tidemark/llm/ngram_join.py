@@ -56,7 +56,7 @@ HEAVY_ROWS = 4_096
 PIVOTS = 3
 BITS_PER_ID = 8
 MAX_BITS = 1 << 24
-STAR_ITEMS = 1 << 20
+STAR_ITEMS = 1 << 19
 COUNTERS = 1 << 18
 COUNT_BLOCK = 1 << 12
 SMALL_SET = 64
@@ -312,8 +312,9 @@ def _tight_groups(sets: list[np.ndarray], colors: list[int | None], limits: Limi
 
     def rarest(me: int, k: int) -> list[int]:
         own = kinds[me][k]
-        order = np.lexsort((own, times[np.searchsorted(every, own)]))
-        return own[order[: limits.apart(len(sets[me]), uppers[me]) + 1]].tolist()
+        often = times[np.searchsorted(every, own)]
+        order = np.lexsort((own, often))[: limits.apart(len(sets[me]), uppers[me]) + 1]
+        return own[order[often[order] > 1]].tolist()  # an item of one set only brings none together
 
     lists: dict[int, list[int]] = {}
     same: dict[int, bool] = {}  # all sets of the list are in one group
@@ -377,8 +378,14 @@ def _unit(rows: list[tuple[int, int, int | None, np.ndarray]], cross: bool, limi
                 yield doc, least[trie.find(i)]
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """Sorted tokens byte by byte, high bytes first: those hardly differ, so shuffles compress them."""
+    return np.ascontiguousarray(tokens.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
 def _tokens(col: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in col]
+    planes = (np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1) for x in col)
+    return [np.ascontiguousarray(p.T).view(">u8").ravel().astype(np.uint64) for p in planes]
 
 
 def _trie_links(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
@@ -399,7 +406,7 @@ def _trie_links(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[p
                 if rows:
                     yield done()
                 key, rows = unit, []
-            rows.append((*row[:3], row[3].copy()))
+            rows.append(row)
     if rows:
         yield done()
 
@@ -473,26 +480,26 @@ def _split(rows: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, Dat
     return marked.where(~maybe).select(*_columns(rows)), marked.where(maybe).select(*_columns(rows))
 
 
-def _sets_of(rows: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """rep, digest halves and tokens of the rows (doc_id, text) whose id may be among ``ids`` (rep); others are few or none."""
-    _, maybe = _split(rows, "doc_id", ids)
-    if _bits(ids.count()) is None:  # too many ids for a bitmap: texts meet the ids themselves
-        maybe = rows.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+def _sets_of(rows: DataFrame, places: DataFrame, words: int) -> DataFrame:
+    """``places`` (rep, digest halves and more) with the tokens of their documents.
+
+    Texts, which compress better than tokens, are what moves to meet the places; a bitmap of the ids spares the texts
+    that surely have none, while it stays small enough.
+    """
+    _, maybe = _split(rows.where("doc_id IS NOT NULL"), "doc_id", places)
+    joined = maybe.withColumnRenamed("doc_id", "rep").join(places, "rep")
+    at = {c: i for i, c in enumerate(joined.columns)}
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = token_sets(batch.column(1).to_pylist(), words)
-        halves = [digest(s) for s in sets]
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([h[0] for h in halves], pa.int64()),
-                pa.array([h[1] for h in halves], pa.int64()),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
-            ],
-            names=["rep", "s1", "s2", "tokens"],
-        )
+        sets = token_sets(batch.column(at["text"]).to_pylist(), words)
+        want = zip(batch.column(at["s1"]).to_pylist(), batch.column(at["s2"]).to_pylist(), strict=True)
+        same = pa.array([digest(s) == w for s, w in zip(sets, want, strict=True)], pa.bool_())  # a repeated id may have other texts
+        columns = list(batch.columns)
+        columns[at["text"]] = pa.array([_packed(s) for s in sets], pa.binary())
+        return pa.RecordBatch.from_arrays(columns, names=[*at]).filter(same)
 
-    return map_texts(maybe.where("doc_id IS NOT NULL"), fetch, "rep long, s1 long, s2 long, tokens binary")
+    schema = ", ".join(f"{f.name} {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in joined.schema)
+    return map_texts(joined, fetch, schema).withColumnRenamed("text", "tokens")
 
 
 _UNIT = ["grp", "ci", "cj", "chunk", "rep", "color", "tokens"]
@@ -611,10 +618,10 @@ def similar_documents(
     marked = materialize(clusters.join(sizes, "grp"), "marked")
     light, heavy = marked.where("NOT heavy"), marked.where("heavy")
     units = light.select("rep", "s1", "s2", F.lit(None).cast("long").alias("color"), "grp", *[F.lit(0).cast("long").alias(c) for c in ("ci", "cj", "chunk")])
-    sets = _sets_of(rows, light, words).join(units, ["rep", "s1", "s2"]).select(*_UNIT)
+    sets = _sets_of(rows, units, words).select(*_UNIT)
     known = None
     if not heavy.isEmpty():
-        large = materialize(_sets_of(rows, heavy, words).join(heavy.select("rep", "s1", "s2"), ["rep", "s1", "s2"]).select("rep", "tokens"), "sets")
+        large = materialize(_sets_of(rows, heavy.select("rep", "s1", "s2"), words).select("rep", "tokens"), "sets")
         state = heavy.select("rep", "n", "grp", F.lit(None).cast("long").alias("color"), F.lit(False).alias("upper"))
         known, state = _peel(state, large, limits, heavy_rows)
         sets = sets.unionByName(_units(state, chunk_bytes).join(large, "rep").select(*_UNIT))
