@@ -74,6 +74,11 @@ def _hash(key: str, *parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), *[p if isinstance(p, Column) else F.lit(p) for p in parts]), 256)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _number(hex_digits: Column, at: int, width: int = 12) -> Column:
     return F.conv(F.substring(hex_digits, at, width), 16, 10).cast("long")
 
@@ -91,8 +96,8 @@ def _permute(a: Column, b: Column, modulus: int, key: str, kind: str) -> Column:
 
 def _permute_digits(digits: Column, width: int, key: str, kind: str) -> Column:
     half = width // 2
-    out = _permute(F.substring(digits, 1, half), F.substring(digits, half + 1, half), 10**half, key, kind)
-    return F.concat(F.lpad(out["a"].cast("string"), half, "0"), F.lpad(out["b"].cast("string"), half, "0"))
+    moved = _permute(F.substring(digits, 1, half), F.substring(digits, half + 1, half), 10**half, key, kind)
+    return _let(moved, lambda out: F.concat(F.lpad(out["a"].cast("string"), half, "0"), F.lpad(out["b"].cast("string"), half, "0")))
 
 
 def _pour(shape: Column, digits: Column) -> Column:
@@ -127,28 +132,32 @@ def _kind(name: str, attempt: str) -> str:
 
 
 def _card(e: Column, key: str, attempt: str) -> Column:
-    d = _digits(e)
-    body = F.concat(F.substring(d, 1, 1), _permute_digits(F.substring(d, 2, 14), 14, key, _kind("card", attempt)))
-    gap = (F.substring(d, 16, 1).cast("int") - _luhn_rest(F.substring(d, 1, 15)) + 10) % 10
-    return _pour(e, F.concat(body, ((_luhn_rest(body) + gap) % 10).cast("string")))
+    def pour(d: Column, body: Column) -> Column:
+        gap = (F.substring(d, 16, 1).cast("int") - _luhn_rest(F.substring(d, 1, 15)) + 10) % 10
+        return _pour(e, F.concat(body, ((_luhn_rest(body) + gap) % 10).cast("string")))
+
+    return _let(_digits(e), lambda d: _let(
+        F.concat(F.substring(d, 1, 1), _permute_digits(F.substring(d, 2, 14), 14, key, _kind("card", attempt))), lambda body: pour(d, body)
+    ))
 
 
 def _phone(e: Column, key: str, attempt: str) -> Column:
     """Country code and the first two digits of the number stay."""
-    d = _digits(e)
-    keep = F.length(d) - 8
-    return _pour(e, F.concat(F.substr(d, F.lit(1), keep), _permute_digits(F.substr(d, keep + 1, F.lit(8)), 8, key, _kind("phone", attempt))))
+    def move(d: Column) -> Column:
+        keep = F.length(d) - 8
+        return F.concat(F.substr(d, F.lit(1), keep), _permute_digits(F.substr(d, keep + 1, F.lit(8)), 8, key, _kind("phone", attempt)))
+
+    return _let(_let(_digits(e), move), lambda d: _pour(e, d))
 
 
 def _ssn(e: Column, key: str, attempt: str) -> Column:
-    d = _digits(e)
-    return _pour(e, F.concat(F.substring(d, 1, 1), _permute_digits(F.substring(d, 2, 8), 8, key, _kind("ssn", attempt))))
+    moved = _let(_digits(e), lambda d: F.concat(F.substring(d, 1, 1), _permute_digits(F.substring(d, 2, 8), 8, key, _kind("ssn", attempt))))
+    return _let(moved, lambda d: _pour(e, d))
 
 
 def _ipv4(e: Column, key: str, attempt: str) -> Column:
-    o = F.transform(F.split(e, r"\."), lambda x: x.cast("int"))
-    out = _permute(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, key, _kind("ipv4", attempt))
-    return F.concat_ws(".", F.floor(out["a"] / 256), out["a"] % 256, F.floor(out["b"] / 256), out["b"] % 256)
+    moved = _let(F.transform(F.split(e, r"\."), lambda x: x.cast("int")), lambda o: _permute(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, key, _kind("ipv4", attempt)))
+    return _let(moved, lambda out: F.concat_ws(".", F.floor(out["a"] / 256), out["a"] % 256, F.floor(out["b"] / 256), out["b"] % 256))
 
 
 def _letters(h: Column, n: int) -> Column:
@@ -158,19 +167,19 @@ def _letters(h: Column, n: int) -> Column:
 def _email(e: Column, key: str, attempt: str) -> Column:
     low, local = F.lower(e), F.substring_index(e, "@", 1)
     domain = F.substring_index(low, "@", -1)
-    h = F.concat(_hash(key, "email", low, attempt), _hash(key, "more", low, attempt))
     tld = F.substring_index(domain, ".", -1)
 
-    def change(c: Column, i: Column) -> Column:
-        n = F.conv(F.substr(h, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        letter = F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), n % 26 + 1, F.lit(1))
-        return (
-            F.when(c.rlike("^[a-z]$"), letter).when(c.rlike("^[A-Z]$"), F.upper(letter)).when(c.rlike("^[0-9]$"), (n % 10).cast("string")).otherwise(c)
-        )
+    def change(h: Column, c: Column, i: Column) -> Column:
+        def by(n: Column) -> Column:
+            letter = F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), n % 26 + 1, F.lit(1))
+            return F.when(c.rlike("^[a-z]$"), letter).when(c.rlike("^[A-Z]$"), F.upper(letter)).when(c.rlike("^[0-9]$"), (n % 10).cast("string")).otherwise(c)
+
+        return _let(F.conv(F.substr(h, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int"), by)
 
-    own = F.array_join(F.transform(F.split(local, ""), change), "")
-    more = F.substr(_letters(_hash(key, "tail", low, attempt), 8), F.lit(1), F.greatest(8 - F.length(local), F.lit(0)))
-    where = F.concat(_letters(_hash(key, "domain", domain), 10), F.lit(".example."), F.when(tld.isin("org", "net"), tld).otherwise("com"))
+    h = F.concat(_hash(key, "email", low, attempt), _hash(key, "more", low, attempt))
+    own = _let(h, lambda x: F.array_join(F.transform(F.split(local, ""), lambda c, i: change(x, c, i)), ""))
+    more = F.substr(_let(_hash(key, "tail", low, attempt), lambda x: _letters(x, 8)), F.lit(1), F.greatest(8 - F.length(local), F.lit(0)))
+    where = F.concat(_let(_hash(key, "domain", domain), lambda x: _letters(x, 10)), F.lit(".example."), F.when(tld.isin("org", "net"), tld).otherwise("com"))
     return F.concat(own, more, F.lit("@"), where)
 
 
@@ -190,9 +199,7 @@ def _each_run(text: Column, change) -> Column:
 
 
 def _word(w: Column, gender: Column, key: str, attempt: str) -> Column:
-    h = _hash(key, "name", w, gender, attempt)
-
-    def spell(script: str) -> Column:
+    def spell(h: Column, script: str) -> Column:
         syllables = [
             F.concat(
                 F.substr(F.lit(CONSONANTS[script]), (_number(h, 1 + 6 * i, 3) % 15 + 1).cast("int"), F.lit(1)),
@@ -203,7 +210,7 @@ def _word(w: Column, gender: Column, key: str, attempt: str) -> Column:
         ending = F.when(gender == "m", ENDINGS[script, "m"]).when(gender == "f", ENDINGS[script, "f"]).otherwise(ENDINGS[script, "n"])
         return F.initcap(F.concat(*syllables, F.lit(CONSONANTS[script][6]), ending))
 
-    return F.when(w.rlike(r"\p{IsCyrillic}"), spell("cyrillic")).otherwise(spell("latin"))
+    return _let(_hash(key, "name", w, gender, attempt), lambda h: F.when(w.rlike(r"\p{IsCyrillic}"), spell(h, "cyrillic")).otherwise(spell(h, "latin")))
 
 
 def _single(w: Column, gender: Column) -> Column:
@@ -286,7 +293,8 @@ def second_surrogates(found: DataFrame, key: str, max_attempts: int = 8) -> Data
         rows = rows.select("original", "kind", surrogate(e, key, str(attempt), kind).alias("surrogate"))
         return rows.select("original", _mark(kind, e).alias("mark"), "surrogate", _mark(kind, F.col("surrogate")).alias("new_mark"))
 
-    named = materialize(named_by(found, 0), "surrogates")
+    tasks = max(found.sparkSession.sparkContext.defaultParallelism, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    named = materialize(named_by(found.repartition(tasks, "original"), 0), "surrogates")  # small rows, much work each
     again, out = collisions(named), None
     for attempt in range(1, max_attempts + 1):
         again = materialize(again, "collisions")
