@@ -855,12 +855,19 @@ def describe(spark, sf_dir):
     return rounded(d, "mean", "std", "p25", "p99", "skew", "kurtosis", "mad", "cv").select("metric_id", "count", "mean", "std", "p25", "p99", "skew", "kurtosis", "mad", "cv")
 
 
-@registered(f"""WITH {OBS} SELECT metric_id, ts, seq, round(avg(value) OVER w, 6) AS rolling_mean, round(max(value) OVER w, 6) AS rolling_max, round(median(value) OVER w, 6) AS rolling_median,
-round(CASE WHEN count(*) OVER w > 2 THEN coalesce(skewness(value) OVER w, 0) END, 4) AS rolling_skew FROM obs WINDOW w AS (PARTITION BY metric_id ORDER BY ts RANGE BETWEEN 7199 PRECEDING AND CURRENT ROW)""")
+@registered(f"""WITH {OBS} SELECT metric_id, ts, seq, round(avg(value) OVER w, 6) AS rolling_mean, round(max(value) OVER w, 6) AS rolling_max, round(median(value) OVER w, 6) AS rolling_median
+FROM obs WINDOW w AS (PARTITION BY metric_id ORDER BY ts RANGE BETWEEN 7199 PRECEDING AND CURRENT ROW)""")
 def rolling(spark, sf_dir):
-    d = stats.rolling(observations(spark, sf_dir), BY, 7200, ["mean", "max", "median", "skew"])
+    d = stats.rolling(observations(spark, sf_dir), BY, 7200, ["mean", "max", "median"])
+    return rounded(d, "rolling_mean", "rolling_max", "rolling_median").select("metric_id", "ts", "seq", "rolling_mean", "rolling_max", "rolling_median")
+
+
+@registered(f"""WITH {OBS} SELECT metric_id, ts, seq, round(CASE WHEN count(*) OVER w > 2 THEN coalesce(skewness(value) OVER w, 0) END, 4) AS rolling_skew,
+round(quantile_cont(value, 0.25) OVER w, 6) AS rolling_quantile FROM obs WINDOW w AS (PARTITION BY metric_id ORDER BY ts RANGE BETWEEN 7199 PRECEDING AND CURRENT ROW)""")
+def rolling_moments(spark, sf_dir):
+    d = stats.rolling(observations(spark, sf_dir), BY, 7200, ["skew", "quantile"], q=0.25)
     d = d.withColumn("rolling_skew", F.when(F.isnan("rolling_skew"), 0.0).otherwise(F.col("rolling_skew")))
-    return rounded(rounded(d, "rolling_mean", "rolling_max", "rolling_median"), "rolling_skew", digits=4).select("metric_id", "ts", "seq", "rolling_mean", "rolling_max", "rolling_median", "rolling_skew")
+    return rounded(rounded(d, "rolling_skew", digits=4), "rolling_quantile").select("metric_id", "ts", "seq", "rolling_skew", "rolling_quantile")
 
 
 @registered(f"WITH {OBS} SELECT metric_id, q::DOUBLE AS q, round(v, 6) AS quantile FROM (SELECT metric_id, unnest([0.1, 0.9]) AS q, unnest(quantile_cont(value, [0.1, 0.9])) AS v FROM obs GROUP BY 1)")
@@ -1053,10 +1060,10 @@ _LATEST = f"{_INDEXED}, cu AS (SELECT metric_id, arg_max(value, (ts, seq)) AS cu
 
 @registered(f"""{_LATEST}, g AS (SELECT metric_id, regr_slope(value, x) AS slope, regr_slope(ln(value + 1e-10), x) AS rate FROM i GROUP BY 1)
 SELECT metric_id, days, model, round(CASE model WHEN 'linear' THEN current + slope * 86400 * days ELSE current * pow(1 + (exp(rate) - 1) * 86400, days) END, 6) AS value
-FROM g JOIN cu USING (metric_id), (VALUES (0.001::DOUBLE), (0.01::DOUBLE)) d(days), (VALUES ('linear'), ('exponential')) m(model)""")
+FROM g JOIN cu USING (metric_id), (VALUES (0.001::DOUBLE, 'linear'), (0.01, 'linear'), (1, 'exponential'), (2, 'exponential')) d(days, model)""")
 def projection(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    parts = [capacity.projection(obs, BY, [0.001, 0.01], m).withColumn("model", F.lit(m)) for m in ("linear", "exponential")]
+    parts = [capacity.projection(obs, BY, days, m).withColumn("model", F.lit(m)) for m, days in (("linear", [0.001, 0.01]), ("exponential", [1.0, 2.0]))]
     return rounded(parts[0].unionByName(parts[1]), "value")
 
 
