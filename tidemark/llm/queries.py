@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, ngram_join, packing, pii, quality, secret_scan, urlfilter, warc
+from tidemark.llm import align, ann, bpe, fim, langid, line_dedup, ngram_join, packing, pii, quality, secret_scan, urlfilter, warc
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -73,6 +73,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, quality.fit(documents, _table(spark, sf_dir, "labels")))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return line_dedup.digests(documents, line_dedup.keep_bitmaps(documents))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.alignment_digests(_table(spark, sf_dir, "documents"), *paths)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -84,6 +100,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -131,4 +150,33 @@ r(doc_id, c) AS (
   SELECT links.b, r.c FROM r JOIN links ON links.a = r.doc_id)
 SELECT r.doc_id, any_value(coalesce(n.n, 0))::BIGINT AS n_shingles, min(c) AS component_id
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op11_line_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d),
+k AS (SELECT *, {_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+many AS (
+  SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 3),
+m AS (SELECT k.*, many.key IS NOT NULL AND k.doc_id IS DISTINCT FROM many.top AS gone FROM k LEFT JOIN many ON k.key = many.key)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r""",
+    "op13_fill_in_middle": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x
+  FROM documents),
+h AS (
+  SELECT *, ('0x' || substr(x, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(x, 9, 8))::BIGINT % (n + 1) AS b,
+         ('0x' || substr(x, 17, 8))::BIGINT % 100 AS c, ('0x' || substr(x, 25, 8))::BIGINT % 100 AS e FROM d),
+f AS (
+  SELECT *, least(a, b) AS lo, greatest(a, b) AS hi,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain'
+              WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+       sha256(CASE form
+         WHEN 'plain' THEN t
+         WHEN 'psm' THEN '<P>' || substr(t, 1, lo) || '<S>' || substr(t, hi + 1) || '<M>' || substr(t, lo + 1, hi - lo)
+         ELSE '<S>' || substr(t, hi + 1) || '<P>' || substr(t, 1, lo) || '<M>' || substr(t, lo + 1, hi - lo) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM f""",
 }
