@@ -18,7 +18,7 @@ Files named ``*.gz`` are read raw too (Hadoop's pass-through codec keeps Spark f
 them), but one task a file: Spark splits no file that a codec claims.  Other names are split.
 
 Defined cases: a null html is an empty payload; null ids and repeated rows are written
-each, rows equal in id and payload share the record type; payloads shorter than
+each, rows equal in id and payload share the record type; a page with a null id revisits any page with an id and the same payload (without one, it is a response); payloads shorter than
 ``min_payload`` are all responses; an empty table gives no record; other columns are ignored.
 Bytes that form no complete record (damaged, truncated or uncompressed ones) raise an error that names
 the file, or, with ``on_broken="keep"``, come back as rows of warc_type ``broken``.  Records of other
@@ -97,12 +97,12 @@ def plan_records(pages: DataFrame, *, id_col: str, url_col: str, html_col: str,
     firsts = (
         rows.where(F.octet_length("payload") >= min_payload)
         .groupBy("digest")
-        .agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"))
-        .where("low < high")
+        .agg(F.min("page_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+        .where("low IS NOT NULL AND copies > 1")
         .select("digest", "low")
     )
     joined = rows.join(firsts, "digest", "left")
-    return joined.select("page_id", "url", "payload", F.when(F.col("page_id") > F.col("low"), F.col("low")).alias("first"))
+    return joined.select("page_id", "url", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("low")), F.col("low")).alias("first"))
 
 
 def write_archives(
