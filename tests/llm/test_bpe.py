@@ -65,3 +65,26 @@ def test_other_tokenizer_files_are_refused():
     for change in ({"decoder": {"type": "ByteLevel"}}, {"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**spec["model"], "byte_fallback": True}}):
         with pytest.raises(ValueError, match="isn't carried out"):
             bpe.check_supported({**spec, **change})
+
+
+def test_every_code_point_is_split_as_by_the_library():
+    """Each one between letters, before a digit, doubled and after a combining mark."""
+    model, t = bpe.loaded(bpe._source(VOCAB)), tokenizers.Tokenizer.from_file(VOCAB)
+    chars = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = [f"b{c}b{c}.{c}{c}1{c}\u0301 {c}" for c in chars]
+    for at in range(0, len(texts), 100_000):
+        part = texts[at : at + 100_000]
+        want = [x.ids for x in t.encode_batch_fast(part, add_special_tokens=False)]
+        got = [x.tolist() for x in model.encode_batch(part)]
+        assert got == want, next(x for x, a, b in zip(part, got, want, strict=True) if a != b)
+    well_known = [c for c in chars if bpe.WELL_KNOWN.fullmatch(c)]
+    plain = [f"b{c}b{c}.{c}{c}1{c} {c}" for c in well_known]
+    assert len(well_known) > 20_000 and [model.encode_batch([x])[0].tolist() for x in plain] == [x.ids for x in t.encode_batch_fast(plain, add_special_tokens=False)]
+
+
+def test_random_strings_of_any_characters_equal_the_library():
+    model, t = bpe.loaded(bpe._source(VOCAB)), tokenizers.Tokenizer.from_file(VOCAB)
+    rng = random.Random(12)
+    pool = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(rng.choice([rng.choice(pool), rng.choice("abc1 ,'\u0301\u0327")]) for _ in range(rng.randrange(30))) for _ in range(20_000)]
+    assert [x.tolist() for x in model.encode_batch(texts)] == [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]

@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, slices
+from tidemark.llm.common import WELL_KNOWN, mix, slices
 from tidemark.sources.scratch import materialize
 
 BLOCK_PAIRS = 4_000_000
 PROBE = 8
-#: ASCII and letters and signs of common alphabets, on whose classes all versions of Unicode agree.
-WELL_KNOWN = re.compile("[\x00-\x7e\xa0-ſΑ-ΡΣ-ώА-я‐-‧‰-⁞€一-龥]*")
 _ONES = b"\x01" * (1 << 16)
 _loaded: dict[tuple, Pair] = {}
 

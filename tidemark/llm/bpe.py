@@ -9,6 +9,9 @@ The test walks back through the merges of the left token's last piece and the ri
 first piece; a merged token's id is its rank, so "m would happen first" is a comparison of ids.
 Tokens that merging can never produce are not proposed.
 
+Texts of well-known characters are split by the patterns below; for others the tokenizers library normalises and splits, so that
+no result depends on the Unicode version of Python.
+
 The vocabulary file is a parameter; its text (of fixed size) is broadcast.  A worker
 keeps the ids of at most ``CACHE_WORDS`` words.
 
@@ -33,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts
+from tidemark.llm.common import WELL_KNOWN, map_texts
 
 CACHE_WORDS = 400_000
 CHUNK_CHARS = 1 << 20
@@ -41,7 +44,6 @@ MANY_LETTERS = 64
 _NONE = np.int64(1 << 40)
 _SPACES = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 _WHITE = re.compile(r"[\t\n\x0b\x0c\r ]")
-_BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
 _loaded: dict[str, WordBpe] = {}
 
 
@@ -52,20 +54,6 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(extra)) for b in range(256)]
 
 
-def _newer_characters() -> str:
-    """Letters and digits of the regex package that Python's (and the tokenizer's) older Unicode tables lack."""
-    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x32400)]))
-    return "".join(c for c in regex.findall(r"[\p{L}\p{N}]", text) if unicodedata.category(c)[0] not in "LN")
-
-
-def _ranges(chars: str) -> str:
-    """Sorted characters as ranges of a character class."""
-    codes = np.array([ord(c) for c in chars])
-    cut = np.flatnonzero(np.diff(codes) != 1)
-    first, last = codes[np.concatenate(([0], cut + 1))], codes[np.concatenate((cut, [len(codes) - 1]))]
-    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last, strict=True))
-
-
 def _word_pattern(letter: str, digit: str) -> regex.Pattern:
     return regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|[^{_SPACES}{letter}{digit}]+", regex.V1)
 
@@ -127,6 +115,8 @@ class WordBpe:
         self._keys, self._whole = keys[order], np.array(list(self.merged.values()), np.int64)[order]
         self._size = size
         self.letters = _byte_letters()
+        self._bytes = {c: b for b, c in enumerate(self.letters)}
+        self._source, self._library = source, None
         made = np.flatnonzero(self.left >= 0)
         good = np.ones(size, bool)
         good[made] = self._compatible(self.left[made], self.right[made], known=True)
@@ -135,9 +125,6 @@ class WordBpe:
         self._proposed = {t: i for t, i in self.vocab.items() if good[i] and t not in self.special}
         self._longest = max(len(t) for t in self._proposed)
         self._pattern = _word_pattern(r"\p{L}", r"\p{N}")
-        newer = _newer_characters()
-        self._newer = re.compile(f"[{_ranges(newer)}]" if newer else "(?!)")
-        self._careful = _word_pattern(rf"[\p{{L}}--[{_ranges(newer)}]]", rf"[\p{{N}}--[{_ranges(newer)}]]") if newer else self._pattern
         self._specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._cache: dict[str, bytes] = {}
 
@@ -245,10 +232,19 @@ class WordBpe:
                     yield self.special[piece]
                 elif piece.isascii():
                     yield self._pattern.findall(piece.lower())
+                elif piece and WELL_KNOWN.fullmatch(piece):
+                    yield self._pattern.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
                 elif piece:
-                    piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-                    careful = _BEYOND_LATIN.search(piece) and self._newer.search(piece)
-                    yield (self._careful if careful else self._pattern).findall(piece)
+                    yield self._split_by_library(piece)
+
+    def _split_by_library(self, piece: str) -> list[str]:
+        """Words of a text with characters on which versions of Unicode may differ: the library's own tables decide."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self._source)
+        found = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(piece))
+        return [bytes([self._bytes[c] for c in word]).decode() for word, _ in found]
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of each text; new words are looked at together for about a million characters of texts."""

@@ -7,12 +7,15 @@ bit mixer; equal words always get equal hashes in every task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: ASCII and letters and signs of common alphabets, on whose classes, cases and compositions all versions of Unicode agree.
+WELL_KNOWN = re.compile("[\x00-\x7e\xa0-ſΑ-ΡΣ-ώА-я‐-‧‰-⁞€一-龥]*")
 SEGMENT_BYTES = 1 << 20
 SUB_BATCH_ROWS = 256
 SUB_BATCH_CHARS = 4 << 20
