@@ -105,7 +105,7 @@ def trading_sessions(df: DataFrame, by: list[str], kind: str, step: int) -> Data
 
 def ohlcv_window(df: DataFrame, by: list[str], window: int) -> DataFrame:
     """The last ``window`` closes, highs, lows and previous closes at each bar, padded with the first value."""
-    d = with_row_halo(df.withColumn("__zero", F.lit(0)), by, window, ts="t", seq="__zero", secs=31 * 86_400)
+    d = with_row_halo(df.withColumn("__zero", F.lit(0)), by, window, ts="t", seq="__zero")
     order = Window.partitionBy(*by, "slice").orderBy("idx")
     frame = order.rowsBetween(-(window - 1), 0)
     d = d.withColumn("pc", F.coalesce(F.lag("c").over(order), F.col("c")))

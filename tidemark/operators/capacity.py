@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import quantiles
-from tidemark.operators.sliced import with_lag, with_running
+from tidemark.operators.sliced import fits, with_lag, with_running
 from tidemark.operators.stats import rolling
 
 LATENCY = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 0.9999)
@@ -26,8 +26,9 @@ def prob_exceed(df: DataFrame, by: list[str], threshold: float = 80.0, window_se
 def peaks(df: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """Runs above the threshold: start, end (the first ts not above, or the last ts), duration, max, mean."""
     d = df.where("value IS NOT NULL").withColumn("up", (F.col("value") > threshold).cast("int"))
-    d = with_lag(d, by, {"before": "up"})
-    d = with_running(d, by, {"run": (F.coalesce("before", F.lit(-1)) != F.col("up")).cast("long")})
+    whole = fits(d, by)
+    d = with_lag(d, by, {"before": "up"}, whole=whole)
+    d = with_running(d, by, {"run": (F.coalesce("before", F.lit(-1)) != F.col("up")).cast("long")}, whole=whole)
     runs = d.groupBy(*by, "run", "up").agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.max("value").alias("peak"), F.avg("value").alias("mean"), F.count("*").alias("points"))
     end = F.coalesce(F.lead("start").over(Window.partitionBy(*by).orderBy("run")), F.col("last"))
     return runs.withColumn("end", end).where("up = 1").select(*by, "start", "end", (F.col("end") - F.col("start")).alias("duration"), "peak", "mean", "points")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.sliced import with_lag, with_running
+from tidemark.operators.sliced import fits, with_lag, with_running
+from tidemark.sources.scratch import materialize
+
+#: Moves that one plan may nest.
+PLAIN_STEPS = 8
 
 
 def grid_fit(
@@ -123,7 +127,7 @@ def dominant_cells(df: DataFrame, by: list[str], grid: DataFrame, interval_secs:
 
 def transitions(dominant: DataFrame, by: list[str]) -> DataFrame:
     """Counts of moves between the dominant cells of consecutive buckets."""
-    d = with_lag(dominant.withColumnRenamed("bucket", "ts").withColumn("seq", F.lit(0)), by, {"from": "cell"}, secs=4096)
+    d = with_lag(dominant.withColumnRenamed("bucket", "ts").withColumn("seq", F.lit(0)), by, {"from": "cell"})
     return d.where("`from` IS NOT NULL").groupBy(*by, "from", F.col("cell").alias("to")).agg(F.count("*").alias("n"))
 
 
@@ -144,8 +148,9 @@ def move_probabilities(moves: DataFrame, by: list[str], *, per_cell: bool = Fals
 def dwell_times(dominant: DataFrame, by: list[str]) -> DataFrame:
     """Lengths of the runs of equal dominant cells."""
     d = dominant.withColumnsRenamed({"bucket": "ts"}).withColumn("seq", F.lit(0))
-    d = with_lag(d, by, {"before": "cell"}, secs=4096)
-    d = with_running(d, by, {"run": (F.col("before").isNull() | (F.col("before") != F.col("cell"))).cast("long")}, secs=4096)
+    whole = fits(d, by)
+    d = with_lag(d, by, {"before": "cell"}, whole=whole)
+    d = with_running(d, by, {"run": (F.col("before").isNull() | (F.col("before") != F.col("cell"))).cast("long")}, whole=whole)
     return d.groupBy(*by, "run").agg(F.min("cell").alias("cell"), F.min("ts").alias("start"), F.count("*").alias("dwell"))
 
 
@@ -156,15 +161,32 @@ def dwell_summary(dominant: DataFrame, by: list[str]) -> DataFrame:
 def n_step(moves: DataFrame, by: list[str], start: DataFrame, n: int) -> DataFrame:
     """Distribution over cells after ``n`` moves from ``start(by..., cell)``; a cell never left keeps its mass.
 
-    Only the state vector is carried from step to step.
+    Up to ``PLAIN_STEPS`` moves the state vector is carried from step to step in one plan; for more, the table of moves is squared as
+    often as n has binary digits, each square being written to cut the lineage, and the vector takes the squares that n asks for.
     """
     out = moves.groupBy(*by, "from").agg(F.sum("n").alias("all"))
     p = moves.join(out, [*by, "from"]).select(*by, "from", "to", (F.col("n") / F.col("all")).alias("p"))
     state = start.withColumn("mass", F.lit(1.0))
-    for _ in range(n):
+
+    def moved(state: DataFrame, p: DataFrame) -> DataFrame:
         d = state.withColumnRenamed("cell", "from").join(p, [*by, "from"], "left")
-        state = d.groupBy(*by, F.coalesce("to", "from").alias("cell")).agg(F.sum(F.col("mass") * F.coalesce("p", F.lit(1.0))).alias("mass"))
-    return state
+        return d.groupBy(*by, F.coalesce("to", "from").alias("cell")).agg(F.sum(F.col("mass") * F.coalesce("p", F.lit(1.0))).alias("mass"))
+
+    if n <= PLAIN_STEPS:
+        for _ in range(n):
+            state = moved(state, p)
+        return state
+    # Cells that are reached but never left go on to themselves.
+    ends = p.select(*by, F.col("to").alias("from")).distinct().join(p.select(*by, "from").distinct(), [*by, "from"], "left_anti")
+    p = materialize(p.unionByName(ends.select(*by, "from", F.col("from").alias("to"), F.lit(1.0).alias("p"))), "moves")
+    while True:
+        if n & 1:
+            state = materialize(moved(state, p), "state")
+        n >>= 1
+        if not n:
+            return state
+        second = p.select(*by, F.col("from").alias("to"), F.col("to").alias("last"), F.col("p").alias("q"))
+        p = materialize(p.join(second, [*by, "to"]).groupBy(*by, "from", F.col("last").alias("to")).agg(F.sum(F.col("p") * F.col("q")).alias("p")), "moves")
 
 
 def absorption(moves: DataFrame, by: list[str], start: DataFrame, ends: DataFrame, n: int) -> DataFrame:

@@ -82,7 +82,7 @@ def feature_graph(df: DataFrame, by: list[str], nodes: dict[str, tuple]) -> Data
     """
     back = sum(max((x for x in spec[1:] if isinstance(x, int)), default=0) + 1 for spec in nodes.values())
     names, keys = df.columns, by
-    df = with_row_halo(df.withColumn("__zero", F.lit(0)), by, back, ts="t", seq="__zero", secs=31 * 86_400)
+    df = with_row_halo(df.withColumn("__zero", F.lit(0)), by, back, ts="t", seq="__zero")
     by = [*by, "slice"]
     left = dict(nodes)
     while left:
@@ -116,7 +116,7 @@ def feature_graph(df: DataFrame, by: list[str], nodes: dict[str, tuple]) -> Data
 
 def sliced_nodes(df: DataFrame, by: list[str], back: int, add) -> DataFrame:
     """``add(rows, keys)`` applied to slices of rows with ``back`` rows of halo: the other functions here on keys of any length."""
-    d = add(with_row_halo(df.withColumn("__zero", F.lit(0)), by, back, ts="t", seq="__zero", secs=31 * 86_400), [*by, "slice"])
+    d = add(with_row_halo(df.withColumn("__zero", F.lit(0)), by, back, ts="t", seq="__zero"), [*by, "slice"])
     return d.where("own").drop("idx", "slice", "own", "__zero")
 
 

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import sliced
 from tidemark.operators.ranks import quantiles
+from tidemark.operators.sliced import largest
 
 
 def ecdf(df: DataFrame, by: list[str]) -> DataFrame:
@@ -18,9 +20,18 @@ def ecdf(df: DataFrame, by: list[str]) -> DataFrame:
     return with_share(counted, by).select(*by, "value", "ecdf")
 
 
-def with_share(counted: DataFrame, by: list[str], ranges: int = 256) -> DataFrame:
-    """Adds ``upto`` and ``ecdf`` to the distinct values (by..., value, n) of each key: running counts inside ranges of values, plus the counts of lower ranges."""
-    cuts = counted.groupBy(*by).agg(F.percentile_approx("value", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000).alias("__cuts"), F.sum("n").alias("__all"))
+def with_share(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``upto`` and ``ecdf`` to the distinct values (by..., value, n) of each key.
+
+    Keys of more distinct values than a window may hold: running counts inside ranges of values, plus the counts of lower
+    ranges; there are so many ranges that each holds about a fourth of that.
+    """
+    top = largest(counted, by)
+    if top <= sliced.ROWS:
+        upto = F.sum("n").over(Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+        return counted.withColumn("upto", upto).withColumn("ecdf", upto / F.sum("n").over(Window.partitionBy(*by)))
+    ranges = -(-4 * top // sliced.ROWS)
+    cuts = counted.groupBy(*by).agg(F.percentile_approx("value", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), max(10_000, 10 * ranges)).alias("__cuts"), F.sum("n").alias("__all"))
     d = counted.join(cuts, by) if by else counted.crossJoin(F.broadcast(cuts))
     d = d.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("value")))).drop("__cuts")
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -138,18 +138,24 @@ def next_step_forecast(df: DataFrame, by: list[str], interval_secs: int, *, max_
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], *, values: list[str], ts: str = "ts", allow_equal: bool = True) -> DataFrame:
     """Each left row with the right row of the greatest ts at or before its own.
 
-    One shuffle: both sides are put in one ordered sequence and the last right row is carried forward
-    inside time slices; what crosses a slice border comes from the slices' last right rows.
+    Both sides are put in one ordered sequence and the last right row is carried forward; where keys have many rows, inside
+    slices of bounded size, and what crosses a slice border comes from the slices' last right rows.
     """
     from pyspark.sql import Window
 
-    from tidemark.operators.sliced import slice_of
+    from tidemark.operators.sliced import fits, with_slices
 
     own = F.struct(*[F.col(c) for c in left.columns])
     other = F.struct(F.col(ts).alias("right_ts"), *[F.col(v).alias(f"right_{v}") for v in values])
     a = left.select(*by, F.col(ts).alias("__ts"), F.lit(1 if allow_equal else -1).alias("__side"), own.alias("l"), F.lit(None).cast(right.select(other.alias("r")).schema[0].dataType).alias("r"))
     b = right.select(*by, F.col(ts).alias("__ts"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(own.alias("l")).schema[0].dataType).alias("l"), other.alias("r"))
-    d = a.unionByName(b).withColumn("__slice", slice_of("__ts"))
+    d = a.unionByName(b)
+    if fits(d, by):
+        carried = F.last("r", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0))
+        return d.withColumn("m", carried).where("l IS NOT NULL").select("l.*", "m.*")
+    # Rows of one side and ts may be parted anyhow: left rows only read, and the newest right row of a ts is as good as another.
+    place = F.shiftleft(F.col("__side").cast("bigint"), 40) + F.pmod(F.xxhash64("l", "r"), F.lit(1 << 40))
+    d = with_slices(d.withColumn("__place", place), by, ts="__ts", seq="__place")
     inside = Window.partitionBy(*by, "__slice").orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
     edges = d.where("r IS NOT NULL").groupBy(*by, "__slice").agg(F.max_by("r", "__ts").alias("__last"))
     slices = d.select(*by, "__slice").distinct().join(edges, [*by, "__slice"], "left")
