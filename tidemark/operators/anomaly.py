@@ -1,68 +1,218 @@
-"""Streaming-order anomaly scores by random cut forests, per key."""
+"""Anomaly scores by random cut forests that learn point by point, per key, in batch and as a stream's state.
+
+A forest's cuts are drawn from a hash of (seed, tree, the point's place in its key, depth), so that a score
+depends on the key's rows alone - not on partitions, retries or micro-batches.  Every ``RESTART`` rows a forest is
+grown anew from the ``size`` rows before, which is all that it remembers anyway: batch jobs deal a hot key's rows in such slices.
+"""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sliced import with_row_halo
+from tidemark.operators.sliced import with_index, with_row_halo
+
+RESTART = 16_384
+_NONE = -1
 
-BLOCK = 128
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class CutForest:
-    """Small forests of random cuts over the last ``size`` points; a score is how alone a point would be.
+    """Random cut trees over the last ``size`` points; all trees are walked together, one level a step.
 
-    Points are scored in blocks against trees grown from the points before the block, then learned.
+    A new point starts at the root.  A cut is drawn through the box of a node and the point; if it parts the two, the point
+    becomes the node's sibling there, else the point goes on by the node's own cut.  A point equal to a leaf joins it.
     """
 
-    def __init__(self, trees: int, size: int, seed: int = 42):
-        self.trees, self.size = trees, size
-        self.rng = np.random.default_rng(seed)
-        self.points: list[np.ndarray] = []
-        self.cuts: list[list] = []
-
-    def _grow(self, x: np.ndarray, depth: int = 0) -> list:
-        span = x.max(axis=0) - x.min(axis=0)
-        total = span.sum()
-        if len(x) <= 1 or total <= 0 or depth > 24:
-            return [len(x)]
-        f = int(self.rng.choice(len(span), p=span / total))
-        at = float(self.rng.uniform(x[:, f].min(), x[:, f].max()))
-        low = x[:, f] <= at
-        return [f, at, self._grow(x[low], depth + 1), self._grow(x[~low], depth + 1), len(x), x.min(axis=0), x.max(axis=0)]
-
-    def score(self, points: np.ndarray) -> np.ndarray:
-        """Mean over trees of the largest ln(sibling + 1) / ln(own + 2) on each point's way down, or of being outside a node."""
-        total = np.zeros(len(points))
-        for tree in self.cuts:
-            best = np.zeros(len(points))
-            stack = [(tree, np.arange(len(points)))]
-            while stack:
-                node, rows = stack.pop()
-                if len(node) == 1 or not len(rows):
-                    continue
-                p = points[rows]
-                out = np.maximum(node[5] - p, 0).sum(axis=1) + np.maximum(p - node[6], 0).sum(axis=1)
-                width = float((node[6] - node[5]).sum())
-                apart = np.log(node[4] + 1) * out / np.maximum(out + width, 1e-300) / np.log(2)
-                left = p[:, node[0]] <= node[1]
-                for child, other, at in ((node[2], node[3], left), (node[3], node[2], ~left)):
-                    own = child[0] if len(child) == 1 else child[4]
-                    alone = np.log((other[0] if len(other) == 1 else other[4]) + 1) / np.log(own + 2)
-                    best[rows[at]] = np.maximum(best[rows[at]], np.maximum(apart[at], alone))
-                    stack.append((child, rows[at]))
-            total += best
-        return total / max(1, len(self.cuts))
-
-    def add(self, points: np.ndarray) -> None:
-        """Learns a block of points and regrows the trees."""
-        self.points = [*self.points, *points][-self.size :]
-        x = np.array(self.points)
-        picks = [x[self.rng.random(len(x)) < 0.8] if len(x) > 4 else x for _ in range(self.trees)]
-        self.cuts = [c for c in (self._grow(y) for y in picks if len(y)) if len(c) > 1]
+    def __init__(self, trees: int, size: int, dims: int, seed: int = 42):
+        self.trees, self.size, self.dims = trees, size, dims
+        room = 2 * size + 2
+        self.child = np.full((2, trees, room), _NONE, np.int32)
+        self.parent = np.full((trees, room), _NONE, np.int32)
+        self.dim, self.cut = np.zeros((trees, room), np.int32), np.zeros((trees, room))
+        self.count = np.zeros((trees, room), np.int64)
+        self.low, self.high = np.zeros((trees, room, dims)), np.zeros((trees, room, dims))
+        self.root = np.full(trees, _NONE, np.int32)
+        self.free, self.left_free = np.tile(np.arange(room, dtype=np.int32), (trees, 1)), np.full(trees, room)
+        self.leaf_of = np.full((trees, size), _NONE, np.int32)  # of each slot of the sliding window
+        self.first, self.held = 0, 0
+        with np.errstate(over="ignore"):
+            self._salt = _mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+    def _take(self, rows: np.ndarray) -> np.ndarray:
+        self.left_free[rows] -= 1
+        return self.free[rows, self.left_free[rows]]
+
+    def _give(self, rows: np.ndarray, nodes: np.ndarray) -> None:
+        self.free[rows, self.left_free[rows]] = nodes
+        self.left_free[rows] += 1
+
+    def _draw(self, rows: np.ndarray, place: int, depth: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = self._salt[rows] ^ _mix(np.uint64(place * 64 + depth + 1) * np.uint64(0xD1342543DE82EF95))
+        return (_mix(x) >> np.uint64(11)) / float(1 << 53)
+
+    def offer(self, point: np.ndarray, place: int, learn: bool = True) -> float:
+        """The point's score against the trees as they are, the mean of the largest displacement on its way; then it is learned.
+
+        A point on the side of c points at a node of n: ln(n + 1) / ln(c + 2), with the point on both sides; where it is
+        parted from all n: ln(n + 1) / ln(2).  A point beyond the root's box by more than its width is parted there.
+        """
+        if not self.held:
+            if learn:
+                self._start(point)
+            return 1.0
+        every = np.arange(self.trees)
+        best = np.ones(self.trees)
+        scored = np.ones(self.trees, bool)
+        low, high = self.low[every, self.root], self.high[every, self.root]
+        far = ((point < low - (high - low)) | (point > high + (high - low))).any(axis=1) & (self.count[every, self.root] > 1)
+        best[far] = np.log(self.count[every, self.root][far] + 1) / np.log(2)
+        scored[far] = False
+        t, node, depth = every, self.root.copy(), 0
+        slot = (self.first + self.held) % self.size
+        while len(t):
+            low, high = self.low[t, node], self.high[t, node]
+            below, above = np.minimum(low, point), np.maximum(high, point)
+            upto = np.cumsum(above - below, axis=1)
+            total = upto[:, -1]
+            pick = self._draw(t, place, depth) * total
+            dim = np.minimum((upto <= pick[:, None]).sum(axis=1), self.dims - 1)
+            at = np.arange(len(t))
+            cut = below[at, dim] + pick - (upto[at, dim] - (above - below)[at, dim])
+            x = point[dim]
+            apart = (total > 0) & (((x <= cut) & (cut < low[at, dim])) | ((high[at, dim] <= cut) & (cut < x)))
+            leaf = self.child[0, t, node] == _NONE
+            apart |= leaf & (total > 0)  # of two different points, rounding may leave the cut on neither side
+            same = leaf & ~apart
+            n = self.count[t, node]
+            here = np.log(n + 1) / np.log(2)
+            self._better(best, scored, t[apart], here[apart])
+            if learn:
+                self._join(t[same], node[same], slot)
+                own = leaf[apart] & ~((cut < np.maximum(low, point)[at, dim]) & (cut >= np.minimum(high, point)[at, dim]))[apart]
+                middle = np.where(own, np.minimum(low[at, dim], x)[apart], cut[apart])  # a cut that parts a leaf from the point for sure
+                self._part(t[apart], node[apart], dim[apart], middle, point, slot)
+            go = ~leaf & ~apart
+            t, node, n = t[go], node[go], n[go]
+            if learn:
+                self.low[t, node], self.high[t, node] = below[go], above[go]
+                self.count[t, node] += 1
+            side = (point[self.dim[t, node]] > self.cut[t, node]).astype(np.int32)
+            node = self.child[side, t, node]
+            self._better(best, scored, t, np.log(n + 1) / np.log(self.count[t, node] + 2))
+            depth += 1
+        if learn:
+            self.held += 1
+            if self.held > self.size - 1:
+                self._forget()
+        return float(best.mean())
+
+    def _better(self, best: np.ndarray, scored: np.ndarray, t: np.ndarray, value: np.ndarray) -> None:
+        on = scored[t]
+        best[t[on]] = np.maximum(best[t[on]], value[on])
+
+    def _new_leaf(self, t: np.ndarray, point: np.ndarray, slot: int) -> np.ndarray:
+        leaf = self._take(t)
+        self.child[:, t, leaf] = _NONE
+        self.low[t, leaf] = self.high[t, leaf] = point
+        self.count[t, leaf] = 1
+        self.leaf_of[t, slot] = leaf
+        return leaf
+
+    def _start(self, point: np.ndarray) -> None:
+        every = np.arange(self.trees)
+        self.root = self._new_leaf(every, point, self.first)
+        self.parent[every, self.root] = _NONE
+        self.held = 1
+
+    def _join(self, t: np.ndarray, leaf: np.ndarray, slot: int) -> None:
+        self.count[t, leaf] += 1
+        self.leaf_of[t, slot] = leaf
+
+    def _part(self, t: np.ndarray, node: np.ndarray, dim: np.ndarray, cut: np.ndarray, point: np.ndarray, slot: int) -> None:
+        """A branch in the place of ``node``, with it and the point as its children."""
+        if not len(t):
+            return
+        leaf, branch, above = self._new_leaf(t, point, slot), self._take(t), self.parent[t, node]
+        side = (point[dim] > cut).astype(np.int32)
+        self.child[side, t, branch], self.child[1 - side, t, branch] = leaf, node
+        self.dim[t, branch], self.cut[t, branch] = dim, cut
+        self.low[t, branch], self.high[t, branch] = np.minimum(self.low[t, node], point), np.maximum(self.high[t, node], point)
+        self.count[t, branch] = self.count[t, node] + 1
+        self.parent[t, branch], self.parent[t, leaf], self.parent[t, node] = above, branch, branch
+        self._hang(t, above, node, branch)
+
+    def _hang(self, t: np.ndarray, above: np.ndarray, old: np.ndarray, new: np.ndarray) -> None:
+        top = above == _NONE
+        self.root[t[top]] = new[top]
+        t, above, old, new = t[~top], above[~top], old[~top], new[~top]
+        side = (self.child[1, t, above] == old).astype(np.int32)
+        self.child[side, t, above] = new
+
+    def _forget(self) -> None:
+        """Takes the oldest point out of all trees."""
+        every = np.arange(self.trees)
+        leaf = self.leaf_of[:, self.first]
+        self.count[every, leaf] -= 1
+        up = self.parent[every, leaf]
+        gone = self.count[every, leaf] == 0
+        t, dead, branch = every[gone], leaf[gone], up[gone]
+        side = (self.child[0, t, branch] == dead).astype(np.int32)
+        other, above = self.child[side, t, branch], self.parent[t, branch]
+        self.parent[t, other] = above
+        self._hang(t, above, branch, other)
+        self._give(t, dead)
+        self._give(t, branch)
+        node = up.copy()
+        node[gone] = above
+        t = every
+        while True:
+            live = node != _NONE
+            t, node = t[live], node[live]
+            if not len(t):
+                break
+            a, b = self.child[0, t, node], self.child[1, t, node]
+            self.count[t, node] = self.count[t, a] + self.count[t, b]
+            self.low[t, node], self.high[t, node] = np.minimum(self.low[t, a], self.low[t, b]), np.maximum(self.high[t, a], self.high[t, b])
+            node = self.parent[t, node]
+        self.first = (self.first + 1) % self.size
+        self.held -= 1
+
+
+class Scorer:
+    """A key's forest and its last points: scores each point, learns it, and starts anew every ``restart`` points."""
+
+    def __init__(self, trees: int, size: int, dims: int, seed: int, restart: int, place: int = 0):
+        self.settings, self.restart = (trees, size + 1, dims, seed), restart
+        self.size, self.place, self.last = size, place, []
+        self.forest = CutForest(*self.settings)
+
+    def warm(self, points: np.ndarray) -> None:
+        """Learns the points that lie just before ``place``."""
+        self.last = [*points][-self.size :]
+        for i, p in enumerate(self.last):
+            self.forest.offer(p, self.place - len(self.last) + i)
+
+    def score(self, point: np.ndarray) -> float:
+        if self.place and self.place % self.restart == 0:
+            self.forest = CutForest(*self.settings)
+            self.warm(self.last)
+        found = self.forest.offer(point, self.place)
+        self.last = [*self.last[-self.size + 1 :], point]
+        self.place += 1
+        return found
 
 
 def shingle(df: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -72,43 +222,85 @@ def shingle(df: DataFrame, by: list[str], k: int) -> DataFrame:
     return d.withColumn("shingle", F.when(F.size(got) == k, got)).where("own").select(*df.columns, "shingle")
 
 
-def rcf_scores(df: DataFrame, by: list[str], *, trees: int = 10, size: int = 256, shingle_size: int = 1, seed: int = 42) -> DataFrame:
-    """Each row scored against the rows of its key before it, in (ts, seq) order."""
+def _keys(df: DataFrame, by: list[str]) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
+
+
+def rcf_scores(
+    df: DataFrame, by: list[str], *, trees: int = 50, size: int = 256, shingle_size: int = 1, seed: int = 42, restart: int = RESTART
+) -> DataFrame:
+    """Each row scored against the ``size`` rows of its key before it, in (ts, seq) order, before it is learned."""
     d = shingle(df, by, shingle_size).where("shingle IS NOT NULL").select(*by, "ts", "seq", "shingle")
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.select(*by).schema)
+    restart = max(restart, 8 * size)
+    d = with_row_halo(with_index(d, by), by, size, rows=restart, whole=False)
 
-    def run(batches):
-        key, forest = None, None
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, scorer, before = None, None, []
         for pdf in batches:
-            out, keys_ = np.zeros(len(pdf)), list(zip(*[pdf[b] for b in by], strict=True))
-            x = np.array(pdf["shingle"].tolist(), float)
-            at = 0
-            while at < len(pdf):
-                if keys_[at] != key:
-                    key, forest = keys_[at], CutForest(trees, size, seed)
-                stop = at + 1
-                block = 1 if len(forest.points) < 8 else BLOCK
-                while stop < min(len(pdf), at + block) and keys_[stop] == key:
-                    stop += 1
-                out[at:stop] = forest.score(x[at:stop])
-                forest.add(x[at:stop])
-                at = stop
-            yield pdf[[*by, "ts", "seq"]].assign(score=out)
-
-    return d.repartition(*by).sortWithinPartitions(*by, "ts", "seq").mapInPandas(run, f"{keys}, ts bigint, seq bigint, score double")
-
-
-def rcf_score_transient(history: DataFrame, probes: DataFrame, by: list[str], *, trees: int = 10, size: int = 256, seed: int = 42) -> DataFrame:
+            points = np.array(pdf["shingle"].tolist(), float)
+            rows = list(zip(*[pdf[b] for b in (*by, "slice")], strict=True))
+            scores = np.full(len(pdf), np.nan)
+            for i, (own, idx) in enumerate(zip(pdf["own"], pdf["idx"], strict=True)):
+                if rows[i] != at:
+                    at, scorer, before = rows[i], None, []
+                if not own:
+                    before.append(points[i])
+                    continue
+                if scorer is None:
+                    scorer = Scorer(trees, size, points.shape[1], seed, restart, int(idx))
+                    scorer.last = before
+                    if before == [] or int(idx) % restart:
+                        scorer.warm(before)
+                scores[i] = scorer.score(points[i])
+            yield pdf.loc[pdf["own"], [*by, "ts", "seq"]].assign(score=scores[pdf["own"].to_numpy(bool)])
+
+    d = d.select(*by, "ts", "seq", "shingle", "idx", "slice", "own")
+    dealt = d.repartition(*by, "slice").sortWithinPartitions(*by, "slice", "idx")
+    return dealt.mapInPandas(run, f"{_keys(d, by)}, ts bigint, seq bigint, score double")
+
+
+def rcf_score_transient(history: DataFrame, probes: DataFrame, by: list[str], *, trees: int = 50, size: int = 256, seed: int = 42) -> DataFrame:
     """Probes scored by forests of each key's last ``size`` rows, without learning."""
     w = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("seq"))
     last = history.withColumn("i", F.row_number().over(w)).where(F.col("i") <= size).select(*by, "i", "value")
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in probes.select(*by).schema)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        forest = CutForest(trees, size, seed)
-        past = a.sort_values("i", ascending=False)["value"].to_numpy(float)
-        if len(past):
-            forest.add(past[:, None])
-        return b[by].assign(value=b["value"], score=forest.score(b["value"].to_numpy(float)[:, None]))
+        scorer = Scorer(trees, size, 1, seed, RESTART, len(a))
+        scorer.warm(a.sort_values("i", ascending=False)["value"].to_numpy(float)[:, None])
+        scores = [scorer.forest.offer(np.array([v]), len(a), learn=False) for v in b["value"].to_numpy(float)]
+        return b[by].assign(value=b["value"], score=scores)
+
+    return last.groupBy(*by).cogroup(probes.select(*[F.col(c).alias(c) for c in (*by, "value")]).groupBy(*by)).applyInPandas(run, f"{_keys(probes, by)}, value double, score double")
+
+
+def rcf_stream(df: DataFrame, by: list[str], *, trees: int = 50, size: int = 256, shingle_size: int = 1, seed: int = 42, restart: int = RESTART) -> DataFrame:
+    """`rcf_scores` of a stream: the forest is the key's state, a micro-batch is taken in (ts, seq) order."""
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    restart = max(restart, 8 * size)
+
+    class Scores(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("forest", StructType([StructField("bytes", BinaryType())]))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            pdf = pd.concat([r[["ts", "seq", "value"]] for r in rows]).sort_values(["ts", "seq"], kind="stable")
+            scorer, tail = pickle.loads(self.state.get()[0]) if self.state.exists() else (Scorer(trees, size, shingle_size, seed, restart), [])
+            kept, scores = [], []
+            for place, value in enumerate(pdf["value"].to_numpy(float)):
+                tail = [*tail, value][-shingle_size:]
+                if len(tail) == shingle_size:
+                    kept.append(place)
+                    scores.append(scorer.score(np.array(tail)))
+            self.state.update((pickle.dumps((scorer, tail)),))
+            out = pdf.iloc[kept][["ts", "seq"]].assign(score=scores)
+            for name, value in zip(reversed(by), reversed(key), strict=True):
+                out.insert(0, name, value)
+            yield out
+
+        def close(self) -> None:
+            pass
 
-    return last.groupBy(*by).cogroup(probes.select(*[F.col(c).alias(c) for c in (*by, "value")]).groupBy(*by)).applyInPandas(run, f"{keys}, value double, score double")
+    schema = f"{_keys(df, by)}, ts bigint, seq bigint, score double"
+    return df.groupBy(*by).transformWithStateInPandas(Scores(), outputStructType=schema, outputMode="append", timeMode="none")
