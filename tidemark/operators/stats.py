@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.probability import with_share
 from tidemark.operators.ranks import quantiles
-from tidemark.operators.sliced import lags, slice_of, with_halo, with_row_halo
+from tidemark.operators.sliced import fits, lags, with_halo, with_row_halo, with_slices
 
 PERCENTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
@@ -48,12 +48,11 @@ def rolling(df: DataFrame, by: list[str], window_secs: int, fns: list[str], *, c
     """Duration windows (ts - w, ts], or centred ones; mean, std, min, max, median, quantile (``q``), skew and kurt (bias-corrected), count."""
     back = window_secs // 2 if center else window_secs - 1
     fore = window_secs // 2 if center else 0
-    if center:
-        secs = max(86_400, 8 * window_secs)
-        first, last = F.floor((F.col("ts") - back) / secs), F.floor((F.col("ts") + fore) / secs)
-        d = df.withColumn("slice", F.explode(F.sequence(first, last))).withColumn("own", F.col("slice") == F.floor(F.col("ts") / secs))
-    else:
-        d = with_halo(df, window_secs)
+    rank = {"median", "quantile"} & set(fns)
+    if not rank and not fits(df, by):
+        return _rolling_by_second(df, by, back, fore, fns)
+    # Ranks need the values of a window themselves: slices of time hold no more rows than some windows do.
+    d = with_halo(df, back, fore) if rank else df.withColumn("slice", F.lit(0)).withColumn("own", F.lit(True))
     w = Window.partitionBy(*by, "slice").orderBy("ts").rangeBetween(-back, fore)
     n = F.count("value").over(w).cast("double")
     table = {
@@ -64,6 +63,32 @@ def rolling(df: DataFrame, by: list[str], window_secs: int, fns: list[str], *, c
     return d.withColumns({f"rolling_{f}": table[f]() for f in fns}).where("own").select(*df.columns, *[f"rolling_{f}" for f in fns])
 
 
+def _rolling_by_second(df: DataFrame, by: list[str], back: int, fore: int, fns: list[str]) -> DataFrame:
+    """Rolling moments and extremes from one row for each second: windows are as wide as their seconds, however dense the rows are.
+
+    Powers are summed around the key's mean.
+    """
+    centre = df.groupBy(*by).agg(F.avg("value").alias("__c"))
+    x = (df.join(centre, by) if by else df.crossJoin(F.broadcast(centre))).withColumn("__x", F.col("value") - F.col("__c"))
+    powers = [F.sum(F.col("__x") ** k).alias(f"__p{k}") for k in range(1, 5)]
+    seconds = x.groupBy(*by, "ts").agg(F.count("value").alias("__n"), F.min("value").alias("__lo"), F.max("value").alias("__hi"), F.max("__c").alias("__c"), *powers)
+    w = Window.partitionBy(*by, "slice").orderBy("ts").rangeBetween(-back, fore)
+    d = with_halo(seconds, back, fore).withColumns({
+        "__w": F.sum("__n").over(w).cast("double"), "rolling_min": F.min("__lo").over(w), "rolling_max": F.max("__hi").over(w), **{f"__s{k}": F.sum(f"__p{k}").over(w) for k in range(1, 5)},
+    }).where("own")
+    n = F.when(F.col("__w") > 0, F.col("__w"))
+    m = F.col("__s1") / n
+    m2 = F.greatest(F.col("__s2") / n - m * m, F.lit(0.0))
+    m3 = F.col("__s3") / n - 3 * m * F.col("__s2") / n + 2 * m**3
+    m4 = F.col("__s4") / n - 4 * m * F.col("__s3") / n + 6 * m * m * F.col("__s2") / n - 3 * m**4
+    spread = F.when(m2 > 0, m2)
+    made = {
+        "mean": m + F.col("__c"), "std": F.when(n > 1, F.sqrt(m2 * n / (n - 1))), "count": F.col("__w").cast("bigint"), "min": F.col("rolling_min"), "max": F.col("rolling_max"),
+        "skew": _corrected_skew(n, m3 / spread**1.5), "kurt": _corrected_kurtosis(n, m4 / spread**2 - 3),
+    }
+    return df.join(d.select(*by, "ts", *[made[f].alias(f"rolling_{f}") for f in fns]), [*by, "ts"]).select(*df.columns, *[f"rolling_{f}" for f in fns])
+
+
 def quantile(df: DataFrame, by: list[str], q: list[float]) -> DataFrame:
     wide = quantiles(df, by, {f"q{i}": x for i, x in enumerate(q)})
     pairs = F.array(*[F.struct(F.lit(float(x)).alias("q"), F.col(f"q{i}").alias("quantile")) for i, x in enumerate(q)])
@@ -427,53 +452,6 @@ def seasonal_decompose(df: DataFrame, by: list[str], period: int, model: str = "
     return d.withColumn("resid", rest).select(*by, "ts", "seq", "value", "trend", "seasonal", "resid")
 
 
-def _smooth(y: np.ndarray, a: float, b: float, g: float, period: int) -> tuple[float, float, float, np.ndarray]:
-    """Additive Holt-Winters pass: squared error, last level, trend and season."""
-    if period > 1:
-        level, slope = y[:period].mean(), (y[period : 2 * period].mean() - y[:period].mean()) / period
-        season = y[:period] - level
-    else:
-        level, slope, season = y[0], y[1] - y[0], np.zeros(1)
-    season, sse = season.astype(float).copy(), 0.0
-    for i in range(period if period > 1 else 1, len(y)):
-        s = season[i % period]
-        err = y[i] - (level + slope + s)
-        sse += err * err
-        new = a * (y[i] - s) + (1 - a) * (level + slope)
-        slope = b * (new - level) + (1 - b) * slope
-        season[i % period] = g * (y[i] - new) + (1 - g) * s
-        level = new
-    return sse, level, slope, season
-
-
-def holt_winters(df: DataFrame, by: list[str], steps: int, *, period: int = 1, grid: tuple[float, ...] = (0.1, 0.3, 0.5, 0.8)) -> DataFrame:
-    """Additive smoothing of bounded (resampled) series: keys x parameters run in parallel, the least error wins."""
-    points = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "value"))).alias("s"))
-    season = grid if period > 1 else (0.0,)
-    params = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g")) for a in grid for b in grid for g in season]
-    tried = points.withColumn("p", F.explode(F.array(*params))).select(*by, F.transform("s", lambda x: x["value"]).alias("y"), "p.*")
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*by).schema)
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                y = np.array([v for v in r.y if v is not None], float)
-                if len(y) < max(3, 2 * period):
-                    continue
-                sse, level, slope, seas = _smooth(y, r.a, r.b, r.g, period)
-                n, k = len(y), 2 + (period if period > 1 else 0) + 2
-                fore = [level + (h + 1) * slope + seas[(n + h) % period] for h in range(steps)]
-                sd = math.sqrt(sse / max(n - 1, 1))
-                aic = n * math.log(max(sse, 1e-300) / n) + 2 * k
-                rows.append((*[getattr(r, b) for b in by], r.a, r.b, r.g, sse, aic, aic + k * (math.log(n) - 2), sd, fore))
-            yield pd.DataFrame(rows, columns=[*by, "alpha", "beta", "gamma", "sse", "aic", "bic", "sd", "forecast"])
-
-    fitted = tried.mapInPandas(run, f"{keys}, alpha double, beta double, gamma double, sse double, aic double, bic double, sd double, forecast array<double>")
-    rest = [c for c in fitted.columns if c not in by]
-    return fitted.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct("sse", "alpha", "beta", "gamma")).alias("x")).select(*by, "x.*")
-
-
 def _differences(name: str, d: int, back: int) -> list[Column]:
     """The d-th difference at 0..back rows before, from columns name0 (own value), name1 (one row before), ..."""
     return [sum((F.lit(float((-1) ** i * math.comb(d, i))) * F.col(f"{name}{k + i}") for i in range(d + 1)), F.lit(0.0)) for k in range(back + 1)]
@@ -575,9 +553,9 @@ def arima_forecast(df: DataFrame, by: list[str], order: tuple[int, int, int], st
 
 
 def _newest(df: DataFrame, by: list[str], n: int) -> DataFrame:
-    """The last ``n`` values of each key, oldest first: the newest of each time slice, then the newest of those."""
+    """The last ``n`` values of each key, oldest first: the newest of each slice, then the newest of those."""
     at = F.struct(F.col("ts"), F.col("seq"), F.col("value"))
-    d = df.withColumn("slice", slice_of("ts"))
+    d = df.withColumn("slice", F.lit(0)) if fits(df, by) else with_slices(df, by).withColumnRenamed("__slice", "slice")
     place = F.row_number().over(Window.partitionBy(*by, "slice").orderBy(F.desc("ts"), F.desc("seq")))
     d = d.withColumn("i", place).where(F.col("i") <= n)
     w = Window.partitionBy(*by).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
@@ -586,25 +564,22 @@ def _newest(df: DataFrame, by: list[str], n: int) -> DataFrame:
     return d.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(at)), lambda s: s["value"]).alias("newest"))
 
 
-def auto_arima(df: DataFrame, by: list[str], max_p: int = 2, max_d: int = 1, max_q: int = 1) -> DataFrame:
-    """The order of least AIC per observation of each key."""
-    tried = None
-    for d in range(max_d + 1):
-        for p in range(max_p + 1):
-            for q in range(max_q + 1):
-                m = arima(df, by, (p, d, q)).select(*by, F.struct(F.lit(p).alias("p"), F.lit(d).alias("d"), F.lit(q).alias("q")).alias("order"), (F.col("aic") / F.col("n")).alias("aic"))
-                tried = m if tried is None else tried.unionByName(m)
-    return tried.groupBy(*by).agg(F.min_by("order", F.struct("aic", "order")).alias("order"), F.min("aic").alias("aic_per_row"))
-
-
 def corr_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """Correlation of all pairs of columns, long form: pearson or spearman (mean ranks).
+    """Correlation of all pairs of columns, long form: pearson, spearman (mean ranks) or kendall (tau-b).
 
     Rows that lack one of the columns don't count.
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     d = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna()
     place = {c: f"c{i}" for i, c in enumerate(columns)}
+    if method == "kendall":
+        from tidemark.operators.concordance import kendall_tau
+
+        out = None
+        for a, b in pairs:
+            one = kendall_tau(d, place[a], place[b]).select(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col("tau").alias("corr"))
+            out = one if out is None else out.unionByName(one)
+        return out
     if method == "spearman":
         for c in place.values():
             counted = d.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
