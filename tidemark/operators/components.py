@@ -26,12 +26,15 @@ def _toward_minimum(sym: DataFrame, up: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges(src, dst)``; component is the least node reachable."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``edges(src, dst)``; component is the least node reachable.
+
+    Rounds go on until nothing changes; their number grows with the logarithm of the longest path.
+    """
     links = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     links = materialize(links, "links")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         sym = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _toward_minimum(sym, up=True)
         links = materialize(_toward_minimum(large, up=False), "links")
@@ -39,7 +42,5 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

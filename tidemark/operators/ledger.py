@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import barriers
 from tidemark.operators import grid as G
 from tidemark.operators.query import MAX_WINDOW, check_query_bounds, order_and_limit, query_recent, window_fits_cap
-from tidemark.operators.sliced import slice_of, with_lag, with_running
+from tidemark.operators.sliced import fits, with_lag, with_running, with_running_max
 from tidemark.operators.timeseries import bucket_align, gap_fill, parse_resolution
 from tidemark.sources.scratch import materialize
 
@@ -145,15 +146,10 @@ def trade_report(df: DataFrame, by: list[str]) -> DataFrame:
     """
     d = df.where("status = 'closed' AND pnl_pct IS NOT NULL")
     loss = F.col("pnl_pct") <= 0
-    d = with_running(d, by, {"equity": F.col("pnl_pct"), "won": (~loss).cast("long")}, secs=31 * 86_400)
-    # the peak so far: a running maximum over slices
-    d = d.withColumn("__slice", slice_of("ts", 31 * 86_400))
-    inside = Window.partitionBy(*by, "__slice").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    edges = d.groupBy(*by, "__slice").agg(F.max("equity").alias("m")).withColumn("__before", F.max("m").over(before)).drop("m")
-    d = d.join(edges, [*by, "__slice"])
-    peak = F.greatest(F.lit(0.0), F.max("equity").over(inside), F.coalesce("__before", F.lit(0.0)))
-    d = d.withColumn("drawdown", peak - F.col("equity"))
+    whole = fits(d, by)
+    d = with_running(d, by, {"equity": F.col("pnl_pct"), "won": (~loss).cast("long")}, whole=whole)
+    d = with_running_max(d, by, {"peak": F.col("equity")}, whole=whole)
+    d = d.withColumn("drawdown", F.greatest(F.lit(0.0), F.col("peak")) - F.col("equity"))
     streaks = d.where(loss).groupBy(*by, "won").agg(F.count("*").alias("streak")).groupBy(*by).agg(F.max("streak").alias("max_losses"))
     money = F.col("size") * F.col("pnl_pct")
     g = d.groupBy(*by).agg(
@@ -245,52 +241,21 @@ def level_touch(candles: DataFrame, levels: DataFrame, by: list[str], band: floa
 def barrier_exit(entries: DataFrame, candles: DataFrame, by: list[str], *, max_bars: int, fee: float = FEE_ROUNDTRIP) -> DataFrame:
     """The first bar from ``unlock_seq`` on that touches stop or target; the stop wins when both are touched.
 
-    A bar that opens beyond a barrier fills at its open; entries that no bar touches stay ``open`` (no bar, fill or result).  Bars are the leaves of a
-    tree with ``max_bars`` children a node; a node holds the least low and greatest high below it.  An entry meets the later
-    siblings on its path up, then the children of the first node that can hit: a few blocks, however late the exit is.
+    A bar that opens beyond a barrier fills at its open; entries that no bar touches stay ``open`` (no bar, fill or result).
+    ``max_bars`` bars, or ``barriers.BLOCK_BARS`` if that is more, are searched at a time; an exit may be any number of bars later.
     """
-    width = max(2, max_bars)
-    bars = materialize(candles.select(*by, "bar", "o", "h", "l"), "bars")
-    ends = bars.agg(F.min("bar").alias("lo"), F.max("bar").alias("hi")).first()
-    lo, span = (ends["lo"], ends["hi"] - ends["lo"]) if ends["lo"] is not None else (0, 0)
-    levels = 1
-    while width**levels <= span:
-        levels += 1
-    tree = bars.select(*by, F.lit(0).alias("level"), (F.col("bar") - lo).cast("long").alias("node"), "o", "h", "l")
-    if levels > 1:
-        above = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.floor((F.col("bar") - lo) / width**i).alias("node")) for i in range(1, levels)]))
-        nodes = bars.select(*by, above.alias("at"), "h", "l").groupBy(*by, "at").agg(F.max("h").alias("h"), F.min("l").alias("l"))
-        tree = materialize(tree.unionByName(nodes.select(*by, "at.*", "h", "l"), allowMissingColumns=True), "bar-tree")
-    tree = tree.withColumn("parent", F.floor(F.col("node") / width))
     long = F.col("dtype") == "long"
-    stop = F.when(long, F.col("l") <= F.col("sl")).otherwise(F.col("h") >= F.col("sl"))
-    target = F.when(long, F.col("h") >= F.col("tp")).otherwise(F.col("l") <= F.col("tp"))
     entry = [*by, "order_id", "dtype", "entry", "sl", "tp", "unlock_seq"]
-
-    def first_hit(d: DataFrame) -> DataFrame:
-        x = F.min(F.struct("level", "node", "o", "h", "l"))  # lower levels hold earlier bars
-        return d.where(stop | target).groupBy(*entry).agg(x.alias("x")).select(*entry, "x.*")
-
-    # Nodes above the bars are few and met by many entries: each is there once a salt.
-    salt = F.pmod(F.xxhash64("order_id"), F.lit(width)).cast("int")
-    start, path = F.greatest(F.col("unlock_seq") - lo, F.lit(0)).cast("long"), []
-    for i in range(levels):
-        path.append(F.struct(F.lit(i).alias("level"), start.alias("start"), F.floor(start / width).alias("parent"), (salt if i else F.lit(0)).alias("salt")))
-        start = F.floor(start / width) + 1
-    e = entries.where("unlock_seq IS NOT NULL").select(*entry, F.explode(F.array(*path)).alias("at")).select(*entry, "at.*")
-    salts = F.when(F.col("level") > 0, F.sequence(F.lit(0), F.lit(width - 1))).otherwise(F.array(F.lit(0)))
-    d = first_hit(e.join(tree.withColumn("salt", F.explode(salts)), [*by, "level", "parent", "salt"]).where("node >= start"))
-    if levels > 1:
-        found, down = materialize(d, "first-nodes"), None
-        for i in range(levels - 1, 0, -1):
-            at = found.where(F.col("level") == i)
-            at = (at if down is None else at.unionByName(down)).select(*entry, F.col("node").alias("parent"))
-            down = first_hit(at.join(tree.where(F.col("level") == i - 1), [*by, "parent"]))
-        d = found.where("level = 0").unionByName(down)
+    below, above = F.when(long, F.col("sl")).otherwise(F.col("tp")), F.when(long, F.col("tp")).otherwise(F.col("sl"))
+    e = entries.where("unlock_seq IS NOT NULL").select(*entry, F.col("unlock_seq").alias("start"), below.cast("double").alias("below"), above.cast("double").alias("above"))
+    block = max(max_bars, barriers.BLOCK_BARS)
+    hits = barriers.first_touch(e, candles, by, block=block).where("hit IS NOT NULL").select(*entry, "hit")
+    bars = candles.select(*by, F.col("bar").cast("bigint").alias("hit"), "bar", "o", "h", "l")
+    d = hits.join(bars, [*by, "hit"]).select(*entry, "bar", "o", "h", "l")
+    stop = F.when(long, F.col("l") <= F.col("sl")).otherwise(F.col("h") >= F.col("sl"))
     worse = F.when(long, F.least("o", "sl")).otherwise(F.greatest("o", "sl"))
     better = F.when(long, F.greatest("o", "tp")).otherwise(F.least("o", "tp"))
     d = d.withColumn("fill", F.when(stop, worse).otherwise(better)).withColumn("reason", F.when(stop, "sl").otherwise("tp"))
-    d = d.withColumn("bar", (F.col("node") + lo).cast(bars.schema["bar"].dataType))
     first = d.groupBy(*by, "order_id", "dtype", "entry").agg(F.min_by(F.struct("bar", "fill", "reason"), "bar").alias("x")).select(*by, "order_id", "dtype", "entry", "x.*")
     move = (F.col("fill") - F.col("entry")) / F.col("entry") * F.when(F.col("dtype") == "long", 1.0).otherwise(-1.0)
     closed = first.withColumn("pnl_pct", move - fee)
@@ -302,9 +267,12 @@ def barrier_exit(entries: DataFrame, candles: DataFrame, by: list[str], *, max_b
 def one_open_per_level(entries: DataFrame, exits: DataFrame, by: list[str], level: str = "level") -> DataFrame:
     """The exits of entries that find their level free: a level is taken from an accepted entry's ``unlock_seq`` to its exit bar.
 
-    Sequential within a level by nature; each level's narrow rows (three columns) are one group.
+    Levels of up to ``sliced.ROWS`` entries are walked in one task.  Beyond that every entry points to the first one after its own exit, and the chain from a
+    level's first entry is followed by pointer doubling: each round doubles how far pointers reach.
     """
     d = entries.select(*by, level, "order_id", "unlock_seq").join(exits.select(*by, "order_id", "bar"), [*by, "order_id"])
+    if not fits(d, [*by, level]):
+        return exits.join(_accepted(d, by, level), [*by, "order_id"], "left_semi")
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.select(*by, "order_id").schema)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -320,6 +288,25 @@ def one_open_per_level(entries: DataFrame, exits: DataFrame, by: list[str], leve
     return exits.join(d.groupBy(*by, level).applyInPandas(walk, keys), [*by, "order_id"], "left_semi")
 
 
+def _accepted(d: DataFrame, by: list[str], level: str) -> DataFrame:
+    """by..., order_id of the entries on the chain from each level's first entry."""
+    from tidemark.operators.trend import asof_join
+
+    on = [*by, level]
+    d = materialize(d.where("unlock_seq IS NOT NULL"), "entries")
+    first = d.groupBy(*on).agg(F.min(F.struct("unlock_seq", "order_id")).alias("x")).select(*on, F.col("x.order_id").alias("order_id"))
+    starts = d.groupBy(*on, "unlock_seq").agg(F.min("order_id").alias("next")).select(*on, (-F.col("unlock_seq")).cast("bigint").alias("ts"), "next")
+    ends = d.where("bar IS NOT NULL").select(*on, "order_id", (-F.col("bar") - 1).cast("bigint").alias("ts"))
+    jump = asof_join(ends, starts, on, values=["next"]).select(*on, "order_id", F.col("right_next").alias("next")).where("next IS NOT NULL")
+    reached, jump = materialize(first, "reached"), materialize(jump, "jumps")
+    while not jump.isEmpty():
+        more = reached.join(jump, [*on, "order_id"]).select(*on, F.col("next").alias("order_id"))
+        reached = materialize(reached.unionByName(more).distinct(), "reached")
+        second = jump.select(*on, F.col("order_id").alias("next"), F.col("next").alias("after"))
+        jump = materialize(jump.join(second, [*on, "next"]).select(*on, "order_id", F.col("after").alias("next")), "jumps")
+    return reached.select(*by, "order_id")
+
+
 def kelly_size(win_p: Column, sl_pct: Column, fraction: float, capital: float) -> Column:
     """Kelly stake at odds 1 / stop; 0 outside (0, 1) and never negative."""
     b = 1 / sl_pct
@@ -549,25 +536,84 @@ def plan_from_grid(
     )
 
 
+#: Parameter sets that a sweep takes: they are sent to the tasks.
+MAX_SETS = 100_000
+
+
+def _result(entry, sign, sl, tp, o, h, low, fee: float):
+    """P&L in shares of positions closed by bars (o, h, low): at the stop if it was touched, at the open if that lies beyond."""
+    stop = np.where(sign > 0, low <= sl, h >= sl)
+    worse, better = np.where(sign > 0, np.minimum(o, sl), np.maximum(o, sl)), np.where(sign > 0, np.maximum(o, tp), np.minimum(o, tp))
+    return (np.where(stop, worse, better) - entry) / entry * sign - fee
+
+
 def param_sweep(
     entries: DataFrame, candles: DataFrame, by: list[str], params: DataFrame, *, max_bars: int, fee: float = FEE_ROUNDTRIP, windows: dict[str, tuple[int, int]] | None = None
 ) -> DataFrame:
-    """Trades and mean result of each (sl_pct, tp_pct) of ``params`` in each window of bars, as one job; ``best`` marks the set of greatest mean score.
+    """Trades and mean result of each (sl_pct, tp_pct) of ``params`` in each window of bars; ``best`` marks the set of greatest mean score.
+
+    Entries meet their block of bars once, whatever the number of sets; only positions that a block leaves open are rows of their own.
 
     ``windows`` {name: (from, to)} holds entries by ``unlock_seq`` (to is exclusive), for instance train and test by time;
     none: all bars.  ``mean_score`` is the mean over windows, a window without closed trades counts as 0.
     """
     windows = windows or {"all": (-(1 << 62), 1 << 62)}
+    sets = [(r.param, float(r.sl_pct), float(r.tp_pct)) for r in params.select("param", "sl_pct", "tp_pct").limit(MAX_SETS + 1).collect()]
+    if len(sets) > MAX_SETS:
+        raise ValueError(f"more than {MAX_SETS} parameter sets")
+    block = max(max_bars, barriers.BLOCK_BARS)
+    of = lambda c: F.floor(F.col(c) / block).cast("bigint")
+    bars = materialize(candles.select(*by, F.col("bar").cast("bigint").alias("bar"), *[F.col(c).cast("double").alias(c) for c in "ohl"]).withColumn("block", of("bar")), "bars")
+    lo = bars.agg(F.min("block")).first()[0] or 0
     spans = F.array(*[F.struct(F.lit(n).alias("window"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for n, (a, b) in windows.items()])
-    placed = entries.drop("sl", "tp").withColumn("w", F.explode(F.filter(spans, lambda w: (F.col("unlock_seq") >= w["a"]) & (F.col("unlock_seq") < w["b"]))))
-    sets = params.select(F.array_sort(F.collect_list(F.struct("param", "sl_pct", "tp_pct"))).alias("sets"))  # a caller's list of parameter sets
-    d = placed.crossJoin(F.broadcast(sets)).withColumn("p", F.explode("sets"))
-    sign = F.when(F.col("dtype") == "long", 1.0).otherwise(-1.0)
-    d = d.withColumn("sl", F.col("entry") * (1 - sign * F.col("p.sl_pct"))).withColumn("tp", F.col("entry") * (1 + sign * F.col("p.tp_pct")))
-    d = d.withColumn("order_id", F.to_json(F.struct(F.col("p.param").alias("p"), F.col("w.window").alias("w"), F.col("order_id").alias("o"))))
-    x = barrier_exit(d.drop("w", "p", "sets"), candles, by, max_bars=max_bars, fee=fee)
-    x = x.withColumn("param", F.get_json_object("order_id", "$.p")).withColumn("window", F.get_json_object("order_id", "$.w"))
-    g = x.groupBy("param", "window").agg(F.count("pnl_pct").alias("trades"), F.count_if(F.col("reason") == "open").alias("open"), F.coalesce(F.avg("pnl_pct"), F.lit(0.0)).alias("score"))
+    e = entries.where("unlock_seq IS NOT NULL").select(*by, "dtype", F.col("entry").cast("double").alias("entry"), F.col("unlock_seq").cast("bigint").alias("unlock"))
+    e = e.withColumn("w", F.explode(F.filter(spans, lambda w: (F.col("unlock") >= w["a"]) & (F.col("unlock") < w["b"])))).withColumn("window", F.col("w.window")).drop("w")
+    e = e.withColumn("start", F.greatest(F.col("unlock"), F.lit(lo * block))).withColumn("block", of("start"))
+    keys = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in e.select(*by).schema)
+    names = [*by, "window", "param", "trades", "total", "sign", "entry", "sl", "tp", "start", "below", "above"]
+
+    def sweep(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """Sums over the positions that this block closes, for each set and window; a row for each that it leaves open."""
+        b, out = b.sort_values("bar"), []
+        low, high, first, bar = (b[c].to_numpy(float) for c in ("l", "h", "o", "bar"))
+        search = barriers.Extremes(low, high)
+        start = np.searchsorted(bar, a["start"].to_numpy(float))
+        price, sign = a["entry"].to_numpy(float), np.where(a["dtype"] == "long", 1.0, -1.0)
+        for name, sl_pct, tp_pct in sets:
+            sl, tp = price * (1 - sign * sl_pct), price * (1 + sign * tp_pct)
+            below, above = np.where(sign > 0, sl, tp), np.where(sign > 0, tp, sl)
+            at = search.first(start, below, above) if len(b) else np.zeros(len(a), np.int64)
+            done = at < len(b)
+            i = at[done]
+            pnl = _result(price[done], sign[done], sl[done], tp[done], first[i], high[i], low[i], fee)
+            for window, g in pd.Series(pnl, a["window"].to_numpy()[done]).groupby(level=0):
+                out.append((*key[: len(by)], window, name, len(g), float(g.sum()), *[None] * 7))
+            rest = a[~done]
+            out += zip(*[rest[k] for k in by], rest["window"], [name] * len(rest), [None] * len(rest), [None] * len(rest), sign[~done], rest["entry"], sl[~done], tp[~done],
+                       rest["start"], below[~done], above[~done], strict=True)
+        return pd.DataFrame(out, columns=names).astype({"trades": "Int64", "start": "Int64"})
+
+    on = [*by, "block"]
+    parts = F.ceil(F.count(F.lit(1)) / barriers.GROUP_POSITIONS).cast("int")
+    counts = e.groupBy(*on).agg(parts.alias("parts"))
+    here = e.join(counts, on).withColumn("part", F.pmod(F.xxhash64("unlock", "entry", "dtype", "window"), F.col("parts")).cast("int")).drop("parts")
+    there = bars.join(counts, on).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    shape = f"{keys}window string, param string, trades bigint, total double, sign double, entry double, sl double, tp double, start bigint, below double, above double"
+    swept = materialize(here.groupBy(*on, "part").cogroup(there.groupBy(*on, "part")).applyInPandas(sweep, shape), "swept")
+    # What is still open goes on behind its block.
+    left = swept.where("trades IS NULL").withColumn("start", (of("start") + 1) * block).drop("trades", "total")
+    hits = barriers.first_touch(left, bars, by, block=block)
+    met = hits.join(bars.select(*by, F.col("bar").alias("hit"), "o", "h", "l"), [*by, "hit"], "left")
+
+    def fill(batches):
+        for pdf in batches:
+            pnl = _result(*(pdf[c].to_numpy(float) for c in ("entry", "sign", "sl", "tp", "o", "h", "l")), fee)
+            yield pdf[["window", "param"]].assign(trades=pdf["hit"].notna().astype("int64"), total=np.where(pdf["hit"].notna(), pnl, 0.0), open=pdf["hit"].isna().astype("int64"))
+
+    later = met.mapInPandas(fill, "window string, param string, trades bigint, total double, open bigint")
+    now = swept.where("trades IS NOT NULL").select("window", "param", "trades", "total", F.lit(0).cast("bigint").alias("open"))
+    g = now.unionByName(later).groupBy("param", "window").agg(F.sum("trades").alias("trades"), F.sum("open").alias("open"), F.sum("total").alias("total"))
+    g = g.select("param", "window", "trades", "open", F.when(F.col("trades") > 0, F.col("total") / F.col("trades")).otherwise(0.0).alias("score"))
     means = g.groupBy("param").agg((F.sum("score") / len(windows)).alias("mean_score"))
     top = means.agg(F.max_by("param", F.struct("mean_score", "param")).alias("top"))
     return g.join(means, "param").crossJoin(F.broadcast(top)).withColumn("best", F.col("param") == F.col("top")).drop("top")
@@ -575,7 +621,9 @@ def param_sweep(
 
 def loss_runs(df: DataFrame, by: list[str]) -> DataFrame:
     """Runs of consecutive losing trades."""
-    d = with_lag(df.where("status = 'closed' AND pnl_pct IS NOT NULL"), by, {"before": "pnl_pct"}, secs=31 * 86_400)
+    d = df.where("status = 'closed' AND pnl_pct IS NOT NULL")
+    whole = fits(d, by)
+    d = with_lag(d, by, {"before": "pnl_pct"}, whole=whole)
     flips = (F.col("before").isNull() | ((F.col("before") > 0) != (F.col("pnl_pct") > 0))).cast("long")
-    d = with_running(d, by, {"run": flips}, secs=31 * 86_400)
+    d = with_running(d, by, {"run": flips}, whole=whole)
     return d.where("pnl_pct <= 0").groupBy(*by, "run").agg(F.count("*").alias("length"), F.min("ts").alias("start"))

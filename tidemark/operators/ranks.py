@@ -1,8 +1,8 @@
 """Exact order statistics of keys of any size.
 
-No task ever holds, and no shuffle moves, a whole key: one pass takes approximate quantiles (bounded,
-mergeable) on both sides of each target; the second counts what lies below them and keeps equal values of the few
-rows between them, of which the exact rank is picked.  Keys of up to ``WHOLE`` rows keep all their distinct values.
+Where all keys have at most ``WHOLE`` rows, their values are sorted in windows.  Else no task ever holds, and no shuffle moves, a
+whole key: one pass takes approximate quantiles (bounded, mergeable) on both sides of each target; others count what lies
+below them and keep equal values of the few rows between them, of which the exact rank is picked.
 """
 
 from __future__ import annotations
@@ -12,8 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sliced import largest
+from tidemark.sources.scratch import materialize
+
 ACCURACY = 200_000
-WHOLE = 200_000
+WHOLE = 1_000_000
 #: Above the approximation's error on both sides (1 / ACCURACY each) and the shift between q n and q (n - 1).
 MARGIN = 2.5e-5
 
@@ -42,26 +45,38 @@ def order_statistics(
     x = F.col(column) if isinstance(column, str) else column
     d = df.select(*by, x.cast("double").alias("__x")).where("__x IS NOT NULL")
     names = list(targets)
+    places = [p for _, p in targets.values()]
+    if largest(d, by) <= whole:
+        r = F.row_number().over(Window.partitionBy(*by).orderBy("__x")) - 1
+        w = d.withColumn("__r", r).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+        at = [p(F.col("__n")).cast("double") for p in places]
+        picks = []
+        for i, a in enumerate(at):
+            picks += [F.max(F.when(F.col("__r") == F.floor(a), F.col("__x"))).alias(f"__l{i}"), F.max(F.when(F.col("__r") == F.ceil(a), F.col("__x"))).alias(f"__h{i}"), F.max(a - F.floor(a)).alias(f"__p{i}")]
+        g = w.groupBy(*by).agg(*picks) if by else w.agg(*picks).where("__l0 IS NOT NULL")
+        low, high, part = ((lambda i, c=c: F.col(f"__{c}{i}")) for c in "lhp")
+        return g.select(*by, *[F.when(part(i) == 0, low(i)).otherwise(low(i) + (high(i) - low(i)) * part(i)).alias(n) for i, n in enumerate(names)])
     shares = [q for q, _ in targets.values()]
     ends = [min(1.0, max(0.0, q + side * MARGIN)) for q in shares for side in (-1, 1)]
     g = d.groupBy(*by).agg(F.count("*").alias("__n"), F.percentile_approx("__x", F.array(*[F.lit(e) for e in ends]), ACCURACY).alias("__e"))
-    small = F.col("__n") <= whole
-    # Which targets a row may decide (-1: all of a small key), and whether it only counts as below them.
-    place = [F.struct(F.lit(i).alias("t"), (F.col("__x") < F.col("__e")[2 * i]).alias("below")) for i in range(len(names))]
-    kept = F.filter(F.array(*place), lambda p: F.col("__x") <= F.get(F.col("__e"), 2 * p["t"] + 1))
-    group = F.when(small, F.array(F.struct(F.lit(-1).alias("t"), F.lit(False).alias("below")))).otherwise(kept)
+    g = materialize(g, "brackets")
     j = d.join(g, by) if by else d.crossJoin(F.broadcast(g))
-    rows = j.select(*by, "__x", "__n", F.explode(group).alias("__p"))
-    counted = rows.groupBy(*by, "__n", F.col("__p.t").alias("__t"), F.when(~F.col("__p.below"), F.col("__x")).alias("__v")).agg(F.count("*").alias("__c"))
-    up = Window.partitionBy(*by, "__t").orderBy(F.asc_nulls_first("__v")).rowsBetween(Window.unboundedPreceding, 0)
+    # What lies below each bracket is one row of counts a key; only rows inside a bracket, or of small keys, go on (-1: for all targets).
+    below = j.groupBy(*by, "__n").agg(*[F.count_if(F.col("__x") < F.col("__e")[2 * i]).alias(f"__b{i}") for i in range(len(names))])
+    place = F.array(*[F.struct(F.lit(i).alias("t"), F.col("__x").between(F.col("__e")[2 * i], F.col("__e")[2 * i + 1]).alias("inside")) for i in range(len(names))])
+    group = F.when(F.col("__n") <= whole, F.array(F.lit(-1))).otherwise(F.transform(F.filter(place, lambda p: p["inside"]), lambda p: p["t"]))
+    counted = j.select(*by, "__x", F.explode(group).alias("__t")).groupBy(*by, "__t", F.col("__x").alias("__v")).agg(F.count("*").alias("__c"))
+    up = Window.partitionBy(*by, "__t").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("__upto", F.sum("__c").over(up))
+    ranked = ranked.join(below, by) if by else ranked.crossJoin(F.broadcast(below))
     n = F.col("__n")
+    at = [p(n).cast("double") for p in places]
 
     def value_at(i: int, at: Column) -> Column:
-        mine = (F.col("__t") == -1) | (F.col("__t") == i)
-        return F.max(F.when(mine & (F.col("__upto") > at) & (F.col("__upto") - F.col("__c") <= at), F.col("__v")))
+        base = F.when(F.col("__t") == -1, F.lit(0)).otherwise(F.col(f"__b{i}"))
+        mine = F.col("__t").isin(-1, i)
+        return F.max(F.when(mine & (base + F.col("__upto") > at) & (base + F.col("__upto") - F.col("__c") <= at), F.col("__v")))
 
-    at = [p(n).cast("double") for _, p in targets.values()]
     picks = []
     for i in range(len(names)):
         picks += [value_at(i, F.floor(at[i])).alias(f"__l{i}"), value_at(i, F.ceil(at[i])).alias(f"__h{i}")]

@@ -43,23 +43,36 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("pattern string").parquet(path)
 
 
+def _grams(text: str, n: int) -> Column:
+    """The distinct n-grams of a text, in time linear in the text."""
+    return F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def _with_rare_gram(rows: DataFrame, patterns: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+    """(row, pattern) where the row holds the pattern's rarest n-gram; patterns with an n-gram that no text holds are nowhere."""
+    of = patterns.select("pattern", F.explode(_grams("pattern", n)).alias("g"))
+    held = rows.select(id_col, F.explode(_grams(text, n)).alias("g"))
+    counts = held.select("g").join(of.select("g").distinct(), "g").groupBy("g").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = of.join(counts, "g", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "g")).alias("x"))
+    rarest = materialize(rarest.where("x.texts > 0").select("pattern", "x.g"), "rare-grams")
+    return held.join(rarest, "g").select(id_col, "pattern")
+
+
 def pattern_hits(df: DataFrame, patterns: DataFrame, id_col: str, text: str = "text", n: int = 8) -> DataFrame:
     """One row per (row, contained pattern).
 
-    Patterns of at least ``n`` characters meet texts by an equi-join on their first n-gram; shorter ones by the same
-    join on the n-grams of their own length.
+    Patterns of at least ``n`` characters meet texts by an equi-join on that n-gram of theirs which the fewest texts hold (a common
+    opening brings nobody together); shorter ones by the same join on the n-grams of their own length.
     """
     p = patterns.select("pattern").where("pattern <> ''").distinct()
-    long = p.where(F.length("pattern") >= n).withColumn("g", F.substring("pattern", 1, n))
-    grams = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))  # linear in the text
     rows = df.select(F.col(id_col), F.col(text)).where(F.col(text).isNotNull())
-    maybe = rows.select(id_col, F.explode(grams).alias("g")).join(long, "g").select(id_col, "pattern").distinct()
+    maybe = _with_rare_gram(rows, p.where(F.length("pattern") >= n), id_col, text, n).distinct()
     found = rows.join(maybe, id_col).where(F.col(text).contains(F.col("pattern"))).select(id_col, "pattern")
     short = p.where(F.length("pattern") < n)
     lengths = [r[0] for r in short.select(F.length("pattern")).distinct().collect()]  # below n
     if not lengths:
         return found.distinct()
-    parts = [F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{i}}}))"), F.lit(1))) for i in lengths]
+    parts = [_grams(text, i) for i in lengths]
     few = rows.select(id_col, F.explode(F.concat(*parts)).alias("pattern")).join(short, "pattern").select(id_col, "pattern")
     return found.unionByName(few).distinct()
 
