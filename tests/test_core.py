@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.operators import anomaly, candles, capacity, grid, indicators, ledger, ml, probability, query, sliced, stats, text, timeseries, trend
+from tidemark.operators import anomaly, candles, capacity, forecast, grid, indicators, ledger, ml, probability, query, sliced, stats, text, timeseries, trend
 from tidemark.plans import queries as Q
 from tidemark.plans import registry, source_queries  # noqa: F401  (registers its queries)
 from tidemark.schema import OBS_SCHEMA
@@ -160,7 +160,7 @@ def test_forecast_models_recover_parameters(spark):
     season = obs(spark, [(i, 10 + i + [0, 5, -5, 0][i % 4]) for i in range(40)])
     s = stats.seasonal_decompose(season, BY, 4).where("trend IS NOT NULL").orderBy("ts").collect()
     assert max(abs(r.resid) for r in s) < 1e-9 and {round(r.seasonal, 6) for r in s} == {0.0, 5.0, -5.0}
-    hw = one(stats.holt_winters(line, BY, 2))
+    hw = one(forecast.holt_winters(line, BY, 2))
     assert hw.forecast == pytest.approx([63, 65], abs=0.5)
     assert one(stats.fit_distribution(obs(spark, list(enumerate(rng.standard_normal(400)))), BY, "norm")).fits_well
 

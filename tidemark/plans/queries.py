@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.operators import anomaly, candles, capacity, exposition, indicators, ledger, ml, probability, query, stats, text, timeseries, trend
+from tidemark.operators import anomaly, candles, capacity, exposition, forecast, indicators, ledger, ml, probability, query, stats, text, timeseries, trend
 from tidemark.operators import grid as G
 from tidemark.operators.sliced import with_index
 from tidemark.plans import registry
@@ -699,7 +699,7 @@ def level_touch(spark, sf_dir):
 
 
 def _entries(c: DataFrame) -> tuple[DataFrame, DataFrame]:
-    bars = with_index(c.withColumn("zero", F.lit(0)), BY, "bar", ts="t", seq="zero", secs=31 * DAY).withColumn("bar", F.col("bar") + 1).drop("zero")
+    bars = with_index(c.withColumn("zero", F.lit(0)), BY, "bar", ts="t", seq="zero").withColumn("bar", F.col("bar") + 1).drop("zero")
     side = F.when(F.col("bar") % 2 == 0, "long").otherwise("short")
     sign = F.when(F.col("bar") % 2 == 0, 1).otherwise(-1)
     e = bars.select(*BY, F.col("bar").cast("string").alias("order_id"), side.alias("dtype"), F.col("c").alias("entry"), (F.col("bar") + 1).alias("unlock_seq"),
@@ -923,19 +923,26 @@ def seasonal_decompose(spark, sf_dir):
 @registered()
 def holt_winters(spark, sf_dir):
     daily = timeseries.resample(observations(spark, sf_dir), BY, DAY, "sum", anchor="epoch").select("metric_id", F.col("bucket").alias("ts"), F.col("bucket").alias("seq"), "value")
-    d = stats.holt_winters(daily, BY, 3, period=7)
-    return rounded(d.select("metric_id", "alpha", "beta", "gamma", "sse", F.posexplode("forecast").alias("step", "forecast")), "sse", "forecast", digits=4)
+    d = forecast.holt_winters(daily, BY, 3, period=7)
+    path = F.posexplode(F.arrays_zip("forecast", "low", "high")).alias("step", "x")
+    return rounded(d.select("metric_id", "alpha", "beta", "gamma", "sse", path).select("metric_id", "alpha", "beta", "gamma", "sse", "step", "x.*"), "sse", "forecast", "low", "high", digits=4)
 
 
 @registered()
 def arima_forecast(spark, sf_dir):
+    d = forecast.fit_arima(observations(spark, sf_dir), BY, [(2, 0, 1)], steps=5)
+    path = F.posexplode(F.arrays_zip("forecast", "low", "high")).alias("step", "x")
+    return rounded(d.select("metric_id", "loglik", path).select("metric_id", "loglik", "step", "x.*"), "loglik", "forecast", "low", "high", digits=4)
+
+
+@registered()
+def arima_two_stage(spark, sf_dir):
     return rounded(stats.arima_forecast(observations(spark, sf_dir), BY, (2, 0, 1), 5), "forecast", "low", "high", digits=4)
 
 
 @registered()
 def auto_arima(spark, sf_dir):
-    d = stats.auto_arima(observations(spark, sf_dir), BY, 1, 1, 1)
-    return rounded(d.select("metric_id", "order.p", "order.d", "order.q", "aic_per_row"), "aic_per_row", digits=4)
+    return rounded(forecast.auto_arima(observations(spark, sf_dir), BY).select("metric_id", "p", "d", "q", "aic", "n"), "aic", digits=4)
 
 
 _RANKED = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS r{i}" for i, c in enumerate(("l_quantity", "l_extendedprice")))
@@ -1265,6 +1272,12 @@ def rcf_scores(spark, sf_dir):
     return rounded(anomaly.rcf_scores(observations(spark, sf_dir), BY), "score")
 
 
+@registered()
+def stream_rcf(spark, sf_dir):
+    """`rcf_scores` of the events as a stream, forests being its state."""
+    return rounded(jobs.run_to_table(anomaly.rcf_stream(_event_stream(spark, sf_dir), BY), name="stream-rcf", state="rocksdb"), "score")
+
+
 def _event_stream(spark, sf_dir):
     """``events`` read as a file stream, as observations: one trigger takes all files, so no row is late for their order."""
     schema = table(spark, sf_dir, "events").schema

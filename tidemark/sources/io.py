@@ -11,7 +11,6 @@ from tidemark.sources.scratch import materialize
 
 _OBS = "struct<ts bigint, metric_id string, kind string, signal string, value double, labels map<string,string>, severity string>"
 FIELDS = ("o", "h", "l", "c", "v")
-ENVELOPE_DEPTH = 3
 
 
 def _ohlcv_rows(df: DataFrame, symbol: str, resolution: str) -> DataFrame:
@@ -37,18 +36,29 @@ def read_ohlcv_csv(spark: SparkSession, path: str, *, columns: tuple[int, ...] =
 
 
 def parse_observation_envelope(c: Column) -> Column:
-    """Observations of a message: an array, one object, or either below ``data`` or ``observations``, up to ENVELOPE_DEPTH of them nested; else none."""
+    """Observations of a message: an array, one object, or either below ``data`` or ``observations`` at any depth; else none.
+
+    What is still to be looked at is a stack of JSON texts: an envelope is replaced by its ``data`` and then its ``observations``; the first that
+    holds observations decides.  There are at most as many looks as the text has such names.
+    """
     def direct(x: Column) -> Column:
         return F.when(F.ltrim(x).startswith("["), F.from_json(x, f"array<{_OBS}>")).when(
             F.get_json_object(x, "$.metric_id").isNotNull(), F.array(F.from_json(x, _OBS))
         )
 
-    got, levels = direct(c), ["$"]
-    for _ in range(ENVELOPE_DEPTH):
-        levels = [f"{at}.{name}" for at in levels for name in ("data", "observations")]
-        for level in levels:
-            got = F.coalesce(got, direct(F.get_json_object(c, level)))
-    return F.coalesce(got, F.array().cast(f"array<{_OBS}>"))
+    none = F.array().cast(f"array<{_OBS}>")
+
+    def look(state: Column, _: Column) -> Column:
+        top = F.get(state["todo"], F.lit(0))
+        found = F.when(F.size(state["found"]) > 0, state["found"]).otherwise(F.coalesce(direct(top), none))
+        inner = F.array_compact(F.array(F.get_json_object(top, "$.data"), F.get_json_object(top, "$.observations")))
+        rest = F.concat(inner, F.slice(state["todo"], 2, F.greatest(F.lit(0), F.size(state["todo"]) - 1)))
+        return F.struct(F.when(F.size(found) > 0, F.array().cast("array<string>")).otherwise(rest).alias("todo"), found.alias("found"))
+
+    looks = F.coalesce(2 * (F.regexp_count(c, F.lit("\"(data|observations)\""))), F.lit(0))
+    start = F.struct(F.array_compact(F.array(c)).alias("todo"), none.alias("found"))
+    deep = F.aggregate(F.sequence(F.lit(0), looks), start, look, lambda s: s["found"])
+    return F.coalesce(F.when(looks == 0, direct(c)).otherwise(deep), none)
 
 
 def read_observation_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -122,6 +132,7 @@ def write_station(df: DataFrame, path: str, station: str, block_secs: int, *, al
     """Rows partitioned by station and block, exact copies removed: those of the batch and, when appending, those already stored in the touched blocks.
 
     Mode ``overwrite`` replaces the touched blocks only.  Blocks are written by as many tasks as their size asks for.
+    Appending compares with what is stored when it starts: a block must have one writer at a time.
     """
     if allowed is not None and station not in allowed:
         raise ValueError(f"station {station!r} may not be written")
@@ -161,13 +172,16 @@ def retain(spark: SparkSession, path: str, keep_after_ts: int, block_secs: int)
 
 
 def invalidate_station(spark: SparkSession, path: str, station: str, from_ts: int, block_secs: int) -> None:
-    """Deletes a station's stored rows from ``from_ts`` on: later blocks whole, of the boundary block its later rows."""
+    """Deletes a station's stored rows from ``from_ts`` on: of the boundary block its later rows, then later blocks whole."""
     first = from_ts // block_secs
     edge = read_station(spark, path, station).where((F.col("blk") == first) & (F.col("ts") < from_ts))
     kept = materialize(edge, "boundary-block")
-    _drop_blocks(spark, path, lambda s, blk: s == station and blk >= first)
-    if not kept.isEmpty():
-        kept.write.partitionBy("station", "blk").mode("append").parquet(path)
+    # What has to stay is in its place before anything goes: a job that dies leaves rows too many, and may be run again.
+    if kept.isEmpty():
+        _drop_blocks(spark, path, lambda s, blk: s == station and blk == first)
+    else:
+        kept.write.partitionBy("station", "blk").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    _drop_blocks(spark, path, lambda s, blk: s == station and blk > first)
 
 
 def clear_station(spark: SparkSession, path: str, station: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.sliced import with_running_max
 from tidemark.sources.scratch import scratch_path
 
 
@@ -42,6 +44,16 @@ def sessions(df: DataFrame, by: list[str], gap_secs: int, *, delay: str = "0 sec
     return g.select(*by, F.unix_seconds("session_window.start").alias("start"), F.unix_seconds("session_window.end").alias("end"), "n", "total")
 
 
+def _fold(bars: dict[int, list], pdf: pd.DataFrame, bucket: pd.Series, volume: str | None) -> None:
+    """Adds ticks to bars {bucket: [(ts, seq, first), high, low, (ts, seq, last), volume]}."""
+    pdf = pdf.assign(bucket=bucket).sort_values(["ts", "seq"], kind="stable")
+    for t, g in pdf.groupby("bucket"):
+        first, last = (tuple(g.iloc[i][["ts", "seq", "value"]]) for i in (0, -1))
+        new = [first, float(g["value"].max()), float(g["value"].min()), last, float(g[volume].sum() if volume else len(g))]
+        old = bars.get(int(t))
+        bars[int(t)] = new if old is None else [min(old[0], first), max(old[1], new[1]), min(old[2], new[2]), max(old[3], last), old[4] + new[4]]
+
+
 def volume_candles(df: DataFrame, by: list[str], step_secs: int) -> DataFrame:
     """Candles with summed quantity, kept as state: a bar is emitted by the first tick of a later bucket.
 
@@ -51,16 +63,18 @@ def volume_candles(df: DataFrame, by: list[str], step_secs: int) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         bar = list(state.get) if state.exists else None
-        pdf = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")  # a key's rows of one trigger, in any number of frames
-        # Bars never go back: a tick older than the open bar counts for it.
-        t = (pdf["ts"] // step_secs * step_secs).clip(lower=bar[0] if bar else None)
-        g = pdf.assign(t=t).groupby("t", sort=True).agg(o=("value", "first"), h=("value", "max"), l=("value", "min"), c=("value", "last"), v=("quantity", "sum")).reset_index()
-        bars = g[["t", "o", "h", "l", "c", "v"]].to_numpy(float).tolist()
-        if bar and bars and bars[0][0] == bar[0]:
-            first = bars.pop(0)
-            bar = [bar[0], bar[1], max(bar[2], first[2]), min(bar[3], first[3]), first[4], bar[5] + first[5]]
-        done = ([bar] if bar and bars else []) + bars[:-1]
-        bar = bars[-1] if bars else bar
+        bars: dict[int, list] = {}
+        for pdf in frames:  # a key's rows of one trigger, in any number of frames: only their bars are held
+            # Bars never go back: a tick older than the open bar counts for it.
+            _fold(bars, pdf, (pdf["ts"] // step_secs * step_secs).clip(lower=bar[0] if bar else None), "quantity")
+        done = []
+        for t in sorted(bars):
+            (_, _, o), h, low, (_, _, c), v = bars[t]
+            if bar and bar[0] == t:
+                bar = [t, bar[1], max(bar[2], h), min(bar[3], low), c, bar[5] + v]
+                continue
+            done += [bar] if bar else []
+            bar = [t, o, h, low, c, v]
         if bar is not None:
             state.update((int(bar[0]), *map(float, bar[1:])))
         yield pd.DataFrame([(*key, int(b[0]), *b[1:]) for b in done], columns=[*by, "t", "o", "h", "l", "c", "v"])
@@ -69,6 +83,63 @@ def volume_candles(df: DataFrame, by: list[str], step_secs: int) -> DataFrame:
     return df.groupBy(*by).applyInPandasWithState(step, f"{keys}, {shape}", shape, "append", GroupStateTimeout.NoTimeout)
 
 
+#: What `tick_watch` emits; ``kind`` says which columns count.
+WATCHED = "kind string, t bigint, seq bigint, o double, h double, l double, c double, v double"
+
+
+def tick_watch(df: DataFrame, by: list[str], step_secs: int, stale_secs: int, *, delay_secs: int) -> DataFrame:
+    """Candles, late ticks and silent keys of a stream of ticks (by..., ts, seq, value) as rows told apart by ``kind``.
+
+    ``candle``: a bucket closes once a tick of a later bucket has been seen.  ``late``: a tick whose bucket was closed by an earlier
+    micro-batch; it is handed out (t: its ts, c: its value), not added to a bar that went out.  ``stale``: the newest tick t of a key is
+    ``stale_secs`` older than the newest of all keys; an event-time timer says so once, until the key speaks again.
+    Ticks more than ``delay_secs`` behind the newest one are dropped by the watermark.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
+    columns = [*by, *(c.split()[0] for c in WATCHED.split(", "))]
+
+    def rows(key: tuple, found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *r) for r in found], columns=columns)
+
+    class Watch(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("ticks", StructType([StructField("bytes", BinaryType())]))
+
+        def handleInputRows(self, key, frames, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            newest, bars = pickle.loads(self.state.get()[0]) if self.state.exists() else (None, {})
+            closed, out, top = newest, [], newest
+            for pdf in frames:
+                bucket = pdf["ts"] // step_secs * step_secs
+                late = bucket + step_secs <= closed if closed is not None else bucket < bucket
+                out += [("late", int(r.ts), int(r.seq), None, None, None, float(r.value), None) for r in pdf[late].itertuples(index=False)]
+                _fold(bars, pdf[~late], bucket[~late], None)
+                top = int(max(pdf["ts"].max(), top if top is not None else pdf["ts"].max()))
+            for t in sorted(bars):
+                if t + step_secs <= top:
+                    (_, _, o), h, low, (_, _, c), v = bars.pop(t)
+                    out.append(("candle", t, None, o, h, low, c, v))
+            if newest != top:
+                for timer in [*self.handle.listTimers()]:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer((top + stale_secs - delay_secs) * 1000)  # the watermark lags by the delay
+            self.state.update((pickle.dumps((top, bars)),))
+            yield rows(key, out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            newest, _ = pickle.loads(self.state.get()[0])
+            yield rows(key, [("stale", newest, None, None, None, None, None, None)])
+
+        def close(self) -> None:
+            pass
+
+    d = event_time(df, f"{delay_secs} seconds").select(*by, "ts", "seq", "value", "event_time")
+    return d.groupBy(*by).transformWithStateInPandas(Watch(), outputStructType=f"{keys}, {WATCHED}", outputMode="append", timeMode="eventtime")
+
+
 def staleness(df: DataFrame, by: list[str], now: int, stale_secs: int = 180) -> DataFrame:
     """Keys whose last event is older than ``stale_secs``."""
     return df.groupBy(*by).agg(F.max("ts").alias("last_ts")).where(F.lit(now) - F.col("last_ts") > stale_secs)
@@ -77,17 +148,11 @@ def staleness(df: DataFrame, by: list[str], now: int, stale_secs: int = 180) ->
 def late_rows(df: DataFrame, by: list[str], step_secs: int) -> DataFrame:
     """Batch count of rows that arrive (by ``seq``) after their bucket was closed by a later event.
 
-    The greatest ts so far is a running maximum inside slices of ``seq``, with the maxima of earlier slices added.
+    The greatest ts so far is a running maximum by ``seq``; a row's own ts never closes its own bucket.
     """
-    from pyspark.sql import Window
-
-    d = df.withColumn("__slice", F.floor(F.col("seq") / 65_536))
-    inside = F.max("ts").over(Window.partitionBy(*by, "__slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    before = F.max("m").over(Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
-    edges = d.groupBy(*by, "__slice").agg(F.max("ts").alias("m")).withColumn("__before", before).drop("m")
-    d = d.withColumn("__in", inside).join(edges, [*by, "__slice"])
-    d = d.withColumn("seen", F.greatest("__in", "__before")).where((F.floor(F.col("ts") / step_secs) + 1) * step_secs <= F.col("seen"))
-    return d.groupBy(*by).agg(F.count("*").alias("late"))
+    d = with_running_max(df, by, {"seen": F.col("ts")}, ts="seq", seq="ts")
+    late = (F.floor(F.col("ts") / step_secs) + 1) * step_secs <= F.col("seen")
+    return d.where(late).groupBy(*by).agg(F.count("*").alias("late"))
 
 
 def route(sources: dict[str, DataFrame], trigger: str) -> DataFrame:
@@ -99,12 +164,22 @@ def route(sources: dict[str, DataFrame], trigger: str) -> DataFrame:
     return out.where(F.col("src") == trigger)
 
 
-def run_to_table(df: DataFrame, *, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Runs a stream over all that is available into Parquet files and returns them."""
-    spark = df.sparkSession
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(df: DataFrame, *, mode: str = "append", name: str = "stream", state: str | None = None) -> DataFrame:
+    """Runs a stream over all that is available into Parquet files and returns them; ``state="rocksdb"``: what arbitrary state needs."""
+    spark, setting = df.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     path, check = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", check).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    before = spark.conf.get(setting, None)
+    if state == "rocksdb":
+        spark.conf.set(setting, ROCKSDB)
+    try:
+        q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", check).outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if state == "rocksdb":
+            spark.conf.set(setting, before) if before else spark.conf.unset(setting)
     return spark.read.schema(df.schema).parquet(path)
 
 
