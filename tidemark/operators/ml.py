@@ -63,6 +63,26 @@ def regression(df: DataFrame, target: str, features: list[str], key: list[str],
     return model, scores(model.transform(d)), table
 
 
+def linear_weights(df: DataFrame, target: str, features: list[str], *, alpha: float = 0.0) -> DataFrame:
+    """feature, weight of least squares over all rows without nulls (``alpha``: ridge penalty of the weights, not of the intercept).
+
+    The normal equations come from one aggregate of means and covariances; only they are solved on the driver.
+    """
+    names = [*features, target]
+    cols = [F.col(c).cast("double") for c in names]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    row = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).dropna().agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(len(names))], *[F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i, j in pairs]
+    ).first()
+    schema, k = "feature string, weight double", len(features)
+    if not row["n"]:
+        return df.sparkSession.createDataFrame([], schema)
+    cov = np.array([[row[f"v{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)], float)
+    w = np.linalg.lstsq(cov[:k, :k] + np.eye(k) * alpha / row["n"], cov[:k, k], rcond=None)[0]
+    intercept = row[f"m{k}"] - sum(a * row[f"m{i}"] for i, a in enumerate(w))
+    return df.sparkSession.createDataFrame([*zip(features, map(float, w), strict=True), ("intercept", float(intercept))], schema)
+
+
 def scaled(df: DataFrame, kind: str = "standard", column: str = "features", out: str = "scaled") -> DataFrame:
     if kind == "none":
         return df.withColumn(out, F.col(column))
