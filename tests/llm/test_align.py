@@ -96,3 +96,11 @@ def test_faster_encoder_equals_the_library_on_all_well_known_letters():
     texts = [f"b{c}b{c}.{c} {c}{c}1{c}" for c in chars] + [t for _, t in random_rows(9, 200) if align.WELL_KNOWN.fullmatch(t)]
     want = [x.ids for x in pair.a.encode_batch(texts, add_special_tokens=False)]
     assert len(chars) > 20_000 and [pair.fast.encode_ordinary(t) for t in texts] == want
+
+
+def test_token_counts(spark):
+    rows = random_rows(11, 40) + [(100, None), (101, "")]
+    t = tokenizers.Tokenizer.from_file(A)
+    t.encode_special_tokens = True
+    got = {r.doc_id: (r.n_tokens, r.page) for r in align.with_token_counts(frame(spark, rows), A).collect()}
+    assert got == {d: (len(t.encode(x or "", add_special_tokens=False).ids), "x") for d, x in rows}

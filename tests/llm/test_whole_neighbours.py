@@ -59,3 +59,14 @@ def test_sparse_cells_are_probed_on(spark):
     got = ann.search(df, F.col("vec_id") == 202, k=10, index=index).collect()
     d = np.sqrt(((x - x[202]) ** 2).sum(axis=1))
     assert len(got) == 10 and [r.vec_id for r in sorted(got, key=lambda r: r["rank"])][:2] == np.argsort(d)[1:3].tolist()
+
+
+def test_queries_of_a_cell_are_dealt_to_lots(spark, monkeypatch):
+    """More queries than a group may hold: the same neighbours."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(400, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, ann.search(df, F.col("vec_id") % 2 == 0, k=5).collect()))
+    monkeypatch.setattr(ann, "GROUP_QUERIES", 20)
+    monkeypatch.setattr(ann, "GROUP_ROWS", 50)
+    assert sorted(map(tuple, ann.search(df, F.col("vec_id") % 2 == 0, k=5).collect())) == want and len(want) == 1000

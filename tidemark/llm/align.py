@@ -50,7 +50,7 @@ def _byte_of_letter() -> dict[str, int]:
 class Pair:
     """The two tokenizers of a worker, with the bytes of all their tokens."""
 
-    def __init__(self, a_source: str, b_model: bytes):
+    def __init__(self, a_source: str, b_model: bytes | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         import tiktoken
         from sentencepiece import SentencePieceProcessor
@@ -68,9 +68,9 @@ class Pair:
             self.a_bytes[i] = token.encode() if token in special else bytes(letters[c] for c in token)
         ranks = {self.a_bytes[i]: i for t, i in self.a.get_vocab().items() if t not in special}
         self.fast = tiktoken.Encoding("a", pat_str=GPT_PATTERN, mergeable_ranks=ranks, special_tokens={}) if _splits_by_pattern(a_source) else None
-        self.b = SentencePieceProcessor(model_proto=b_model)
         self.b_bytes = []
-        for i in range(self.b.get_piece_size()):
+        self.b = SentencePieceProcessor(model_proto=b_model) if b_model else None
+        for i in range(self.b.get_piece_size() if b_model else 0):
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         if max(size, len(self.b_bytes)) >= 1 << 16:
@@ -90,6 +90,10 @@ class Pair:
                 a[i], b[i] = x, y
         return a, b
 
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """How many tokens of A each text has."""
+        return [len(x) for x in self._encode_a([t or "" for t in texts])]
+
     def _encode_a(self, texts: list[str]) -> list[list[int]]:
         known = [self.fast is not None and WELL_KNOWN.fullmatch(t) is not None for t in texts]
         rest = iter(self.a.encode_batch_fast([t for t, k in zip(texts, known, strict=True) if not k], add_special_tokens=False))
@@ -124,8 +128,9 @@ def _digits(n: int) -> np.ndarray:
     return out
 
 
-def loaded(a_source: str, b_model: bytes) -> Pair:
-    key = hashlib.sha256(a_source.encode()).digest(), hashlib.sha256(b_model).digest()
+def loaded(a_source: str, b_model: bytes | None) -> Pair:
+    """The pair of this worker; without a model for B, for counting only."""
+    key = hashlib.sha256(a_source.encode()).digest(), hashlib.sha256(b_model or b"").digest()
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = Pair(a_source, b_model)
@@ -264,6 +269,23 @@ def align(documents: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_
     return _rows(documents, id_col, text_col).mapInArrow(run, "doc_id long, groups array<struct<a: array<int>, b: array<int>>>")
 
 
+def with_token_counts(documents: DataFrame, a_path: str, *, text_col: str = "text", name: str = "n_tokens") -> DataFrame:
+    """``documents`` without its text, and with the number of A's tokens of each text (0 for a null one)."""
+    with open(a_path, encoding="utf-8") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
+    at, rest = documents.columns.index(text_col), [c for c in documents.columns if c not in (text_col, name)]
+    kept = [documents.columns.index(c) for c in rest]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*rest).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                counts = loaded(shared.value, None).counts(piece.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*[piece.column(i) for i in kept], pa.array(counts, pa.int64())], names=[*rest, name])
+
+    return documents.mapInArrow(run, f"{kinds + ', ' if rest else ''}{name} long")
+
+
 _DOCS = "doc_ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, digests array<string>"
 #: pairs: sorted distinct (A id << 16 | B id); totals: links of each in the page; spread: documents of each; docs, links: of each (pair, document).
 _LINKS = "pairs binary, totals binary, spread binary, docs binary, links binary"

@@ -30,8 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import materialize
+
 MAX_SAMPLE = 20_000
 GROUP_ROWS = 16_384
+GROUP_QUERIES = 16_384
 MAX_FINE = 256
 QUERY_BLOCK = 64
 TARGET_RECALL = 0.97
@@ -236,7 +239,7 @@ def search(
                 taken = part.take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(found), pa.int64())], names=["query_id", "vec", "cell"])
 
-    indexed = valid.mapInArrow(assign, "vec_id long, vec array<double>, cell long, codes binary")
+    indexed = materialize(valid.mapInArrow(assign, "vec_id long, vec array<double>, cell long, codes binary"), "indexed")
     sizes = indexed.groupBy("cell").count().collect()  # one row per cell
     filled = np.zeros(len(index.centroids), np.int64)
     for r in sizes:
@@ -246,16 +249,16 @@ def search(
         [(r["cell"], -(-r["count"] // GROUP_ROWS)) for r in sizes] or [(0, 1)], "cell long, salts long"
     )
     rows = indexed.join(F.broadcast(salts), "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")))
-    asks = (
-        valid.where(is_query)
-        .mapInArrow(visit, "query_id long, vec array<double>, cell long")
-        .join(F.broadcast(salts), "cell")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    )
+    asks = valid.where(is_query).mapInArrow(visit, "query_id long, vec array<double>, cell long")
+    # Queries of a cell are dealt to lots too: a group holds at most about GROUP_QUERIES of them beside GROUP_ROWS rows.
+    asked = asks.groupBy("cell").count().collect()  # one row per cell
+    lots = spark.createDataFrame([(r["cell"], -(-r["count"] // GROUP_QUERIES)) for r in asked] or [(0, 1)], "cell long, lots long")
+    asks = asks.join(F.broadcast(lots), "cell").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots"))).join(F.broadcast(salts), "cell")
+    asks = asks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    rows = rows.join(F.broadcast(lots), "cell").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)))
+    group = ["cell", "salt", "lot"]
     found = (
-        rows.select("cell", "salt", "vec_id", "vec", "codes")
-        .groupBy("cell", "salt")
-        .cogroup(asks.select("cell", "salt", "query_id", "vec").groupBy("cell", "salt"))
+        rows.select(*group, "vec_id", "vec", "codes").groupBy(*group).cogroup(asks.select(*group, "query_id", "vec").groupBy(*group))
         .applyInArrow(lambda key, a, b: _search_group(shared.value, k, rerank)(key, a, b), "query_id long, vec_id long, score double")
     )
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -59,13 +59,15 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list
 
 
 def pieces(documents: DataFrame, *, id_col: str, text_col: str, max_len: int, length_col: str | None = None) -> DataFrame:
-    """doc_id, piece, n_tokens: tokens of each text, cut every ``max_len``."""
+    """doc_id, piece, n_tokens, row (null but for null ids): tokens of each text, cut every ``max_len``."""
     counted = F.col(length_col) if length_col else F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))
     n = F.greatest(F.coalesce(counted.cast("long"), F.lit(0)), F.lit(0)).cast("long")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n"))
     last = F.greatest(F.ceil(F.col("n") / max_len), F.lit(1)) - 1
-    return rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
-        "doc_id", "piece", F.least(F.lit(max_len).cast("long"), F.col("n") - F.col("piece") * max_len).alias("n_tokens")
+    # Rows without an id are told apart by their place, so that they don't meet in one shard.
+    rows = rows.select("doc_id", "n", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row"))
+    return rows.select("doc_id", "n", "row", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
+        "doc_id", "piece", F.least(F.lit(max_len).cast("long"), F.col("n") - F.col("piece") * max_len).alias("n_tokens"), "row"
     )
 
 
@@ -99,8 +101,8 @@ def pack(
         [(x, *row) for x, row in plan.items()] or [(0, 0, 0, 1, 1)],
         "n_tokens long, bucket int, bucket_len long, per long, shards long",
     )
-    dealt = rows.join(F.broadcast(shape), "n_tokens").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shards")))
-    order = Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece")
+    dealt = rows.join(F.broadcast(shape), "n_tokens").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.col("shards")))
+    order = Window.partitionBy("bucket", "shard").orderBy("doc_id", "row", "piece")
     place_in = F.floor((F.row_number().over(order) - 1) / F.col("per"))
     return dealt.select(
         "doc_id", "piece", "n_tokens", "bucket", "bucket_len", F.concat_ws("-", "bucket", "shard", place_in).alias("batch_id"),
