@@ -51,10 +51,32 @@ def test_mentions_of_one_word_stay_one(spark):
 def test_a_second_surrogate_is_used_everywhere(spark, monkeypatch):
     df = spark.createDataFrame([(1, "Mr John Smith came. Later Smith said that John was late."), (4, "Mr Smith wrote.")], "doc_id long, text string")
     john = pii.pseudonymise(df, "k").where("doc_id = 1").first().text.split()[1]
-    again = spark.createDataFrame([("Mr Smith", "Mr Other")], "original string, surrogate string")
-    monkeypatch.setattr(pii, "second_surrogates", lambda found, key: again)
+    made = pii.surrogates
+
+    def patched(found, key):
+        """As after a collision: another stem for one word."""
+        return made(found, key).withColumn("surrogate", F.when(F.col("original") == "Dr Smith", "Dr Oth").otherwise(F.col("surrogate")))
+
+    monkeypatch.setattr(pii, "surrogates", patched)
     by = {r.doc_id: r.text for r in pii.pseudonymise(df.where(F.col("doc_id").isin(1, 4)), "k").collect()}
-    assert by[4] == "Mr Other wrote." and by[1].startswith(f"Mr {john} Other came. Later Other said that {john}")
+    assert by[4] == "Mr Othon wrote." and by[1].startswith(f"Mr {john} Othon came. Later Othon said that {john}")
+
+
+def test_one_stem_in_all_documents_and_endings_by_gender(spark):
+    rows = [
+        (1, "Mr John Smith came."), (2, "Dr. Smith wrote. Mrs Smith left."), (3, "MR JOHN SMITH AND MRS. JANE DOE met."),
+        (4, "Smith, John: late"), (5, "Paid with 3782 822463 10005 or 371449635398431."), (6, "Dr. Smith alone"), (7, "THE END AND MORE"),
+    ]
+    by = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    john, smith = re.fullmatch(r"Mr (\w+)on (\w+)on came\.", by[1].text).groups()
+    assert by[2].text == f"Dr. {smith}ina wrote. Mrs {smith}ina left." and by[6].text == f"Dr. {smith}er alone"
+    assert re.fullmatch(rf"MR {john}on {smith}on AND MRS\. \w+INA \w+INA met\.".replace(f"{john}on {smith}on", f"{john}on {smith}on".upper()), by[3].text)
+    assert by[4].text == f"{smith}on, {john}on: late" and by[7].text == rows[6][1]
+    cards = re.fullmatch(r"Paid with (37\d\d \d{6} \d{5}) or (37\d{13})\.", by[5].text).groups()
+    for c in cards:
+        d = [int(x) for x in re.sub(r"\D", "", c)]
+        assert sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(d))) % 10 == 0
+    assert re.sub(r"\D", "", cards[0]) not in rows[4][1].replace(" ", "") and by[5].n_entities == 2
 
 
 def test_surrogates_are_one_to_one_over_all_documents(spark):

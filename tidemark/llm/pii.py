@@ -8,13 +8,13 @@ Everything is DataFrame functions.  One pattern finds entities; the text between
   keep their issuer digit and the distance of the last digit to a valid check digit.
 * E-mail addresses keep dots, plus parts, digits' places and case; letters and digits are keyed ones, local parts
   of fewer than 8 characters grow to that length.  A domain keeps one surrogate in all addresses, below ``example.*``.
-* Names after titles, or with a common given name, keep titles, gender (ending), script (Latin or Cyrillic), particles
-  and number of words; words are replaced one by one, each by one surrogate in all of its text, and all other
-  mentions of a found name's words (two letters or more) in its text with them.
+* Names after titles, with a common given name, or written "Surname, Given", keep titles, script (Latin or Cyrillic), particles, capitals
+  and number of words.  A word has one stem in all documents; its ending follows the gender that the mention tells, else the
+  one that its text tells.  All other mentions of a found name's words (two letters or more) in its text are replaced with them.
 
-The mapping is checked over all documents: an original whose surrogate another original has too, or whose
-surrogate is itself an original somewhere, is given another keyed surrogate until none is left (what still
-equals an original after ``max_attempts`` stays; two originals that still meet are an error).
+Surrogates are made once, for the distinct entities of all documents, and brought back to the texts that hold them.  An original whose
+surrogate (with any ending) another original has too, or whose surrogate is itself an original somewhere, is given further keyed
+surrogates until a free one is found; number spaces so dense that ``MAX_ATTEMPTS`` of them are taken are an error.
 
 Defined cases: null texts stay null with no entity; null ids and repeated rows keep their rows; texts
 without entities are returned unchanged; very long texts are handled whole; other columns are ignored;
@@ -34,7 +34,7 @@ PHONE = (
     r"|(?<![0-9+(])\+[1-9](?:[ .-]?(?:\([0-9]{1,4}\) ?)?[0-9]){8,14}(?![0-9])"
 )
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
-CARD = r"(?<![0-9A-Za-z-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z-])"
+CARD = r"(?<![0-9A-Za-z-])(?:[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9A-Za-z-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 # Titles that tell a gender, titles that don't, and particles within names.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "Sir", "Lord"]
@@ -49,15 +49,24 @@ GIVEN_FEMALE = (
     "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Anna Maria Laura Julia Sophie Marie "
     "Claire Isabelle Ursula Ingrid Carmen Lucía Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана"
 ).split()
-GIVEN = "|".join(sorted(GIVEN_MALE + GIVEN_FEMALE, key=lambda t: (-len(t), t)))
-TITLE = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=lambda t: (-len(t), t)))
+# Words in capitals that end a name.
+STOPS = "AND OR THE OF IN ON AT TO FOR WITH BY UND ODER VON ET OU DE Y О И".split()
+
+
+def _alternatives(words: list[str]) -> str:
+    """The words as they are and in capitals, longest first."""
+    return "|".join(sorted({*words, *map(str.upper, words)}, key=lambda t: (-len(t), t)))
+
+
+GIVEN = _alternatives(GIVEN_MALE + GIVEN_FEMALE)
+TITLE = _alternatives(MALE + FEMALE + NEUTRAL)
 TITLES = rf"(?:{TITLE})\.?(?: (?:{TITLE})\.?(?= ))*"
 RUN = r"[\p{L}\p{M}]+"
-_WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+"
+_WORD = rf"(?!(?:{'|'.join(STOPS)}|{'|'.join(t.upper() for t in MALE + FEMALE + NEUTRAL)})(?!\p{{L}}))\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:['’-][\p{{L}}\p{{M}}]++)*+"
 _LINK = r"(?:(?:von|van|vom|zu|de|der|den|del|della|da|di|du|dos|la|le|bin|ibn|al|el|\p{Lu}\.) )*+"
 #: What titles and given names begin with: most places of a text are left after one look.
 _HEAD = r"(?<!\p{L})(?=[\p{Lu}гдп])"
-NAME = rf"{_HEAD}(?:{TITLES} {_LINK}{_WORD}(?: {_LINK}{_WORD})*+|(?:{GIVEN})(?: {_LINK}{_WORD})++)"
+NAME = rf"{_HEAD}(?:{TITLES} {_LINK}{_WORD}(?: {_LINK}{_WORD})*+|(?:{GIVEN})(?: {_LINK}{_WORD})++|{_WORD}, (?:{GIVEN})(?!\p{{L}}))"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, CARD, PHONE, IPV4, SSN, NAME))
 # Letters of the syllables of surrogate names.
 CONSONANTS = {"latin": "bdfghklmnprstvz", "cyrillic": "бвгдзклмнпрстфх"}
@@ -65,9 +74,10 @@ VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
 ENDINGS = {
     ("latin", "m"): "on", ("latin", "f"): "ina", ("latin", "n"): "er", ("cyrillic", "m"): "ов", ("cyrillic", "f"): "ова", ("cyrillic", "n"): "ко"
 }
-# Titles that stand for a gender where single words are checked.
-SHORT = {"m": "Mr", "f": "Mrs", "n": "Dr"}
+# The title that stands before a single word where it is an entity of its own.
+ALONE = "Dr "
 ROUNDS = 4
+MAX_ATTEMPTS = 64
 
 
 def _hash(key: str, *parts: Column | str) -> Column:
@@ -118,12 +128,12 @@ def _digits(e: Column) -> Column:
     return F.regexp_replace(e, "[^0-9]", "")
 
 
-def _luhn_rest(body: Column) -> Column:
-    """The check digit that 15 leading digits ask for."""
+def _luhn_rest(body: Column, n: int) -> Column:
+    """The check digit that the ``n`` leading digits ask for."""
     total = F.lit(0)
-    for i in range(1, 16):
+    for i in range(1, n + 1):
         d = F.substring(body, i, 1).cast("int")
-        total = total + (F.when(d > 4, 2 * d - 9).otherwise(2 * d) if i % 2 else d)
+        total = total + (F.when(d > 4, 2 * d - 9).otherwise(2 * d) if (n - i) % 2 == 0 else d)
     return (F.lit(10) - total % 10) % 10
 
 
@@ -132,13 +142,16 @@ def _kind(name: str, attempt: str) -> str:
 
 
 def _card(e: Column, key: str, attempt: str) -> Column:
-    def pour(d: Column, body: Column) -> Column:
-        gap = (F.substring(d, 16, 1).cast("int") - _luhn_rest(F.substring(d, 1, 15)) + 10) % 10
-        return _pour(e, F.concat(body, ((_luhn_rest(body) + gap) % 10).cast("string")))
+    """Cards of 16 digits keep their first one, those of 15 their first two."""
+    def made(d: Column, n: int, keep: int) -> Column:
+        def pour(body: Column) -> Column:
+            gap = (F.substring(d, n, 1).cast("int") - _luhn_rest(F.substring(d, 1, n - 1), n - 1) + 10) % 10
+            return _pour(e, F.concat(body, ((_luhn_rest(body, n - 1) + gap) % 10).cast("string")))
+
+        width = n - 1 - keep
+        return _let(F.concat(F.substring(d, 1, keep), _permute_digits(F.substring(d, keep + 1, width), width, key, _kind("card", attempt))), pour)
 
-    return _let(_digits(e), lambda d: _let(
-        F.concat(F.substring(d, 1, 1), _permute_digits(F.substring(d, 2, 14), 14, key, _kind("card", attempt))), lambda body: pour(d, body)
-    ))
+    return _let(_digits(e), lambda d: F.when(F.length(d) == 16, made(d, 16, 1)).otherwise(made(d, 15, 2)))
 
 
 def _phone(e: Column, key: str, attempt: str) -> Column:
@@ -183,13 +196,24 @@ def _email(e: Column, key: str, attempt: str) -> Column:
     return F.concat(own, more, F.lit("@"), where)
 
 
+def _both(words: list[str]) -> list[str]:
+    return [*words, *map(str.upper, words)]
+
+
+def _as_written(made: Column, e: Column) -> Column:
+    """The surrogate of an address with the capitals of the local part ``e`` had."""
+    local = F.substring_index(e, "@", 1)
+    letters = F.zip_with(F.split(F.substr(made, F.lit(1), F.length(local)), ""), F.split(local, ""), lambda m, c: F.when(c.rlike("^[A-Z]$"), F.upper(m)).otherwise(m))
+    return F.when(local == F.lower(local), made).otherwise(F.concat(F.array_join(letters, ""), F.substr(made, F.length(local) + 1)))
+
+
 def _gender(e: Column) -> Column:
     """Of a name: that of its first title that tells one, else of its given name."""
     titles = F.transform(F.split(F.regexp_extract(e, f"^{TITLES}", 0), " "), lambda t: F.regexp_replace(t, r"\.$", ""))
-    told = F.filter(titles, lambda t: t.isin(*MALE, *FEMALE))
-    given = F.regexp_extract(e, rf"(?:^|^{TITLES} )({GIVEN})(?!\p{{L}})", 1)
-    by_name = F.when(given.isin(*GIVEN_MALE), "m").when(given.isin(*GIVEN_FEMALE), "f").otherwise("n")
-    return F.when(F.size(told) == 0, by_name).when(F.get(told, F.lit(0)).isin(*MALE), "m").otherwise("f")
+    told = F.filter(titles, lambda t: t.isin(*_both(MALE + FEMALE)))
+    given = F.regexp_extract(e, rf"(?:^|^{TITLES} |, )({GIVEN})(?!\p{{L}})", 1)
+    by_name = F.when(given.isin(*_both(GIVEN_MALE)), "m").when(given.isin(*_both(GIVEN_FEMALE)), "f").otherwise("n")
+    return F.when(F.size(told) == 0, by_name).when(F.get(told, F.lit(0)).isin(*_both(MALE)), "m").otherwise("f")
 
 
 def _each_run(text: Column, change) -> Column:
@@ -198,7 +222,8 @@ def _each_run(text: Column, change) -> Column:
     return F.array_join(F.zip_with(F.split(text, RUN, -1), runs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def _word(w: Column, gender: Column, key: str, attempt: str) -> Column:
+def _stem(w: Column, key: str, attempt: str) -> Column:
+    """The keyed stem of a name's word, the same whatever its capitals."""
     def spell(h: Column, script: str) -> Column:
         syllables = [
             F.concat(
@@ -207,22 +232,21 @@ def _word(w: Column, gender: Column, key: str, attempt: str) -> Column:
             )
             for i in range(5)
         ]
-        ending = F.when(gender == "m", ENDINGS[script, "m"]).when(gender == "f", ENDINGS[script, "f"]).otherwise(ENDINGS[script, "n"])
-        return F.initcap(F.concat(*syllables, F.lit(CONSONANTS[script][6]), ending))
+        return F.initcap(F.concat(*syllables, F.lit(CONSONANTS[script][6])))
 
-    return _let(_hash(key, "name", w, gender, attempt), lambda h: F.when(w.rlike(r"\p{IsCyrillic}"), spell(h, "cyrillic")).otherwise(spell(h, "latin")))
+    return _let(_hash(key, "name", F.lower(w), attempt), lambda h: F.when(w.rlike(r"\p{IsCyrillic}"), spell(h, "cyrillic")).otherwise(spell(h, "latin")))
 
 
-def _single(w: Column, gender: Column) -> Column:
-    """A name of this one word."""
-    return F.concat(F.when(gender == "m", SHORT["m"]).when(gender == "f", SHORT["f"]).otherwise(SHORT["n"]), F.lit(" "), w)
+def _ended(stem: Column, gender: Column) -> Column:
+    def ending(script: str) -> Column:
+        return F.when(gender == "m", ENDINGS[script, "m"]).when(gender == "f", ENDINGS[script, "f"]).otherwise(ENDINGS[script, "n"])
+
+    return F.concat(stem, F.when(stem.rlike(r"\p{IsCyrillic}"), ending("cyrillic")).otherwise(ending("latin")))
 
 
 def _name(e: Column, key: str, attempt: str) -> Column:
-    """The surrogate of a name of one word."""
-    title = F.substring_index(e, " ", 1)
-    gender = F.when(title == SHORT["m"], "m").when(title == SHORT["f"], "f").otherwise("n")
-    return F.concat(title, F.lit(" "), _word(F.substring_index(e, " ", -1), gender, key, attempt))
+    """The stem of a name of one word, after its title."""
+    return F.concat(F.lit(ALONE), _stem(F.substring_index(e, " ", -1), key, attempt))
 
 
 def name_words(typed: Column) -> Column:
@@ -245,7 +269,7 @@ def kind_of(e: Column) -> Column:
 
 
 def surrogate(e: Column, key: str, attempt: str = "0", kind: Column | None = None) -> Column:
-    """The replacement of one entity (names: of one word after a title); each ``attempt`` gives another one."""
+    """The replacement of one entity (names: the stem of one word after a title); each ``attempt`` gives another one."""
     kind = kind_of(e) if kind is None else kind
     return (
         F.when(kind == "email", _email(e, key, attempt))
@@ -263,7 +287,7 @@ def _mark(kind: Column, e: Column) -> Column:
 
 
 def _may_have(text: Column) -> Column:
-    return text.rlike(rf"[@0-9]|{_HEAD}(?:(?:{TITLE})\.? \p{{L}}|(?:{GIVEN}) \p{{L}})")
+    return text.rlike(rf"[@0-9]|{_HEAD}(?:(?:{TITLE})\.? \p{{L}}|(?:{GIVEN})(?: \p{{L}}|(?<=, [\p{{L}}-]{{1,20}})(?!\p{{L}})))")
 
 
 def entities(text: Column) -> Column:
@@ -273,42 +297,34 @@ def entities(text: Column) -> Column:
 
 
 def collisions(checked: DataFrame) -> DataFrame:
-    """Of ``checked(original, mark, surrogate, new_mark)``: the originals whose surrogate a smaller one has (``meets``) or that is an original."""
+    """Of ``checked(original, mark, surrogate, new_mark)``: the originals with a surrogate that a smaller one has (``meets``) or that is an original."""
     least = checked.groupBy("new_mark").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("new_mark", "low")
     taken = checked.select(F.col("mark").alias("new_mark")).distinct().withColumn("taken", F.lit(True))
     d = checked.join(least, "new_mark", "left").join(taken, "new_mark", "left")
     meets = F.coalesce(F.col("mark") > F.col("low"), F.lit(False))
-    return d.withColumn("meets", meets).where("meets OR taken").select("original", "meets")
-
+    return d.withColumn("meets", meets).where("meets OR taken").groupBy("original").agg(F.max("meets").alias("meets"))
 
-def second_surrogates(found: DataFrame, key: str, max_attempts: int = 8) -> DataFrame | None:
-    """original, surrogate of those whose first surrogate is taken; None if there are none.
 
-    ``found(original)``: distinct entities, e-mails in lower case, names word by word.
-    """
+def surrogates(found: DataFrame, key: str) -> DataFrame:
+    """original, surrogate: free of collisions over all of ``found(original)`` (distinct; e-mails in lower case, names word by word)."""
 
     def named_by(rows: DataFrame, attempt: int) -> DataFrame:
+        """A row for each form that a surrogate may take: names have one for each ending."""
         e, kind = F.col("original"), F.col("kind")
         rows = rows.select("original").withColumn("kind", kind_of(e))
         rows = rows.select("original", "kind", surrogate(e, key, str(attempt), kind).alias("surrogate"))
-        return rows.select("original", _mark(kind, e).alias("mark"), "surrogate", _mark(kind, F.col("surrogate")).alias("new_mark"))
+        forms = F.when(kind == "name", F.transform(F.array(*map(F.lit, "mfn")), lambda g: _ended(F.col("surrogate"), g))).otherwise(F.array("surrogate"))
+        rows = rows.withColumn("form", F.explode(forms))
+        return rows.select("original", _mark(kind, e).alias("mark"), "surrogate", _mark(kind, F.col("form")).alias("new_mark"))
 
     tasks = max(found.sparkSession.sparkContext.defaultParallelism, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     named = materialize(named_by(found.repartition(tasks, "original"), 0), "surrogates")  # small rows, much work each
-    again, out = collisions(named), None
-    for attempt in range(1, max_attempts + 1):
-        again = materialize(again, "collisions")
+    for attempt in range(1, MAX_ATTEMPTS + 1):
+        again = materialize(collisions(named), "collisions")
         if again.isEmpty():
-            return out
-        fresh = named_by(again, attempt)
-        kept = named.join(again, "original", "left_anti")
-        named = materialize(kept.unionByName(fresh), "surrogates")
-        fresh = fresh.select("original", "surrogate")
-        out = fresh if out is None else out.join(again, "original", "left_anti").unionByName(fresh)
-        again = collisions(named)
-    if not again.where("meets").isEmpty():
-        raise RuntimeError("surrogates keep colliding")
-    return out
+            return named.select("original", "surrogate").distinct()
+        named = materialize(named.join(again, "original", "left_anti").unionByName(named_by(again, attempt)), "surrogates")
+    raise RuntimeError("surrogates keep colliding: a kind's values are too dense")
 
 
 def pseudonymise(documents: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,36 +336,45 @@ def pseudonymise(documents: DataFrame, key: str, *, id_col: str = "doc_id", text
     def plain(x: Column) -> Column:
         return F.when(x["kind"] == "email", F.lower(x["e"])).otherwise(x["e"])
 
-    singles = F.transform("words", lambda x: _single(x["w"], x["g"]))
+    def alone(w: Column) -> Column:
+        return F.concat(F.lit(ALONE), F.initcap(F.lower(w)))
+
+    singles = F.transform("words", lambda x: alone(x["w"]))
     others = F.transform(F.filter("typed", lambda x: x["kind"] != "name"), plain)
-    asked = rows.select(F.xxhash64("text").alias("mark"), F.explode(F.array_distinct(F.concat(others, singles))).alias("original"))
-    again = second_surrogates(asked.select("original").distinct(), key)
-    second = None
-    if again is not None:
-        maps = asked.distinct().join(again, "original").groupBy("mark").agg(F.map_from_entries(F.collect_set(F.struct("original", "surrogate"))).alias("second"))
-        rows = rows.withColumn("mark", F.xxhash64("text")).join(maps, "mark", "left")
-        second = F.col("second")
-
-    def fresh(first: Column, original: Column) -> Column:
-        return first if second is None else F.coalesce(second[original], first)
-
-    names = F.transform("words", lambda x: F.struct(
-        F.lower(x["w"]).alias("a"), (_word(x["w"], x["g"], key, "0") if second is None else F.coalesce(F.substring_index(second[_single(x["w"], x["g"])], " ", -1), _word(x["w"], x["g"], key, "0"))).alias("b")
-    ))
-    rows = rows.withColumn("names", names).withColumn("between", F.when(F.size("typed") > 0, F.split("text", ANY, -1)))
-
-    def own(w: Column) -> Column:
-        """The surrogate of a name's word: that of its first mention's gender."""
-        found = F.get(F.filter("names", lambda x: x["a"] == F.lower(w)), F.lit(0))["b"]
-        return F.when(w.rlike(r"^\p{Lu}"), F.coalesce(found, w)).otherwise(w)
+    asked = rows.select(F.xxhash64("text").alias("mark"), F.explode(F.array_distinct(F.concat(others, singles))).alias("original")).distinct()
+    asked = materialize(asked, "entities")
+    named = surrogates(asked.select("original").distinct(), key)
+    maps = asked.join(named, "original").groupBy("mark").agg(F.map_from_entries(F.collect_set(F.struct("original", "surrogate"))).alias("made"))
+    some = F.size("typed") > 0
+    rows = rows.withColumn("mark", F.when(some, F.xxhash64("text"))).join(maps, "mark", "left")
+    rows = rows.withColumn("between", F.when(some, F.split("text", ANY, -1)))
+
+    def told(x: Column) -> Column:
+        """The gender that a word's mentions tell first, if any does."""
+        mine = F.filter("words", lambda y: (F.lower(y["w"]) == F.lower(x["w"])) & (y["g"] != "n"))
+        return F.coalesce(F.get(mine, F.lit(0))["g"], x["g"])
+
+    def stem(x: Column) -> Column:
+        return F.substring_index(F.col("made")[alone(x["w"])], " ", -1)
+
+    names = F.transform("words", lambda x: F.struct(F.lower(x["w"]).alias("a"), stem(x).alias("s"), told(x).alias("g")))
+    rows = rows.withColumn("names", F.transform(names, lambda x: F.struct(x["a"].alias("a"), x["s"].alias("s"), x["g"].alias("g"), _ended(x["s"], x["g"]).alias("b"))))
+
+    def own(w: Column, gender: Column) -> Column:
+        """The surrogate of a name's word, with the mention's gender if it tells one."""
+        found = F.get(F.filter("names", lambda x: x["a"] == F.lower(w)), F.lit(0))
+        new = F.when(gender == "n", found["b"]).otherwise(_ended(found["s"], gender))
+        new = F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(new)).otherwise(new)
+        return F.when(w.rlike(r"^\p{Lu}"), F.coalesce(new, w)).otherwise(w)
 
     def entity(x: Column) -> Column:
         titles = F.regexp_extract(x["e"], f"^{TITLES}", 0)
-        whole = F.concat(titles, _each_run(F.substr(x["e"], F.length(titles) + 1), own))
-        return F.when(x["kind"] == "name", whole).otherwise(fresh(surrogate(x["e"], key, kind=x["kind"]), plain(x)))
+        name = _let(_gender(x["e"]), lambda g: F.concat(titles, _each_run(F.substr(x["e"], F.length(titles) + 1), lambda w: own(w, g))))
+        made = F.col("made")[plain(x)]
+        return F.when(x["kind"] == "name", name).when(x["kind"] == "email", _let(made, lambda m: _as_written(m, x["e"]))).otherwise(made)
 
     # Other mentions: one pass over the text for each word of the names found in it.
-    swaps = F.filter("names", lambda x: F.length(x["a"]) > 1)
+    swaps = F.filter(F.array_distinct(F.transform("names", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))), lambda x: F.length(x["a"]) > 1)
 
     def mentions(part: Column) -> Column:
         def swap(acc: Column, x: Column) -> Column:
