@@ -153,6 +153,49 @@ def json_pointer_value(c: Column, pointer: str) -> Column:
     return F.get_json_object(c, "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in steps))
 
 
+def json_pointer_patch(c: Column, pointer: str, value: Column) -> tuple[Column, Column]:
+    """The JSON text with the value (JSON text) at a pointer, keys in order, and an error text (null if all is well).
+
+    The last step may be new; a parent that isn't there, or is no object, is an error.
+    """
+    if not pointer.startswith("/") or pointer == "/":
+        raise ValueError(f"{pointer!r} is no pointer: it must begin with '/' and name a field")
+    steps = [p.replace("~1", "/").replace("~0", "~") for p in pointer[1:].split("/")]
+
+    def fields(x: Column) -> Column:
+        return x.try_cast("map<string,variant>")
+
+    def put(x: Column, left: list[str]) -> Column:
+        have = fields(x)
+        new = F.try_parse_json(value) if len(left) == 1 else put(have[left[0]], left[1:])
+        merged = F.map_concat(F.map_filter(have, lambda k, _: k != left[0]), F.create_map(F.lit(left[0]), new))
+        names = F.array_sort(F.map_keys(merged))
+        return F.to_variant_object(F.map_from_arrays(names, F.transform(names, lambda k: merged[k])))
+
+    root, problem = F.try_parse_json(c), F.lit(None).cast("string")
+    at, seen = root, F.lit(None).cast("string")
+    for i, step in enumerate(steps):
+        seen = F.coalesce(seen, F.when(fields(at).isNull(), F.lit(f"{pointer}: no object to hold {step}")))
+        if i < len(steps) - 1:
+            seen = F.coalesce(seen, F.when(~F.coalesce(F.map_contains_key(fields(at), step), F.lit(False)), F.lit(f"{pointer}: there is no {step}")))
+            at = fields(at)[step]
+    problem = F.coalesce(seen, F.when(F.try_parse_json(value).isNull(), F.lit(f"{pointer}: the value is no JSON")))
+    return F.when(problem.isNull(), F.to_json(put(root, steps))), problem
+
+
+def config_edit(df: DataFrame, node: str, config: str, pointer: str, value: Column, ts: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with the patched ``config`` (unchanged where ``problem`` says why), and an audit observation of each change, from and to."""
+    new, problem = json_pointer_patch(F.col(config), pointer, value)
+    d = df.withColumns({"__new": new, "problem": problem})
+    old = F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json(config), "$" + "".join(f"['{p}']" for p in pointer[1:].split("/")), "variant")), F.lit("null"))
+    labels = F.create_map(F.lit("kind"), F.lit("config_edit"), F.lit("node"), F.col(node).cast("string"), F.lit("path"), F.lit(pointer), F.lit("from"), old, F.lit("to"), value)
+    audit = d.where("problem IS NULL").select(
+        ts.cast("bigint").alias("ts"), F.lit("config_edit").alias("metric_id"), F.lit("metric").alias("kind"), F.lit("summary").alias("signal"), F.lit(1.0).alias("value"), labels.alias("labels"),
+        F.lit(None).cast("string").alias("severity"),
+    )
+    return d.withColumn(config, F.coalesce("__new", config)).drop("__new"), audit
+
+
 def config_edits(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(key, field, old, new) rows where two snapshots (key, config map) differ."""
     a = old.select(key, F.explode("config").alias("field", "old"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from tidemark.operators import concordance, density_clusters, ledger, ml, probability, query, stats, timeseries, trend
-from tidemark.plans.queries import _BARS, BY, DAY, LEDGER, OBS, _candles, _entries, _exits, registered, rounded
+from tidemark.functions import scalar as S
+from tidemark.operators import capacity, concordance, density_clusters, ledger, ml, probability, query, stats, text, timeseries, trend
+from tidemark.plans import registry
+from tidemark.plans.queries import _BARS, BY, DAY, LEDGER, OBS, T0, _candles, _entries, _event_stream, _exits, registered, rounded
+from tidemark.plans.source_queries import _order_observations
 from tidemark.schema import ledger as ledger_table
 from tidemark.schema import observations, table
 from tidemark.sources import io
@@ -244,3 +249,127 @@ def stream_silence(spark, sf_dir):
     d = _arrivals(spark, sf_dir, ["user_id"])
     found = jobs.run_to_table(jobs.tick_watch(d, ["user_id"], 3600, 2 * DAY, delay_secs=60 * DAY), name="silence", state="rocksdb")
     return found.where("kind = 'stale'").select(F.col("user_id").cast("string").alias("user_id"), "t")
+
+
+# --- what the first queries of these operators leave out -----------------------------------------------------------
+
+
+@registered("""SELECT s_suppkey, CASE WHEN s_nationkey % 3 = 0 THEN NULL ELSE '{"limits":{"max":' || s_suppkey || ',"min":1},"name":"' || s_name || '"}' END AS config,
+ CASE WHEN s_nationkey % 3 = 0 THEN '/limits/max: there is no limits' END AS problem, CASE WHEN s_nationkey % 3 <> 0 THEN CASE WHEN s_nationkey % 3 = 1 THEN s_nationkey::VARCHAR ELSE 'null' END END AS "from" FROM supplier""")
+def config_patch(spark, sf_dir):
+    """Each supplier's settings patched by pointer: a field that is there, a new one, and one whose parent is missing."""
+    s = table(spark, sf_dir, "supplier")
+    limits = F.when(F.col("s_nationkey") % 3 == 1, F.format_string('{"name":"%s","limits":{"min":1,"max":%d}}', "s_name", "s_nationkey")).when(
+        F.col("s_nationkey") % 3 == 2, F.format_string('{"name":"%s","limits":{"min":1}}', "s_name")
+    ).otherwise(F.format_string('{"name":"%s"}', "s_name"))
+    d = s.select("s_suppkey", limits.alias("config"))
+    patched, audit = S.config_edit(d, "s_suppkey", "config", "/limits/max", F.col("s_suppkey").cast("string"), F.lit(T0))
+    was = audit.select(F.col("labels")["node"].cast("bigint").alias("s_suppkey"), F.col("labels")["from"].alias("from"))
+    kept = patched.withColumn("config", F.when(F.col("problem").isNull(), F.col("config")))
+    return kept.join(was, "s_suppkey", "left").select("s_suppkey", "config", "problem", "from")
+
+
+@registered(f"WITH {OBS} SELECT metric_id, round(avg(value * 2 + 1), 6) AS doubled, round(avg(sqrt(abs(value))), 6) AS root FROM obs GROUP BY 1")
+def free_functions(spark, sf_dir):
+    """A function in SQL and one in Python, under names of the caller's choice."""
+    registry.register_function(spark, "twice_and_one", "x DOUBLE", "DOUBLE", "x * 2 + 1")
+    registry.register_function(spark, "root_of", "x DOUBLE", "double", lambda x: x.abs() ** 0.5)
+    g = observations(spark, sf_dir).groupBy("metric_id").agg(F.expr("avg(twice_and_one(value))").alias("doubled"), F.expr("avg(value)").alias("v"))
+    r = observations(spark, sf_dir).select("metric_id", F.expr("root_of(value)").alias("r")).groupBy("metric_id").agg(F.avg("r").alias("root"))
+    return rounded(g.drop("v").join(r, "metric_id"), "doubled", "root")
+
+
+@registered("SELECT e.event_id, to_json({'event_id': event_id, 'event_type': event_type})::VARCHAR AS payload FROM events e")
+def alert_texts(spark, sf_dir):
+    d = io.alert_payloads(table(spark, sf_dir, "events").select("event_id", "event_type"))
+    return d.where("accepted").select("event_id", "payload")
+
+
+@registered(f"""WITH {OBS}, l AS (SELECT metric_id, arg_max(value, (ts, seq)) AS current, max(ts) AS last FROM obs GROUP BY 1)
+SELECT metric_id, round(avg((value > 80)::INT), 6) AS recent, any_value(current) > 80 AS exceeds_now FROM obs JOIN l USING (metric_id) WHERE ts > last - 86400 GROUP BY 1""")
+def prob_exceed_recent(spark, sf_dir):
+    return rounded(capacity.prob_exceed(observations(spark, sf_dir), BY, 80.0, DAY), "recent").select("metric_id", "recent", "exceeds_now")
+
+
+@registered(f"""WITH {OBS}, i AS (SELECT *, (row_number() OVER (PARTITION BY metric_id ORDER BY ts, seq) - 1)::DOUBLE AS x FROM obs),
+u AS (SELECT metric_id, value AS y, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS u, avg(x) OVER w AS mx, stddev_pop(x) OVER w AS sx FROM i WINDOW w AS (PARTITION BY metric_id)),
+s AS (SELECT metric_id, count(*)::DOUBLE AS n, sum(u * u * u) AS u3, sum(u * u * u * u) AS u4, sum(y) AS y0, sum(y * u) AS y1, sum(y * u * u) AS y2, any_value(mx) AS mx, any_value(sx) AS sx FROM u GROUP BY 1),
+c AS (SELECT *, (n * y2 - n * y0 - u3 * y1) / (n * u4 - n * n - u3 * u3) AS c2 FROM s)
+SELECT metric_id, 'polynomial' AS model, round(c2 / (sx * sx), 9) AS quadratic, round((y1 - u3 * c2) / n / sx - 2 * c2 * mx / (sx * sx), 6) AS slope FROM c
+UNION ALL SELECT metric_id, 'exponential', 0.0, round(regr_slope(ln(value + 1e-10), x), 6) FROM i GROUP BY 1""")
+def growth_models(spark, sf_dir):
+    obs, out = observations(spark, sf_dir), None
+    for model in ("polynomial", "exponential"):
+        d = capacity.growth_rate(obs, BY, model).select("metric_id", F.lit(model).alias("model"), F.round("quadratic", 9).alias("quadratic"), F.round("slope", 6).alias("slope"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@registered("""SELECT p_partkey, 'unknown placeholder c' AS unknown, 'unterminated placeholder' AS open, 'empty placeholder' AS empty, p_name || '-' || p_brand AS filled FROM part""")
+def template_errors(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    values = {"a": F.col("p_name"), "b": F.col("p_brand")}
+    problems = {n: S.render_template(t, values)[1] for n, t in (("unknown", "{{a}} {{c}}"), ("open", "{{a}} {{b"), ("empty", "{{ }} {{a}}"))}
+    return p.select("p_partkey", *[c.alias(n) for n, c in problems.items()], S.render_template("{{a}}-{{b}}", values)[0].alias("filled"))
+
+
+@registered("""WITH old AS (SELECT p_name AS key, arg_min(p_brand, p_partkey) AS meta FROM part WHERE p_size <= 25 GROUP BY 1),
+new AS (SELECT p_name AS key, arg_min(p_brand, p_partkey) AS meta FROM part WHERE p_size > 25 GROUP BY 1)
+SELECT key, meta FROM old UNION ALL SELECT key, meta FROM new WHERE key NOT IN (SELECT key FROM old)""")
+def catalog_insert_again(spark, sf_dir):
+    """A second batch into a catalog that holds keys: those are rejected."""
+    c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("record_id"), F.col("p_name").alias("key"), F.col("p_brand").alias("meta"), "p_size")
+    first = text.catalog_insert(c.drop("p_size").limit(0), c.where("p_size <= 25").drop("p_size"))
+    return text.catalog_insert(first, c.where("p_size > 25").drop("p_size")).select("key", "meta")
+
+
+@registered("""WITH k AS (SELECT DISTINCT c_custkey AS k FROM customer) SELECT count(*) AS keys, true AS sound FROM k""")
+def bloom_rate(spark, sf_dir):
+    """The false positive rate that a filter states, against its formula for the bits that are set."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    n = c.distinct().count()
+    bits, hashes = text.bloom_size(n, 0.01)
+    stated = text.bloom_fpr(text.bloom_build(c, "c_custkey", bits, hashes), bits, hashes)
+    expected = (1 - math.exp(-hashes * n / bits)) ** hashes
+    return c.distinct().agg(F.count("*").alias("keys")).crossJoin(stated.select((F.abs(F.col("fpr") - expected) <= 0.25 * expected + 0.001).alias("sound")))
+
+
+_ORDER_WINDOW = f"""{LEDGER}, w AS (SELECT * FROM led WHERE ts BETWEEN 800000000 - 2592000 AND 800000000),
+u AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, seq DESC) = 1), f AS (SELECT * FROM u WHERE dtype IN ('long', 'short') AND entry > 0)"""
+
+
+@registered(f"""WITH {_ORDER_WINDOW} SELECT dtype, round(sum(size * ((1500.0 - entry) / entry * CASE dtype WHEN 'long' THEN 1 ELSE -1 END - 0.0004)), 4) AS unrealized, count(*) AS positions
+FROM f WHERE status = 'open' AND size <> 0 GROUP BY 1""")
+def order_values(spark, sf_dir):
+    """Open positions of a window at a mark price."""
+    found = ledger.orders(_order_observations(spark, sf_dir), now=800_000_000, limit=200, interval="1d", mark=1500.0)
+    return rounded(found["unrealized"].where("dtype IN ('long', 'short')"), "unrealized", digits=4).select("dtype", "unrealized", "positions")
+
+
+@registered("SELECT 'sink' AS node, count(*) || ' rows refused' AS message, count(*) AS refused FROM events")
+def stream_fault_rows(spark, sf_dir):
+    """What a sink refused, as its fault row tells."""
+    faults = scratch_path(spark, "faults")
+
+    def work(batch, batch_id: int) -> None:
+        raise ValueError(f"{batch.count()} rows refused")
+
+    q = _event_stream(spark, sf_dir).writeStream.foreachBatch(jobs.tolerant(work, faults, "sink"))
+    q.option("checkpointLocation", scratch_path(spark, "faults-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return jobs.current_faults(spark.read.parquet(faults)).select("node", "message", F.regexp_extract("message", "^([0-9]+)", 1).cast("bigint").alias("refused"))
+
+
+@registered(f"WITH {OBS} SELECT metric_id, count(*) AS n, round(sum(value), 4) AS total FROM obs GROUP BY 1")
+def stream_replayed_batch(spark, sf_dir):
+    """Every micro-batch is handed to the sink twice, as after a crash between write and commit: rows count once."""
+    path = scratch_path(spark, "replayed")
+    write = jobs.idempotent_writer(path)
+
+    def twice(batch, batch_id: int) -> None:
+        write(batch, batch_id)
+        write(batch, batch_id)
+
+    q = _event_stream(spark, sf_dir).select("metric_id", "value").writeStream.foreachBatch(twice)
+    q.option("checkpointLocation", scratch_path(spark, "replayed-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    d = spark.read.parquet(path)
+    return rounded(d.groupBy("metric_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total", digits=4)

@@ -50,6 +50,14 @@ def plan_function(candles: DataFrame, previous: DataFrame, by: list[str], fn: Ca
     return candles.groupBy(*by).cogroup(previous.groupBy(*by)).applyInPandas(run, schema)
 
 
+def register_function(spark: SparkSession, name: str, args: str, returns: str, body: str | Callable) -> None:
+    """A free function under a name of its own: SQL over its arguments (``"x DOUBLE, y INT"``), or a function of pandas series."""
+    if isinstance(body, str):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {returns} RETURN {body}")
+    else:
+        spark.udf.register(name, F.pandas_udf(body, returns))
+
+
 def register_functions(spark: SparkSession) -> None:
     """SQL functions: bucket_align(ts, secs) and kelly(p, sl)."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION bucket_align(ts BIGINT, secs BIGINT) RETURNS BIGINT RETURN floor(ts / secs) * secs")
