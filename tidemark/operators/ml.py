@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import connected_components
+from tidemark.sources.scratch import materialize
 
 SCALERS = {"standard": lambda: StandardScaler(withMean=True, withStd=True), "minmax": MinMaxScaler, "robust": lambda: RobustScaler(withCentering=True)}
 
@@ -114,7 +115,7 @@ def pca(df: DataFrame, features: list[str], variance: float = 0.95):
 def ica(df: DataFrame, features: list[str], *, max_iter: int = 100, tol: float = 1e-6, seed: int = 42):
     """(sources per row, mixing matrix) by FastICA: whitening and every step are aggregates of d x d sums."""
     d, names = prepare(df, None, features)
-    m, dim = d.select(*[F.col(c).cast("double") for c in names]), len(names)
+    m, dim = materialize(d.select(*[F.col(c).cast("double") for c in names]), "components"), len(names)  # read once a step
     pairs = [(i, j) for i in range(dim) for j in range(i, dim)]
     sums = m.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     mean, cov = np.array([sums[f"m{i}"] for i in range(dim)]), np.zeros((dim, dim))

@@ -373,3 +373,30 @@ def stream_replayed_batch(spark, sf_dir):
     q.option("checkpointLocation", scratch_path(spark, "replayed-checkpoint")).trigger(availableNow=True).start().awaitTermination()
     d = spark.read.parquet(path)
     return rounded(d.groupBy("metric_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total", digits=4)
+
+
+@registered(f"""WITH {OBS}, g AS (SELECT metric_id, stddev_samp(value) * pow(count(*), -0.2) AS bw, count(*) AS n, min(value) AS lo, max(value) AS hi FROM obs GROUP BY 1),
+h AS (SELECT metric_id, least(1023, floor((value - lo) / ((hi - lo) / 1024))) AS bin, count(*) AS w FROM obs JOIN g USING (metric_id) GROUP BY 1, 2),
+p AS (SELECT g.*, i, lo + (hi - lo) * i / 199 AS z FROM g, range(200) r(i))
+SELECT p.metric_id, i::INT AS i, round(z, 6) AS "at", round(sum(w * exp(-pow((z - (lo + (bin + 0.5) * (hi - lo) / 1024)) / bw, 2) / 2)) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 6) AS density
+FROM p JOIN h USING (metric_id) GROUP BY metric_id, i, z""")
+def kernel_density_whole(spark, sf_dir):
+    return rounded(probability.density(observations(spark, sf_dir), BY), "at", "density")
+
+
+_PRESETS = ("today", "yesterday", "this_week", "last_week", "this_month", "last_month", "2h", "3d")
+_DAY_SQL = "epoch(date_trunc('{u}', to_timestamp(ts) AT TIME ZONE 'UTC'))::BIGINT"
+_MONTH_BEFORE = "epoch(date_trunc('month', to_timestamp(ts) AT TIME ZONE 'UTC') - INTERVAL 1 MONTH)::BIGINT"
+
+
+@registered(f"""WITH {OBS}, s AS (SELECT seq, ts, {_DAY_SQL.format(u="day")} AS d, {_DAY_SQL.format(u="week")} AS w, {_DAY_SQL.format(u="month")} AS m, {_MONTH_BEFORE} AS b FROM obs)
+SELECT seq, p.preset, CASE p.preset WHEN 'today' THEN d WHEN 'yesterday' THEN d - 86400 WHEN 'this_week' THEN w WHEN 'last_week' THEN w - 604800 WHEN 'this_month' THEN m WHEN 'last_month' THEN b
+  WHEN '2h' THEN ts - 7200 ELSE ts - 259200 END AS lo, CASE p.preset WHEN 'yesterday' THEN d WHEN 'last_week' THEN w WHEN 'last_month' THEN m ELSE ts END AS hi
+FROM s, (SELECT unnest({list(_PRESETS)}) AS preset) p""")
+def time_presets(spark, sf_dir):
+    """All presets at each event's own now."""
+    found = []
+    for preset in _PRESETS:
+        lo, hi = S.range_start(preset, F.col("ts"))
+        found.append(F.struct(F.lit(preset).alias("preset"), lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi")))
+    return observations(spark, sf_dir).select("seq", F.explode(F.array(*found)).alias("x")).select("seq", "x.*")
