@@ -348,7 +348,7 @@ def pseudonymise(documents: DataFrame, key: str, *, id_col: str = "doc_id", text
     maps = materialize(maps, "surrogates-by-text")  # a table of its own: the join can split the rows of a frequent text
     some = F.size("typed") > 0
     # Texts without entities meet nothing; their own marks spread them over all tasks.
-    rows = rows.withColumn("mark", F.when(some, F.xxhash64("text")).otherwise(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()))).join(maps, "mark", "left")
+    rows = rows.withColumn("mark", F.when(some, F.xxhash64("text")).otherwise(F.xxhash64("doc_id", "text"))).join(maps, "mark", "left")
     rows = rows.withColumn("between", F.when(some, F.split("text", ANY, -1)))
 
     def told(x: Column) -> Column:
