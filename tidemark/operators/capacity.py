@@ -109,7 +109,8 @@ def latency_percentiles(df: DataFrame, by: list[str], *, approx: bool = False) -
     if approx:
         g = df.groupBy(*by).agg(F.approx_percentile("value", F.array(*[F.lit(p) for p in LATENCY]), 10_000).alias("q"), *moments)
         return g.select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(names)], "mean", "std", "min", "max", "count")
-    return quantiles(df, by, names).join(df.groupBy(*by).agg(*moments), by)
+    of = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count}
+    return quantiles(df, by, names, also={n: f("__x") for n, f in of.items()})
 
 
 def latency_tail(df: DataFrame, by: list[str], q: float = 0.99) -> DataFrame:

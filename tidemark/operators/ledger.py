@@ -247,10 +247,11 @@ def barrier_exit(entries: DataFrame, candles: DataFrame, by: list[str], *, max_b
     long = F.col("dtype") == "long"
     entry = [*by, "order_id", "dtype", "entry", "sl", "tp", "unlock_seq"]
     below, above = F.when(long, F.col("sl")).otherwise(F.col("tp")), F.when(long, F.col("tp")).otherwise(F.col("sl"))
+    entries, candles = materialize(entries.select(*entry), "entries"), materialize(candles.select(*by, "bar", "o", "h", "l"), "bars")  # looked at several times
     e = entries.where("unlock_seq IS NOT NULL").select(*entry, F.col("unlock_seq").alias("start"), below.cast("double").alias("below"), above.cast("double").alias("above"))
     block = max(max_bars, barriers.BLOCK_BARS)
     hits = barriers.first_touch(e, candles, by, block=block).where("hit IS NOT NULL").select(*entry, "hit")
-    bars = candles.select(*by, F.col("bar").cast("bigint").alias("hit"), "bar", "o", "h", "l")
+    bars = candles.withColumn("hit", F.col("bar").cast("bigint"))
     d = hits.join(bars, [*by, "hit"]).select(*entry, "bar", "o", "h", "l")
     stop = F.when(long, F.col("l") <= F.col("sl")).otherwise(F.col("h") >= F.col("sl"))
     worse = F.when(long, F.least("o", "sl")).otherwise(F.greatest("o", "sl"))

@@ -36,11 +36,12 @@ def upper_median(n: Column) -> Column:
 
 
 def order_statistics(
-    df: DataFrame, by: list[str], targets: dict[str, tuple[float, Callable[[Column], Column]]], column: str | Column = "value", *, whole: int = WHOLE
+    df: DataFrame, by: list[str], targets: dict[str, tuple[float, Callable[[Column], Column]]], column: str | Column = "value", *, whole: int = WHOLE,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """by..., one double column per target {name: (q, place)}; ``place`` gives the 0-based place from the count, q its share.
 
-    Rows whose value is null don't count; keys without any have no row.
+    Rows whose value is null don't count; keys without any have no row.  ``also`` {name: aggregate of ``__x``} is added.
     """
     x = F.col(column) if isinstance(column, str) else column
     d = df.select(*by, x.cast("double").alias("__x")).where("__x IS NOT NULL")
@@ -53,9 +54,10 @@ def order_statistics(
         picks = []
         for i, a in enumerate(at):
             picks += [F.max(F.when(F.col("__r") == F.floor(a), F.col("__x"))).alias(f"__l{i}"), F.max(F.when(F.col("__r") == F.ceil(a), F.col("__x"))).alias(f"__h{i}"), F.max(a - F.floor(a)).alias(f"__p{i}")]
+        picks += [c.alias(n) for n, c in (also or {}).items()]
         g = w.groupBy(*by).agg(*picks) if by else w.agg(*picks).where("__l0 IS NOT NULL")
         low, high, part = ((lambda i, c=c: F.col(f"__{c}{i}")) for c in "lhp")
-        return g.select(*by, *[F.when(part(i) == 0, low(i)).otherwise(low(i) + (high(i) - low(i)) * part(i)).alias(n) for i, n in enumerate(names)])
+        return g.select(*by, *[F.when(part(i) == 0, low(i)).otherwise(low(i) + (high(i) - low(i)) * part(i)).alias(n) for i, n in enumerate(names)], *(also or {}))
     shares = [q for q, _ in targets.values()]
     ends = [min(1.0, max(0.0, q + side * MARGIN)) for q in shares for side in (-1, 1)]
     g = d.groupBy(*by).agg(F.count("*").alias("__n"), F.percentile_approx("__x", F.array(*[F.lit(e) for e in ends]), ACCURACY).alias("__e"))
@@ -88,9 +90,13 @@ def order_statistics(
         value = F.when(part == 0, low).otherwise(low + (high - low) * part)
         return F.when(low.isNull() | high.isNull(), F.raise_error(F.lit("a rank lies outside its bracket"))).otherwise(value)
 
-    return found.select(*by, *[between(i).alias(name) for i, name in enumerate(names)])
+    found = found.select(*by, *[between(i).alias(name) for i, name in enumerate(names)])
+    if also:
+        more = d.groupBy(*by).agg(*[c.alias(n) for n, c in also.items()])
+        found = found.join(more, by) if by else found.crossJoin(F.broadcast(more))
+    return found
 
 
-def quantiles(df: DataFrame, by: list[str], qs: dict[str, float], column: str | Column = "value") -> DataFrame:
-    """Linear quantiles {name: q} of each key."""
-    return order_statistics(df, by, {n: (q, linear(q)) for n, q in qs.items()}, column)
+def quantiles(df: DataFrame, by: list[str], qs: dict[str, float], column: str | Column = "value", *, also: dict[str, Column] | None = None) -> DataFrame:
+    """Linear quantiles {name: q} of each key, and aggregates ``also`` of the values (column ``__x``) in the same pass where keys are small."""
+    return order_statistics(df, by, {n: (q, linear(q)) for n, q in qs.items()}, column, also=also)

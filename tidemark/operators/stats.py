@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.probability import with_share
 from tidemark.operators.ranks import quantiles
 from tidemark.operators.sliced import fits, lags, with_halo, with_row_halo, with_slices
+from tidemark.sources.scratch import materialize
 
 PERCENTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
@@ -28,14 +29,10 @@ def describe(df: DataFrame, by: list[str], column: str = "value") -> DataFrame:
     """Moments (bias-corrected skewness and excess kurtosis), linear percentiles, median absolute deviation, cv."""
     x = F.col(column)
     d = df.where(x.isNotNull()).select(*by, x.cast("double").alias("x"))
-    g = d.groupBy(*by).agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"),
-    )
+    moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "g1": F.skewness, "g2": F.kurtosis}
     names = {f"p{round(p * 100):02d}": p for p in PERCENTILES}
-    q = quantiles(d, by, names, "x")
-    mad = quantiles(d.join(q.select(*by, "p50"), by), by, {"mad": 0.5}, F.abs(F.col("x") - F.col("p50")))
-    g = g.join(q, by)
+    g = materialize(quantiles(d, by, names, "x", also={n: f("__x") for n, f in moments.items()}), "described")  # a row for each key
+    mad = quantiles(d.join(g.select(*by, "p50"), by), by, {"mad": 0.5}, F.abs(F.col("x") - F.col("p50")))
     n = F.col("count").cast("double")
     skew, kurt = _corrected_skew(n, F.col("g1")), _corrected_kurtosis(n, F.col("g2"))
     return g.join(mad, by).select(
