@@ -346,10 +346,10 @@ def pseudonymise(documents: DataFrame, key: str, *, id_col: str = "doc_id", text
     named = surrogates(asked.select("original").distinct(), key)
     maps = asked.join(named, "original").groupBy("mark").agg(F.map_from_entries(F.collect_set(F.struct("original", "surrogate"))).alias("made"))
     maps = materialize(maps, "surrogates-by-text")  # a table of its own: the join can split the rows of a frequent text
-    some = F.size("typed") > 0
-    # Texts without entities meet nothing; their own marks spread them over all tasks.
-    rows = rows.withColumn("mark", F.when(some, F.xxhash64("text")).otherwise(F.xxhash64("doc_id", "text"))).join(maps, "mark", "left")
-    rows = rows.withColumn("between", F.when(some, F.split("text", ANY, -1)))
+    # Texts without entities stay where they are; the others meet their map by a merge join, at every size of the tables.
+    none = rows.where(F.size("typed") == 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
+    rows = rows.where(F.size("typed") > 0).withColumn("mark", F.xxhash64("text")).join(maps.hint("merge"), "mark", "left")
+    rows = rows.withColumn("between", F.split("text", ANY, -1))
 
     def told(x: Column) -> Column:
         """The gender that a word's mentions tell first, if any does."""
@@ -388,4 +388,5 @@ def pseudonymise(documents: DataFrame, key: str, *, id_col: str = "doc_id", text
     kept = F.when(F.size("swaps") > 0, F.transform("between", mentions)).otherwise(F.col("between"))
     pairs = F.zip_with(kept, F.col("new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     text = F.when(F.size("new") > 0, F.array_join(pairs, "")).otherwise(F.col("text"))
-    return rows.select("doc_id", text.alias("text"), F.coalesce(F.size("typed"), F.lit(0)).cast("long").alias("n_entities"))
+    found = rows.select("doc_id", text.alias("text"), F.size("typed").cast("long").alias("n_entities"))
+    return none.unionByName(found)
