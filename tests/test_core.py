@@ -320,3 +320,11 @@ def test_query_equals_sql(spark, sf_dir, name):
         return sorted(tuple(round(float(x), 5) if isinstance(x, int | float) and not isinstance(x, bool) else str(x) for x in r) for r in rows)
 
     assert norm(map(tuple, got.collect())) == norm(want)
+
+
+def test_pct_change_query_is_the_quotient_of_its_sql_after_zero(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:00:0{i}", 1, "view", v, "{}") for i, v in enumerate([0.0, 3.0, 0.0, 0.0, -1.0, 1.0])]
+    d = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    d.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = [r.pct_change for r in Q.QUERIES["ts_pct_change"](spark, str(tmp_path)).orderBy("seq").collect()]
+    assert got[:2] == [math.inf, -1.0] and math.isnan(got[2]) and got[3:] == [-math.inf, 2.0]

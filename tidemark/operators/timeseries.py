@@ -77,10 +77,18 @@ def delta(df: DataFrame, by: list[str]) -> DataFrame:
     return d.where("prev IS NOT NULL").withColumn("delta", F.col("value") - F.col("prev")).drop("prev")
 
 
-def pct_change(df: DataFrame, by: list[str]) -> DataFrame:
-    """(current - previous) / |previous| as a fraction, 0 where |previous| is below 1e-12."""
+def pct_change(df: DataFrame, by: list[str], *, flat: bool = True) -> DataFrame:
+    """(current - previous) / |previous| as a fraction, 0 where |previous| is below 1e-12.
+
+    ``flat`` False: the plain quotient everywhere, so infinite (0 after 0: NaN) where the previous value is 0.
+    """
     d = with_lag(df.where("value IS NOT NULL"), by, {"prev": "value"}).where("prev IS NOT NULL")
-    change = F.when(F.abs("prev") < 1e-12, 0.0).otherwise((F.col("value") - F.col("prev")) / F.abs("prev"))
+    if flat:
+        change = F.when(F.abs("prev") < 1e-12, 0.0).otherwise((F.col("value") - F.col("prev")) / F.abs("prev"))
+    else:
+        step = F.col("value") - F.col("prev")
+        at_zero = F.when(step > 0, float("inf")).when(step < 0, float("-inf")).otherwise(float("nan"))
+        change = F.when(F.col("prev") == 0, at_zero).otherwise(step / F.abs("prev"))
     return d.withColumn("pct_change", change).drop("prev")
 
 

@@ -195,7 +195,7 @@ def ts_delta(spark, sf_dir):
 
 @registered(f"{_LAG} SELECT metric_id, ts, seq, round((value - p) / abs(p), 6) AS pct_change FROM d WHERE p IS NOT NULL")
 def ts_pct_change(spark, sf_dir):
-    return rounded(timeseries.pct_change(observations(spark, sf_dir), BY), "pct_change").select("metric_id", "ts", "seq", "pct_change")
+    return rounded(timeseries.pct_change(observations(spark, sf_dir), BY, flat=False), "pct_change").select("metric_id", "ts", "seq", "pct_change")
 
 
 @registered(f"""WITH {OBS} SELECT metric_id, count(value) AS count, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean,
