@@ -6,20 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import quantiles
-from tidemark.operators.sliced import fits, with_lag, with_running
-from tidemark.operators.stats import rolling
+from tidemark.operators.sliced import fits, joined, with_lag, with_running
 
 LATENCY = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 0.9999)
 
 
 def prob_exceed(df: DataFrame, by: list[str], threshold: float = 80.0, window_secs: int = 3600) -> DataFrame:
     """Overall and latest trailing-window share above the threshold, the current value and whether it exceeds."""
-    d = df.withColumn("raw", F.col("value")).withColumn("value", (F.col("value") > threshold).cast("double"))
-    r = rolling(d, by, window_secs, ["mean"])
     at = F.struct("ts", "seq")
-    return r.groupBy(*by).agg(
-        F.avg("value").alias("probability"), F.max_by("rolling_mean", at).alias("recent"), F.max_by("raw", at).alias("current"),
-        F.max_by(F.col("raw") > threshold, at).alias("exceeds_now"),
+    last = df.groupBy(*by).agg(F.max("ts").alias("__last"))
+    d = joined(df, last, by).withColumn("__up", (F.col("value") > threshold).cast("double"))
+    return d.groupBy(*by).agg(  # the latest window is all that is asked for: no need of every row's own
+        F.avg("__up").alias("probability"), F.avg(F.when(F.col("ts") > F.col("__last") - window_secs, F.col("__up"))).alias("recent"), F.max_by("value", at).alias("current"),
+        F.max_by(F.col("value") > threshold, at).alias("exceeds_now"),
     )
 
 

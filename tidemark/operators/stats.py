@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.probability import with_share
 from tidemark.operators.ranks import quantiles
-from tidemark.operators.sliced import fits, lags, with_halo, with_row_halo, with_slices
+from tidemark.operators.sliced import fits, frames_fit, joined, lags, with_row_halo, with_slices
+from tidemark.operators.spans import by_second
 from tidemark.sources.scratch import materialize
 
 PERCENTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
@@ -45,45 +46,47 @@ def rolling(df: DataFrame, by: list[str], window_secs: int, fns: list[str], *, c
     """Duration windows (ts - w, ts], or centred ones; mean, std, min, max, median, quantile (``q``), skew and kurt (bias-corrected), count."""
     back = window_secs // 2 if center else window_secs - 1
     fore = window_secs // 2 if center else 0
-    rank = {"median", "quantile"} & set(fns)
-    if not rank and not fits(df, by):
-        return _rolling_by_second(df, by, back, fore, fns)
-    # Ranks need the values of a window themselves: slices of time hold no more rows than some windows do.
-    d = with_halo(df, back, fore) if rank else df.withColumn("slice", F.lit(0)).withColumn("own", F.lit(True))
-    w = Window.partitionBy(*by, "slice").orderBy("ts").rangeBetween(-back, fore)
+    if not frames_fit(df, by):
+        return _rolling_by_second(df, by, back, fore, fns, q)
+    w = Window.partitionBy(*by).orderBy("ts").rangeBetween(-back, fore)
     n = F.count("value").over(w).cast("double")
     table = {
         "mean": lambda: F.avg("value").over(w), "std": lambda: F.stddev_samp("value").over(w), "min": lambda: F.min("value").over(w), "max": lambda: F.max("value").over(w),
         "count": lambda: F.count("value").over(w), "skew": lambda: _corrected_skew(n, F.skewness("value").over(w)), "kurt": lambda: _corrected_kurtosis(n, F.kurtosis("value").over(w)),
         "median": lambda: F.percentile("value", 0.5).over(w), "quantile": lambda: F.percentile("value", q).over(w),
     }
-    return d.withColumns({f"rolling_{f}": table[f]() for f in fns}).where("own").select(*df.columns, *[f"rolling_{f}" for f in fns])
+    return df.withColumns({f"rolling_{f}": table[f]() for f in fns}).select(*df.columns, *[f"rolling_{f}" for f in fns])
 
 
-def _rolling_by_second(df: DataFrame, by: list[str], back: int, fore: int, fns: list[str]) -> DataFrame:
-    """Rolling moments and extremes from one row for each second: windows are as wide as their seconds, however dense the rows are.
+def _rolling_by_second(df: DataFrame, by: list[str], back: int, fore: int, fns: list[str], q: float) -> DataFrame:
+    """Rolling statistics with one result for each second, at a cost that doesn't follow the number of rows in a window.
 
-    Powers are summed around the key's mean.
+    Powers beyond the first are summed around the key's mean.
     """
-    centre = df.groupBy(*by).agg(F.avg("value").alias("__c"))
-    x = (df.join(centre, by) if by else df.crossJoin(F.broadcast(centre))).withColumn("__x", F.col("value") - F.col("__c"))
-    powers = [F.sum(F.col("__x") ** k).alias(f"__p{k}") for k in range(1, 5)]
-    seconds = x.groupBy(*by, "ts").agg(F.count("value").alias("__n"), F.min("value").alias("__lo"), F.max("value").alias("__hi"), F.max("__c").alias("__c"), *powers)
-    w = Window.partitionBy(*by, "slice").orderBy("ts").rangeBetween(-back, fore)
-    d = with_halo(seconds, back, fore).withColumns({
-        "__w": F.sum("__n").over(w).cast("double"), "rolling_min": F.min("__lo").over(w), "rolling_max": F.max("__hi").over(w), **{f"__s{k}": F.sum(f"__p{k}").over(w) for k in range(1, 5)},
-    }).where("own")
-    n = F.when(F.col("__w") > 0, F.col("__w"))
-    m = F.col("__s1") / n
-    m2 = F.greatest(F.col("__s2") / n - m * m, F.lit(0.0))
-    m3 = F.col("__s3") / n - 3 * m * F.col("__s2") / n + 2 * m**3
-    m4 = F.col("__s4") / n - 4 * m * F.col("__s3") / n + 6 * m * m * F.col("__s2") / n - 3 * m**4
-    spread = F.when(m2 > 0, m2)
-    made = {
-        "mean": m + F.col("__c"), "std": F.when(n > 1, F.sqrt(m2 * n / (n - 1))), "count": F.col("__w").cast("bigint"), "min": F.col("rolling_min"), "max": F.col("rolling_max"),
-        "skew": _corrected_skew(n, m3 / spread**1.5), "kurt": _corrected_kurtosis(n, m4 / spread**2 - 3),
-    }
-    return df.join(d.select(*by, "ts", *[made[f].alias(f"rolling_{f}") for f in fns]), [*by, "ts"]).select(*df.columns, *[f"rolling_{f}" for f in fns])
+    ranks = [f for f in fns if f in ("median", "quantile")]
+    ends = bool({"min", "max"} & set(fns))
+    n = F.when(F.col("__w") > 0, F.col("__w").cast("double"))
+    made = {"count": F.col("__w"), "min": F.col("__lo"), "max": F.col("__hi"), **{f: F.col(f"__q{i}") for i, f in enumerate(ranks)}, "mean": F.col("__s1") / n}
+    parts = []
+    if set(fns) & made.keys():
+        d = by_second(df, by, back, fore, powers=int("mean" in fns), extremes=ends, quantiles=[0.5 if f == "median" else q for f in ranks])
+        parts.append(d.select(*by, "ts", *[made[f].alias(f"rolling_{f}") for f in fns if f in made]))
+    powers = max({"std": 2, "skew": 3, "kurt": 4}.get(f, 0) for f in fns)
+    if powers:
+        x = joined(df, df.groupBy(*by).agg(F.avg("value").alias("__c")), by).select(*by, "ts", (F.col("value") - F.col("__c")).alias("value"))
+        m = F.col("__s1") / n
+        # Windows of equal values have no spread, whatever rounding leaves.
+        m2 = F.when(F.col("__hi") > F.col("__lo"), F.greatest(F.col("__s2") / n - m * m, F.lit(0.0))).when(F.isnan("__s1"), float("nan")).otherwise(0.0)
+        spread = F.when(m2 > 0, m2)
+        m3 = F.col("__s3") / n - 3 * m * F.col("__s2") / n + 2 * m**3
+        m4 = F.col("__s4") / n - 4 * m * F.col("__s3") / n + 6 * m * m * F.col("__s2") / n - 3 * m**4
+        made = {"std": F.when(n > 1, F.sqrt(m2 * n / (n - 1))), "skew": _corrected_skew(n, m3 / spread**1.5), "kurt": _corrected_kurtosis(n, m4 / spread**2 - 3)}
+        d = by_second(x, by, back, fore, powers=powers, extremes=True)
+        parts.append(d.select(*by, "ts", *[made[f].alias(f"rolling_{f}") for f in fns if f in made]))
+    out = df
+    for p in parts:
+        out = joined(out, p, [*by, "ts"])
+    return out.select(*df.columns, *[f"rolling_{f}" for f in fns])
 
 
 def quantile(df: DataFrame, by: list[str], q: list[float]) -> DataFrame:

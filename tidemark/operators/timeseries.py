@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import floored, linear, order_statistics, upper_median
-from tidemark.operators.sliced import fits, with_halo, with_lag, with_running
+from tidemark.operators.sliced import frames_fit, joined, with_lag, with_running
+from tidemark.operators.spans import by_second
 
 AGGREGATES = {"avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
 
@@ -26,21 +27,19 @@ def rate(df: DataFrame, by: list[str]) -> DataFrame:
 def moving_avg(df: DataFrame, by: list[str], window_secs: int) -> DataFrame:
     """Mean over [ts - w, ts] of rows at or before the row by (ts, seq).
 
-    Where keys have many rows: one row for each second gives the part of earlier seconds, running sums that of the row's own second.
+    Where keys have many rows: differences of running sums (`spans`) give the part of earlier seconds, running sums that of the row's own second.
     """
-    if fits(df, by):
+    if frames_fit(df, by):
         part = Window.partitionBy(*by).orderBy("ts")
         ties = Window.partitionBy(*by, "ts").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
         frame = part.rangeBetween(-window_secs, 0)
         total = F.sum("value").over(frame) - F.coalesce(F.sum("value").over(ties), F.lit(0.0))
         n = F.count("value").over(frame) - F.count("value").over(ties)
         return df.withColumn("moving_avg", total / n)
-    seconds = df.groupBy(*by, "ts").agg(F.sum("value").alias("__s"), F.count("value").alias("__n"))
-    earlier = Window.partitionBy(*by, "slice").orderBy("ts").rangeBetween(-window_secs, -1)
-    before = with_halo(seconds, window_secs).withColumns({"__before": F.sum("__s").over(earlier), "__earlier": F.sum("__n").over(earlier)}).where("own")
+    before = by_second(df, by, window_secs, -1)
     d = df.withColumn("__second", F.col("ts"))
     d = with_running(d, [*by, "__second"], {"__now": F.col("value"), "__here": F.col("value").isNotNull().cast("bigint")})
-    d = d.join(before.select(*by, F.col("ts").alias("__second"), "__before", "__earlier"), [*by, "__second"])
+    d = joined(d, before.select(*by, F.col("ts").alias("__second"), F.col("__s1").alias("__before"), F.col("__w").alias("__earlier")), [*by, "__second"])
     n = F.coalesce("__earlier", F.lit(0)) + F.col("__here")
     return d.withColumn("moving_avg", F.when(n > 0, (F.coalesce("__before", F.lit(0.0)) + F.col("__now")) / n)).select(*df.columns, "moving_avg")
 
