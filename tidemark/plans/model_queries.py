@@ -188,17 +188,11 @@ def scan(spark, sf_dir):
 
 @registered(f"WITH {OBS} SELECT metric_id, ts, seq, value FROM obs")
 def export_arrow(spark, sf_dir):
-    """Rows of a result as one Arrow file, read again in blocks."""
-    import os
-    import tempfile
-
-    import pyarrow as pa
-
+    """Rows of a result as Arrow files, one for each block of a task's rows, read again."""
     d = observations(spark, sf_dir).select("metric_id", "ts", "seq", "value")
-    path = os.path.join(tempfile.mkdtemp(), "rows.arrow")
-    io.export_arrow(d, path, max_rows=5_000_000)
-    with pa.OSFile(path) as f:
-        return spark.createDataFrame(pa.ipc.open_file(f).read_all())
+    path = scratch_path(spark, "arrow")
+    io.export_arrow_parts(d, path)
+    return io.read_arrow_parts(spark, path, d.schema)
 
 
 @registered(f"WITH {OBS} SELECT metric_id, ts, round(value, 6) AS value FROM obs")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.operators.timeseries import dedup_exact
 from tidemark.schema import OBS_SCHEMA
@@ -238,12 +242,35 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def export_arrow(df: DataFrame, path: str, *, max_rows: int = 1_000_000) -> int:
-    """A result as one Arrow file on the driver; larger ones are refused (write Parquet instead).  Returns the rows written."""
-    import pyarrow as pa
-
+    """A result as one Arrow file on the driver; larger ones are refused (see `export_arrow_parts`).  Returns the rows written."""
     found = df.limit(max_rows + 1).toArrow()
     if found.num_rows > max_rows:
         raise ValueError(f"more than {max_rows} rows: export as Parquet")
     with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, found.schema) as out:
         out.write_table(found)
     return found.num_rows
+
+
+def export_arrow_parts(df: DataFrame, path: str) -> None:
+    """A result of any size as a table of whole Arrow files (column ``arrow``; ``rows`` in each), written by the tasks that hold the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_file(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows", "arrow"])
+
+    df.mapInArrow(run, "rows long, arrow binary").write.option("parquet.block.size", 16 << 20).parquet(path)
+
+
+def read_arrow_parts(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The rows of `export_arrow_parts`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0):
+                with pa.ipc.open_file(file.as_buffer()) as f:
+                    yield from (f.get_batch(i) for i in range(f.num_record_batches))
+
+    return spark.read.parquet(path).select("arrow").mapInArrow(run, schema)
