@@ -55,3 +55,37 @@ def test_wide_windows_of_many_rows_are_not_added_up_anew(spark):
     assert (r.rolling_max, r.rolling_median) == (6.0, np.median(last)) and r.rolling_mean == pytest.approx(last.mean())
     assert m.moving_avg == pytest.approx((np.arange(n)[-40_001:] % 7).mean()) and p.recent == pytest.approx((last > 3.5).mean())
     assert time.time() - start < 60
+
+
+def test_unit_root_sums_of_slices_equal_those_of_one(spark, monkeypatch):
+    y = np.cumsum(np.random.default_rng(8).normal(size=3000)) * 0.2 + np.random.default_rng(9).normal(size=3000)
+    d = spark.createDataFrame([("a" if i % 3 else "b", i, i, float(v)) for i, v in enumerate(y)], "k string, ts long, seq long, value double")
+    want = {r.k: r for r in stats.adf_test(d, BY, 20).collect()}
+    monkeypatch.setattr(stats, "ADF_SLICE_ROWS", 300)
+    got = {r.k: r for r in stats.adf_test(d, BY, 20).collect()}
+    for k, part in (("a", y[np.arange(3000) % 3 > 0]), ("b", y[::3])):
+        assert (got[k].lags, got[k].n) == (want[k].lags, want[k].n) and got[k].n == len(part) - 21 and got[k].statistic == pytest.approx(want[k].statistic)
+        step, rows = np.diff(part), np.arange(21, len(part))
+        x = np.stack([np.ones(len(rows)), part[rows - 1], *[step[rows - 1 - j] for j in range(1, got[k].lags + 1)]], axis=1)
+        beta, rss = np.linalg.lstsq(x, step[rows - 1], rcond=None)[:2]
+        se = np.sqrt(rss[0] / (len(rows) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1])
+        assert got[k].statistic == pytest.approx(beta[1] / se)
+
+
+def test_unit_root_of_many_rows_and_lags(spark):
+    """A bound of 126 lags: 8 256 sums of products a row, if each is an aggregate of its own (the key itself stops at 60)."""
+    d = spark.range(60_000).select(F.lit("a").alias("k"), F.col("id").alias("ts"), F.col("id").alias("seq"), F.rand(3).alias("value"))
+    start = time.time()
+    r = stats.adf_test(d, BY, 126).first()
+    assert r.stationary and r.n == 60_000 - 61 and time.time() - start < 90
+
+
+def test_arrow_export_has_no_limit_of_rows(spark, tmp_path):
+    from tidemark.sources import io
+
+    d = spark.range(25_000).select("id", F.concat(F.lit("é"), "id").alias("s"), F.when(F.col("id") % 7 > 0, F.col("id") / 3).alias("x"), F.array("id").alias("a"))
+    io.export_arrow_parts(d, f"{tmp_path}/parts")
+    files = spark.read.parquet(f"{tmp_path}/parts")
+    assert files.agg(F.sum("rows")).first()[0] == 25_000 and files.count() > 2
+    back = io.read_arrow_parts(spark, f"{tmp_path}/parts", d.schema)
+    assert back.schema == d.schema and back.exceptAll(d).isEmpty() and d.exceptAll(back).isEmpty()

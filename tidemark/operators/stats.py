@@ -161,6 +161,10 @@ ADF_LOW = (2.1659, 1.4412, 0.038269)
 ADF_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
 
 
+# Rows of a key whose sums one task makes at a time: a slice is a row of (lags + 3)^2 sums.
+ADF_SLICE_ROWS = 65_536
+
+
 def _adf_p(tau: float) -> float:
     low, middle, high = ADF_RANGE
     if tau <= low or tau >= high:
@@ -183,42 +187,46 @@ def adf_test(df: DataFrame, by: list[str], max_lag: int | None = None) -> DataFr
     if max_lag is None:
         longest = df.groupBy(*by).count().agg(F.max("count").alias("n")).first()["n"] or 0
         max_lag = bound(longest)
-    d = lags(df, by, {f"y{k}": ("value", k) for k in range(1, max_lag + 2)})
-    d = d.withColumn("d", F.col("value") - F.col("y1")).withColumns({f"d{k}": F.col(f"y{k}") - F.col(f"y{k + 1}") for k in range(1, max_lag + 1)})
     # Keys too short for the longest lag use the rows and lags that they have.
     sizes = df.groupBy(*by).agg(F.count("*").alias("rows"))
     own = F.least(F.lit(max_lag), F.greatest(F.lit(0), F.least(F.ceil(12 * F.pow(F.col("rows") / 100, F.lit(0.25))), F.floor(F.col("rows") / 2) - 2))).cast("int")
-    d = d.join(sizes.where("rows >= 10").withColumn("top", own), by)
-    d = d.withColumns({f"d{k}": F.when(F.col("top") >= k, F.col(f"d{k}")).otherwise(0.0) for k in range(1, max_lag + 1)})
-    have = F.lit(True)
-    for k in range(1, max_lag + 1):
-        have = have & F.col(f"d{k}").isNotNull()
-    sums = _gram(d.where(F.col("d").isNotNull() & have), [*by, "top"], "d", ["y1", *[f"d{k}" for k in range(1, max_lag + 1)]])
-    schema = ", ".join(
-        [*[f"{f.name} {f.dataType.simpleString()}" for f in sums.select(*by).schema], "statistic double, p_value double, lags int, n long, critical_1 double, critical_5 double, critical_10 double, stationary boolean"]
-    )
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                n, full = int(r.n), np.zeros((max_lag + 3, max_lag + 3))
-                full[np.triu_indices(max_lag + 3)] = r.g
-                best = None
-                for p in range(r.top + 1):
-                    keep = [*range(2 + p), max_lag + 2]
-                    sub = full[np.ix_(keep, keep)]
-                    beta, rss, inv = _solve(list(sub[np.triu_indices(len(keep))]), 2 + p)
-                    aic = n * math.log(max(rss, 1e-300) / n) + 2 * (2 + p)
-                    se = math.sqrt(max(rss / max(n - 2 - p, 1) * inv[1, 1], 1e-300))
-                    if best is None or aic < best[0]:
-                        best = (aic, beta[1] / se, p)
-                crit = [sum(c / n**i for i, c in enumerate(cs)) for cs in ADF_CRITICAL.values()]
-                pv = _adf_p(best[1])
-                rows.append((*[getattr(r, b) for b in by], best[1], pv, best[2], n, *crit, pv < 0.05))
-            yield pd.DataFrame(rows, columns=[*by, "statistic", "p_value", "lags", "n", "critical_1", "critical_5", "critical_10", "stationary"])
-
-    return sums.mapInPandas(run, schema)
+    d = with_row_halo(df, by, max_lag + 1, rows=ADF_SLICE_ROWS)
+    d = d.join(F.broadcast(sizes.where("rows >= 10").select(*by, own.alias("top"))), by)
+    keys = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*by).schema)
+    names = [*by, "statistic", "p_value", "lags", "n", "critical_1", "critical_5", "critical_10", "stationary"]
+
+    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Normal-equation sums of a slice: the step on 1, the level before it and the steps before it."""
+        pdf = pdf.sort_values("idx")
+        y, top = pdf["value"].to_numpy(float), int(pdf["top"].iat[0])
+        step = np.diff(y)
+        rows = np.flatnonzero(pdf["own"].to_numpy(bool) & (pdf["idx"].to_numpy() > top))
+        g = np.zeros((top + 3, top + 3))
+        for i in range(0, len(rows), 4096):
+            at = rows[i : i + 4096]
+            m = np.stack([np.ones(len(at)), y[at - 1], *[step[at - 1 - k] for k in range(1, top + 1)], step[at - 1]])
+            g += m @ m.T
+        return pd.DataFrame([(*key[: len(by)], top, len(rows), g.ravel().tolist())], columns=[*by, "top", "n", "g"])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, top = int(pdf["n"].sum()), int(pdf["top"].iat[0])
+        full = np.sum([np.asarray(g, float) for g in pdf["g"]], axis=0).reshape(top + 3, top + 3)
+        best = None
+        for p in range(top + 1):
+            keep = [*range(2 + p), top + 2]
+            sub = full[np.ix_(keep, keep)]
+            beta, rss, inv = _solve(list(sub[np.triu_indices(len(keep))]), 2 + p)
+            aic = n * math.log(max(rss, 1e-300) / n) + 2 * (2 + p)
+            se = math.sqrt(max(rss / max(n - 2 - p, 1) * inv[1, 1], 1e-300))
+            if best is None or aic < best[0]:
+                best = (aic, beta[1] / se, p)
+        crit = [sum(c / n**i for i, c in enumerate(cs)) for cs in ADF_CRITICAL.values()]
+        pv = _adf_p(best[1])
+        return pd.DataFrame([(*key, best[1], pv, best[2], n, *crit, pv < 0.05)], columns=names)
+
+    parts = d.groupBy(*by, "slice").applyInPandas(sums, f"{keys}top int, n long, g array<double>")
+    shape = "statistic double, p_value double, lags int, n long, critical_1 double, critical_5 double, critical_10 double, stationary boolean"
+    return parts.groupBy(*by).applyInPandas(run, keys + shape)
 
 
 def _normal_cdf(z: np.ndarray) -> np.ndarray:
