@@ -137,3 +137,34 @@ def test_slices_and_stream_give_the_same_scores(spark, tmp_path):
 
 def test_forest_of_an_empty_table(spark):
     assert anomaly.rcf_scores(series(spark, 3).limit(0), BY).count() == 0
+
+
+def test_runs_side_by_side_share_their_steps(monkeypatch):
+    """Eight stretches of a series cost the steps of one, and score as one forest after the other."""
+    rng = np.random.default_rng(3)
+    points = rng.choice([1.0, 2.0, 50.0], 2000)[:, None] * rng.integers(1, 9, (2000, 1))
+    alone, together = (anomaly.Scorer(6, 32, 1, 42, 256) for _ in range(2))
+    want = np.array([alone.score(p) for p in points])
+    steps, walk = [], anomaly.CutForest._walk
+    monkeypatch.setattr(anomaly.CutForest, "_walk", lambda self, *a, **k: steps.append(1) or walk(self, *a, **k))
+    got = np.concatenate([together.score_all(points[a:b]) for a, b in ((0, 100), (100, 1900), (1900, 2000))])
+    assert (got == want).all() and together.place == 2000
+    assert len(steps) <= 100 + 156 + (32 + 256) + 100 + 32
+
+
+def test_probes_are_dealt_and_scored_together(spark, monkeypatch):
+    monkeypatch.setattr(anomaly, "PROBES", 40)
+    d = series(spark, 300)
+    history, probes = d.where("ts < 200"), d.where("ts >= 200").unionByName(d.limit(1).selectExpr("'new' AS k", "ts", "seq", "value"))
+    walks, walk = [], anomaly.CutForest._walk
+    got = anomaly.rcf_score_transient(history, probes, BY, trees=5, size=64).collect()
+    want = []
+    for k in ("a", "b"):
+        scorer = anomaly.Scorer(5, 64, 1, 42, anomaly.RESTART, 64)
+        scorer.warm(np.array([[r.value] for r in history.where(f"k = '{k}'").orderBy("ts").collect()][-64:]))
+        values = [r.value for r in probes.where(f"k = '{k}'").collect()]
+        want += [(k, v, scorer.forest.offer(np.array([v]), 64, learn=False)) for v in values]
+        monkeypatch.setattr(anomaly.CutForest, "_walk", lambda self, *a, **k: walks.append(1) or walk(self, *a, **k))
+        scorer.forest.probe(np.array(values)[:, None], 64)
+        monkeypatch.setattr(anomaly.CutForest, "_walk", walk)
+    assert sorted((r.k, r.value, r.score) for r in got) == sorted([*want, ("new", 50.0, 1.0)]) and len(walks) == 2
