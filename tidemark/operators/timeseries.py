@@ -129,6 +129,12 @@ def recent_window(df: DataFrame, by: list[str], secs: int) -> DataFrame:
     return df.join(last, by).where(F.col("ts") > F.col("last_ts") - secs).drop("last_ts")
 
 
+def before_window(df: DataFrame, by: list[str], secs: int) -> DataFrame:
+    """Rows with ts <= last ts - secs: what `recent_window` leaves out."""
+    last = df.groupBy(*by).agg(F.max("ts").alias("last_ts"))
+    return df.join(last, by).where(F.col("ts") <= F.col("last_ts") - secs).drop("last_ts")
+
+
 def latest_per_label(df: DataFrame, by: list[str], label: str) -> DataFrame:
     """Latest value of each label value (``?`` if missing); equal ts: the first row."""
     key = F.coalesce(F.col("labels")[label], F.lit("?"))

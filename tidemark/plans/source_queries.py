@@ -324,7 +324,7 @@ def rcf_transient(spark, sf_dir):
     """The last day of each metric against forests of the days before it."""
     obs = observations(spark, sf_dir)
     recent = timeseries.recent_window(obs, BY, DAY)
-    past = obs.join(recent.select("seq"), "seq", "left_anti")
+    past = timeseries.before_window(obs, BY, DAY)
     return rounded(anomaly.rcf_score_transient(past, recent, BY), "score")
 
 
