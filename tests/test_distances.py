@@ -78,3 +78,20 @@ def test_dbscan_edges(spark):
     assert density_clusters.dbscan(df.limit(0), ["a"], "id").count() == 0
     with pytest.raises(ValueError, match="scaler"):
         density_clusters.dbscan(df, ["a"], "id", scaler="other")
+
+
+def test_dbscan_groups_are_bounded(spark, monkeypatch):
+    """Where eps is as wide as the table, a group's halo is the whole table; no task may hold it."""
+    for name, value in (("ROWS_A_PIVOT", 100), ("CHUNK", 40), ("BLOCK", 16), ("MEMBERS", 50)):
+        monkeypatch.setattr(density_clusters, name, value)
+    kept, write = {}, density_clusters.materialize
+    monkeypatch.setattr(density_clusters, "materialize", lambda df, name: kept.setdefault(name, write(df, name)))
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (500, 16))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, " + ", ".join(f"f{i} double" for i in range(16)))
+    got = {r.id: (r.cluster, r.core) for r in density_clusters.dbscan(df, [f"f{i}" for i in range(16)], "id", eps=0.85, min_samples=5, scaler=None).collect()}
+    assert got == clusters(x, list(range(500)), 0.85, 5) and len(set(got.values())) > 3
+    groups = kept["groups"]
+    keys = [c for c in ("cell", "chunk", "lot") if c in groups.columns]
+    assert max(r["count"] for r in groups.groupBy(*keys).count().collect()) <= 2 * (40 + 50)
