@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import grid as G
 from tidemark.operators.ranks import quantiles
+from tidemark.sources.scratch import materialize
 
 TINY = 1e-12
 
@@ -17,17 +18,18 @@ def trend_fit(
     """Least squares on seconds since the first finite point, and the residuals' spread.
 
     Keys with fewer than max(min_samples, 2) points, no time span or no variance of time are left out.
+    What a key's rows meet is written first: by its size Spark sees whether it may go to the rows instead of a key's rows to one task.
     """
     ok = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
     d = df.where(ok).select(*by, "ts", "seq", "value")
-    ends = d.groupBy(*by).agg(F.min("ts").alias("origin_ts"))
+    ends = materialize(d.groupBy(*by).agg(F.min("ts").alias("origin_ts")), "origins")
     d = d.join(ends, by).withColumn("x", (F.col("ts") - F.col("origin_ts")).cast("double"))
     g = d.groupBy(*by).agg(
         F.count("*").alias("samples"), F.max("x").alias("span"), F.max("ts").alias("anchor_ts"), F.min("origin_ts").alias("origin_ts"),
         F.max_by("value", F.struct("ts", "seq")).alias("current"), F.avg("value").alias("mean"),
         F.min("value").alias("low"), F.max("value").alias("high"), F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("offset"), F.regr_sxx("value", "x").alias("sxx"),
     )
-    g = g.where((F.col("samples") >= max(min_samples, 2)) & (F.col("span") > 0) & (F.col("sxx") > TINY))
+    g = materialize(g.where((F.col("samples") >= max(min_samples, 2)) & (F.col("span") > 0) & (F.col("sxx") > TINY)), "lines")
     r = d.drop("origin_ts").join(g, by).withColumn("res", F.col("value") - (F.col("offset") + F.col("slope") * F.col("x")))
     spread = r.groupBy(*by).agg(
         F.sum(F.col("res") * F.col("res")).alias("sse"), F.sum((F.col("value") - F.col("mean")) ** 2).alias("sst")
