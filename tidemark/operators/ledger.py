@@ -498,8 +498,11 @@ def already_processed(markers: DataFrame, ts: int) -> DataFrame:
 
 
 def time_split(df: DataFrame, by: list[str], train: float = 0.8) -> DataFrame:
-    """Chronological split: rows up to the share ``train`` of a key's time span are training rows."""
-    ends = df.groupBy(*by).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    """Chronological split: rows up to the share ``train`` of a key's time span are training rows.
+
+    Spans are written first: by their size Spark sees whether they may go to the rows instead of a key's rows to one task.
+    """
+    ends = materialize(df.groupBy(*by).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")), "spans")
     at = F.col("lo") + (F.col("hi") - F.col("lo")) * train
     return df.join(ends, by).withColumn("part", F.when(F.col("ts") <= at, "train").otherwise("test")).drop("lo", "hi")
 
@@ -621,10 +624,7 @@ def param_sweep(
 
 
 def loss_runs(df: DataFrame, by: list[str]) -> DataFrame:
-    """Runs of consecutive losing trades."""
-    d = df.where("status = 'closed' AND pnl_pct IS NOT NULL")
-    whole = fits(d, by)
-    d = with_lag(d, by, {"before": "pnl_pct"}, whole=whole)
-    flips = (F.col("before").isNull() | ((F.col("before") > 0) != (F.col("pnl_pct") > 0))).cast("long")
-    d = with_running(d, by, {"run": flips}, whole=whole)
+    """Runs of consecutive losing trades: those with as many won trades before them, by (ts, seq, order_id)."""
+    d = df.where("status = 'closed' AND pnl_pct IS NOT NULL").select(*by, "ts", "seq", "order_id", "pnl_pct")
+    d = with_running(d, by, {"run": (F.col("pnl_pct") > 0).cast("long")}, ties=["order_id"])
     return d.where("pnl_pct <= 0").groupBy(*by, "run").agg(F.count("*").alias("length"), F.min("ts").alias("start"))

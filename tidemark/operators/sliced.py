@@ -106,10 +106,10 @@ def with_lag(
     return d.select(*df.columns, *[F.col("__prev")[n].alias(n) for n in columns])
 
 
-def _with_upto(df: DataFrame, by: list[str], terms: dict[str, Column], fn, *, ts: str, seq: str, rows: int | None, whole: bool | None) -> DataFrame:
+def _with_upto(df: DataFrame, by: list[str], terms: dict[str, Column], fn, *, ts: str, seq: str, rows: int | None, whole: bool | None, ties: list[str] | None = None) -> DataFrame:
     """Adds ``fn`` of each term over the rows of the key up to and including each row by (ts, seq)."""
     d = df.withColumns({f"__{n}": e for n, e in terms.items()})
-    upto = lambda *keys: Window.partitionBy(*keys).orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, 0)
+    upto = lambda *keys: Window.partitionBy(*keys).orderBy(ts, seq, *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
     if fits(df, by, rows) if whole is None else whole:
         return d.withColumns({n: fn(f"__{n}").over(upto(*by)) for n in terms}).select(*df.columns, *terms)
     d = with_slices(d, by, ts=ts, seq=seq, rows=rows)
@@ -123,10 +123,11 @@ def _with_upto(df: DataFrame, by: list[str], terms: dict[str, Column], fn, *, ts
 
 
 def with_running(
-    df: DataFrame, by: list[str], sums: dict[str, Column], *, ts: str = "ts", seq: str = "seq", rows: int | None = None, whole: bool | None = None
+    df: DataFrame, by: list[str], sums: dict[str, Column], *, ts: str = "ts", seq: str = "seq", rows: int | None = None, whole: bool | None = None,
+    ties: list[str] | None = None,
 ) -> DataFrame:
-    """Adds running sums {name: expression} up to and including each row of the key by (ts, seq); 0 where all are null."""
-    d = _with_upto(df, by, sums, F.sum, ts=ts, seq=seq, rows=rows, whole=whole)
+    """Adds running sums {name: expression} up to and including each row of the key by (ts, seq, ties...); 0 where all are null."""
+    d = _with_upto(df, by, sums, F.sum, ts=ts, seq=seq, rows=rows, whole=whole, ties=ties)
     return d.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in sums})
 
 
