@@ -31,3 +31,14 @@ def test_a_common_opening_brings_nobody_together(spark):
     got = {(r.doc_id, r.pattern) for r in text.pattern_hits(docs, patterns, "doc_id").collect()}
     all_ = [r.pattern for r in patterns.collect()]
     assert got == {(r.doc_id, p) for r in rows.collect() for p in all_ if p in r.text} and len(got) == 7
+
+
+def test_passages_of_words_meet_texts_by_words(spark, monkeypatch):
+    """Words and spaces in all positions, cut words at the ends, several spaces; texts are not taken apart into runs of characters."""
+    grams = text._grams
+    monkeypatch.setattr(text, "_grams", lambda column, n: grams(column, n) if column == "pattern" else pytest.fail("characters"))
+    texts = ["one two three four five six", "xone two three four fivex six", "one  two three  four five", " one two three four five ", "", "two three four", None, "one two three four\nfive six", "é two three four five é"]
+    patterns = ["one two three four five", "ne two three four fiv", "one  two three  four", " two three four ", "two three four five six seven", "  two three  four ", "two three four\nfive six x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.pattern) for r in text.pattern_hits(docs, spark.createDataFrame([(p,) for p in patterns], "pattern string"), "doc_id").collect()}
+    assert got == {(i, p) for i, t in enumerate(texts) for p in patterns if t and p in t} and len(got) > 8

@@ -11,6 +11,8 @@ from tidemark.sources.scratch import materialize
 
 #: Patterns of one regular expression; all of them are tested, in as many expressions as it takes.
 ALTERNATIVES = 256
+#: Whole words in a row by which patterns and texts meet.
+WORDS = 3
 
 
 def pattern_match(df: DataFrame, patterns: list[str], text: str = "text", matched: str = "matched") -> DataFrame:
@@ -48,21 +50,40 @@ def _grams(text: str, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
+def _inner(text: str, words: int, cut: int) -> Column:
+    """Distinct hashes of so many words in a row, between single spaces; without the ``cut`` outermost words at both ends, which may be parts of words."""
+    w = F.split(F.col(text), " ", -1)
+    n = F.greatest(F.size(w) - 2 * cut - words + 1, F.lit(0))
+    runs = F.arrays_zip(*[F.slice(w, F.lit(cut + 1 + i), n).alias(f"w{i}") for i in range(words)])
+    return F.array_distinct(F.transform(runs, lambda r: F.xxhash64(*[r[f"w{i}"] for i in range(words)])))
+
+
 def _with_rare_gram(rows: DataFrame, patterns: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    """(row, pattern) where the row holds the pattern's rarest n-gram; patterns with an n-gram that no text holds are nowhere."""
-    of = patterns.select("pattern", F.explode(_grams("pattern", n)).alias("g"))
-    held = rows.select(id_col, F.explode(_grams(text, n)).alias("g"))
-    counts = held.select("g").join(of.select("g").distinct(), "g").groupBy("g").agg(F.count(F.lit(1)).alias("texts"))
-    rarest = of.join(counts, "g", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "g")).alias("x"))
-    rarest = materialize(rarest.where("x.texts > 0").select("pattern", "x.g"), "rare-grams")
-    return held.join(rarest, "g").select(id_col, "pattern")
+    """(row, pattern) where the row holds the pattern's rarest gram; patterns with a gram that no text holds are nowhere.
+
+    Grams are runs of ``WORDS`` whole words where a pattern has such inside it, else ``n`` characters.
+    """
+    worded = F.size(F.split("pattern", " ", -1)) >= WORDS + 2
+    p = materialize(patterns.select("pattern", worded.alias("worded")).distinct(), "patterns")
+    kinds = {r[0] for r in p.select("worded").distinct().collect()}
+    out = None
+    for kind in sorted(kinds):
+        of_pattern, of_text = (_inner("pattern", WORDS, 1), _inner(text, WORDS, 0)) if kind else (_grams("pattern", n), _grams(text, n))
+        of = materialize(p.where(F.col("worded") == kind).select("pattern", F.explode(of_pattern).alias("g")), "pattern-grams")
+        held = rows.select(id_col, F.explode(of_text).alias("g"))
+        counts = held.select("g").join(of.select("g").distinct(), "g").groupBy("g").agg(F.count(F.lit(1)).alias("texts"))
+        rarest = of.join(counts, "g", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "g")).alias("x"))
+        rarest = materialize(rarest.where("x.texts > 0").select("pattern", "x.g"), "rare-grams")
+        found = held.join(rarest, "g").select(id_col, "pattern")
+        out = found if out is None else out.unionByName(found)
+    return rows.select(id_col).join(p.select("pattern"), F.lit(True)).limit(0) if out is None else out
 
 
 def pattern_hits(df: DataFrame, patterns: DataFrame, id_col: str, text: str = "text", n: int = 8) -> DataFrame:
     """One row per (row, contained pattern).
 
-    Patterns of at least ``n`` characters meet texts by an equi-join on that n-gram of theirs which the fewest texts hold (a common
-    opening brings nobody together); shorter ones by the same join on the n-grams of their own length.
+    Patterns of at least ``n`` characters meet texts by an equi-join on that gram of theirs (words in a row, or ``n`` characters) which the fewest
+    texts hold (a common opening brings nobody together); shorter ones by the same join on the n-grams of their own length.
     """
     p = patterns.select("pattern").where("pattern <> ''").distinct()
     rows = df.select(F.col(id_col), F.col(text)).where(F.col(text).isNotNull())
