@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.operators import concordance, density_clusters, sliced, stats
+from tidemark.operators import concordance, density_clusters, ml, sliced, stats
 
 
 def tau_b(xs, ys):
@@ -95,3 +95,15 @@ def test_dbscan_groups_are_bounded(spark, monkeypatch):
     groups = kept["groups"]
     keys = [c for c in ("cell", "chunk", "lot") if c in groups.columns]
     assert max(r["count"] for r in groups.groupBy(*keys).count().collect()) <= 2 * (40 + 50)
+
+
+def test_equal_points_of_a_plane_are_one(spark, monkeypatch):
+    kept, write = {}, ml.materialize
+    monkeypatch.setattr(ml, "materialize", lambda df, name: kept.setdefault(name, write(df, name)))
+    rng = np.random.default_rng(6)
+    x = np.concatenate((rng.integers(0, 9, (60, 2)), np.repeat(rng.integers(20, 60, (12, 2)), [1, 2, 3, 4, 5, 6] * 2, axis=0))).astype(float)
+    ids = rng.permutation(len(x)) + 1
+    df = spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(ids, x, strict=True)] + [(999, None, 1.0)], "id long, x double, y double")
+    got = {r.id: (r.cluster, r.core) for r in ml.dbscan(df, "x", "y", "id", eps=1.5, min_samples=4).collect()}
+    assert got == clusters(x, ids.tolist(), 1.5, 4) and len({c for c, _ in got.values()}) > 3
+    assert kept["points"].count() == len(np.unique(x, axis=0))

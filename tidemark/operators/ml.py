@@ -211,22 +211,26 @@ def isolation_forest(df: DataFrame, features: list[str], key: list[str], *, cont
 def dbscan(df: DataFrame, x: str, y: str, key: str, *, eps: float, min_samples: int) -> DataFrame:
     """Clusters of a plane (-1: noise); points meet through eps-cells; cluster ids are the least core key.
 
+    Equal points are one with a weight, so that copies of a table don't meet each other.
     A cell of edge eps / sqrt(2) with at least ``min_samples`` points is all core and connected, so its points are joined
     through the cell, not in pairs; only cells are compared with each other's points.
     """
     edge = eps / 2**0.5
-    p = df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    rows = df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    rows = materialize(rows, "plane")
+    p = rows.groupBy("x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"))
     p = p.withColumn("cx", F.floor(F.col("x") / edge)).withColumn("cy", F.floor(F.col("y") / edge))
-    size = p.groupBy("cx", "cy").agg(F.count("*").alias("size"))
-    p = p.join(size, ["cx", "cy"])
+    p = materialize(p, "points")
+    size = p.groupBy("cx", "cy").agg(F.sum("w").alias("size"))
+    p = materialize(p.join(size, ["cx", "cy"]), "sized")
     near = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near])
     thin = p.where(F.col("size") < min_samples).withColumn("s", F.explode(steps))
-    q = p.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
+    q = p.select(F.col("w").alias("qw"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
     close = (F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2 <= eps * eps
     met = thin.join(q, (F.col("cx") + F.col("s.i") == F.col("nx")) & (F.col("cy") + F.col("s.j") == F.col("ny"))).where(close)
-    sparse_core = met.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id")
-    core = p.where(F.col("size") >= min_samples).unionByName(p.join(sparse_core, "id", "left_semi"))
+    sparse_core = met.groupBy("id").agg(F.sum("qw").alias("n")).where(F.col("n") >= min_samples).select("id")
+    core = materialize(p.where(F.col("size") >= min_samples).unionByName(p.join(sparse_core, "id", "left_semi")), "core")
     cells = core.groupBy("cx", "cy").agg(F.min("id").alias("root"))
     pts = core.select("id", "x", "y", "cx", "cy")
     other = pts.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
@@ -243,4 +247,5 @@ def dbscan(df: DataFrame, x: str, y: str, key: str, *, eps: float, min_samples:
     c = labelled.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), "cluster")
     border = rest.join(c, (F.col("cx") + F.col("s.i") == F.col("nx")) & (F.col("cy") + F.col("s.j") == F.col("ny"))).where(close).groupBy("id").agg(F.min("cluster").alias("cluster"))
     found = labelled.select("id", "cluster", F.lit(True).alias("core")).unionByName(border.select("id", "cluster", F.lit(False).alias("core")))
-    return p.select("id").join(found, "id", "left").select(F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
+    labels = p.select("x", "y", "id").join(found, "id", "left").select("x", "y", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
+    return rows.join(labels, ["x", "y"]).select(F.col("id").alias(key), "cluster", "core")
