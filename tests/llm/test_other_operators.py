@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -70,6 +71,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r.record_type for r in small} == {"response"} and len(small) == len(rows)
 
 
+def test_warc_round_trip_keeps_payloads_in_the_archives_only(spark, tmp_path):
+    rng = random.Random(3)
+    pages = spark.createDataFrame([(i, "u", "%0100000x" % rng.getrandbits(400_000)) for i in range(20)], "page_id long, url string, html string")
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before = set(shared.glob("*/warc-records-*"))
+    assert warc.round_trip(pages, path=f"{tmp_path}/w").agg(F.sum("payload_bytes")).first()[0] == 2_000_000
+    (new,) = set(shared.glob("*/warc-records-*")) - before
+    assert sum(f.stat().st_size for f in new.iterdir()) < 300_000
+    assert {len(r.payload) for r in warc.read_archives(spark, f"{tmp_path}/w").collect()} == {100_000}
+
+
 def test_warc_false_magic_inside_a_member(spark, tmp_path):
     """Stored (uncompressed) members that hold the magic bytes, and the WARC header text, across ranges."""
     def member(data):

@@ -210,14 +210,20 @@ def _row(fields: dict[str, str], body: bytes) -> tuple | None:
     return (page("warc-record-id"), size, digest, kind, page("warc-refers-to"), kind, fields.get("warc-target-uri", ""), fields.get("warc-record-id"), payload)
 
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
+def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """The columns ``names``, the first ones of RECORDS."""
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
     cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(cols[i], kinds[i]) for i in range(len(names))], names=names)
 
 
-def read_archives(spark: SparkSession, path: str, *, on_broken: str = "raise") -> DataFrame:
-    """The response and revisit records of all archives in ``path``, with payloads."""
+def read_archives(spark: SparkSession, path: str, *, on_broken: str = "raise", payloads: bool = True) -> DataFrame:
+    """The response and revisit records of all archives in ``path``.
+
+    Without ``payloads`` they are read and checked against their digests too, but neither written to the scratch folder nor returned.
+    """
+    records = RECORDS if payloads else RECORDS.removesuffix(", payload binary")
+    names = NAMES if payloads else NAMES[:-1]
     if on_broken not in ("raise", "keep"):
         raise ValueError(f"on_broken: {on_broken!r}")
     pieces = (
@@ -253,7 +259,7 @@ def read_archives(spark: SparkSession, path: str, *, on_broken: str = "raise") -
 
         def flush() -> pa.RecordBatch:
             nonlocal rows, size, frags
-            table, n, k = _table(rows), len(rows), len(frags)
+            table, n, k = _table(rows, names), len(rows), len(frags)
             cols = [pa.concat_arrays([c, pa.nulls(k, c.type)]) for c in table.columns]
             for i, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary())):
                 cols.append(pa.concat_arrays([pa.nulls(n, kind), pa.array([f[i] for f in frags], kind)]))
@@ -285,7 +291,7 @@ def read_archives(spark: SparkSession, path: str, *, on_broken: str = "raise") -
         close()
         yield flush()
 
-    schema = f"{RECORDS}, file string, block long, place long, bytes binary"
+    schema = f"{records}, file string, block long, place long, bytes binary"
     found = materialize(pieces.mapInArrow(whole, schema), "warc-records")
 
     def complete(key: tuple, rows: pa.Table) -> pa.Table:
@@ -310,14 +316,14 @@ def read_archives(spark: SparkSession, path: str, *, on_broken: str = "raise") -
         if bad and on_broken == "raise":
             raise ValueError(f"{sum(map(len, bad))} bytes of {key[0]} are no complete gzip member with WARC records")
         out += [(None, len(x), None, None, None, "broken", None, None, x) for x in bad]
-        return pa.Table.from_batches([_table(out)])
+        return pa.Table.from_batches([_table(out, names)])
 
-    crossing = found.where("bytes IS NOT NULL").groupBy("file").applyInArrow(complete, RECORDS)
-    return found.where("bytes IS NULL").select(*NAMES).unionByName(crossing)
+    crossing = found.where("bytes IS NOT NULL").groupBy("file").applyInArrow(complete, records)
+    return found.where("bytes IS NULL").select(*names).unionByName(crossing)
 
 
 def round_trip(pages: DataFrame, *, min_payload: int = 0, path: str | None = None) -> DataFrame:
     """Write ``pages`` and read the archives back: one row per page."""
     path = path or scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path, min_payload=min_payload)
-    return read_archives(pages.sparkSession, path).drop("warc_type", "url", "record_id", "payload")
+    return read_archives(pages.sparkSession, path, payloads=False).drop("warc_type", "url", "record_id")
