@@ -113,14 +113,40 @@ def pca(df: DataFrame, features: list[str], variance: float = 0.95):
 
 
 def ica(df: DataFrame, features: list[str], *, max_iter: int = 100, tol: float = 1e-6, seed: int = 42):
-    """(sources per row, mixing matrix) by FastICA: whitening and every step are aggregates of d x d sums."""
+    """(sources per row, mixing matrix) by FastICA: whitening and every step are sums of d x d numbers, added up in the tasks."""
     d, names = prepare(df, None, features)
-    m, dim = materialize(d.select(*[F.col(c).cast("double") for c in names]), "components"), len(names)  # read once a step
-    pairs = [(i, j) for i in range(dim) for j in range(i, dim)]
-    sums = m.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    mean, cov = np.array([sums[f"m{i}"] for i in range(dim)]), np.zeros((dim, dim))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = sums[f"c{i}_{j}"]
+    dim = len(names)
+
+    def pack(batches):
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            ends = pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * (8 * dim))
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(x), [None, ends, pa.py_buffer(x.tobytes())])], names=["x"])
+
+    packed = d.select(*[F.col(c).cast("double") for c in names]).mapInArrow(pack, "x binary")
+    m = materialize(packed, "components")  # read once a step: a row is one value, not dim of them
+
+    def total(size: int, of) -> np.ndarray:
+        """Sum over all rows of the ``size`` numbers that ``of`` finds for a block of rows; one array a task."""
+
+        def part(batches):
+            out = np.zeros(size)
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):  # a block's arrays stay in the processor's cache
+                    piece = b.column(0).slice(at, 1024)
+                    first, last = np.frombuffer(piece.buffers()[1], np.int32)[[piece.offset, piece.offset + len(piece)]]
+                    out += of(np.frombuffer(piece.buffers()[2], np.float64, (last - first) // 8, first).reshape(-1, dim))
+            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(out)], names=["i", "v"])
+
+        got = {r["i"]: r["v"] for r in m.mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+        return np.array([got.get(i, 0.0) for i in range(size)])
+
+    sums = total(dim + 1, lambda x: np.append(x.sum(axis=0), len(x)))
+    n = sums[dim]
+    if not n:
+        raise ValueError("no row without nulls")
+    mean = sums[:dim] / n
+    cov = total(dim * dim, lambda x: ((x - mean).T @ (x - mean)).ravel()).reshape(dim, dim) / n
     val, vec = np.linalg.eigh(cov)
     white = (vec / np.sqrt(np.maximum(val, 1e-12))).T
     rng = np.random.default_rng(seed)
@@ -131,28 +157,25 @@ def ica(df: DataFrame, features: list[str], *, max_iter: int = 100, tol: float =
 
     w = orthogonal(rng.standard_normal((dim, dim)))
     for _ in range(max_iter):
-        shared = w
 
-        def part(batches, shared=shared):
-            s, g, n = np.zeros((dim, dim)), np.zeros(dim), 0
-            for b in batches:
-                x = (np.column_stack([b.column(i).to_numpy() for i in range(dim)]) - mean) @ white.T
-                y = np.tanh(x @ shared.T)
-                s += y.T @ x
-                g += (1 - y * y).sum(axis=0)
-                n += len(x)
-            yield pa.RecordBatch.from_arrays([pa.array(range(dim * dim + dim + 1), pa.int32()), pa.array(np.concatenate((s.ravel(), g, [n])))], names=["i", "v"])
+        def step(x, shared=w):
+            x = (x - mean) @ white.T
+            y = np.tanh(x @ shared.T)
+            return np.concatenate(((y.T @ x).ravel(), (1 - y * y).sum(axis=0)))
 
-        got = {r["i"]: r["v"] for r in m.mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
-        v = np.array([got[i] for i in range(dim * dim + dim + 1)])
-        new = orthogonal(v[: dim * dim].reshape(dim, dim) / v[-1] - (v[dim * dim : -1] / v[-1])[:, None] * w)
+        v = total(dim * dim + dim, step) / n
+        new = orthogonal(v[: dim * dim].reshape(dim, dim) - v[dim * dim :, None] * w)
         gap = np.max(np.abs(np.abs((new * w).sum(axis=1)) - 1))
         w = new
         if gap < tol:
             break
     unmix = w @ white
-    sources = F.array(*[sum(((F.col(c) - float(mean[i])) * float(unmix[k, i]) for i, c in enumerate(names)), F.lit(0.0)) for k in range(dim)])
-    return d.drop("features").withColumn("sources", sources), np.linalg.pinv(unmix)
+
+    @F.pandas_udf("array<double>")
+    def sources(*cols: pd.Series) -> pd.Series:
+        return pd.Series(list((np.column_stack([c.to_numpy(float) for c in cols]) - mean) @ unmix.T))
+
+    return d.drop("features").withColumn("sources", sources(*[F.col(c).cast("double") for c in names])), np.linalg.pinv(unmix)
 
 
 def _tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list:
