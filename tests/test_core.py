@@ -328,3 +328,14 @@ def test_pct_change_query_is_the_quotient_of_its_sql_after_zero(spark, tmp_path)
     d.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
     got = [r.pct_change for r in Q.QUERIES["ts_pct_change"](spark, str(tmp_path)).orderBy("seq").collect()]
     assert got[:2] == [math.inf, -1.0] and math.isnan(got[2]) and got[3:] == [-math.inf, 2.0]
+
+
+def test_pct_change_query_rounds_ties_as_its_sql(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:00:0{i}", 1, "view", v, "{}") for i, v in enumerate([32.0, 65.19, 6.4, 12.81, 6.4, 0.0])]
+    d = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    d.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in Q.QUERIES["ts_pct_change"](spark, str(tmp_path)).orderBy("seq").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == con.execute(f"{Q.ORACLES['ts_pct_change']} ORDER BY seq").fetchall()
+    assert got[0][3] == 1.037187

@@ -53,7 +53,15 @@ def registered(sql: str | None = None):
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    """Rounds as the SQL does: a double, times 10 ** digits, to the nearest whole number; ``F.round`` looks at its decimal digits, so ties differ."""
+    kinds, scale = dict(df.dtypes), F.lit(10.0**digits)
+
+    def to(n: str) -> Column:
+        scaled = F.col(n) * scale
+        near = F.when(F.abs(scaled) < float("inf"), F.round(scaled) / scale).otherwise(F.col(n))
+        return near if kinds.get(n) == "double" else F.round(n, digits)
+
+    return df.withColumns({n: to(n) for n in names})
 
 
 def _candles(spark: SparkSession, sf_dir: str) -> DataFrame:
