@@ -76,6 +76,26 @@ def test_join_equals_brute_force(spark, k, t, chunk, heavy):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(docs, k, t)
 
 
+def test_ngram_join_chance_meetings_do_not_become_units(spark, monkeypatch):
+    """Short sets whose common words come first by chance are one candidate cluster, but hardly any of their rows reach a unit."""
+    rng = random.Random(5)
+    texts = {i: [f"own{i}x{j}" for j in range(30)] + rng.sample([f"common{j}" for j in range(60)], 10) for i in range(300)}
+    for i in range(0, 300, 50):
+        texts[1000 + i] = texts[i][1:] + ["other"]
+    monkeypatch.setattr(ngram_join, "commonness", lambda counts: np.zeros(len(counts), np.uint8))  # counts that drown in a large table
+    monkeypatch.setattr(ngram_join, "CHUNK_ROWS", 16)
+    cut, made = ngram_join._units, []
+
+    def units(*args):
+        made.append(cut(*args))
+        return made[-1]
+
+    monkeypatch.setattr(ngram_join, "_units", units)
+    got = ngram_join.similar_documents(frame(spark, {i: " ".join(t) for i, t in texts.items()}.items()), words=1, heavy_rows=50).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 1000 for i in texts}
+    assert len(made) == 1 and made[0].count() <= 2 * 6
+
+
 def test_join_edge_cases(spark):
     rows = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(frame(spark, ODD)).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 1, None), (7, 1, 7), (5, 56, 5)} <= rows

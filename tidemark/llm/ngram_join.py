@@ -14,8 +14,11 @@
    token is an item of its own.  Classes that share an item join the same block.
    Tasks reduce equal items to their least id before anything moves, so an item that a
    large part of all documents shares reaches its one partition as a row per block of rows.
-3. Blocks are merged to candidate clusters by connected components (no pairs).
-4. Clusters of more than HEAVY_ROWS classes are peeled: all members are compared with one
+3. Blocks are merged to candidate clusters by connected components (no pairs).  Chance meetings of short sets grow
+   faster than the table and tie ever more clusters together, so large clusters are taken apart again: all items of
+   their sets are counted exactly, and sets meet only by their first H + 1 items in the order of these counts.
+   Items of one set only come first and bring nobody together, so a set with more than H of them is done.
+4. Clusters of more than HEAVY_ROWS classes that are left are peeled: all members are compared with one
    pivot.  Members linked to it are connected, so pairs among them need no look any more.
    Jaccard distance obeys the triangle inequality: members whose distances to the pivot
    differ by more than the allowed distance cannot link, so a cluster falls into rings
@@ -57,6 +60,7 @@ PIVOTS = 3
 BITS_PER_ID = 8
 MAX_BITS = 1 << 24
 STAR_ITEMS = 1 << 19
+KIND_ROWS = 256
 COUNTERS = 1 << 18
 COUNT_BLOCK = 1 << 12
 SMALL_SET = 64
@@ -457,6 +461,44 @@ def _bit_rows(ids: DataFrame, bits: int, names: tuple[str, str]) -> DataFrame:
     return rows.groupBy(names[0]).agg(F.bit_or(names[1]).alias(names[1]))
 
 
+def _regrouped(heavy: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
+    """rep, n and grp of the rows of large clusters that can still link: they meet by their rarest items, counted exactly.
+
+    Up to H + 1 items of each set are looked at, as in `items`; those that no other set has take the first places.
+    """
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, KIND_ROWS):
+                piece = batch.slice(at, KIND_ROWS)
+                reps, kind, places, held = [], [], [], []
+                for rep, tokens in zip(piece.column(0).to_pylist(), _tokens(piece.column(1)), strict=True):
+                    largest = len(tokens) * limits.den // limits.num
+                    for k in {limits.size_class(len(tokens)), limits.size_class(largest)}:
+                        own = class_items(tokens, k, limits)
+                        reps.append(rep)
+                        kind.append(k)
+                        places.append(limits.apart(len(tokens), largest) + 1 - len(own))
+                        held.append(own)
+                ends = np.cumsum([0] + [len(x) for x in held]).astype(np.int32)
+                flat = np.concatenate(held) if held else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(reps, pa.int64()), pa.array(kind, pa.int32()), pa.array(places, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    names=["rep", "kind", "places", "items"],
+                )
+
+    rows = sets.select("rep", "tokens").mapInArrow(kinds, "rep long, kind int, places long, items array<long>").select("rep", "kind", "places", F.explode("items").alias("item"))
+    often = rows.groupBy("item").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    # With s items that others have too, the others' places are taken: places left are H + 1 - (all items - s).
+    shared = rows.join(often.hint("merge"), "item").groupBy("rep", "kind", "places").agg(F.array_sort(F.collect_list(F.struct("times", "item"))).alias("shared"))
+    first = shared.withColumn("left", F.col("places") + F.size("shared")).where(F.col("left") > 0).select("rep", F.slice(F.col("shared")["item"], 1, F.col("left").cast("int")).alias("items"))
+    stars = first.mapInArrow(_star_rows, "item long, rep long")
+    lowest = F.min("rep").over(Window.partitionBy("item"))
+    near = stars.select(F.col("rep").alias("src"), lowest.alias("dst")).where("dst < src")
+    groups = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    return heavy.select("rep", "n").join(groups, "rep")
+
+
 def _fresh(df: DataFrame, name: str) -> str:
     """A column name that the table lacks."""
     taken = {c.lower() for c in df.columns}
@@ -611,7 +653,7 @@ def similar_documents(
     lowest = F.min("rep").over(Window.partitionBy("item"))
     near = stars.select(F.col("rep").alias("src"), lowest.alias("dst")).where("dst < src")
     clusters = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    clusters = materialize(clusters.join(classes, "rep"), "clusters")
+    clusters = materialize(clusters.hint("merge").join(classes, "rep"), "clusters")
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sizes = clusters.groupBy("grp").agg(((F.count("*") > heavy_rows) | (F.sum("n") * 8 > chunk_bytes)).alias("heavy"))
@@ -622,7 +664,8 @@ def similar_documents(
     known = None
     if not heavy.isEmpty():
         large = materialize(_sets_of(rows, heavy.select("rep", "s1", "s2"), words).select("rep", "tokens"), "sets")
-        state = heavy.select("rep", "n", "grp", F.lit(None).cast("long").alias("color"), F.lit(False).alias("upper"))
+        regrouped = materialize(_regrouped(heavy, large, limits), "regrouped")
+        state = regrouped.select("rep", "n", "grp", F.lit(None).cast("long").alias("color"), F.lit(False).alias("upper"))
         known, state = _peel(state, large, limits, heavy_rows)
         sets = sets.unionByName(_units(state, chunk_bytes).join(large, "rep").select(*_UNIT))
     links = (
@@ -633,7 +676,7 @@ def similar_documents(
     if known is not None:
         links = links.unionByName(known)
     found = connected_components(links).select(F.col("node").alias("rep"), "component")
-    named = classes.select("s1", "s2", "rep").join(found, "rep", "left").select(
+    named = classes.select("s1", "s2", "rep").join(found.hint("merge"), "rep", "left").select(
         "s1", "s2", F.coalesce("component", "rep").alias("component")
     )
     out = sig.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")

@@ -16,7 +16,7 @@ from tidemark.sources.scratch import materialize
 def _toward_minimum(sym: DataFrame, up: bool) -> DataFrame:
     """Link neighbours to the least node of each neighbourhood; ``up``: only larger neighbours move."""
     least = sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    met = sym.join(least, F.col("u") == F.col("k"))
+    met = sym.join(least.hint("merge"), F.col("u") == F.col("k"))  # Parquet packs ids so tightly that a table too large to broadcast looks small
     if up:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
