@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,29 @@ def test_keep_one_returns_columns_of_any_name(spark):
     assert sorted(tuple(r) for r in ngram_join.keep_one(df).collect()) == [(1, text, 7, "a", 5, 6), (3, prose(2, 40), 9, "c", 5, 6)]
 
 
+def test_met_ids_move_packed(spark):
+    """All ids of an item are tied together, nobody else, in less than half the 24 bytes of a plain row; negative ids too."""
+    rng = random.Random(8)
+    lists = {i: [rng.getrandbits(48) for _ in range(400)] for i in range(-2, 300)}
+    for i in range(0, 300, 7):
+        lists[i][:3] = lists[i % 21 - 1][:3]
+    d = spark.createDataFrame([*lists.items()], "doc_id long, items array<long>")
+    got = [tuple(r) for r in ngram_join._met(d, 100_000, ngram_join.Limits(Fraction(4, 5))).collect()]
+    assert all(j < i and set(lists[i]) & set(lists[j]) for i, j in got)
+
+    def least(pairs):
+        low = {i: i for i in lists}
+        for _ in lists:
+            for i, j in pairs:
+                low[i] = low[j] = min(low[i], low[j])
+        return low
+
+    assert least(got) == least([(i, j) for i in lists for j in lists if j < i and set(lists[i][:3]) & set(lists[j][:3])])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [*lists], "items": [*lists.values()]})
+    moved = [x for b in ngram_join._star_buckets(iter([batch]), 16) for c in (1, 2) for x in b.column(c).to_pylist()]
+    assert len(zlib.compress(b"".join(moved), 1)) < 12 * 400 * len(lists)
+
+
 def test_star_rows_link_all_documents_of_an_item():
     import pyarrow as pa
 

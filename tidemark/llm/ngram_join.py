@@ -13,7 +13,8 @@
    geometric classes, so partners use the same number of parts.  For small sets every
    token is an item of its own.  Classes that share an item join the same block.
    Tasks reduce equal items to their least id before anything moves, so an item that a
-   large part of all documents shares reaches its one partition as a row per block of rows.
+   large part of all documents shares reaches its one bucket once per block of rows; items
+   move sorted, 48 bits of each, packed by buckets.
 3. Blocks are merged to candidate clusters by connected components (no pairs).  Chance meetings of short sets grow
    faster than the table and tie ever more clusters together, so large clusters are taken apart again: all items of
    their sets are counted exactly, and sets meet only by their first H + 1 items in the order of these counts.
@@ -46,7 +47,8 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import hash_words, map_texts, mix, shingle_hashes, slices, utf8
@@ -61,6 +63,8 @@ BITS_PER_ID = 8
 MAX_BITS = 1 << 24
 STAR_ITEMS = 1 << 19
 KIND_ROWS = 256
+ITEM_BITS = 48
+BUCKET_ITEMS = 1 << 18
 COUNTERS = 1 << 18
 COUNT_BLOCK = 1 << 12
 SMALL_SET = 64
@@ -180,21 +184,19 @@ def signatures(documents: DataFrame, *, id_col: str, text_col: str, words: int,
         sets = token_sets(batch.column(1).to_pylist(), words)
         halves = [digest(s) for s in sets]
         keys = [items(s, limits, levels.value) for s in sets]
-        offsets = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([h[0] for h in halves], pa.int64()),
                 pa.array([h[1] for h in halves], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                pa.array([_list_bytes(k) for k in keys], pa.binary()),
             ],
             names=["doc_id", "n", "s1", "s2", "items"],
         )
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_texts(rows, run, "doc_id long, n long, s1 long, s2 long, items array<long>")
+    return map_texts(rows, run, "doc_id long, n long, s1 long, s2 long, items binary")
 
 
 class _Node:
@@ -415,32 +417,55 @@ def _trie_links(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[p
         yield done()
 
 
+def _short(items: np.ndarray) -> np.ndarray:
+    """Items cut to ITEM_BITS: two that become equal only bring sets together that have no link."""
+    return items.view(np.uint64) >> np.uint64(64 - ITEM_BITS)
+
+
+def _list_bytes(items: np.ndarray) -> bytes:
+    return np.ascontiguousarray(_short(items).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - ITEM_BITS // 8 :]).tobytes()
+
+
+def _item_lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All items of a column of lists (or of bytes as `_list_bytes` makes them), and how many each row has."""
+    if pa.types.is_list(col.type):
+        return col.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.asarray(pc.list_value_length(col), np.int64)
+    width = ITEM_BITS // 8
+    raw = np.frombuffer(b"".join(x.as_buffer() for x in col), np.uint8).reshape(-1, width)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, 8 - width :] = raw
+    return wide.view(">u8").ravel().astype(np.uint64), np.asarray(pc.binary_length(col), np.int64) // width
+
+
+def _least(found: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each item once with its least id; the other ids of the items with those, each pair once."""
+    order = np.lexsort((reps, found))
+    found, reps = found[order], reps[order]
+    first = np.concatenate((np.ones(min(1, len(found)), bool), found[1:] != found[:-1]))
+    low = reps[first][np.cumsum(first) - 1] if len(found) else reps
+    src, dst = reps[~first], low[~first]
+    order = np.lexsort((dst, src))
+    src, dst = src[order], dst[order]
+    new = (src != dst) & np.concatenate((np.ones(min(1, len(src)), bool), (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])))
+    return found[first], reps[first], src[new], dst[new]
+
+
 def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, items) as (item, rep): the least id of each item; each other id meets it under a key of their own."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        found, reps = (np.concatenate(x) for x in zip(*held, strict=True))
+        found, reps, src, dst = _least(*(np.concatenate(x) for x in zip(*held, strict=True)))
         held.clear()
-        order = np.lexsort((reps, found))
-        found, reps = found[order], reps[order]
-        first = np.concatenate((np.ones(min(1, len(found)), bool), found[1:] != found[:-1]))
-        low = reps[first][np.cumsum(first) - 1] if len(found) else reps
-        src, dst = reps[~first], low[~first]
-        order = np.lexsort((dst, src))
-        src, dst = src[order], dst[order]
-        new = (src != dst) & np.concatenate((np.ones(min(1, len(src)), bool), (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])))
-        src, dst = src[new], dst[new]
-        own = mix(src.astype(np.uint64) ^ mix(dst.astype(np.uint64) + np.uint64(_GOLD))).view(np.int64)
-        keys, ids = np.concatenate((found[first], own, own)), np.concatenate((reps[first], src, dst))
+        own = _short(mix(src.astype(np.uint64) ^ mix(dst.astype(np.uint64) + np.uint64(_GOLD))))
+        keys, ids = np.concatenate((found, own, own)).view(np.int64), np.concatenate((reps, src, dst))
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["item", "rep"])
 
     size = 0
     for batch in batches:
-        lists = batch.column(1)
-        counts = np.diff(lists.offsets.to_numpy()) if batch.num_rows else np.zeros(0, np.int64)
-        held.append((lists.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column(0).to_numpy(), counts)))
-        size += len(held[-1][0])
+        found, counts = _item_lists(batch.column(1))
+        held.append((found, np.repeat(batch.column(0).to_numpy(), counts)))
+        size += len(found)
         if size >= STAR_ITEMS:
             yield flush()
             size = 0
@@ -448,6 +473,37 @@ def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _star_buckets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The rows of `_star_rows`, items of ITEM_BITS, by buckets, which are ranges of items: their gaps and ids, byte by byte as in `_packed`."""
+    for batch in _star_rows(batches):
+        keys, ids = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        keys, ids = keys[order], ids[order]
+        bucket = ((keys >> np.uint64(ITEM_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)
+        used, starts = np.unique(bucket, return_index=True)
+        gaps = np.diff(keys, prepend=np.uint64(0))
+        gaps[starts] = keys[starts]
+        spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)) if len(keys) else []
+        packs = [pa.array([_packed(x[a:b]) for a, b in spans], pa.binary()) for x in (gaps, ids)]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *packs], names=["bucket", "items", "reps"])
+
+
+def _met(lists: DataFrame, tokens: int, limits: Limits) -> DataFrame:
+    """(src, dst): each id that shares an item with a lesser one, with the least such id of that item.  ``tokens``: of all sets, about."""
+    items = 2 * limits.apart(tokens, tokens * limits.den // limits.num)
+    partitions = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(1 << 30, max(items // BUCKET_ITEMS, 4 * partitions))
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        found = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in _tokens(rows.column("items"))])
+        reps = np.concatenate(_tokens(rows.column("reps"))).view(np.int64)
+        _, _, src, dst = _least(found, reps)
+        return pa.table([pa.array(src), pa.array(dst)], names=["src", "dst"])
+
+    stars = lists.mapInArrow(lambda batches: _star_buckets(batches, buckets), "bucket int, items binary, reps binary")
+    return stars.groupBy("bucket").applyInArrow(meet, "src long, dst long")
+
+
 def _bits(ids: int) -> int | None:
     """Size of a bitmap for so many ids; None where it would exceed MAX_BITS."""
     bits = 1 << max(17, (BITS_PER_ID * ids - 1).bit_length())
@@ -475,7 +531,7 @@ def _regrouped(heavy: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
                 for rep, tokens in zip(piece.column(0).to_pylist(), _tokens(piece.column(1)), strict=True):
                     largest = len(tokens) * limits.den // limits.num
                     for k in {limits.size_class(len(tokens)), limits.size_class(largest)}:
-                        own = class_items(tokens, k, limits)
+                        own = _short(class_items(tokens, k, limits)).view(np.int64)
                         reps.append(rep)
                         kind.append(k)
                         places.append(limits.apart(len(tokens), largest) + 1 - len(own))
@@ -492,10 +548,8 @@ def _regrouped(heavy: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
     # With s items that others have too, the others' places are taken: places left are H + 1 - (all items - s).
     shared = rows.join(often.hint("merge"), "item").groupBy("rep", "kind", "places").agg(F.array_sort(F.collect_list(F.struct("times", "item"))).alias("shared"))
     first = shared.withColumn("left", F.col("places") + F.size("shared")).where(F.col("left") > 0).select("rep", F.slice(F.col("shared")["item"], 1, F.col("left").cast("int")).alias("items"))
-    stars = first.mapInArrow(_star_rows, "item long, rep long")
-    lowest = F.min("rep").over(Window.partitionBy("item"))
-    near = stars.select(F.col("rep").alias("src"), lowest.alias("dst")).where("dst < src")
-    groups = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    tokens = heavy.agg(F.sum("n")).first()[0] or 0
+    groups = connected_components(_met(first, tokens, limits)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     return heavy.select("rep", "n").join(groups, "rep")
 
 
@@ -647,11 +701,8 @@ def similar_documents(
     copies = materialize(known.where("doc_id > rep").select(F.col("doc_id").alias("rep")).distinct(), "equal")
     # Item lists move only for rows in the bitmap of the ids that equal sets make superfluous.
     sure, maybe = _split(sig.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "s1", "s2", "items"), "doc_id", copies)
-    stars = sure.unionByName(maybe.join(reps, ["doc_id", "s1", "s2"], "left_semi")).select("doc_id", "items").mapInArrow(
-        _star_rows, "item long, rep long"
-    )
-    lowest = F.min("rep").over(Window.partitionBy("item"))
-    near = stars.select(F.col("rep").alias("src"), lowest.alias("dst")).where("dst < src")
+    lists = sure.unionByName(maybe.join(reps, ["doc_id", "s1", "s2"], "left_semi")).select("doc_id", "items")
+    near = _met(lists, classes.agg(F.sum("n")).first()[0] or 0, limits)
     clusters = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     clusters = materialize(clusters.hint("merge").join(classes, "rep"), "clusters")
 
