@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import concordance, density_clusters, ml, sliced, stats
@@ -107,3 +108,13 @@ def test_equal_points_of_a_plane_are_one(spark, monkeypatch):
     got = {r.id: (r.cluster, r.core) for r in ml.dbscan(df, "x", "y", "id", eps=1.5, min_samples=4).collect()}
     assert got == clusters(x, ids.tolist(), 1.5, 4) and len({c for c, _ in got.values()}) > 3
     assert kept["points"].count() == len(np.unique(x, axis=0))
+
+
+def test_dbscan_deals_wide_points_in_pieces():
+    x = np.random.default_rng(2).normal(size=(1000, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(x.tolist()), pa.array([1] * 1000)], names=["id", "vec", "w"])
+    pieces = list(density_clusters._dealt(batch, x[:40], 100.0))
+    assert max(p.num_rows for p in pieces) <= density_clusters.DEALT
+    got = [(r["id"], r["cell"]) for p in pieces for r in p.to_pylist()]
+    assert len(got) == 40_000 and set(got) == {(i, c) for i in range(1000) for c in range(40)}
+    assert sum(r["home"] for p in pieces for r in p.to_pylist()) == 1000
